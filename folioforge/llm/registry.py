@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: query -> module; a module's ORACLE is the query's SQL, where it has one.
 MODULES = {
+    "op1_substring_dedup": "substring_dedup",
     "op3_benchmark_decontamination": "decontaminate",
 }
 
