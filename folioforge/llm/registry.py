@@ -10,7 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 #: query -> module; a module's ORACLE is the query's SQL, where it has one.
 MODULES = {
     "op1_substring_dedup": "substring_dedup",
+    "op10_ngram_jaccard_join": "ngram_join",
     "op3_benchmark_decontamination": "decontaminate",
+    "op5_best_fit_packing": "packing",
+    "op6_media_columns": "media",
+    "op7_pii": "pii",
+    "op9_token_counts": "token_counts",
 }
 
 
