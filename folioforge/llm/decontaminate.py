@@ -152,9 +152,37 @@ def judged(found: DataFrame) -> DataFrame:
     return found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
 
 
-def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs without contaminated documents; all columns stay."""
-    bad = judged(contamination(docs, benchmark, window)).filter("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("row_key").alias("_bad_key")).distinct()
+def _clean_rows(docs: DataFrame, held) -> DataFrame:
+    """docs without the documents that one block of the benchmark contaminates, in the pass that reads them."""
+    at = docs.schema.fieldNames().index("text")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = held.value
+        for batch in batches:
+            for lo, hi, buf, offsets in X.chunks(batch.column(at)):
+                words = X.cut(buf, offsets, X.ALNUM_WORDS_LOWER)
+                delta = np.zeros(len(words.starts) + 1, dtype=np.int32)
+                for i, length, _ in known.hits(words):
+                    delta[i] += 1
+                    delta[i + length] -= 1
+                hit = np.bincount(words.doc[np.cumsum(delta[:-1]) > 0], minlength=hi - lo)
+                clean = (hit == 0) | (SHARE * hit < np.diff(words.bounds))
+                if clean.any():
+                    yield batch.slice(lo, hi - lo).filter(pa.array(clean))
+
+    return docs.mapInArrow(step, docs.schema)
+
+
+def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without contaminated documents; all columns stay.
+
+    With one block the pass itself drops them; with more, spans of all blocks count together.
+    """
+    blocks = _blocks(benchmark, block_bytes)
+    if len(blocks) == 1:
+        rows = [(r.item_id, r.text) for r in blocks[0].toLocalIterator()]
+        return _clean_rows(docs, docs.sparkSession.sparkContext.broadcast(WindowSet(rows, window)))
+    bad = judged(contamination(docs, benchmark, window, block_bytes)).filter("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("row_key").alias("_bad_key")).distinct()
     keyed = docs.withColumn("_row_key", row_key())
     return keyed.join(bad, keyed["doc_id"].cast("long").eqNullSafe(bad["_bad_id"]) & (keyed["_row_key"] == bad["_bad_key"]), "left_anti").drop("_row_key")
 

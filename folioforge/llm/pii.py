@@ -178,14 +178,15 @@ def masked(text: str, spans: list[tuple[int, int, str]]) -> str:
 def mask(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with the personal data of one text column masked; null stays null, other columns stay."""
     finder = per_task(Finder)
+    schema = docs.schema
+    at = schema.fieldNames().index(text)
 
-    def column(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for texts in batches:
-            yield pd.Series([None if t is None else masked(t, finder().find(t)) for t in texts], dtype=object)
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [None if t is None else masked(t, finder().find(t)) for t in batch.column(at).to_pylist()]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.withColumn(text, F.pandas_udf(column, "string", F.PandasUDFType.SCALAR_ITER)(F.col(text)))
+    return docs.mapInArrow(step, schema)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 #: query -> module; a module's ORACLE is the query's SQL, where it has one.
 MODULES = {
     "op1_substring_dedup": "substring_dedup",
-    "op10_ngram_jaccard_join": "ngram_join",
+    "op2_toxicity": "toxicity",
     "op3_benchmark_decontamination": "decontaminate",
+    "op4_url_filters": "url_filters",
     "op5_best_fit_packing": "packing",
     "op6_media_columns": "media",
     "op7_pii": "pii",
+    "op8_html_extraction": "html_extract",
     "op9_token_counts": "token_counts",
+    "op10_ngram_jaccard_join": "ngram_join",
 }
 
 
