@@ -6,7 +6,9 @@ domain is hashed into n1 partitions, each again into n2 parts; with n2 = 3 the
 signatures are the contents of each two of the three parts, with n2 = 1 those
 of each partition.  By counting, sets that differ in at most k elements have a
 whole signature in common (k < 2 * n1 with n2 = 3, k < n1 with n2 = 1), and a
-set gives signatures for every band that a partner's size can lead to.
+set gives signatures for every band that a partner's size can lead to, of as
+many of the band's partitions, from the first on, as its own largest k asks for:
+of two sets the one that gives fewer has given enough.
 
 Signatures of nothing (an empty part) say nothing, so they are left out; a set
 with so many empty parts that the counting could rest on them alone is hashed
@@ -16,11 +18,11 @@ So no link is lost.
 Sets with equal content are one class and one node.  Candidates of a signature
 are not expanded into pairs: each node is first compared with the pivot of its
 best signature; then, in signatures that still hold more than one component,
-each node outside the largest component is compared with the others.  A
-signature for which that is much is first divided by the signatures of
-another family.  A pair is dropped if the parity sketches of its sets differ
-in more places than linked sets can (the sketch never overestimates), and is
-else verified on the texts.
+each node outside the largest component meets the others.  The join that lets
+them meet lets only those pairs through whose parity sketches differ in no more
+places than linked sets can (a sketch never overestimates); these are verified
+on the texts.  A signature with very much to compare is first divided by the
+signatures of another family.
 
 Defined results: null, empty or blank text has the empty set and is linked with
 nothing, not even with its like; rows of equal doc_id are one node, linked as
@@ -44,9 +46,9 @@ from .components import components
 from .tables import shared_dir, table, written
 
 FAMILIES = 4
-PARITY_WORDS = 8
+PARITY = tuple(f"p{i}" for i in range(8))
 #: Comparisons within one signature beyond which it is divided by another family, at most `SPLITS` times.
-SPLIT_OVER, SPLITS = 20_000, 2
+SPLIT_OVER, SPLITS = 5_000_000, 2
 
 
 @dataclass(frozen=True)
@@ -65,12 +67,13 @@ class Rule:
 
 
 @lru_cache(maxsize=1)
-def bands() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each band: greatest k served, n1, n2."""
-    rows = [(2 * n - 1, n, 3) for n in (1, 2, 3, 4, 6, 8, 11, 15, 20, 26)]
+def bands() -> tuple[np.ndarray, ...]:
+    """Of each band: greatest k served, n1, n2, partitions given beyond those that may differ."""
+    rows = [(2 * n - 1, n, 3, 1) for n in (1, 2, 3, 4, 6, 8, 11, 15, 20, 26)]
     n = 64.0
     while n < 2**31:
-        rows.append((int(n) - 1 - (4 + int(n) // 25), int(n), 1))
+        sure = 5 + int(n) // 25
+        rows.append((int(n) - sure, int(n), 1, sure))
         n *= 2**0.5
     return tuple(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True))
 
@@ -102,7 +105,7 @@ def _sums(slot: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
 
 def signatures(doc: np.ndarray, h: np.ndarray, bounds: np.ndarray, rule: Rule, family: int, last: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document, signature) of one family, and the documents that need the next family."""
-    caps, n1s, n2s = bands()
+    caps, n1s, n2s, sures = bands()
     size = np.diff(bounds)
     least = rule.most_apart(size, -(-rule.per_cent * size // 100))
     most = rule.most_apart(size, 100 * size // rule.per_cent)
@@ -125,12 +128,15 @@ def signatures(doc: np.ndarray, h: np.ndarray, bounds: np.ndarray, rule: Rule, f
     content = _sums(slot, X.mix(element + X.U64(family + 1)), total)
     filled = np.bincount(slot, minlength=total) > 0
     # Parts of one partition lie side by side.
-    trio = np.repeat(n2 == 3, parts)
+    k = np.minimum(caps[band], most[own])
+    give = np.where(n2 == 3, k // 2, k) + sures[band]
     inst = np.repeat(np.arange(len(own)), parts)
-    a = np.flatnonzero(~trio)
-    b = np.flatnonzero(trio)[::3]
+    given = (np.arange(total) - base[inst]) // n2[inst] < give[inst]
+    trio = n2[inst] == 3
+    a = np.flatnonzero(~trio & given)
+    b = np.flatnonzero(trio & given)[::3]
     sig_inst = np.concatenate((inst[a], inst[b], inst[b], inst[b]))
-    where = np.concatenate((a - base[inst[a]], *(3 * (b - base[inst[b]]) + k for k in range(3))))
+    where = np.concatenate((a - base[inst[a]], *(3 * (b - base[inst[b]]) + x for x in range(3))))
     pair = lambda x, y: X.mix(content[b + x] + X.U64(0x9E3779B97F4A7C15)) + X.mix(content[b + y] ^ X.U64(0xA0761D6478BD642F))
     body = np.concatenate((content[a], pair(0, 1), pair(1, 2), pair(0, 2)))
     some = np.concatenate((filled[a], filled[b] | filled[b + 1], filled[b + 1] | filled[b + 2], filled[b] | filled[b + 2]))
@@ -138,8 +144,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, bounds: np.ndarray, rule: Rule, f
     sig = X.mix(body ^ X.mix(tag + where.astype(np.uint64)))
     # Partitions that an empty signature could stand for, against those that are sure to agree.
     empty = np.bincount(inst[a[~filled[a]]], minlength=len(own)) + np.bincount(inst[b[(filled[b].astype(int) + filled[b + 1] + filled[b + 2]) < 2]], minlength=len(own))
-    sure = np.where(n2 == 3, n1 - caps[band] // 2, n1 - caps[band])
-    sparse = np.unique(own[empty >= sure])
+    sparse = np.unique(own[empty >= sures[band]])
     use = np.ones(len(sig), dtype=bool) if last else some
     return own[sig_inst[use]], sig[use], sparse
 
@@ -159,11 +164,11 @@ def set_rows(docs: DataFrame, rule: Rule) -> DataFrame:
                 n = hi - lo
                 d1, d2 = (_sums(doc, X.mix(h ^ X.U64(c)), n) for c in (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35))
                 bit = (X.mix(h + X.U64(0x27D4EB2F165667C5)) >> X.U64(55)).astype(np.int64)
-                odd = (np.bincount(doc * 64 * PARITY_WORDS + bit, minlength=n * 64 * PARITY_WORDS) & 1).astype(np.uint8)
-                sketch = np.packbits(odd).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(bounds)), pa.array(X.signed(d1)), pa.array(X.signed(d2)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * PARITY_WORDS), pa.array(sketch))], names=["doc_id", "n", "d1", "d2", "parity"])
+                odd = (np.bincount(doc * 512 + bit, minlength=n * 512) & 1).astype(np.uint8)
+                sketch = np.packbits(odd).view(np.int64).reshape(n, len(PARITY))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(bounds)), pa.array(X.signed(d1)), pa.array(X.signed(d2)), *(pa.array(sketch[:, i]) for i in range(len(PARITY)))], names=["doc_id", "n", "d1", "d2", *PARITY])
 
-    return _read(docs, step, "doc_id long, n long, d1 long, d2 long, parity array<long>")
+    return _read(docs, step, "doc_id long, n long, d1 long, d2 long, " + ", ".join(f"{p} long" for p in PARITY))
 
 
 def signature_rows(docs: DataFrame, rule: Rule, families: tuple[int, ...] = tuple(range(FAMILIES))) -> DataFrame:
@@ -206,17 +211,20 @@ def _verify(rule: Rule):
     return step
 
 
-def _may_link(rule: Rule) -> Column:
-    """Sketches differ in no more places than linked sets can."""
-    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    total = F.col("na") + F.col("nb")
-    return apart <= total - 2 * F.ceil(F.lit(rule.per_cent) * total / F.lit(100 + rule.per_cent))
+def _may_link(rule: Rule, a: str, b: str) -> Column:
+    """Sketches of nodes (columns with prefixes a and b) differ in no more places than linked sets can."""
+    apart = sum((F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in PARITY), F.lit(0))
+    total = F.col(a + "n") + F.col(b + "n")
+    return apart <= total - 2 * F.expr(f"({rule.per_cent} * ({a}n + {b}n) + {99 + rule.per_cent}) div {100 + rule.per_cent}")
+
+
+def _prefixed(nodes: DataFrame, key: str, prefix: str) -> DataFrame:
+    return nodes.select(F.col("node").alias(key), *(F.col(c).alias(prefix + c) for c in ("n", *PARITY)))
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
-    a = nodes.select(F.col("node").alias("u"), F.col("n").alias("na"), F.col("parity").alias("pa"))
-    b = nodes.select(F.col("node").alias("v"), F.col("n").alias("nb"), F.col("parity").alias("pb"))
-    return pairs.join(a, "u").join(b, "v").filter(_may_link(rule)).drop("na", "nb", "pa", "pb")
+    near = pairs.join(_prefixed(nodes, "u", "a_"), "u").join(_prefixed(nodes, "v", "b_"), "v").filter(_may_link(rule, "a_", "b_"))
+    return near.select(*pairs.columns)
 
 
 def _links(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
@@ -234,21 +242,22 @@ def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
     return own.join(main, "sig").select("sig", "node", "comp", "main", (F.col("all") * (F.col("all") - F.col("top"))).alias("cost"))
 
 
-def _cross(mixed: DataFrame) -> DataFrame:
-    """Pairs of nodes of one signature in different components, one of them outside the main one."""
-    out = mixed.filter("comp != main").select("sig", F.col("node").alias("x"), F.col("comp").alias("cx"))
-    other = mixed.select("sig", F.col("node").alias("y"), F.col("comp").alias("cy"), "main")
-    met = out.join(other, "sig").filter((F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))))
+def _cross(mixed: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs (u, v) of one signature in different components, one of them outside the main one, that may link."""
+    out = mixed.filter("comp != main").select("sig", F.col("node").alias("x"), F.col("comp").alias("cx")).join(_prefixed(nodes, "x", "a_"), "x")
+    other = mixed.select("sig", F.col("node").alias("y"), F.col("comp").alias("cy"), "main").join(_prefixed(nodes, "y", "b_"), "y")
+    apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y")))
+    met = out.join(other, (out["sig"] == other["sig"]) & apart & _may_link(rule, "a_", "b_"))
     return met.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
 
 
-def join(docs: DataFrame, work: str, rule: Rule = Rule()) -> tuple[DataFrame, DataFrame]:
+def join(docs: DataFrame, work: str, rule: Rule = Rule(), split_over: int = SPLIT_OVER) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n_shingles, component_id of each row; verified links between class representatives).
 
     The links connect what is linked; they don't list every linked pair.
     """
     sets = written(set_rows(docs, rule), f"{work}/sets")
-    classes = sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), F.first("parity").alias("parity"))
+    classes = sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), *(F.first(p).alias(p) for p in PARITY))
     nodes = written(classes, f"{work}/classes")
     of_doc = written(sets.join(nodes.select("n", "d1", "d2", "node"), ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), f"{work}/of_doc")
     by_doc = of_doc.select("doc_id", "node").distinct()
@@ -269,18 +278,18 @@ def join(docs: DataFrame, work: str, rule: Rule = Rule()) -> tuple[DataFrame, Da
 
     comp = components(links, f"{work}/comp-1").select(F.col("node").alias("cnode"), "component")
     mixed = written(_mixed(members.select("sig", "node"), comp), f"{work}/mixed-0")
-    pairs = _cross(mixed.filter(F.col("cost") <= SPLIT_OVER))
+    pairs = _cross(mixed.filter(F.col("cost") <= split_over), nodes, rule)
     for s in range(1, SPLITS + 1):
-        hot = mixed.filter(F.col("cost") > SPLIT_OVER).select("sig", "node")
+        hot = mixed.filter(F.col("cost") > split_over).select("sig", "node")
         if hot.isEmpty():
             break
         again = texts.join(hot.select("node").distinct(), "node").select(F.col("node").alias("doc_id"), "text")
         more = signature_rows(again, rule, tuple(range(FAMILIES + 4 * s, 2 * FAMILIES + 4 * s))).select(F.col("sig").alias("next"), F.col("doc_id").alias("node"))
         hot = hot.join(more, "node").select(F.xxhash64("sig", "next").alias("sig"), "node").distinct()
         mixed = written(_mixed(hot, comp), f"{work}/mixed-{s}")
-        pairs = pairs.unionByName(_cross(mixed.filter(F.col("cost") <= SPLIT_OVER) if s < SPLITS else mixed))
+        pairs = pairs.unionByName(_cross(mixed.filter(F.col("cost") <= split_over) if s < SPLITS else mixed, nodes, rule))
     tried = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    pairs = written(_plausible(pairs.distinct().join(tried, ["u", "v"], "left_anti"), nodes, rule), f"{work}/pairs")
+    pairs = written(pairs.distinct().join(tried, ["u", "v"], "left_anti"), f"{work}/pairs")
     links = links.unionByName(written(_links(pairs, texts, rule), f"{work}/links-2"))
     # Rows of one doc_id with different sets are one node.
     same = by_doc.filter("doc_id != node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
