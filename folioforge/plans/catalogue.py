@@ -24,8 +24,15 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _QUERIES
+    load()
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return _SQL
+    load()
+    return dict(_SQL)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from . import scoring_queries, table_queries, text_queries  # noqa: F401
