@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import shared_dir, table, written
-from .tokens import END_ID, Pieces, default_tokenizer
+from .tokens import END_ID, default_tokenizer, held
 
 CAPACITY = 4096
 GROUP_PIECES = 16_384
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     path = tokenizer or default_tokenizer()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Pieces(path)
+        encoder = held(path)
         for batch in batches:
             out = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import table
-from .tokens import Pieces, default_tokenizer
+from .tokens import default_tokenizer, held
 
 RULE = "largest"
 RESULT = "doc_id long, section int, field string, start long, end long, n_tokens long, n_crossing long"
@@ -54,9 +54,9 @@ def attribute(lo: np.ndarray, hi: np.ndarray, starts: np.ndarray, ends: np.ndarr
 
 
 def laid_out(source: str, lang: str, text: str) -> tuple[str, list[tuple[str, int, int]]]:
-    """The whole document as it is trained on, source|lang|text, and the spans of its fields; the text by lines."""
+    """The whole document as it is trained on, source|lang|text, and the spans of its fields, with their separators; the text by lines."""
     head = f"{source}|{lang}|"
-    spans = [("source", 0, len(source)), ("lang", len(source) + 1, len(head) - 1)]
+    spans = [("source", 0, len(source) + 1), ("lang", len(source) + 1, len(head))]
     at = len(head)
     for line in text.split("\n"):
         spans.append(("text", at, at + len(line)))
@@ -69,7 +69,7 @@ def counts(docs: DataFrame, tokenizer: str | None = None, rule: str = RULE) -> D
     path = tokenizer or default_tokenizer()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Pieces(path, spans=True)
+        encoder = held(path, True)
         for batch in batches:
             rows: list[list] = [[] for _ in range(7)]
             for doc_id, text, lang, source in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):

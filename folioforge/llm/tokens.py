@@ -2,21 +2,27 @@
 
 The tokenizer's pre-tokens never hold white space, so a text's ids are those of
 its pieces between blanks and line ends, one after the other.  Each distinct
-piece is encoded once per task and kept in a bounded store; ids and spans of a
-document are then gathered with numpy.  Strings of special tokens in a text are
+piece is encoded once and kept in a bounded store that lives as long as its
+worker; ids and spans of a document are then gathered with numpy.  Two things
+keep distinct pieces few: the tokenizer lower-cases, which str.lower() equals
+for Latin-1 texts, and a run of dots and commas after a letter at the end of a
+piece is a pre-token of its own.  Strings of special tokens in a text are
 ordinary text.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 
 END_ID = 1
 #: Characters of distinct pieces a task keeps before it starts anew.
-STORE_CHARS = 24 << 20
+STORE_CHARS = 96 << 20
+TAIL = re.compile(r"(?<=[a-zà-öø-ÿ])([.,]+)(?=[ \n]|\Z)")
 
 
 def default_tokenizer() -> str:
@@ -69,22 +75,32 @@ class Pieces:
         fresh, self.places.fresh = self.places.fresh, []
         if not fresh:
             return
-        self.chars += sum(map(len, fresh)) + 60 * len(fresh)
-        found = self.tokenizer.encode_batch(fresh, add_special_tokens=False)
-        count = np.fromiter((len(e) for e in found), np.int64, len(found))
-        ids = np.fromiter((i for e in found for i in e.ids), np.int64, int(count.sum()))
+        length = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        self.chars += int(length.sum()) + 60 * len(fresh)
+        # One call for all: joined by blanks they stay apart.
+        found = self.tokenizer.encode(" ".join(fresh), add_special_tokens=False)
+        start = np.cumsum(length + 1) - length - 1
+        at = np.array(found.offsets, np.int64).reshape(-1, 2)
+        count = np.bincount(np.searchsorted(start, at[:, 0], side="right") - 1, minlength=len(fresh))
         self.first = _grown(self.first, self.n, self.used + np.cumsum(count) - count)
         self.count = _grown(self.count, self.n, count)
-        self.ids = _grown(self.ids, self.used, ids)
         if self.spans:
-            at = np.array([s for e in found for s in e.offsets], np.int64).reshape(-1, 2)
+            at -= np.repeat(start, count)[:, None]
             self.lo, self.hi = _grown(self.lo, self.used, at[:, 0]), _grown(self.hi, self.used, at[:, 1])
-        self.n, self.used = self.n + len(fresh), self.used + len(ids)
+        self.ids = _grown(self.ids, self.used, np.array(found.ids, np.int64))
+        self.n, self.used = self.n + len(fresh), self.used + len(at)
 
     def encode(self, text: str) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
         """ids and, if asked for, first and last (exclusive) character of each token in the text."""
         if self.chars > STORE_CHARS:
             self._clear()
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+            if not self.spans:
+                text = TAIL.sub(r" \1", text)
+        except UnicodeEncodeError:
+            pass
         parts = text.replace("\n", " ").split(" ")
         at = np.fromiter(map(self.places.__getitem__, parts), np.int64, len(parts))
         self._encode_fresh()
@@ -98,6 +114,12 @@ class Pieces:
         return self.ids[token], self.lo[token] + place, self.hi[token] + place
 
 
+@lru_cache(maxsize=4)
+def held(path: str, spans: bool = False) -> Pieces:
+    """The store of this worker, kept from task to task."""
+    return Pieces(path, spans)
+
+
 def per_task(make: Callable[[], object]) -> Callable[[], object]:
     """make() once in each Python worker."""
     held: list[object] = []
