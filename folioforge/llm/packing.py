@@ -31,6 +31,8 @@ from .tokens import END_ID, default_tokenizer, held
 
 CAPACITY = 4096
 GROUP_PIECES = 16_384
+#: Rounds of the local search at most, and bins that resist before a round ends.
+ROUNDS, STUCK = 6, 8
 #: Bins filled to less than this share are opened for the next round.
 REOPEN = 0.97
 
@@ -141,19 +143,18 @@ class _Search:
         self._exchange(a, best[1], b, best[2])
         return True
 
-    def run(self) -> list[list[int]]:
-        total = sum(self.fill)
-        fewest = -(-total // self.capacity)
-        alive = [b for b in range(len(self.bins)) if self.bins[b]]
+    def _round(self, alive: list[int], fewest: int) -> bool:
+        """Empty the emptiest bins one after the other until STUCK of them can't be; whether anything moved."""
         stuck: set[int] = set()
-        while len(alive) > fewest:
+        any_move = False
+        while len(alive) > fewest and len(stuck) <= STUCK:
             a = min((b for b in alive if b not in stuck), key=lambda b: self.fill[b], default=None)
             if a is None:
                 break
             moved = False
             for b in sorted((b for b in alive if b != a and self.fill[b] < self.capacity), key=lambda b: self.fill[b]):
                 while self.bins[a] and self.fill[b] >= self.fill[a] and self.improve(a, b):
-                    moved = True
+                    moved = any_move = True
                 if not self.bins[a]:
                     break
             if not self.bins[a]:
@@ -161,8 +162,14 @@ class _Search:
                 stuck.clear()
             elif not moved:
                 stuck.add(a)
-                if len(stuck) > 8:  # the emptiest bins can't be emptied, so no fuller one can
-                    break
+        return any_move
+
+    def run(self) -> list[list[int]]:
+        fewest = -(-sum(self.fill) // self.capacity)
+        alive = [b for b in range(len(self.bins)) if self.bins[b]]
+        for _ in range(ROUNDS):
+            if len(alive) <= fewest or not self._round(alive, fewest):
+                break
         return [[i for _, i in self.bins[b]] for b in alive]
 
 
