@@ -122,7 +122,7 @@ def test_tokens_of_any_text(text):
 
 
 def test_token_counts(spark):
-    rows = ODD + [(7, "|| odd\n\nx")]
+    rows = ODD + [(7, "# odd\n\nx")]
     docs = frame(spark, rows).withColumn("source", F.when(F.col("doc_id") == 3, F.lit(None)).otherwise(F.col("source")))
     out = token_counts.counts(docs).collect()
     t = tokens.Pieces().tokenizer
@@ -162,7 +162,9 @@ def test_packing(spark, tmp_path):
     for group in (16_384, 40):  # 40: several rounds of groups
         out = packing.pack(found, f"file://{tmp_path}/{group}", group_pieces=group).collect()
         total = sum(r.length for r in out)
-        assert packed_well(out) <= -(-total // 4096) + 1
+        assert total == sum(r.length for r in found.collect())
+        fitted = len(packing.best_fit([r.length for r in out], 4096))
+        assert packed_well(out) <= (fitted if group > 1000 else 1.04 * fitted + 1)
     t = tokens.Pieces().tokenizer
     for i, text in rows[:40]:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
@@ -181,9 +183,11 @@ def test_pack_group(lengths):
 
 
 def test_local_search_empties_a_bin():
-    """Best fit needs four bins; exchanges need three."""
-    lengths = [6, 6, 4, 3, 3, 2, 3, 3]
-    assert len(packing._Search([[0, 4], [1, 3], [2, 5, 6], [7]], lengths, 10).run()) == 3
+    """Four bins of which exchanges between fuller ones make three."""
+    lengths = [5, 5, 4, 4, 3, 3, 3, 3]
+    assert len(packing._Search([[0, 2], [1, 3], [4, 5, 6], [7]], lengths, 10).run()) == 3
+    # Two for one: 4 + 3 take the place of 6.
+    assert sorted(map(len, packing._Search([[0, 1], [2, 3]], [6, 3, 4, 3], 10).run())) == [2, 2]
 
 
 # Media
@@ -270,14 +274,14 @@ def test_url_rules(spark, tmp_path):
 
 def test_link_graph(spark, tmp_path):
     link = lambda *hosts: "".join(f'<a href="http://{h}/x">l</a>' for h in hosts)
-    rows = [(i, f"http://bad{i}.net/", "") for i in range(3)] + [(10, "http://farm.com/", link("bad0.net", "bad1.net", "bad2.net")), (11, "http://news.org/fr/", link("good.com")), (12, "http://good.com/", link("news.org")), (13, "http://alone.com/", link("alone.com"))]
+    rows = [(i, f"http://bad{i}.net/", "") for i in range(3)] + [(10, "http://farm.com/", link("bad0.net", "bad1.net", "bad2.net")), (11, "http://news.org/fr/", link("good.com")), (12, "http://good.com/", link("news.org")), *((20 + i, f"http://alone{i}.com/", link(f"alone{i}.com")) for i in range(14))]
     out = {r.page_id: r for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), url_filters.rule_table(spark), f"file://{tmp_path}/w").collect()}
-    assert out[10].verdict == "block" and out[10].distrust > 1 and out[12].verdict == "allow" and out[12].trust > 0 and out[13].verdict == "allow"
+    assert out[10].verdict == "block" and out[10].distrust > 1 and out[12].verdict == "allow" and out[12].trust > 0 and out[20].verdict == "allow"
     # Brute force of the distrust rank of the farm: seeds bad0-2, edges against links.
     rank = {f"bad{i}.net": 1 / 3 for i in range(3)}
     for _ in range(url_filters.ROUNDS):
         new = {h: 0.15 / 3 for h in list(rank) if h.startswith("bad")}
         new["farm.com"] = sum(0.85 * v for h, v in rank.items() if h.startswith("bad"))
         rank = new
-    assert out[10].distrust == pytest.approx(rank["farm.com"] * 7)
+    assert out[10].distrust == pytest.approx(rank["farm.com"] * 20)
     assert url_filters.judge(spark.createDataFrame([], "page_id long, url string, html string"), url_filters.rule_table(spark), f"file://{tmp_path}/e").count() == 0
