@@ -25,7 +25,7 @@ def strip(c: Column) -> Column:
     return _sub(c, rf"^{WS}+|{WS}+$")
 
 
-#: Rules of title noise, in order: suffixes and prefixes go, noise becomes a blank.
+#: Patterns of title noise, in order; suffixes and prefixes go, noise becomes a blank.
 TITLE_SUFFIXES = (
     rf"(?iu){WS}*[:\-–—]{WS}*[^:]*?{WB_L}book{WS}+\d+{WS}*$",
     rf"{WS}*\([^)]*#{WS}*\d+{WS}*\){WS}*$",
@@ -193,6 +193,7 @@ def chapter_title(c: Column, word: Column) -> Column:
     return F.when(numeric & (F.char_length(t) <= 3), F.concat_ws(" ", word, number)).when(t.contains("_"), F.concat_ws(" ", word, F.get(F.split(t, "_"), F.lit(1)))).otherwise(t)
 
 
+#: What is removed from descriptions, in order.
 EMAIL = r"[a-zA-Z0-9._-]+@[a-zA-Z0-9._-]+\.[a-zA-Z0-9_-]+"
 HANDLE = r"(?:^|[^@A-Za-z0-9_])@[A-Za-z0-9_]{1,15}(?![A-Za-z0-9_])"
 URL = r"(?:https?:\/\/)?[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+\.?(?::\d+)?(?:\/\S*)?"
@@ -272,6 +273,7 @@ def is_asin(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^B[0-9A-Z]{9}$"), F.lit(False))
 
 
+#: Marks of bundles, foreign editions and synthetic narrators.
 BUNDLE = rf"(?i){WB_L}(?:box(?:ed)?[- ]?set|gift[- ]?set|omnibus|collection|complete series|books? \d+\s*[-–—]\s*\d+|\d+[- ]book set|trilogy set){WB_R}"
 FOREIGN_EDITION = rf"(?i){WB_L}(?:spanish|french|german|italian|portuguese|dutch|polish|russian|japanese|chinese|swedish|norwegian|danish|finnish|czech|turkish|korean)\s+(?:edition|version){WB_R}|{WB_L}edici[oó]n{WB_R}|{WB_L}[ée]dition\s+fran[cç]aise{WB_R}|{WB_L}ausgabe{WB_R}|{WB_L}edizione{WB_R}"
 VIRTUAL_VOICE = rf"(?i){WB_L}virtual voice{WB_R}"

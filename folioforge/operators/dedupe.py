@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import alnum_key
 from .scoring import provider_rank
 
+#: Sources of audio covers; the band within which confidence does not rank.
 AUDIO_SOURCES = ("audible", "apple", "storytel")
 TIE, EPS = 0.1, 1e-9
 

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Failures that open it, how long, successes that close it.
 FAILURES, OPEN_MICROS, SUCCESSES = 5, 60_000_000, 2
 CLOSED, OPEN, HALF = 0, 1, 2
 STATE = "struct<mode:int,failures:int,successes:int,opened:bigint,rejected:bigint,trips:bigint>"

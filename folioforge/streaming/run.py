@@ -20,8 +20,8 @@ def drained(df: DataFrame, mode: str) -> DataFrame:
     path = shared_dir(spark)
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/rows/n={number}")
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/rows/part_={number}")
 
     query = df.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{path}/state").foreachBatch(keep).start()
     query.awaitTermination()
-    return spark.read.parquet(f"{path}/rows").drop("n")
+    return spark.read.parquet(f"{path}/rows").drop("part_")
