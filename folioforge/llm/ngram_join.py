@@ -38,7 +38,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as X
@@ -262,10 +262,12 @@ def join(docs: DataFrame, work: str, rule: Rule = Rule(), split_over: int = SPLI
     of_doc = written(sets.join(nodes.select("n", "d1", "d2", "node"), ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), f"{work}/of_doc")
     by_doc = of_doc.select("doc_id", "node").distinct()
 
-    by_sig = Window.partitionBy("sig")
-    met = signature_rows(docs, rule).withColumn("lo", F.min("doc_id").over(by_sig)).withColumn("hi", F.max("doc_id").over(by_sig)).filter("lo < hi").select("sig", "doc_id")
-    met = met.join(by_doc, "doc_id").groupBy("sig", "node").agg(F.lit(1).alias("one"))
-    members = written(met.withColumn("pivot", F.min("node").over(by_sig)).withColumn("top", F.max("node").over(by_sig)).filter("pivot < top").select("sig", "node", "pivot"), f"{work}/members")
+    # Partial aggregates find the signatures that are shared; equi-joins, which can split a hot one, take the rows back.
+    rows = signature_rows(docs, rule)
+    shared = rows.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("sig")
+    met = written(rows.join(shared, "sig", "left_semi").join(by_doc, "doc_id").select("sig", "node").distinct(), f"{work}/met")
+    pivots = met.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter("pivot < top").select("sig", "pivot")
+    members = written(met.join(pivots, "sig").select("sig", "node", "pivot"), f"{work}/members")
 
     stars = members.filter("pivot != node").groupBy(F.col("pivot").alias("u"), F.col("node").alias("v")).agg(F.count("*").alias("shared"))
     # A node that only ever is a pivot has partners of its own among v; all are met again below.
@@ -273,7 +275,8 @@ def join(docs: DataFrame, work: str, rule: Rule = Rule(), split_over: int = SPLI
     best = written(plausible.groupBy("v").agg(F.max_by("u", F.struct("shared", -F.col("u"))).alias("u")).select("u", "v"), f"{work}/best")
     involved = members.select("node").distinct()
     texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("node"), "text").join(involved, "node")
-    texts = written(texts, f"{work}/texts")
+    # Repeated rows would meet each other in every pair.
+    texts = written(texts.withColumn("same", F.xxhash64("text")).dropDuplicates(["node", "same"]).drop("same"), f"{work}/texts")
     links = written(_links(best, texts, rule), f"{work}/links-1")
 
     comp = components(links, f"{work}/comp-1").select(F.col("node").alias("cnode"), "component")
