@@ -154,11 +154,12 @@ class FingerprintLog:
 def removed_spans(docs: DataFrame, found: DataFrame, work: str, window: int = WINDOW) -> DataFrame:
     """doc_id, row_key, spans (first window, windows) to remove, from probed segments of the whole corpus."""
     mixed = found.filter("mixed")
-    least = mixed.groupBy("anchor", "seg").agg(F.min("doc_id").alias("seg_doc"))
+    # A table of its own, so that the join deals both sides anew and can split a hot key.
+    least = written(mixed.groupBy("anchor", "seg").agg(F.min("doc_id").alias("seg_doc")), f"{work}/least")
     placed = mixed.join(least.hint("merge"), ["anchor", "seg"])
     placed = written(placed.select("anchor", "doc_id", "row_key", "first", "n", "seg_doc"), f"{work}/mixed")
     whole = found.filter(~F.col("mixed")).select("doc_id", "row_key", "first", "n").unionByName(placed.filter("doc_id > seg_doc").select("doc_id", "row_key", "first", "n"))
-    open_ = placed.filter("doc_id = seg_doc").groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("first", "n", "anchor")).alias("parts"))
+    open_ = placed.filter("doc_id = seg_doc").groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("first", "n", "anchor")).alias("parts"))
     texts = _keyed(docs)
     wins = open_.join(texts.hint("merge"), ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "parts").mapInArrow(_window_rows(window), "anchor long, win long, doc_id long, row_key long, first int")
     wins = written(wins, f"{work}/windows")

@@ -30,8 +30,8 @@ from . import textops as X
 from .tables import table
 
 #: Labelled documents that the fit takes at most, and the fold that it never sees.
-SAMPLE, FOLDS, HELD_OUT = 16_000, 5, 0
-BITS, EPOCHS, RATE, DECAY = 20, 120, 0.08, 2e-3
+SAMPLE, FOLDS, HELD_OUT = 20_000, 5, 0
+BITS, EPOCHS, RATE, DECAY = 20, 150, 0.2, 1e-5
 #: A word needs this many documents, and log-odds of this size, to have a weight.
 LEAST_DOCS, LEAST_ODDS = 3, 0.5
 INTERCEPT = -8.0
@@ -64,32 +64,35 @@ def _sentences(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     """Noisy-or model of labelled texts; one machine, bounded by SAMPLE."""
-    feats, sents, docs, n_sent, n_doc = [], [], [], 0, 0
-    for lo, hi, buf, offsets in X.chunks(texts):
-        f, s, d, _ = _sentences(buf, offsets)
-        key = np.unique(s << BITS | f)
-        feats.append((key & ((1 << BITS) - 1)).astype(np.int32))
-        sents.append(((key >> BITS) + n_sent).astype(np.int32))
-        docs.append((d + n_doc).astype(np.int32))
-        n_sent, n_doc = n_sent + len(d), n_doc + hi - lo
     size = 1 << BITS
-    weights = np.zeros(size)
     y = labels.astype(bool)
-    if not n_doc or y.all() or not y.any():
-        return Model(weights, INTERCEPT)
-    feat, sent, doc = np.concatenate(feats), np.concatenate(sents), np.concatenate(docs)
-    pair = np.unique(doc[sent].astype(np.int64) << BITS | feat)
-    df_feat, df_y = pair & (size - 1), y[pair >> BITS]
-    pos, neg = np.bincount(df_feat[df_y], minlength=size), np.bincount(df_feat[~df_y], minlength=size)
+    if not len(y) or y.all() or not y.any():
+        return Model(np.zeros(size), INTERCEPT)
+    # First the documents that hold each word, by class; then only the words that these counts single out.
+    pos, neg = np.zeros(size, np.int64), np.zeros(size, np.int64)
+    for lo, _hi, buf, offsets in X.chunks(texts):
+        f, s, d, _ = _sentences(buf, offsets)
+        held = np.unique((lo + d[s]) << BITS | f)
+        toxic = y[held >> BITS]
+        pos += np.bincount(held[toxic] & (size - 1), minlength=size)
+        neg += np.bincount(held[~toxic] & (size - 1), minlength=size)
     n_pos, n_neg = y.sum(), (~y).sum()
     odds = np.log((pos + 0.5) / (n_pos + 1)) - np.log((neg + 0.5) / (n_neg + 1))
     seen = pos + neg
     weights = odds * seen / (seen + 12)
     live = (seen >= LEAST_DOCS) & (np.abs(weights) >= LEAST_ODDS)
     weights[~live] = 0
-    keep = live[feat]
-    used, at = np.unique(feat[keep], return_inverse=True)
-    sent = sent[keep]
+    feats, sents, docs, n_sent, n_doc = [], [], [], 0, len(y)
+    for lo, _hi, buf, offsets in X.chunks(texts):
+        f, s, d, _ = _sentences(buf, offsets)
+        keep = live[f]
+        key = np.unique(s[keep] << BITS | f[keep])
+        feats.append((key & (size - 1)).astype(np.int32))
+        sents.append(((key >> BITS) + n_sent).astype(np.int32))
+        docs.append((d + lo).astype(np.int32))
+        n_sent += len(d)
+    feat, sent, doc = np.concatenate(feats), np.concatenate(sents), np.concatenate(docs)
+    used, at = np.unique(feat, return_inverse=True)
     w, b = weights[used], INTERCEPT
     m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
     start = w.copy()
@@ -98,7 +101,7 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         none = np.exp(np.bincount(doc, weights=np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=n_doc))
         blame = np.where(y, -none / np.maximum(1 - none, 1e-9), 1.0)[doc] * p
-        g = np.append(np.bincount(at, weights=blame[sent], minlength=len(used)) + DECAY * n_pos * (w - 0.5 * start), blame.sum())
+        g = np.append(np.bincount(at, weights=blame[sent], minlength=len(used)) + DECAY * n_pos * (w - start), blame.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
