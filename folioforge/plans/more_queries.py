@@ -28,8 +28,14 @@ def a3_two_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 200")
 def a6_edition_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Editions with the book they belong to."""
-    eds = table(spark, sf_dir, "lineitem").filter("l_orderkey < 200")
+    """A sample of the editions with their books, as its SQL has it."""
+    return a6_edition_parent_whole(spark, sf_dir).filter("l_orderkey < 200")
+
+
+@query()
+def a6_edition_parent_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edition with the book it belongs to."""
+    eds = table(spark, sf_dir, "lineitem")
     return eds.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "p_name")
 
 
