@@ -9,3 +9,10 @@ QUERIES = catalogue.queries()
 
 def test_editions_of_all_orders(spark):
     assert_equal(spark, QUERIES["a6_edition_parent_whole"], "SELECT l_orderkey, l_linenumber, l_partkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey")
+
+
+def test_sorted_scan_gives_every_key_its_place(spark):
+    query = QUERIES["a27_sorted_scan_whole"]
+    assert_equal(spark, query, "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders")
+    places = [r.place for r in query(spark, str(DATA)).collect()]
+    assert places == sorted(places) and len(places) > 1000
