@@ -52,12 +52,24 @@ d AS (SELECT want, have, r AS t, want % 2 = 1 AS authored, abs(50.0::DOUBLE - p_
 s AS (SELECT *, CASE WHEN delta <= 0.05::DOUBLE THEN 0.15::DOUBLE WHEN delta > 0.25::DOUBLE THEN -0.3::DOUBLE ELSE 0.0::DOUBLE END AS bonus FROM d)
 SELECT want, have, round({_CONF}, 9) AS confidence, round(delta, 9) AS delta FROM s WHERE {_CONF} >= 0.8::DOUBLE * 0.55::DOUBLE + 0.7::DOUBLE * 0.3::DOUBLE""")
 def s4_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Confidence of candidates of one brand and type, those at or above the floor."""
+    """Candidates of the records of size 50, as its SQL has it."""
+    part = table(spark, sf_dir, "part")
+    return _confident(part.filter("p_size = 50"), part)
+
+
+@query()
+def s4_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of every record, its own size the wanted running time."""
     part = table(spark, sf_dir, "part")
-    want = part.filter("p_size = 50").select(F.col("p_partkey").alias("want"), F.col("p_name").alias("q"), "p_brand", "p_type")
+    return _confident(part, part)
+
+
+def _confident(wanted: DataFrame, part: DataFrame) -> DataFrame:
+    """Confidence of candidates of one brand and type, those at or above the floor."""
+    want = wanted.select(F.col("p_partkey").alias("want"), F.col("p_name").alias("q"), F.col("p_size").cast("double").alias("want_size"), "p_brand", "p_type")
     pairs = want.join(part.select("p_brand", "p_type", F.col("p_partkey").alias("have"), F.col("p_name").alias("c"), "p_size"), ["p_brand", "p_type"])
     scored = with_title_similarity(pairs, "q", "c", "t")
-    delta = scoring.duration_delta(F.lit(50.0), F.col("p_size").cast("double"))
+    delta = scoring.duration_delta(F.col("want_size"), F.col("p_size").cast("double"))
     author = F.when(F.col("want") % 2 == 1, F.lit(1.0))
     scored = scored.withColumn("delta", delta).withColumn("confidence", scoring.confidence(F.col("t"), author, F.col("delta")))
     return scored.filter(F.col("confidence") >= scoring.FLOOR).select("want", "have", F.round("confidence", 9).alias("confidence"), F.round("delta", 9).alias("delta"))

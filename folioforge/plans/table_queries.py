@@ -18,15 +18,31 @@ miss AS (SELECT DISTINCT w.p_name, w.p_type FROM want w WHERE w.p_name NOT IN (S
 wide AS (SELECT m.p_name, p.p_partkey, row_number() OVER (PARTITION BY m.p_name ORDER BY p.p_retailprice DESC, p.p_partkey) AS pos FROM (SELECT p_name, min(p_type) AS p_type FROM miss GROUP BY p_name) m JOIN part p ON p.p_type = m.p_type)
 SELECT * FROM first_ UNION ALL SELECT p_name, 'keywords', p_partkey, pos FROM wide WHERE pos <= 5""")
 def a2_search_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Top five hits of each wanted title; titles without any hit are searched again by keyword."""
+    """Large titles searched in a pool of larger ones, as its SQL has it."""
     part = table(spark, sf_dir, "part")
-    want = part.filter("p_size > 45").select("p_name", "p_type").distinct()
-    rank = Window.partitionBy("p_name").orderBy(F.desc("p_retailprice"), "p_partkey")
-    pool = part.filter("p_size > 48").select("p_name", "p_partkey", "p_retailprice")
-    hit = want.select("p_name").distinct().join(pool, "p_name").withColumn("pos", F.row_number().over(rank)).filter("pos <= 5")
-    miss = want.join(pool.select("p_name").distinct(), "p_name", "left_anti").groupBy("p_name").agg(F.min("p_type").alias("p_type"))
-    wide = miss.join(part.select("p_type", "p_partkey", "p_retailprice"), "p_type").withColumn("pos", F.row_number().over(rank)).filter("pos <= 5")
-    shape = lambda d, how: d.select("p_name", F.lit(how).alias("how"), "p_partkey", F.col("pos").cast("long").alias("pos"))
+    return _fallback(part.filter("p_size > 45").select("p_name", "p_type"), part.filter("p_size > 48"), part)
+
+
+@query()
+def a2_search_fallback_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All titles searched in all of part; every seventh record's title is noised, so it has no hit."""
+    part = table(spark, sf_dir, "part")
+    noised = F.concat("p_name", F.when(F.col("p_partkey") % 7 == 0, F.lit(" (unabridged)")).otherwise(F.lit("")))
+    return _fallback(part.select(noised.alias("p_name"), "p_type"), part, part)
+
+
+def _fallback(want: DataFrame, pool: DataFrame, part: DataFrame) -> DataFrame:
+    """Top five hits in pool of each wanted title; titles without any hit are searched again by keyword in part.
+
+    The top five of each title and keyword are taken before the join, so a hot one doesn't multiply.
+    """
+    rank = lambda key: F.row_number().over(Window.partitionBy(key).orderBy(F.desc("p_retailprice"), "p_partkey")).cast("long")
+    top = lambda d, key: d.select(key, "p_partkey", rank(key).alias("pos")).filter("pos <= 5")
+    titles = want.groupBy("p_name").agg(F.min("p_type").alias("p_type"))
+    hit = titles.select("p_name").join(top(pool, "p_name"), "p_name")
+    miss = titles.join(pool.select("p_name").distinct(), "p_name", "left_anti")
+    wide = miss.join(top(part, "p_type"), "p_type")
+    shape = lambda d, how: d.select("p_name", F.lit(how).alias("how"), "p_partkey", "pos")
     return shape(hit, "title").unionByName(shape(wide, "keywords"))
 
 
