@@ -7,7 +7,9 @@ or one for two, always from the emptier to the fuller bin, which increases the
 sum of squared fills; it goes on until no bin can be emptied or the bins are as
 few as the tokens allow.  Bins that stay well below full are opened and their
 pieces dealt again into fewer groups, until one group is left, so the loss does
-not grow with the number of groups.
+not grow with the number of groups.  Where the open bins are many but no round
+saves a sequence (pieces of more than half a sequence, say), they stay as the
+round before left them.
 
 Defined results: null text is empty; an empty text is one piece that holds the
 end token alone; rows of equal doc_id or equal text are separate pieces; an
@@ -183,7 +185,9 @@ def pack_group(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 PACKED = PIECES + ", uid long, sequence_id long, offset long, fill long"
 
 
-def _pack(r: int, capacity: int):
+def _pack(first: int, capacity: int):
+    """first: groups of the rounds before, so sequence numbers differ between rounds."""
+
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("uid", ignore_index=True)
         lengths = group["length"].tolist()
@@ -192,7 +196,7 @@ def _pack(r: int, capacity: int):
         sizes = [len(b) for b in bins]
         out = group.iloc[order].reset_index(drop=True)
         number = np.repeat(np.arange(len(bins)), sizes)
-        base = (r << 56) + (int(group["grp"].iloc[0]) << 24)
+        base = (first + int(group["grp"].iloc[0])) << 24
         out["sequence_id"] = base + number
         before = out["length"].cumsum() - out["length"]
         out["offset"] = before - before.groupby(number).transform("first")
@@ -207,18 +211,26 @@ def pack(found: DataFrame, work: str, capacity: int = CAPACITY, group_pieces: in
     rest = written(found.withColumn("uid", F.monotonically_increasing_id()), f"{work}/pieces")
     full = rest.filter(F.col("length") == capacity).select("*", (F.lit(-1) - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")).drop("uid")
     rest = rest.filter(F.col("length") < capacity)
-    done = full
-    r = 1
+    done, opened, bins, first, r = full, None, 0, 0, 1
     while True:
         n = rest.count()
         groups = -(-n // group_pieces) or 1
         dealt = rest.withColumn("grp", F.pmod(F.xxhash64("uid", F.lit(r)), F.lit(groups)))
-        packed = written(dealt.groupBy("grp").applyInPandas(_pack(r, capacity), PACKED), f"{work}/packed-{r}")
-        if groups == 1:
+        packed = written(dealt.groupBy("grp").applyInPandas(_pack(first, capacity), PACKED), f"{work}/packed-{r}")
+        if groups == 1 and opened is None:
             return done.unionByName(packed.drop("uid", "fill"))
+        # Each bin has one piece at offset 0.
         loose = F.col("fill") < int(REOPEN * capacity)
+        starts = F.col("offset") == 0
+        now, left = packed.agg(F.count_if(starts), F.count_if(starts & loose)).first()
+        if opened is not None and now >= bins:
+            return done.unionByName(opened.drop("uid", "fill"))
+        if groups == 1:
+            return done.unionByName(packed.drop("uid", "fill"))
         done = done.unionByName(packed.filter(~loose).drop("uid", "fill"))
-        rest = packed.filter(loose).drop("sequence_id", "offset", "fill")
+        opened, bins = packed.filter(loose), left
+        rest = opened.drop("sequence_id", "offset", "fill")
+        first += groups
         r += 1
 
 

@@ -285,3 +285,12 @@ def test_link_graph(spark, tmp_path):
         rank = new
     assert out[10].distrust == pytest.approx(rank["farm.com"] * 20)
     assert url_filters.judge(spark.createDataFrame([], "page_id long, url string, html string"), url_filters.rule_table(spark), f"file://{tmp_path}/e").count() == 0
+
+
+def test_packing_ends_where_pieces_never_fit_together(spark, tmp_path):
+    """More such pieces than a group holds, with and without a few that do fit; small numbers stand for large ones."""
+    for lengths in ([3000] * 60, [3000] * 60 + [1096] * 7):
+        found = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], packing.PIECES)
+        out = packing.pack(found, f"file://{tmp_path}/{len(lengths)}", group_pieces=10).collect()
+        assert sorted(r.doc_id for r in out) == list(range(len(lengths)))
+        assert packed_well(out) == 60
