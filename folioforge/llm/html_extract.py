@@ -8,6 +8,11 @@ each other in the tree are joined by edges whose capacity is the price of
 labelling them differently.  The minimum cut of this graph is the labelling of
 least cost.
 
+A chrome word in a class or id is a hint, not proof: its cost falls to nothing
+for an element that holds most of the page's article text (of all its text,
+where articles hold less than a quarter), as a wrapper named after its sidebar
+does.
+
 Defined results: null or empty html has no text; a page without content blocks
 has the empty text and n_chars 0; broken markup is read as browsers do in
 spirit (a block element closes an open paragraph, stray end tags are ignored,
@@ -34,7 +39,9 @@ ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\
 #: Element kinds of HTML.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe textarea math object canvas audio video select button head".split())
+RAW = frozenset("script style textarea iframe".split())
+#: Seldom content: read as ordinary elements, hinted against; CONTROLS end where a block begins, the others count if closed.
+CONTROLS, FALLBACK = frozenset("svg select button option optgroup".split()), frozenset("noscript template".split())
 CHROME = frozenset("nav aside header footer form menu dialog fieldset".split())
 CHROME_ROLES = frozenset("navigation complementary banner contentinfo search menu menubar toolbar dialog alert alertdialog form".split())
 CHROME_WORDS = frozenset(
@@ -46,6 +53,8 @@ WORD = re.compile(r"[a-z]+")
 
 #: Weights of the block score (positive: content) and prices of unlike neighbours.
 CHROME_COST, HINT_COST, ARTICLE_GAIN, PARAGRAPH_GAIN, HEADING_GAIN, LINK_COST, STOP_GAIN, BIAS = 14.0, 14.0, 3.0, 1.5, 0.8, 4.0, 0.5, -1.6
+#: Share of the text at which a hint begins to lose its cost, and at which it has none.
+HINT_FROM, HINT_TO, ARTICLE_SHARE = 0.5, 0.8, 0.25
 NEXT_PRICE, SIBLING_PRICE, NEAR_PRICE = 0.5, 0.9, 0.3
 
 
@@ -53,27 +62,30 @@ class Block:
     __slots__ = ("text", "tag", "parent", "chrome", "hint", "article", "linked")
 
     def __init__(self, text, tag, parent, chrome, hint, article, linked):
+        # hint: the numbers of the hinted elements around it; hint_costs() makes costs of them.
         self.text, self.tag, self.parent, self.chrome, self.hint, self.article, self.linked = text, tag, parent, chrome, hint, article, linked
 
 
-def _hints(attrs: str) -> bool:
+def _marks(attrs: str) -> tuple[bool, bool]:
+    """Whether the element is hidden or has a chrome role, and whether its class or id has a chrome word."""
+    word = False
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return True, word
         if name == "role" and value in CHROME_ROLES:
-            return True
-        if name in ("class", "id") and not CHROME_WORDS.isdisjoint(WORD.findall(value)):
-            return True
-    return False
+            return True, word
+        word = word or (name in ("class", "id") and not CHROME_WORDS.isdisjoint(WORD.findall(value)))
+    return False, word
 
 
 def blocks(page: str) -> list[Block]:
     """The page's blocks of text in order."""
     out: list[Block] = []
-    # Each open element: name, its number, chrome, hint, article (of it or of what is around it).
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    # Each open element: name, its number, chrome, hints, article (of it or of what is around it).
+    stack: list[tuple[str, int, bool, tuple[int, ...], bool]] = [("", 0, False, (), False)]
     parts: list[str] = []
+    unclosed: set[str] = set()
     linked = links = number = 0
     at, n = 0, len(page)
 
@@ -112,7 +124,7 @@ def blocks(page: str) -> list[Block]:
                     del stack[k:]
                     break
             continue
-        if name in RAW and name != "head" and not m["attrs"].endswith("/"):
+        if name in RAW and not m["attrs"].endswith("/"):
             if name in BLOCKS:
                 flush()
             close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
@@ -131,9 +143,13 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in BLOCKS:
             flush()
-            # A block closes an open paragraph, an item an open item.
+            # A block closes an open paragraph or control, an item an open item.
             for k in range(len(stack) - 1, 0, -1):
                 opened = stack[k][0]
+                if opened in CONTROLS and name not in ("option", "optgroup", "title"):
+                    links -= sum(x[0] == "a" for x in stack[k:])
+                    del stack[k:]
+                    continue
                 if opened == "p" or (opened == name and name in ("li", "dt", "dd", "tr", "td", "th", "option")):
                     links -= sum(x[0] == "a" for x in stack[k:])
                     del stack[k:]
@@ -142,20 +158,39 @@ def blocks(page: str) -> list[Block]:
                     break
         number += 1
         up = stack[-1]
-        hint = up[3] or (bool(m["attrs"]) and name not in ("html", "body") and _hints(m["attrs"]))
-        stack.append((name, number, up[2] or name in CHROME, hint, up[4] or name in ("article", "main")))
+        if name in ("svg", "math") and m["attrs"].endswith("/"):
+            continue
+        sure, word = _marks(m["attrs"]) if m["attrs"] and name not in ("html", "body") else (False, False)
+        if name in FALLBACK and name not in unclosed and not re.compile(rf"</{name}\b", re.I).search(page, at):
+            unclosed.add(name)
+        hint = (*up[3], number) if word or name in CONTROLS or (name in FALLBACK and name not in unclosed) else up[3]
+        stack.append((name, number, up[2] or sure or name in CHROME, hint, up[4] or name in ("article", "main")))
         links += name == "a"
     flush()
     return out
 
 
-def score(b: Block) -> float:
+def hint_costs(found: list[Block]) -> list[float]:
+    """What its hints cost each block: the dearest of the hinted elements around it."""
+    own = [0.0 if b.chrome else len(b.text) * (1 - b.linked) for b in found]
+    article = [n if b.article else 0.0 for n, b in zip(own, found, strict=True)]
+    if sum(article) >= ARTICLE_SHARE * sum(own):
+        own = article
+    total, held = sum(own), {}
+    for n, b in zip(own, found, strict=True):
+        for k in b.hint:
+            held[k] = held.get(k, 0.0) + n
+    cost = {k: HINT_COST * min(1.0, max(0.0, (HINT_TO - n / total) / (HINT_TO - HINT_FROM))) if total else HINT_COST for k, n in held.items()}
+    return [max((cost[k] for k in b.hint), default=0.0) for b in found]
+
+
+def score(b: Block, hint_cost: float) -> float:
     """Positive for content."""
     s = BIAS + min(3.0, math.log1p(b.text.count(" ") + 1)) - LINK_COST * b.linked
     s += PARAGRAPH_GAIN if b.tag in ("p", "blockquote", "pre") else HEADING_GAIN if b.tag[:1] == "h" and b.tag[1:].isdigit() else 0
     s += STOP_GAIN if b.text[-1:] in ".!?…。" else 0
     s += ARTICLE_GAIN if b.article else 0
-    return s - CHROME_COST * b.chrome - HINT_COST * b.hint
+    return s - CHROME_COST * b.chrome - hint_cost
 
 
 def min_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -201,14 +236,15 @@ def main_text(page: str | None) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    gain = [score(b) for b in found]
+    hints = hint_costs(found)
+    gain = [score(b, h) for b, h in zip(found, hints, strict=True)]
     edges = []
     for i, b in enumerate(found):
         for k, price in ((1, NEXT_PRICE), (2, 0.0)):
             if i + k < len(found):
                 other = found[i + k]
                 price += (SIBLING_PRICE if k == 1 else NEAR_PRICE) * (b.parent == other.parent)
-                if price and b.chrome == other.chrome and b.hint == other.hint:
+                if price and b.chrome == other.chrome:
                     edges.append((i, i + k, price))
     content = min_cut(gain, edges)
     return "\n\n".join(b.text for b, keep in zip(found, content, strict=True) if keep)

@@ -294,3 +294,26 @@ def test_packing_ends_where_pieces_never_fit_together(spark, tmp_path):
         out = packing.pack(found, f"file://{tmp_path}/{len(lengths)}", group_pieces=10).collect()
         assert sorted(r.doc_id for r in out) == list(range(len(lengths)))
         assert packed_well(out) == 60
+
+
+STORY = "<p>The long story goes on here, with many words of plain prose that readers would call the article.</p>" * 5
+
+
+@pytest.mark.parametrize("name", ["content-sidebar-wrap", "no-sidebar"])
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_html_keeps_an_article_in_a_wrapper_named_like_chrome(name, tag):
+    page = f'<body><div class="{name}"><{tag}><h1>Title</h1>{STORY}</{tag}><div class="sidebar"><p>Join our plan today, it is cheap and good.</p></div></div></body>'
+    assert html_extract.main_text(page).count("long story") == 5 and "Join" not in html_extract.main_text(page)
+    comments = html_extract.main_text(f'<article>{STORY}</article><section id="comments">{STORY.replace("story", "remark")}</section>')
+    assert "story" in comments and "remark" not in comments
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "object", "math", "svg", "audio", "video", "canvas", "noscript", "template"])
+def test_html_reads_on_after_an_unclosed_element(tag):
+    for page in (f"<body><{tag}>x {STORY}</body>", f"<body><article>{STORY}<{tag}>{STORY}</article></body>"):
+        assert html_extract.main_text(page).count("long story") == page.count("long story")
+
+
+def test_html_keeps_formulas_and_objects_of_an_article():
+    text = html_extract.main_text(f"<article>{STORY}<p>Let <math><mi>x</mi></math> be any number at all.</p><object>An object has this text here.</object></article>")
+    assert "Let x be" in text and "An object has this text here." in text
