@@ -21,8 +21,14 @@ best signature; then, in signatures that still hold more than one component,
 each node outside the largest component meets the others.  The join that lets
 them meet lets only those pairs through whose parity sketches differ in no more
 places than linked sets can (a sketch never overestimates); these are verified
-on the texts.  A signature with very much to compare is first divided by the
-signatures of another family.
+on the texts.  A sketch has at least as many bits as its set has elements, so
+it tells long texts apart as well as short ones; sets of up to 512 elements
+share one size, larger ones also hold theirs folded to half, which is compared
+with the next smaller size.  A signature with very much to compare is first
+divided by the signatures of another family.
+
+Signatures are computed once and written; they are matched in SLICES of their
+hash, one after the other, so that no more than a slice is shuffled at a time.
 
 Defined results: null, empty or blank text has the empty set and is linked with
 nothing, not even with its like; rows of equal doc_id are one node, linked as
@@ -43,12 +49,17 @@ from pyspark.sql import functions as F
 
 from . import textops as X
 from .components import components
-from .tables import shared_dir, table, written
+from .tables import remove, shared_dir, table, written
 
 FAMILIES = 4
 PARITY = tuple(f"p{i}" for i in range(8))
+SKETCH = (*PARITY, "wide", "folded")
 #: Comparisons within one signature beyond which it is divided by another family, at most `SPLITS` times.
 SPLIT_OVER, SPLITS = 5_000_000, 2
+#: Matching jobs that share the signatures among them.
+SLICES = 4
+#: Bits of the sketch that every set has; larger sets have a second one, a power of two of at least their size.
+SKETCH_BITS = 64 * len(PARITY)
 
 
 @dataclass(frozen=True)
@@ -153,8 +164,21 @@ def _read(docs: DataFrame, step, schema: str) -> DataFrame:
     return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInArrow(step, schema)
 
 
+def _wide(h: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """For each set its wide sketch and that folded to half, as lists of longs; null where the common sketch is wide enough."""
+    full: list[np.ndarray | None] = [None] * (len(bounds) - 1)
+    half: list[np.ndarray | None] = list(full)
+    for d in np.flatnonzero(np.diff(bounds) > SKETCH_BITS).tolist():
+        own = h[bounds[d] : bounds[d + 1]]
+        bits = 1 << int(len(own) - 1).bit_length()
+        odd = (np.bincount((own & X.U64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+        full[d] = np.packbits(odd).view(np.int64)
+        half[d] = np.packbits(odd[: bits // 2] ^ odd[bits // 2 :]).view(np.int64)
+    return pa.array(full, pa.list_(pa.int64())), pa.array(half, pa.list_(pa.int64()))
+
+
 def set_rows(docs: DataFrame, rule: Rule) -> DataFrame:
-    """doc_id, n (set size), a 128-bit digest of the set (d1, d2) and its parity sketch."""
+    """doc_id, n (set size), a 128-bit digest of the set (d1, d2) and its parity sketches."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,12 +187,12 @@ def set_rows(docs: DataFrame, rule: Rule) -> DataFrame:
                 doc, h, bounds = _sets(words, rule.words)
                 n = hi - lo
                 d1, d2 = (_sums(doc, X.mix(h ^ X.U64(c)), n) for c in (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35))
-                bit = (X.mix(h + X.U64(0x27D4EB2F165667C5)) >> X.U64(55)).astype(np.int64)
-                odd = (np.bincount(doc * 512 + bit, minlength=n * 512) & 1).astype(np.uint8)
+                spread = X.mix(h + X.U64(0x27D4EB2F165667C5))
+                odd = (np.bincount(doc * SKETCH_BITS + (spread & X.U64(SKETCH_BITS - 1)).astype(np.int64), minlength=n * SKETCH_BITS) & 1).astype(np.uint8)
                 sketch = np.packbits(odd).view(np.int64).reshape(n, len(PARITY))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(bounds)), pa.array(X.signed(d1)), pa.array(X.signed(d2)), *(pa.array(sketch[:, i]) for i in range(len(PARITY)))], names=["doc_id", "n", "d1", "d2", *PARITY])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(np.diff(bounds)), pa.array(X.signed(d1)), pa.array(X.signed(d2)), *(pa.array(sketch[:, i]) for i in range(len(PARITY))), *_wide(spread, bounds)], names=["doc_id", "n", "d1", "d2", *SKETCH])
 
-    return _read(docs, step, "doc_id long, n long, d1 long, d2 long, " + ", ".join(f"{p} long" for p in PARITY))
+    return _read(docs, step, "doc_id long, n long, d1 long, d2 long, " + ", ".join(f"{p} long" for p in PARITY) + ", wide array<long>, folded array<long>")
 
 
 def signature_rows(docs: DataFrame, rule: Rule, families: tuple[int, ...] = tuple(range(FAMILIES))) -> DataFrame:
@@ -195,14 +219,19 @@ def signature_rows(docs: DataFrame, rule: Rule, families: tuple[int, ...] = tupl
 
 
 def _verify(rule: Rule):
+    def one(text: pa.Scalar) -> np.ndarray:
+        data = np.frombuffer((text.as_py() or "").encode(), dtype=np.uint8)
+        return _sets(X.cut(data, np.array([0, len(data)]), X.BLANK_WORDS_LOWER), rule.words)[1]
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            keep, last, held = [], None, None
             for k in range(batch.num_rows):
-                sets = []
-                for column in (2, 3):
-                    data = np.frombuffer((batch.column(column)[k].as_py() or "").encode(), dtype=np.uint8)
-                    sets.append(_sets(X.cut(data, np.array([0, len(data)]), X.BLANK_WORDS_LOWER), rule.words)[1])
+                # Pairs come in runs of one u.
+                if held is None or batch.column(2)[k] != last:
+                    last = batch.column(2)[k]
+                    held = one(last)
+                sets = held, one(batch.column(3)[k])
                 both = len(np.intersect1d(*sets, assume_unique=True))
                 if rule.linked(len(sets[0]), len(sets[1]), both):
                     keep.append(k)
@@ -213,13 +242,21 @@ def _verify(rule: Rule):
 
 def _may_link(rule: Rule, a: str, b: str) -> Column:
     """Sketches of nodes (columns with prefixes a and b) differ in no more places than linked sets can."""
+    most = F.col(a + "n") + F.col(b + "n") - 2 * F.expr(f"({rule.per_cent} * ({a}n + {b}n) + {99 + rule.per_cent}) div {100 + rule.per_cent}")
     apart = sum((F.bit_count(F.col(a + p).bitwiseXOR(F.col(b + p))) for p in PARITY), F.lit(0))
-    total = F.col(a + "n") + F.col(b + "n")
-    return apart <= total - 2 * F.expr(f"({rule.per_cent} * ({a}n + {b}n) + {99 + rule.per_cent}) div {100 + rule.per_cent}")
+
+    def near(x: str, y: str) -> Column:
+        odd = F.zip_with(x, y, lambda i, j: F.bit_count(i.bitwiseXOR(j)))
+        return F.aggregate(odd, F.lit(0), lambda total, i: total + i) <= most
+
+    size = lambda side: F.coalesce(F.array_size(side + "wide"), F.lit(0))
+    # Sets that may link differ in their sketches' sizes by one step at most, or else the common sketch alone decides.
+    wide = F.when((size(a) == 0) | (size(b) == 0), True).when(size(a) == size(b), near(a + "wide", b + "wide")).when(size(a) == 2 * size(b), near(a + "folded", b + "wide")).when(2 * size(a) == size(b), near(a + "wide", b + "folded")).otherwise(True)
+    return (apart <= most) & wide
 
 
 def _prefixed(nodes: DataFrame, key: str, prefix: str) -> DataFrame:
-    return nodes.select(F.col("node").alias(key), *(F.col(c).alias(prefix + c) for c in ("n", *PARITY)))
+    return nodes.select(F.col("node").alias(key), *(F.col(c).alias(prefix + c) for c in ("n", *SKETCH)))
 
 
 def _plausible(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
@@ -231,7 +268,8 @@ def _links(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (u, v) whose texts link."""
     a = texts.select(F.col("node").alias("u"), F.col("text").alias("ta"))
     b = texts.select(F.col("node").alias("v"), F.col("text").alias("tb"))
-    return pairs.select("u", "v").join(a, "u").join(b, "v").select("u", "v", "ta", "tb").mapInArrow(_verify(rule), "u long, v long").distinct()
+    # First the side that recurs least; the text of a pivot joins last, and isn't shuffled once for each of its pairs.
+    return pairs.select("u", "v").join(b, "v").join(a, "u").select("u", "v", "ta", "tb").mapInArrow(_verify(rule), "u long, v long").distinct()
 
 
 def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -256,16 +294,21 @@ def join(docs: DataFrame, work: str, rule: Rule = Rule(), split_over: int = SPLI
 
     The links connect what is linked; they don't list every linked pair.
     """
+    spark = docs.sparkSession
     sets = written(set_rows(docs, rule), f"{work}/sets")
-    classes = sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), *(F.first(p).alias(p) for p in PARITY))
+    classes = sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), *(F.first(p).alias(p) for p in SKETCH))
     nodes = written(classes, f"{work}/classes")
     of_doc = written(sets.join(nodes.select("n", "d1", "d2", "node"), ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), f"{work}/of_doc")
     by_doc = of_doc.select("doc_id", "node").distinct()
 
     # Partial aggregates find the signatures that are shared; equi-joins, which can split a hot one, take the rows back.
-    rows = signature_rows(docs, rule)
-    shared = rows.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("sig")
-    met = written(rows.join(shared, "sig", "left_semi").join(by_doc, "doc_id").select("sig", "node").distinct(), f"{work}/met")
+    every = written(signature_rows(docs, rule), f"{work}/signatures")
+    for s in range(SLICES):
+        rows = every.filter(F.pmod("sig", F.lit(SLICES)) == s)
+        shared = rows.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("sig")
+        written(rows.join(shared, "sig", "left_semi").join(by_doc, "doc_id").select("sig", "node").distinct(), f"{work}/met/slice={s}")
+    remove(spark, f"{work}/signatures")
+    met = spark.read.schema("sig long, node long").parquet(f"{work}/met")
     pivots = met.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("top")).filter("pivot < top").select("sig", "pivot")
     members = written(met.join(pivots, "sig").select("sig", "node", "pivot"), f"{work}/members")
 
@@ -294,6 +337,8 @@ def join(docs: DataFrame, work: str, rule: Rule = Rule(), split_over: int = SPLI
     tried = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     pairs = written(pairs.distinct().join(tried, ["u", "v"], "left_anti"), f"{work}/pairs")
     links = links.unionByName(written(_links(pairs, texts, rule), f"{work}/links-2"))
+    for name in ("sets", "classes", "met", "members", "best", "texts", "comp-1", "pairs", *(f"mixed-{s}" for s in range(SPLITS + 1))):
+        remove(spark, f"{work}/{name}")
     # Rows of one doc_id with different sets are one node.
     same = by_doc.filter("doc_id != node").select(F.col("doc_id").alias("u"), F.col("node").alias("v"))
     doubled = of_doc.groupBy("doc_id").agg(F.countDistinct("node").alias("nodes")).filter("nodes > 1").select(F.col("doc_id").alias("u"))

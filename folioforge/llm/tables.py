@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Spark's setting that drops the shuffle files of a finished query.
+LET_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -24,21 +28,25 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors need a folder that all of them see")
         base = f"file://{tempfile.mkdtemp(prefix='folioforge-')}"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Make DataFrame.checkpoint() usable; the cluster's setting wins."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(base or f"file://{tempfile.mkdtemp(prefix='folioforge-')}")
-
-
 def written(df: DataFrame, path: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: a cut of lineage that outlives executors."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder: a cut of lineage that outlives executors.
+
+    The shuffles behind it are let go once it is written, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get(LET_GO, "false")
+    spark.conf.set(LET_GO, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(LET_GO, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
