@@ -1,15 +1,19 @@
-"""Best-fit packing of token pieces into sequences, improved by local search.
+"""Best-fit packing of token pieces into sequences, by local search between underfull bins.
 
 Pieces are dealt at random into groups of bounded size that are packed side by
-side: best fit in order of falling length, then a local search between
-underfull bins.  Its steps move a piece, or exchange one for one, two for one
-or one for two, always from the emptier to the fuller bin, which increases the
-sum of squared fills; it goes on until no bin can be emptied or the bins are as
-few as the tokens allow.  Bins that stay well below full are opened and their
-pieces dealt again into fewer groups, until one group is left, so the loss does
-not grow with the number of groups.  Where the open bins are many but no round
-saves a sequence (pieces of more than half a sequence, say), they stay as the
-round before left them.
+side.  Each group starts from best fit in order of arrival, which leaves a few
+bins too many, and a local search then empties bins, the emptiest first.  Its
+steps move a piece, or exchange one for one, two for one or one for two, always
+from the emptier to the fuller bin, so each step increases the sum of squared
+fills and the search ends.  It goes on until the bins are as few as the tokens
+allow, or a pass that tried every underfull bin emptied none; then it tries
+again from best fit in order of falling length, and the better of both stays.
+
+Groups lose up to a bin each.  Bins whose room is above the mean room of their
+group's underfull bins are opened and their pieces dealt again into fewer
+groups.  It ends when one group is left, when the bins are as few as the tokens
+allow, or when a round saves no bin; so it ends on pieces that fit together
+nowhere, too.
 
 Defined results: null text is empty; an empty text is one piece that holds the
 end token alone; rows of equal doc_id or equal text are separate pieces; an
@@ -19,8 +23,7 @@ empty table gives no rows; a null doc_id is carried through.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,10 +36,6 @@ from .tokens import END_ID, default_tokenizer, held
 
 CAPACITY = 4096
 GROUP_PIECES = 16_384
-#: Rounds of the local search at most, and bins that resist before a round ends.
-ROUNDS, STUCK = 6, 8
-#: Bins filled to less than this share are opened for the next round.
-REOPEN = 0.97
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -50,7 +49,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
         for batch in batches:
             out = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(encoder.encode(text.as_py() or "")[0], END_ID).astype("<u4")
+                ids = np.append(encoder.encode(text.as_py() or ""), END_ID).astype("<u4")
                 for k, start in enumerate(range(0, len(ids), capacity)):
                     part = ids[start : start + capacity]
                     for column, x in zip(out, (doc_id, k, start, len(part), zlib.crc32(part.tobytes())), strict=True):
@@ -60,12 +59,12 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(step, PIECES)
 
 
-def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
-    """Bins of piece numbers: longest first, each into the fullest bin that has room."""
+def best_fit(lengths: list[int], capacity: int, order: Iterable[int] | None = None) -> list[list[int]]:
+    """Bins of piece numbers: in the order given (else longest first), each into the fullest bin that has room."""
     rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
     mask = 0
     bins: list[list[int]] = []
-    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)):
+    for i in sorted(range(len(lengths)), key=lambda i: (-lengths[i], i)) if order is None else order:
         n = lengths[i]
         above = mask >> n
         if above:
@@ -84,105 +83,126 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 class _Search:
-    """Local search over bins of (length, piece) pairs kept sorted."""
+    """Local search over bins; the pieces of all bins are looked at together."""
 
     def __init__(self, bins: list[list[int]], lengths: list[int], capacity: int):
         self.capacity = capacity
-        self.bins = [sorted((lengths[i], i) for i in b) for b in bins]
-        self.fill = [sum(n for n, _ in b) for b in self.bins]
-
-    def _exchange(self, a: int, give: list[tuple[int, int]], b: int, take: list[tuple[int, int]]) -> None:
-        gain = sum(n for n, _ in give) - sum(n for n, _ in take)
-        for x in give:
-            self.bins[a].remove(x)
-            insort(self.bins[b], x)
-        for x in take:
-            self.bins[b].remove(x)
-            insort(self.bins[a], x)
+        self.length = np.array(lengths, np.int64)
+        self.bin = np.empty(len(lengths), np.int64)
+        for b, own in enumerate(bins):
+            self.bin[own] = b
+        self.fill = np.bincount(self.bin, weights=self.length, minlength=len(bins)).astype(np.int64)
+        self.steps = {"move": 0, "one for one": 0, "two for one": 0, "one for two": 0}
+        self.emptied = 0
+
+    def _shift(self, kind: str, a: int, give: list[int], b: int, take: list[int]) -> None:
+        gain = int(self.length[give].sum() - self.length[take].sum())
+        self.bin[give], self.bin[take] = b, a
         self.fill[a] -= gain
         self.fill[b] += gain
-
-    @staticmethod
-    def _pairs(own: list[tuple[int, int]], least: int, most: int) -> tuple | None:
-        """Two pieces whose lengths add up to as much as possible in least .. most."""
-        i, j, best = 0, len(own) - 1, None
-        while i < j:
-            s = own[i][0] + own[j][0]
-            if s > most:
-                j -= 1
-            else:
-                if s >= least and (best is None or s > best[0]):
-                    best = (s, own[i], own[j])
-                i += 1
-        return best
-
-    def improve(self, a: int, b: int) -> bool:
-        """One step from the emptier bin a to the fuller bin b; the step that fills b most."""
-        room = self.capacity - self.fill[b]
-        src, dst = self.bins[a], self.bins[b]
-        best: tuple[int, list, list] | None = None
-        k = bisect_right(src, (room, 1 << 60)) - 1
-        if k >= 0:
-            best = (src[k][0], [src[k]], [])
-        for y in dst:
-            if best and best[0] == room:
-                break
-            k = bisect_right(src, (y[0] + room, 1 << 60)) - 1
-            if k >= 0 and src[k][0] > y[0] and (best is None or src[k][0] - y[0] > best[0]):
-                best = (src[k][0] - y[0], [src[k]], [y])
-            two = self._pairs(src, y[0] + 1, y[0] + room)
-            if two and (best is None or two[0] - y[0] > best[0]):
-                best = (two[0] - y[0], [two[1], two[2]], [y])
-        for x in src:
-            if best and best[0] == room:
-                break
-            two = self._pairs(dst, max(1, x[0] - room), x[0] - 1)
-            # The smallest sum of two below x gives most; any sum in reach gains.
-            if two and (best is None or x[0] - two[0] > best[0]):
-                best = (x[0] - two[0], [x], [two[1], two[2]])
-        if best is None:
+        self.steps[kind] += 1
+
+    def _pairs(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each two pieces of one bin; pieces are sorted by bin."""
+        of = self.bin[pieces]
+        first, second, k = [], [], 1
+        while k < len(pieces) and len(at := np.flatnonzero(of[k:] == of[:-k])):
+            first.append(pieces[at])
+            second.append(pieces[at + k])
+            k += 1
+        empty = np.empty(0, np.int64)
+        return np.concatenate(first or [empty]), np.concatenate(second or [empty])
+
+    def _step(self, a: int, others: np.ndarray) -> bool:
+        """One step from bin a to one of the others (pieces of bins at least as full, sorted by bin): of the first kind that can, the one that moves most."""
+        own = np.flatnonzero(self.bin == a)
+        room = self.capacity - self.fill
+        room[self.fill < self.fill[a]] = 0
+        room[a] = 0
+        fits = own[self.length[own] <= room.max()]
+        if len(fits):
+            x = fits[np.argmax(self.length[fits])]
+            # Best fit: of the bins that can take it the fullest.
+            b = np.where(room >= self.length[x], room, self.capacity + 1).argmin()
+            self._shift("move", a, [x], int(b), [])
+            return True
+        others = others[(self.bin[others] != a) & (room[self.bin[others]] > 0)]
+        if not len(others):
             return False
-        self._exchange(a, best[1], b, best[2])
-        return True
-
-    def _round(self, alive: list[int], fewest: int) -> bool:
-        """Empty the emptiest bins one after the other until STUCK of them can't be; whether anything moved."""
-        stuck: set[int] = set()
-        any_move = False
-        while len(alive) > fewest and len(stuck) <= STUCK:
-            a = min((b for b in alive if b not in stuck), key=lambda b: self.fill[b], default=None)
-            if a is None:
-                break
-            moved = False
-            for b in sorted((b for b in alive if b != a and self.fill[b] < self.capacity), key=lambda b: self.fill[b]):
-                while self.bins[a] and self.fill[b] >= self.fill[a] and self.improve(a, b):
-                    moved = any_move = True
-                if not self.bins[a]:
-                    break
-            if not self.bins[a]:
-                alive.remove(a)
-                stuck.clear()
-            elif not moved:
-                stuck.add(a)
-        return any_move
+        length, space = self.length[others], room[self.bin[others]]
+
+        def best(gains: np.ndarray, space: np.ndarray) -> tuple[int, int] | None:
+            ok = np.where((gains > 0) & (gains <= space), gains, 0)
+            at = int(ok.argmax())
+            return divmod(at, ok.shape[1]) if ok.flat[at] else None
+
+        found = best(self.length[own][:, None] - length[None], space[None])
+        if found:
+            y = others[found[1]]
+            self._shift("one for one", a, [own[found[0]]], int(self.bin[y]), [y])
+            return True
+        i, j = np.triu_indices(len(own), 1)
+        for lo in range(0, len(i), 64):  # a bin of very many small pieces: a block of pairs at a time
+            u, v = own[i[lo : lo + 64]], own[j[lo : lo + 64]]
+            found = best((self.length[u] + self.length[v])[:, None] - length[None], space[None])
+            if found:
+                y = others[found[1]]
+                self._shift("two for one", a, [u[found[0]], v[found[0]]], int(self.bin[y]), [y])
+                return True
+        u, v = self._pairs(others)
+        if len(u):
+            both, space = self.length[u] + self.length[v], room[self.bin[u]]
+            for x in own:
+                found = best(self.length[x] - both[None], space[None])
+                if found:
+                    y, z = u[found[1]], v[found[1]]
+                    self._shift("one for two", a, [x], int(self.bin[y]), [y, z])
+                    return True
+        return False
 
     def run(self) -> list[list[int]]:
-        fewest = -(-sum(self.fill) // self.capacity)
-        alive = [b for b in range(len(self.bins)) if self.bins[b]]
-        for _ in range(ROUNDS):
-            if len(alive) <= fewest or not self._round(alive, fewest):
+        fewest = -(-int(self.fill.sum()) // self.capacity)
+        alive = int((self.fill > 0).sum())
+        while alive > fewest:
+            before = alive
+            underfull = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
+            for a in underfull[np.argsort(self.fill[underfull], kind="stable")].tolist():
+                if alive <= fewest:
+                    break
+                if not 0 < self.fill[a] < self.capacity:
+                    continue
+                others = np.flatnonzero(self.fill[self.bin] < self.capacity)
+                others = others[np.argsort(self.bin[others], kind="stable")]
+                tries = 0
+                while self.fill[a] and self._step(a, others):
+                    tries += 1
+                    if tries % 64 == 0:  # full bins fall away
+                        others = np.flatnonzero(self.fill[self.bin] < self.capacity)
+                        others = others[np.argsort(self.bin[others], kind="stable")]
+                if not self.fill[a]:
+                    alive -= 1
+                    self.emptied += 1
+            if alive == before:
                 break
-        return [[i for _, i in self.bins[b]] for b in alive]
+        order = np.argsort(self.bin, kind="stable")
+        return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(self.bin[order])) + 1)] if len(order) else []
 
 
-def pack_group(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    bins = best_fit(lengths, capacity)
-    if len(bins) > -(-sum(lengths) // capacity):
-        bins = _Search(bins, lengths, capacity).run()
-    return bins
+def pack_group(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[list[int]], int, int]:
+    """(bins of piece numbers, steps, emptied bins of the search that made them)."""
+    fewest = -(-sum(lengths) // capacity)
+    best: tuple[list[list[int]], int, int] | None = None
+    for order in (range(len(lengths)), None):
+        search = _Search(best_fit(lengths, capacity, order), lengths, capacity)
+        bins = search.run()
+        if best is None or len(bins) < len(best[0]):
+            best = bins, sum(search.steps.values()), search.emptied
+        if len(bins) <= fewest:
+            break
+    return best
 
 
-PACKED = PIECES + ", uid long, sequence_id long, offset long, fill long"
+PACKED = PIECES + ", uid long, sequence_id long, offset long, loose boolean, steps long, emptied long"
 
 
 def _pack(first: int, capacity: int):
@@ -191,7 +211,7 @@ def _pack(first: int, capacity: int):
     def one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("uid", ignore_index=True)
         lengths = group["length"].tolist()
-        bins = pack_group(lengths, capacity)
+        bins, steps, emptied = pack_group(lengths, capacity)
         order = [i for b in bins for i in b]
         sizes = [len(b) for b in bins]
         out = group.iloc[order].reset_index(drop=True)
@@ -200,40 +220,41 @@ def _pack(first: int, capacity: int):
         out["sequence_id"] = base + number
         before = out["length"].cumsum() - out["length"]
         out["offset"] = before - before.groupby(number).transform("first")
-        out["fill"] = out["length"].groupby(number).transform("sum")
+        room = capacity - np.bincount(number, weights=out["length"], minlength=len(bins))
+        under = room[room > 0]
+        out["loose"] = (room > (under.mean() if len(under) else 0))[number]
+        out["steps"], out["emptied"] = steps, emptied
         return out.drop(columns="grp")
 
     return one
 
 
 def pack(found: DataFrame, work: str, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """found (PIECES) with sequence_id and offset."""
+    """found (PIECES) with sequence_id, offset, and of the group that packed the piece the steps of its search and the bins that it emptied."""
     rest = written(found.withColumn("uid", F.monotonically_increasing_id()), f"{work}/pieces")
-    full = rest.filter(F.col("length") == capacity).select("*", (F.lit(-1) - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")).drop("uid")
+    none = F.lit(0).cast("long")
+    done = rest.filter(F.col("length") == capacity).select("*", (F.lit(-1) - F.col("uid")).alias("sequence_id"), none.alias("offset"), none.alias("steps"), none.alias("emptied")).drop("uid")
     rest = rest.filter(F.col("length") < capacity)
-    done, opened, bins, first, r = full, None, 0, 0, 1
+    opened, bins, first, r = None, 0, 0, 1
     while True:
-        n = rest.count()
+        n, tokens = rest.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
         groups = -(-n // group_pieces) or 1
         dealt = rest.withColumn("grp", F.pmod(F.xxhash64("uid", F.lit(r)), F.lit(groups)))
         packed = written(dealt.groupBy("grp").applyInPandas(_pack(first, capacity), PACKED), f"{work}/packed-{r}")
-        if groups == 1 and opened is None:
-            return done.unionByName(packed.drop("uid", "fill"))
         # Each bin has one piece at offset 0.
-        loose = F.col("fill") < int(REOPEN * capacity)
         starts = F.col("offset") == 0
-        now, left = packed.agg(F.count_if(starts), F.count_if(starts & loose)).first()
+        now, left = packed.agg(F.count_if(starts), F.count_if(starts & F.col("loose"))).first()
         if opened is not None and now >= bins:
-            return done.unionByName(opened.drop("uid", "fill"))
-        if groups == 1:
-            return done.unionByName(packed.drop("uid", "fill"))
-        done = done.unionByName(packed.filter(~loose).drop("uid", "fill"))
-        opened, bins = packed.filter(loose), left
-        rest = opened.drop("sequence_id", "offset", "fill")
+            return done.unionByName(opened.drop("uid", "loose"))
+        if groups == 1 or now <= -(-tokens // capacity):
+            return done.unionByName(packed.drop("uid", "loose"))
+        done = done.unionByName(packed.filter(~F.col("loose")).drop("uid", "loose"))
+        opened, bins = packed.filter("loose"), left
+        rest = opened.drop("sequence_id", "offset", "loose", "steps", "emptied")
         first += groups
         r += 1
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pieces(table(spark, sf_dir, "documents"))
-    return pack(found, shared_dir(spark)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    return pack(found, shared_dir(spark)).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "steps", "emptied")

@@ -1,8 +1,10 @@
 """Token counts of fields and sections by offset-mapped attribution.
 
-A document is encoded once as a whole.  Its tokens' character spans are joined
-with the spans of its fields and sections (sorted intervals, searched within
-the document), and a token that crosses a boundary goes to one of them by rule:
+A document, its fields one after the other as they are trained on, is encoded
+once as a whole.  Its tokens' character spans are joined with the spans of its
+fields and sections (sorted intervals, searched within the document).  Nothing
+stands between fields, so a token may begin in one and end in the next; such a
+token goes to one of them by rule:
 
     "largest"  the section that holds most of its characters, the earlier of equals
     "first"    the section that holds its first character
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import table
-from .tokens import default_tokenizer, held
+from .tokens import default_tokenizer, whole
 
 RULE = "largest"
 RESULT = "doc_id long, section int, field string, start long, end long, n_tokens long, n_crossing long"
@@ -54,9 +56,9 @@ def attribute(lo: np.ndarray, hi: np.ndarray, starts: np.ndarray, ends: np.ndarr
 
 
 def laid_out(source: str, lang: str, text: str) -> tuple[str, list[tuple[str, int, int]]]:
-    """The whole document as it is trained on, source|lang|text, and the spans of its fields, with their separators; the text by lines."""
-    head = f"{source}|{lang}|"
-    spans = [("source", 0, len(source) + 1), ("lang", len(source) + 1, len(head))]
+    """The whole document as it is trained on, its fields side by side, and their spans; the text by lines."""
+    head = source + lang
+    spans = [("source", 0, len(source)), ("lang", len(source), len(head))]
     at = len(head)
     for line in text.split("\n"):
         spans.append(("text", at, at + len(line)))
@@ -69,12 +71,13 @@ def counts(docs: DataFrame, tokenizer: str | None = None, rule: str = RULE) -> D
     path = tokenizer or default_tokenizer()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = held(path, True)
+        encoder = whole(path)
         for batch in batches:
             rows: list[list] = [[] for _ in range(7)]
             for doc_id, text, lang, source in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                whole, spans = laid_out(source or "", lang or "", text or "")
-                _, lo, hi = encoder.encode(whole)
+                document, spans = laid_out(source or "", lang or "", text or "")
+                at = np.array(encoder.encode(document, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
+                lo, hi = at[:, 0], at[:, 1]
                 starts, ends = (np.array([s[k] for s in spans], np.int64) for k in (1, 2))
                 n, crossing = attribute(lo, hi, starts, ends, rule)
                 rows[0] += [doc_id] * len(spans)

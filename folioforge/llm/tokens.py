@@ -1,9 +1,9 @@
-"""Token ids and character spans of whole texts by a public tokenizer.
+"""Token ids of whole texts by a public tokenizer.
 
 The tokenizer's pre-tokens never hold white space, so a text's ids are those of
 its pieces between blanks and line ends, one after the other.  Each distinct
 piece is encoded once and kept in a bounded store that lives as long as its
-worker; ids and spans of a document are then gathered with numpy.  Two things
+worker; a document's ids are then gathered with numpy.  Two things
 keep distinct pieces few: the tokenizer lower-cases, which str.lower() equals
 for Latin-1 texts, and a run of dots and commas after a letter at the end of a
 piece is a pre-token of its own.  Strings of special tokens in a text are
@@ -53,23 +53,29 @@ def _grown(have: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
     return have
 
 
-class Pieces:
-    """Ids (and spans) of texts by way of their blank-separated pieces."""
+@lru_cache(maxsize=4)
+def whole(path: str | None = None):
+    """The tokenizer itself, one thread, special tokens' strings as ordinary text; kept from task to task."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path or default_tokenizer())
+    tokenizer.encode_special_tokens = True
+    return tokenizer
 
-    def __init__(self, path: str | None = None, spans: bool = False):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path or default_tokenizer())
-        self.tokenizer.encode_special_tokens = True
-        self.spans = spans
+class Pieces:
+    """Ids of texts by way of their blank-separated pieces."""
+
+    def __init__(self, path: str | None = None):
+        self.tokenizer = whole(path)
         self._clear()
 
     def _clear(self) -> None:
         self.places, self.chars = _Places(), 0
         self.n, self.used = 0, 0
         self.first, self.count = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.ids, self.lo, self.hi = (np.zeros(1 << 14, np.int64) for _ in range(3))
+        self.ids = np.zeros(1 << 14, np.int64)
 
     def _encode_fresh(self) -> None:
         fresh, self.places.fresh = self.places.fresh, []
@@ -80,44 +86,33 @@ class Pieces:
         # One call for all: joined by blanks they stay apart.
         found = self.tokenizer.encode(" ".join(fresh), add_special_tokens=False)
         start = np.cumsum(length + 1) - length - 1
-        at = np.array(found.offsets, np.int64).reshape(-1, 2)
-        count = np.bincount(np.searchsorted(start, at[:, 0], side="right") - 1, minlength=len(fresh))
+        at = np.fromiter((lo for lo, _ in found.offsets), np.int64, len(found.ids))
+        count = np.bincount(np.searchsorted(start, at, side="right") - 1, minlength=len(fresh))
         self.first = _grown(self.first, self.n, self.used + np.cumsum(count) - count)
         self.count = _grown(self.count, self.n, count)
-        if self.spans:
-            at -= np.repeat(start, count)[:, None]
-            self.lo, self.hi = _grown(self.lo, self.used, at[:, 0]), _grown(self.hi, self.used, at[:, 1])
         self.ids = _grown(self.ids, self.used, np.array(found.ids, np.int64))
         self.n, self.used = self.n + len(fresh), self.used + len(at)
 
-    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray | None, np.ndarray | None]:
-        """ids and, if asked for, first and last (exclusive) character of each token in the text."""
+    def encode(self, text: str) -> np.ndarray:
+        """The text's ids."""
         if self.chars > STORE_CHARS:
             self._clear()
         try:
             text.encode("latin-1")
-            text = text.lower()
-            if not self.spans:
-                text = TAIL.sub(r" \1", text)
+            text = TAIL.sub(r" \1", text.lower())
         except UnicodeEncodeError:
             pass
         parts = text.replace("\n", " ").split(" ")
         at = np.fromiter(map(self.places.__getitem__, parts), np.int64, len(parts))
         self._encode_fresh()
         n = self.count[at]
-        total = int(n.sum())
-        token = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(total)
-        if not self.spans:
-            return self.ids[token], None, None
-        length = np.fromiter(map(len, parts), np.int64, len(parts))
-        place = np.repeat(np.cumsum(length + 1) - length - 1, n)
-        return self.ids[token], self.lo[token] + place, self.hi[token] + place
+        return self.ids[np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
 
 
 @lru_cache(maxsize=4)
-def held(path: str, spans: bool = False) -> Pieces:
+def held(path: str) -> Pieces:
     """The store of this worker, kept from task to task."""
-    return Pieces(path, spans)
+    return Pieces(path)
 
 
 def per_task(make: Callable[[], object]) -> Callable[[], object]:

@@ -104,37 +104,52 @@ def test_pii(spark):
 
 
 def encoded(text):
-    t = tokens.Pieces(spans=True)
-    return t.encode(text), t.tokenizer.encode(text, add_special_tokens=False)
+    t = tokens.Pieces()
+    return t.encode(text).tolist(), t.tokenizer.encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("text", [x or "" for _, x in ODD] + ["a\tb\u00a0c  d\n\n<|endoftext|> it's  x ''s don't ...! İΣ é \u0301a", "x" * 3000])
 def test_tokens_equal_the_tokenizer(text):
-    (ids, lo, hi), want = encoded(text)
-    assert ids.tolist() == want.ids and list(zip(lo.tolist(), hi.tolist(), strict=True)) == [tuple(x) for x in want.offsets]
+    ids, want = encoded(text)
+    assert ids == want
 
 
 @settings(max_examples=150, deadline=None)
 @given(st.text(max_size=60))
 def test_tokens_of_any_text(text):
-    (ids, lo, hi), want = encoded(text)
-    assert ids.tolist() == want.ids
-
-
-def test_token_counts(spark):
-    rows = ODD + [(7, "# odd\n\nx")]
-    docs = frame(spark, rows).withColumn("source", F.when(F.col("doc_id") == 3, F.lit(None)).otherwise(F.col("source")))
-    out = token_counts.counts(docs).collect()
-    t = tokens.Pieces().tokenizer
+    ids, want = encoded(text)
+    assert ids == want
+
+
+def brute_counts(source, lang, text, rule):
+    """(tokens, crossing tokens) of each section, token by token and character by character."""
+    document, spans = source + lang + text, [(0, len(source)), (len(source), len(source) + len(lang))]
+    at = len(source) + len(lang)
+    for line in text.split("\n"):
+        spans.append((at, at + len(line)))
+        at += len(line) + 1
+    n, crossing = [0] * len(spans), [0] * len(spans)
+    for lo, hi in tokens.whole().encode(document, add_special_tokens=False).offsets:
+        inside = [sum(lo <= c < hi for c in range(a, b)) for a, b in spans]
+        held = [k for k, x in enumerate(inside) if x]
+        if held:
+            own = held[0] if rule == "first" else held[-1] if rule == "last" else max(held, key=lambda k: (inside[k], -k))
+            n[own] += 1
+            crossing[own] += len(held) > 1
+    return list(zip(n, crossing, strict=True))
+
+
+@pytest.mark.parametrize("rule", ["largest", "first", "last"])
+def test_token_counts(spark, rule):
+    rows = [x for x in ODD if x[0] != 4] + [(7, "# odd\n\nx"), (8, "lish text that begins inside a word"), (9, "é" * 9), (10, "\n\n")]
+    docs = frame(spark, rows).withColumn("source", F.when(F.col("doc_id") == 3, F.lit(None)).otherwise(F.col("source"))).withColumn("lang", F.when(F.col("doc_id") == 8, "eng").otherwise(F.col("lang")))
+    out = token_counts.counts(docs, rule=rule).collect()
     for i, text in rows:
-        whole = f"{'' if i == 3 else 's'}|en|{text or ''}"
-        own = [r for r in out if r.doc_id == i]
+        own = sorted((r.section, r.n_tokens, r.n_crossing) for r in out if r.doc_id == i)
+        want = brute_counts("" if i == 3 else "s", "eng" if i == 8 else "en", text or "", rule)
         copies = sum(x == (i, text) for x in rows)
-        assert len(own) == copies * (2 + (text or "").count("\n") + 1)
-        inside = [1 for a, b in t.encode(whole, add_special_tokens=False).offsets if any(r.start < b and a < r.end for r in own)]
-        assert sum(r.n_tokens for r in own) == copies * len(inside)
-    crossing = [r for r in out if r.doc_id == 7]
-    assert sum(r.n_crossing for r in crossing) == 1
+        assert own == sorted((k, *x) for k, x in enumerate(want) for _ in range(copies))
+    assert sum(r.n_crossing for r in out) > 5
     assert token_counts.counts(frame(spark, [])).count() == 0
 
 
@@ -164,7 +179,7 @@ def test_packing(spark, tmp_path):
         total = sum(r.length for r in out)
         assert total == sum(r.length for r in found.collect())
         fitted = len(packing.best_fit([r.length for r in out], 4096))
-        assert packed_well(out) <= (fitted if group > 1000 else 1.04 * fitted + 1)
+        assert packed_well(out) <= (fitted if group > 1000 else fitted + 3)  # five groups, a loss of less than a bin each
     t = tokens.Pieces().tokenizer
     for i, text in rows[:40]:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
@@ -177,7 +192,7 @@ def test_packing(spark, tmp_path):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 100), max_size=80))
 def test_pack_group(lengths):
-    bins = packing.pack_group(lengths, 100)
+    bins, _, _ = packing.pack_group(lengths, 100)
     assert sorted(i for b in bins for i in b) == list(range(len(lengths))) and all(sum(lengths[i] for i in b) <= 100 for b in bins)
     assert len(bins) <= len(packing.best_fit(lengths, 100))
 
@@ -185,9 +200,28 @@ def test_pack_group(lengths):
 def test_local_search_empties_a_bin():
     """Four bins of which exchanges between fuller ones make three."""
     lengths = [5, 5, 4, 4, 3, 3, 3, 3]
-    assert len(packing._Search([[0, 2], [1, 3], [4, 5, 6], [7]], lengths, 10).run()) == 3
-    # Two for one: 4 + 3 take the place of 6.
-    assert sorted(map(len, packing._Search([[0, 1], [2, 3]], [6, 3, 4, 3], 10).run())) == [2, 2]
+    search = packing._Search([[0, 2], [1, 3], [4, 5, 6], [7]], lengths, 10)
+    assert len(search.run()) == 3 and search.emptied == 1 and sum(search.steps.values()) > 1
+
+
+@pytest.mark.parametrize("kind,bins,lengths", [("move", [[0], [1]], [3, 5]), ("one for one", [[0, 1], [2, 3]], [5, 3, 4, 5]), ("two for one", [[0, 1], [2, 3]], [4, 3, 6, 3]), ("one for two", [[0, 1], [2, 3, 4]], [5, 3, 2, 2, 5])])
+def test_each_kind_of_step_fills_the_fuller_bin(kind, bins, lengths):
+    search = packing._Search(bins, lengths, 10)
+    before = (search.fill**2).sum()
+    others = np.flatnonzero(search.bin == 1)
+    assert search._step(0, others) and search.steps[kind] == 1 and (search.fill**2).sum() > before and search.fill.max() <= 10
+
+
+def test_local_search_beats_best_fit_where_sizes_are_awkward():
+    rng = random.Random(1)
+    lengths = [rng.randrange(700, 1500) for _ in range(1200)]
+    bins, steps, emptied = packing.pack_group(lengths)
+    assert len(bins) < len(packing.best_fit(lengths, 4096)) and steps > 100 and emptied > 5
+
+
+@pytest.mark.parametrize("lengths", [[2100] * 700, [3000] * 700, [2100 + 7 * (i % 260) for i in range(700)]])
+def test_local_search_ends_where_nothing_fits_together(lengths):
+    assert len(packing.pack_group(lengths)[0]) == 700
 
 
 # Media
