@@ -6,7 +6,7 @@ bins too many, and a local search then empties bins, the emptiest first.  Its
 steps move a piece, or exchange one for one, two for one or one for two, always
 from the emptier to the fuller bin, so each step increases the sum of squared
 fills and the search ends.  It goes on until the bins are as few as the tokens
-allow, or a pass that tried every underfull bin emptied none; then it tries
+allow, or a pass that tried every underfull bin made no step; then it tries
 again from best fit in order of falling length, and the better of both stays.
 
 Groups lose up to a bin each.  Bins whose room is above the mean room of their
@@ -164,7 +164,7 @@ class _Search:
         fewest = -(-int(self.fill.sum()) // self.capacity)
         alive = int((self.fill > 0).sum())
         while alive > fewest:
-            before = alive
+            before = sum(self.steps.values())
             underfull = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
             for a in underfull[np.argsort(self.fill[underfull], kind="stable")].tolist():
                 if alive <= fewest:
@@ -182,7 +182,7 @@ class _Search:
                 if not self.fill[a]:
                     alive -= 1
                     self.emptied += 1
-            if alive == before:
+            if sum(self.steps.values()) == before:
                 break
         order = np.argsort(self.bin, kind="stable")
         return [x.tolist() for x in np.split(order, np.flatnonzero(np.diff(self.bin[order])) + 1)] if len(order) else []
