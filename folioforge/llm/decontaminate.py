@@ -1,18 +1,20 @@
 """Benchmark decontamination.
 
-The normalised word windows of the benchmark make a hash set that is shipped to
-the tasks once its size has been checked; a benchmark beyond the bound is
-scanned in blocks of at most that size, one pass each, and the passes' spans
-are united per document.  Each document is read once per pass: its windows are
-looked up by 64-bit hash and every hit is verified on the words themselves.
+The normalised word windows of the benchmark make a hash set, sorted arrays of
+some five times the text's size, that is shipped to the tasks once its size has
+been checked.  A benchmark beyond the bound is scanned in blocks of at most that
+size: one block at a time is built and shipped, its pass written, and let go
+before the next; the passes' spans are united per document.  Each document is
+read once per pass: its windows are looked up by 64-bit hash and every hit is
+verified on the words themselves.
 
 Normal form: A-Z lower-cased, words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`.
 An item of fewer words than a window, but not none, is one window.
 
 Defined results: a null or empty text has no words, no hits and is clean; a
 null item text has no windows; an empty benchmark hits nothing; items of equal
-text are all reported; rows of equal doc_id are judged apart; a null doc_id is
-carried through.
+text are all reported, repeated rows of an item once; rows of equal doc_id are
+judged apart; a null doc_id is carried through.  A single item is never split.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .tables import row_key, table
+from .tables import row_key, shared_dir, table, written
 
 WINDOW = 13
 #: Bytes of benchmark text whose windows are held by a task at once.
@@ -37,42 +39,63 @@ SCAN = "doc_id long, row_key long, n_words long, starts array<int>, ends array<i
 
 
 class WindowSet:
-    """Hash set of benchmark windows with the words for verification."""
+    """Hash set of benchmark windows as sorted arrays, with the words for verification."""
 
     def __init__(self, items: list[tuple[object, str | None]], window: int = WINDOW):
-        self.by_length: dict[int, dict[int, list[tuple[bytes, set[str]]]]] = {}
-        for item, text in items:
-            data = np.frombuffer((text or "").encode(), dtype=np.uint8)
-            words = X.cut(data, np.array([0, len(data)]), X.ALNUM_WORDS_LOWER)
-            n = len(words.starts)
-            if not n:
-                continue
-            length = min(n, window)
-            first, h = X.windows(words, length)
-            table = self.by_length.setdefault(length, {})
-            for i, key in zip(first.tolist(), h.tolist(), strict=True):
-                body = words.text(i, i + length)
-                for have, ids in table.setdefault(key, []):
-                    if have == body:
-                        ids.add(str(item))
-                        break
-                else:
-                    table[key].append((body, {str(item)}))
-        self.filters = {}
-        for length, table in self.by_length.items():
+        self.names = [str(item) for item, _ in items]
+        bodies: list[bytes] = []
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        at = 0
+        for lo, _hi, buf, offsets in X.chunks(pa.array([text for _, text in items], pa.large_string())):
+            words = X.cut(buf, offsets, X.ALNUM_WORDS_LOWER)
+            n = np.diff(words.bounds)
+            # The words of all items of the chunk side by side, one space after each.
+            bodies.append(words.text(0, len(words.starts)) + b" ")
+            place = np.concatenate(([0], np.cumsum(words.ends - words.starts + 1))) + at
+            at = int(place[-1]) if len(words.starts) else at + 1
+            for length in {min(int(x), window) for x in np.unique(n) if x}:
+                first, h = X.windows(words, length)
+                use = np.minimum(n, window)[words.doc[first]] == length if len(first) else np.empty(0, bool)
+                first, h = first[use], h[use]
+                found.setdefault(length, []).append((h, lo + words.doc[first], place[first], place[first + length] - 1))
+        self.text = b"".join(bodies)
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+        self.filters: dict[int, np.ndarray] = {}
+        for length, parts in found.items():
+            h, item, start, end = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.lexsort((item, h))
+            h, item, start, end = h[order], item[order], start[order], end[order]
+            # A window that an item repeats is kept once.
+            again = np.flatnonzero((h[1:] == h[:-1]) & (item[1:] == item[:-1])) + 1
+            stay = np.ones(len(h), bool)
+            stay[[k for k in again.tolist() if self.text[start[k] : end[k]] == self.text[start[k - 1] : end[k - 1]]]] = False
+            self.by_length[length] = h[stay], item[stay].astype(np.int32), start[stay], (end - start)[stay].astype(np.int32)
             seen = np.zeros(1 << 20, dtype=bool)
-            seen[np.fromiter(table, dtype=np.uint64, count=len(table)) >> X.U64(44)] = True
+            seen[h >> X.U64(44)] = True
             self.filters[length] = seen
-
-    def hits(self, words: X.Words) -> Iterator[tuple[int, int, set[str]]]:
+        self._known: dict[tuple[int, bytes], frozenset[str]] = {}
+
+    def _items(self, length: int, lo: int, hi: int, body: bytes) -> frozenset[str]:
+        """Items that have this window, of the entries lo to hi - 1 with its hash."""
+        have = self._known.get((length, body))
+        if have is None:
+            _, item, start, size = self.by_length[length]
+            have = frozenset(self.names[item[k]] for k in range(lo, hi) if self.text[start[k] : start[k] + size[k]] == body)
+            if len(self._known) > 100_000:
+                self._known.clear()
+            self._known[length, body] = have
+        return have
+
+    def hits(self, words: X.Words) -> Iterator[tuple[int, int, frozenset[str]]]:
         """(first word, length, items) of each verified occurrence."""
-        for length, table in self.by_length.items():
+        for length, (table, *_) in self.by_length.items():
             first, h = X.windows(words, length)
             maybe = np.flatnonzero(self.filters[length][h >> X.U64(44)])
-            for i, key in zip(first[maybe].tolist(), h[maybe].tolist(), strict=True):
-                for body, ids in table.get(key, ()):
-                    if words.text(i, i + length) == body:
-                        yield i, length, ids
+            lo, hi = np.searchsorted(table, h[maybe], "left"), np.searchsorted(table, h[maybe], "right")
+            for k in np.flatnonzero(lo < hi).tolist():
+                i = int(first[maybe[k]])
+                if items := self._items(length, int(lo[k]), int(hi[k]), words.text(i, i + length)):
+                    yield i, length, items
 
 
 def _runs(mask: np.ndarray) -> tuple[list[int], list[int]]:
@@ -109,24 +132,31 @@ def scan(docs: DataFrame, held) -> DataFrame:
 
 
 def _blocks(benchmark: DataFrame, limit: int) -> list[DataFrame]:
-    items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull())
+    items = benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).distinct()
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // limit) or 1
     return [items] if n == 1 else [items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * n)) == b) for b in range(2 * n)]
 
 
+def _window_set(block: DataFrame, window: int) -> WindowSet:
+    return WindowSet([(r.item_id, r.text) for r in block.toLocalIterator()], window)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, row_key, n_words, starts, ends (hit word spans), items, one row per document."""
     spark = docs.sparkSession
-    passes = []
-    for block in _blocks(benchmark, block_bytes):
-        rows = [(r.item_id, r.text) for r in block.toLocalIterator()]
-        passes.append(scan(docs, spark.sparkContext.broadcast(WindowSet(rows, window))))
-    if len(passes) == 1:
-        return passes[0]
+    blocks = _blocks(benchmark, block_bytes)
+    if len(blocks) == 1:
+        return scan(docs, spark.sparkContext.broadcast(_window_set(blocks[0], window)))
+    work, passes = shared_dir(spark), []
+    for b, block in enumerate(blocks):
+        held = spark.sparkContext.broadcast(_window_set(block, window))
+        one = scan(docs, held)
+        passes.append(written(one if b == 0 else one.filter(F.size("items") > 0), f"{work}/pass-{b}"))
+        held.destroy()
     found = passes[0]
     for other in passes[1:]:
-        found = found.unionByName(other.filter(F.size("items") > 0))
+        found = found.unionByName(other)
     united = found.groupBy("doc_id", "row_key").agg(
         F.max("n_words").alias("n_words"),
         F.array_sort(F.flatten(F.collect_set(F.arrays_zip("starts", "ends")))).alias("spans"),
@@ -180,11 +210,9 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW
     """
     blocks = _blocks(benchmark, block_bytes)
     if len(blocks) == 1:
-        rows = [(r.item_id, r.text) for r in blocks[0].toLocalIterator()]
-        return _clean_rows(docs, docs.sparkSession.sparkContext.broadcast(WindowSet(rows, window)))
+        return _clean_rows(docs, docs.sparkSession.sparkContext.broadcast(_window_set(blocks[0], window)))
     bad = judged(contamination(docs, benchmark, window, block_bytes)).filter("contaminated").select(F.col("doc_id").alias("_bad_id"), F.col("row_key").alias("_bad_key")).distinct()
-    keyed = docs.withColumn("_row_key", row_key())
-    return keyed.join(bad, keyed["doc_id"].cast("long").eqNullSafe(bad["_bad_id"]) & (keyed["_row_key"] == bad["_bad_key"]), "left_anti").drop("_row_key")
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["_bad_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["_bad_key"]), "left_anti")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

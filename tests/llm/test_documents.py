@@ -65,11 +65,38 @@ def test_toxicity_without_labels(spark):
     assert toxicity.score(frame(spark, []), model).count() == 0
 
 
-def test_noisy_or_is_that_of_the_sentences():
-    texts = ["bad one. fine two", "", "bad bad bad"]
-    model = toxicity.fit(pa.array(["bad thing"] * 40 + ["fine thing"] * 160), np.array([1] * 40 + [0] * 160))
-    feature, sentence, doc, _ = toxicity._sentences(*(lambda b: (np.frombuffer("".join(texts).encode(), np.uint8), np.array(b)))([0, 17, 17, 28]))
-    assert doc.tolist() == [0, 0, 2, 1] and len(np.unique(sentence)) == 3 and model.weights[feature].max() > 3
+def test_noisy_or_is_that_of_the_sentences(spark):
+    """Scores recomputed sentence by sentence and word by word from the model."""
+    rows, labels = toxic_corpus(300, 4)
+    model = toxicity.learn(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+
+    def brute(text):
+        none = 1.0
+        for sentence in re.split(r"(?<=[.!?\n|])", text or "") if text else [""]:
+            if not sentence and text:
+                continue
+            words = {w.lower() if w.isascii() else w for w in re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+", sentence)}
+            z = model.intercept
+            for w in words:
+                data = np.frombuffer(w.encode(), np.uint8)
+                z += model.weights[int(toxicity.X.cut(data, np.array([0, len(data)]), toxicity.WORDS).hashes[0][0] >> toxicity.X.U64(64 - toxicity.BITS))]
+            none *= 1 - 1 / (1 + np.exp(-z))
+        return 1 - none
+
+    texts = dict([*rows[10:150], *ODD[2:]])
+    for r in toxicity.score(frame(spark, [*rows[10:150], *ODD[2:]]), model).collect():
+        assert r.score == pytest.approx(brute(texts[r.doc_id]), abs=1e-9)
+
+
+def test_toxicity_learns_from_a_bounded_sample(spark):
+    """Repeated rows and labels count once, and texts beyond the bytes are left out."""
+    rows, labels = toxic_corpus(400, 2)
+    docs, known = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    once, often = toxicity.learn(docs, known), toxicity.learn(docs.union(docs).union(docs), known.union(known))
+    assert once.intercept == pytest.approx(often.intercept) and np.allclose(once.weights, often.weights)
+    taken = toxicity._sample(docs.union(docs), known, 100, 5_000)
+    sizes = [len(r.text.encode()) for r in taken.collect()]
+    assert 5_000 <= sum(sizes) <= 5_000 + max(sizes) and len(sizes) < 100
 
 
 # PII

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,3 +147,17 @@ def test_decontamination(spark, block):
 def test_decontamination_of_nothing(spark):
     assert decontaminate.contamination(frame(spark, []), bench(spark, [(1, "a b")])).count() == 0
     assert decontaminate.judged(decontaminate.contamination(frame(spark, [(1, "a b"), (None, "a b"), (1, "a b")]), bench(spark, []))).filter("contaminated").count() == 0
+
+
+def test_window_set_is_compact_and_tells_equal_hashes_apart():
+    """Repeated windows are kept once; the arrays stay within a few times the text."""
+    rng = random.Random(2)
+    items = [(i, " ".join(words(rng, 200, 5000))) for i in range(200)] + [(900, "a " * 5000), (901, "a " * 40)]
+    found = decontaminate.WindowSet(items)
+    size = len(found.text) + sum(x.nbytes for parts in found.by_length.values() for x in parts)
+    assert size < 8 * sum(len(t) for _, t in items)
+    assert len(found.by_length[13][0]) == 200 * 188 + 2
+    table, item, start, bytes_ = found.by_length[13]
+    found.by_length[13] = np.zeros_like(table), item, start, bytes_  # as if all hashes were equal
+    body = found.text[start[5] : start[5] + bytes_[5]]
+    assert found._items(13, 0, len(table), body) == {str(items[item[5]][0])}
