@@ -194,14 +194,15 @@ def chapter_title(c: Column, word: Column) -> Column:
 
 
 #: What is removed from descriptions, in order.
-EMAIL = r"[a-zA-Z0-9._-]+@[a-zA-Z0-9._-]+\.[a-zA-Z0-9_-]+"
+EMAIL = r"[a-zA-Z0-9._-]++@[a-zA-Z0-9._-]+\.[a-zA-Z0-9_-]+"
 HANDLE = r"(?:^|[^@A-Za-z0-9_])@[A-Za-z0-9_]{1,15}(?![A-Za-z0-9_])"
-URL = r"(?:https?:\/\/)?[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)+\.?(?::\d+)?(?:\/\S*)?"
+URL = r"(?:https?:\/\/)?[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)+\.?(?::\d+)?(?:\/\S*)?"
 
 
 def cleanup_description(c: Column) -> Column:
-    """A description without e-mail addresses, handles and urls."""
-    return strip(_sub(_sub(_sub(c, EMAIL), HANDLE), URL))
+    """A description without e-mail addresses, handles and urls; texts without an at-sign or a dot skip what needs one."""
+    t = F.when(c.contains("@"), _sub(_sub(c, EMAIL), HANDLE)).otherwise(c)
+    return strip(F.when(t.contains("."), _sub(t, URL)).otherwise(t))
 
 
 def clean_store_title(c: Column) -> Column:
@@ -220,6 +221,17 @@ def strip_html(c: Column, paragraphs: bool = False) -> Column:
     return F.nullif(strip(_sub(t, r"[ \t]+\n", "\n")), F.lit(""))
 
 
+def html_text(c: Column) -> Column:
+    """Text of markup: blocks on lines of their own, white space closed up, character names decoded."""
+    t = _sub(_sub(c, r"(?is)<(script|style)\b.*?</\1\s*>"), rf"{WS}+", " ")
+    t = _sub(t, r"(?i) ?<br\s*/?> ?", "\n")
+    t = _sub(t, r"(?i) ?</?(?:p|div|h[1-6]|ul|ol|li|blockquote|section|article|tr|table)(?:\s[^>]*)?> ?", "\n\n")
+    t = _sub(t, r"<[^>]+>")
+    for name, to in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;|&apos;", "'"), ("&amp;", "&")):
+        t = _sub(t, name, to)
+    return strip(_sub(t, r"\n{3,}", "\n\n"))
+
+
 def publisher_of_copyright(c: Column) -> Column:
     return F.nullif(strip(_sub(c, r"^[©℗\s]*\d{4}\s*")), F.lit(""))
 
@@ -230,11 +242,35 @@ def copyright_year(c: Column) -> Column:
 
 
 def clean_biography(c: Column) -> Column:
-    t = _sub(_sub(c, r"\r\n", "\n"), r"(?m)^\[[^\]]*\]:.*$")
-    t = _sub(_sub(t, r"\[\d+\]"), r"\*")
+    """A biography without footnotes, their references and emphasis marks."""
+    t = _sub(_sub(c, r"\r\n", "\n"), r"(?m)^[ \t]*\[\d+\]:\s*\S+.*$")
+    t = _sub(_sub(t, r"\s*\(?\[[^\]]+\]\[\d+\]\)?"), r"\*")
     return strip(_sub(t, r"\n{3,}", "\n\n"))
 
 
+def number_text(c: Column) -> Column:
+    """A number as short as it can be: 1, not 1.0."""
+    return _sub(c.cast("double").cast("string"), r"\.0$")
+
+
+def asin_of_url(c: Column) -> Column:
+    """The first store id inside a link, else null."""
+    return F.nullif(F.regexp_extract(c, r"B[0-9A-Z]{9}|[0-9]{9}[0-9X]", 0), F.lit(""))
+
+
+def genre_of_url(c: Column) -> Column:
+    """The first eleven digits inside a link, else null."""
+    return F.nullif(F.regexp_extract(c, r"[0-9]{11}", 0), F.lit(""))
+
+
+#: Hosts and forms of covers that are square as they are.
+SQUARE_COVERS = (r"(?i)mzstatic\.com/.*/\d+x\d+bb\.(?:jpg|png)", r"(?i)//m\.media-amazon\.com/images/")
+
+
+def is_square_cover(c: Column) -> Column:
+    return F.coalesce(c.rlike(SQUARE_COVERS[0]) | c.rlike(SQUARE_COVERS[1]), F.lit(False))
+
+
 def drop_image_modifier(c: Column) -> Column:
     """A cover url without the size token before its suffix."""
     return _sub(c, r"\._[A-Za-z0-9_,-]+_(?=\.[A-Za-z]+$)")

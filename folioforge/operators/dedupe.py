@@ -1,17 +1,21 @@
 """One record per edition, and the order of what is left, within each query.
 
 Both steps depend on the order of candidates (provider position, then item
-position), and ranking is not transitive, so they run per query on its few
-candidates with applyInPandas: one shuffle on query_id, shared by both.
+position), and ranking is not transitive, so they run query by query over its
+few candidates: one shuffle on query_id, a sort within partitions, and one pass
+of Arrow batches that takes the runs of equal query_id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cmp_to_key
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.text import alnum_key
 from .scoring import provider_rank
@@ -121,18 +125,40 @@ def _before(a: dict, b: dict) -> int:
     return a["rank"] - b["rank"]
 
 
-def _one_query(group: pd.DataFrame) -> pd.DataFrame:
-    rows = group.sort_values(["provider_pos", "item_pos"]).astype(object).where(lambda d: d.notna(), None).to_dict("records")
+_PARTS = [c.split()[0] for c in RANKED.split(", ")]
+
+
+def _one_query(rows: list[dict]) -> list[dict]:
+    """The ranked editions of one query's candidates, given in order."""
     for r in rows:
-        r["authors"], r["narrators"], r["keys"] = (list(r[k]) if r[k] is not None else [] for k in ("authors", "narrators", "keys"))
+        for k in ("authors", "narrators", "keys"):
+            r[k] = r[k] or []
     merged = [_merged([rows[i] for i in m]) for m in _clusters(rows)]
     ordered = sorted(merged, key=cmp_to_key(_before))
     for k, r in enumerate(ordered):
         r["position"] = k
-    return pd.DataFrame(ordered)[[c.split()[0] for c in RANKED.split(", ")]]
+    return ordered
+
+
+def _run_by_run(schema: pa.Schema):
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The last run of a batch may go on in the next.
+        open_: list[dict] = []
+        for batch in batches:
+            done: list[dict] = []
+            for row in batch.to_pylist():
+                if open_ and row["query_id"] != open_[0]["query_id"]:
+                    done += _one_query(open_)
+                    open_ = []
+                open_.append(row)
+            yield pa.RecordBatch.from_pylist([{c: r[c] for c in _PARTS} for r in done], schema=schema)
+        yield pa.RecordBatch.from_pylist([{c: r[c] for c in _PARTS} for r in _one_query(open_)] if open_ else [], schema=schema)
+
+    return step
 
 
 def dedupe_and_rank(candidates: DataFrame) -> DataFrame:
     """candidates (CANDIDATE) with one row per edition and its position in the ranking: RANKED."""
     ready = with_keys(candidates).withColumn("rank", provider_rank(F.col("provider")))
-    return ready.groupBy("query_id").applyInPandas(_one_query, RANKED)
+    dealt = ready.repartition("query_id").sortWithinPartitions("query_id", "provider_pos", "item_pos")
+    return dealt.mapInArrow(_run_by_run(to_arrow_schema(StructType.fromDDL(RANKED))), RANKED)

@@ -1,36 +1,16 @@
-"""Series, authors and covers joined to records, each only where it is sure."""
+"""Authors and covers joined to records, each only where it is sure; reasons and delays."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.similarity import with_similarity, with_title_similarity
 from ..functions.text import normalize_name, without_initials, initials
 
-ACCEPT, COVER_TITLE, COVER_AUTHOR = 0.9, 0.8, 0.7
-VARIANT = r"(?i)(?<![a-z])(?:publication order|chronological|omnibus|box set|universe)(?![a-z])|verse$"
-
-
-def series_of(works: DataFrame, links: DataFrame) -> DataFrame:
-    """work, primary, secondary from links (work, series, position, pos) and the series' sizes.
-
-    Series that are only an order or a universe go, where another stays; those
-    with a position come first, then the larger, then the earlier.
-    """
-    sizes = links.groupBy("series").agg(F.countDistinct("work").alias("members"))
-    own = works.select("work").distinct().join(links, "work").join(sizes, "series")
-    own = own.withColumn("variant", F.col("series").rlike(VARIANT))
-    kept = own.join(own.groupBy("work").agg(F.min("variant").alias("all_variant")), "work").filter(~F.col("variant") | F.col("all_variant"))
-    placed = F.nullif(F.trim("position"), F.lit("")).isNotNull() & (F.trim("position") != "0")
-    rank = kept.withColumn("r", F.row_number().over(Window.partitionBy("work").orderBy(F.desc(placed.cast("int")), F.desc("members"), "pos", "series")))
-    return rank.filter("r <= 2").groupBy("work").agg(F.max(F.when(F.col("r") == 1, F.col("series"))).alias("primary"), F.max(F.when(F.col("r") == 2, F.col("series"))).alias("secondary"))
-
-
-def accepted_work(hits: DataFrame) -> DataFrame:
-    """query, work: the first hit (query, title, work, work_title, pos) whose title is near enough."""
-    near = with_title_similarity(hits, "title", "work_title", "sim", least=ACCEPT).filter(F.col("sim") >= ACCEPT)
-    return near.groupBy("query").agg(F.min_by("work", "pos").alias("work"))
+COVER_TITLE, COVER_AUTHOR = 0.8, 0.7
 
 
 def author_profiles(old: DataFrame, preferred: DataFrame, fallback: DataFrame) -> DataFrame:
@@ -48,18 +28,24 @@ def square_cover(hits: DataFrame) -> DataFrame:
     return good.groupBy("record").agg(F.min_by("cover", F.struct(-F.col("t"), "pos")).alias("cover"))
 
 
-def one_per_name(authors: DataFrame) -> DataFrame:
-    """The first author (name, pos, ..) of each name in any spelling of blanks and case."""
-    return authors.withColumn("_k", normalize_name(F.col("name"))).withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy("pos"))).filter("_r = 1").drop("_k", "_r")
+def one_per_name(authors: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """The first author (name, pos, ..) of each name in any spelling of blanks and case, within groups."""
+    return authors.withColumn("_k", normalize_name(F.col("name"))).withColumn("_r", F.row_number().over(Window.partitionBy(*within, "_k").orderBy("pos"))).filter("_r = 1").drop("_k", "_r")
+
+
+def richness(image: Column, description: Column) -> Column:
+    """How full an author record is: 2 for a portrait, 1 for a biography."""
+    has = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    return F.when(has(image), 2).otherwise(0) + F.when(has(description), 1).otherwise(0)
 
 
-def collapse_initials(authors: DataFrame) -> DataFrame:
-    """Of authors (name, image, description, pos) alike but for middle initials the fullest, unless their initials differ."""
+def collapse_initials(authors: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """Of authors (name, image, description, pos) alike but for middle initials the fullest, unless their initials differ; within groups."""
     sig = F.nullif(initials(F.col("name")), F.lit(""))
-    full = F.when(F.coalesce(F.trim("image"), F.lit("")) != "", 2).otherwise(0) + F.when(F.coalesce(F.trim("description"), F.lit("")) != "", 1).otherwise(0)
+    full = richness(F.col("image"), F.col("description"))
     keyed = authors.withColumn("_k", without_initials(F.col("name"))).withColumn("_s", sig).withColumn("_f", full)
-    apart = keyed.groupBy("_k").agg((F.countDistinct("_s") > 1).alias("_apart"))
-    ranked = keyed.join(apart, "_k").withColumn("_r", F.row_number().over(Window.partitionBy("_k").orderBy(F.desc("_f"), "pos")))
+    apart = keyed.groupBy(*within, "_k").agg((F.countDistinct("_s") > 1).alias("_apart"))
+    ranked = keyed.join(apart, [*within, "_k"]).withColumn("_r", F.row_number().over(Window.partitionBy(*within, "_k").orderBy(F.desc("_f"), "pos")))
     return ranked.filter("_apart OR _r = 1").drop("_k", "_s", "_f", "_apart", "_r")
 
 
@@ -76,6 +62,27 @@ def availability(state: Column, delisted: Column) -> Column:
     return F.when(delisted, "PRODUCT_DELISTED").when(state.isNull(), "NOT_FOUND").when(state != "AVAILABLE", "REGION_UNAVAILABLE")
 
 
+#: What a product's delivery type must be to be a book, and what a podcast's is.
+BOOK_TYPES, PODCAST_TYPE = ("MultiPartBook", "SinglePartBook"), "PodcastParent"
+
+
+def content_mismatch(kind: Column) -> Column:
+    """What a product is instead of a book; null for a book, and for a type that isn't known, which the record's schema then judges."""
+    return F.when(kind == PODCAST_TYPE, F.lit("podcast"))
+
+
+def chapter_mismatch(kind: Column) -> Column:
+    """What a product without chapters is: any type but a book's, `unknown` where it has none."""
+    return F.when(~F.coalesce(kind.isin(*BOOK_TYPES), F.lit(False)), F.coalesce(F.nullif(kind, F.lit("")), F.lit("unknown")))
+
+
+def document_kind(json: Column) -> Column:
+    """author, book or chapter by the keys that a stored document has; null without an id."""
+    keys = F.json_object_keys(json)
+    has = lambda k: F.coalesce(F.array_contains(keys, k), F.lit(False))
+    return F.when(has("_id"), F.when(has("name"), "author").when(has("title"), "book").when(has("runtimeLengthMs"), "chapter"))
+
+
 def retry_delay(attempt: Column, retry_after: Column) -> Column:
     """Milliseconds to wait, null to give up: what the server asks for up to ten seconds, else doubling from one to eight."""
     wait = F.when(retry_after.isNotNull(), retry_after * 1000).otherwise(F.least(F.pow(F.lit(2.0), attempt) * 1000, F.lit(8000.0)))

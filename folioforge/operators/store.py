@@ -35,6 +35,39 @@ def upsert_actions(old: DataFrame, new: DataFrame, keys: list[str], values: list
     return both.select(*keys, action.alias("action"), picked.alias("_v")).select(*keys, "action", "_v.*")
 
 
+def upsert_records(old: DataFrame, new: DataFrame, keys: list[str], values: list[str], gate: Callable[[str], Column], now: Column, touch: bool = False) -> DataFrame:
+    """upsert_actions() on records with created_at and updated_at: updates keep the first time, change the second; a touch changes the second only."""
+    done = upsert_actions(old, new, keys, values, gate, touch)
+    times = old.select(*keys, F.col("created_at").alias("_c"), F.col("updated_at").alias("_u"))
+    both = done.join(times, keys, "left")
+    return both.select(*keys, "action", *values, F.coalesce("_c", now).alias("created_at"), F.when(F.col("action").isin("insert", "update", "touch"), now).otherwise(F.col("_u")).alias("updated_at"))
+
+
+#: When a fetched record may replace a stored one.
+GATES: dict[str, Callable[[str], Column]] = {
+    "book": lambda p: F.coalesce(F.size(F.col(f"{p}genres")) > 0, F.lit(False)),
+    "author": lambda p: F.coalesce(F.col(f"{p}name") != "", F.lit(False)),
+    "chapter": lambda p: F.coalesce(F.size(F.col(f"{p}chapters")) > 0, F.lit(False)),
+}
+
+
+def projected(df: DataFrame, schema: str) -> DataFrame:
+    """Columns of a schema from stored JSON (json); rows that lack a field declared NOT NULL are left out."""
+    from pyspark.sql.types import StructType
+
+    kind = StructType.fromDDL(schema)
+    parsed = df.select(F.from_json("json", schema.replace(" NOT NULL", "")).alias("r")).select("r.*")
+    needed = [f.name for f in kind.fields if not f.nullable]
+    return parsed.dropna(subset=needed) if needed else parsed
+
+
+def with_misses(cached: DataFrame, keys: DataFrame, key: str, value: str) -> DataFrame:
+    """keys with their cached value and how it stands: hit, miss (known to have none: the text null), absent."""
+    found = keys.join(cached.select(key, F.col(value).alias("_v"), F.lit(True).alias("_in")), key, "left")
+    how = F.when(F.col("_in").isNull(), "absent").when(F.col("_v") == "null", "miss").otherwise("hit")
+    return found.select(key, F.when(how == "hit", F.col("_v")).alias(value), how.alias("how"))
+
+
 def delete(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(gone.select(*keys).distinct(), keys, "left_anti")
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.languages import languages_conflict, region_language
 from .scoring import band
 
 
@@ -37,3 +38,23 @@ def latency(requests: DataFrame, path: str, order: list[str], value: str, last:
     kept = kept.withColumn("_r", F.row_number().over(Window.partitionBy(path).orderBy(*newest))).filter(F.col("_r") <= last)
     seen = requests.groupBy(path).agg(F.count("*").alias("n"))
     return seen.join(kept.groupBy(path).agg(F.sum(value).alias("total"), F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean")), path)
+
+
+def language_mismatches(lookups: DataFrame) -> DataFrame:
+    """lookups, mismatched: how many records (language, region) are in another language than their region's."""
+    return lookups.agg(F.count("*").alias("lookups"), F.count_if(languages_conflict(F.col("language"), region_language(F.col("region")))).alias("mismatched"))
+
+
+def megabytes(size: Column) -> Column:
+    return F.round(size / 1024 / 1024, 2)
+
+
+def milliseconds(nanos: Column) -> Column:
+    return nanos / 1_000_000
+
+
+def health(probes: DataFrame, key: str) -> DataFrame:
+    """key, healthy by the last probe (key, part, at, up) of each part: a store that is up, and a cache that is up or absent."""
+    last = lambda part: F.max_by("up", F.when(F.col("part") == part, F.col("at")))
+    found = probes.groupBy(key).agg(last("store").alias("store"), last("cache").alias("cache"))
+    return found.select(key, (F.coalesce("store", F.lit(False)) & F.coalesce("cache", F.lit(True))).alias("healthy"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import languages as L
 from ..functions import text as T
-from ..operators import enrich, records, scoring, search, store
+from ..operators import authors, enrich, records, scoring, search, series, store, telemetry
 from ..sources.tables import cut_lineage, table
 from ..streaming.run import drained, stream_of
 from . import sqltext as S
@@ -26,19 +26,22 @@ def a3_two_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", "p_name", F.coalesce("editions", F.lit(0)).alias("editions"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_orderkey < 200")
-def a6_edition_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample of the editions with their books, as its SQL has it."""
-    return a6_edition_parent_whole(spark, sf_dir).filter("l_orderkey < 200")
+_EDITIONS = "SELECT l_orderkey, l_linenumber, l_partkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey"
 
 
-@query()
-def a6_edition_parent_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_EDITIONS)
+def a6_edition_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every edition with the book it belongs to."""
     eds = table(spark, sf_dir, "lineitem")
     return eds.join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "l_linenumber", "l_partkey", "p_name")
 
 
+@query(_EDITIONS)
+def a6_edition_parent_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, under the name that it had while a6_edition_parent was a sample."""
+    return a6_edition_parent(spark, sf_dir)
+
+
 @query("SELECT p_brand, min(p_partkey) AS p_partkey FROM part GROUP BY p_brand")
 def a7_secondary_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First row of each secondary key."""
@@ -70,14 +73,17 @@ def a25_point_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.lookup(kept, "B000000007", "us").select("o_orderkey", "region")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders QUALIFY place <= 1000")
-def a27_sorted_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first thousand of the sorted scan, as its SQL has it."""
-    return a27_sorted_scan_whole(spark, sf_dir).filter("place <= 1000")
+_PLACES = "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) AS place FROM orders"
 
 
-@query()
+@query(_PLACES)
 def a27_sorted_scan_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as a27_sorted_scan, under the name that it had while that was a sample."""
+    return a27_sorted_scan(spark, sf_dir)
+
+
+@query(_PLACES)
+def a27_sorted_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All keys by last update with their places.
 
     Keys are dealt into ranges of the order; a place is the row's number within
@@ -154,10 +160,14 @@ def f19_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.agg(F.count("*").alias("n"), F.count_if(F.col("issue") == "asin").alias("bad_asin"), F.count_if(F.col("issue") == "region").alias("bad_region"), F.count_if(F.col("issue").isNull()).alias("good"))
 
 
-@query("SELECT contains(html, '<article') AS has_article, contains(html, '<h1') AS has_title, count(*) AS n FROM pages GROUP BY ALL")
+_PROBED = "CASE page_id % 7 WHEN 0 THEN '<i data-testid=\"buy-button\">' WHEN 1 THEN '<button class=x><b>Sample</b></button>' WHEN 2 THEN '<h1 class=\"bc-heading x\"><span class=\"bc-text-bold\">T</span></h1>' WHEN 3 THEN '<ol data-testid=\"chapter-list\">' WHEN 4 THEN '<b class=\"product-listener\">' WHEN 5 THEN '<button>Buy</button> Sample' ELSE '' END"
+
+
+@query("SELECT page_id % 7 < 5 AS book, count(*) AS n FROM pages GROUP BY 1")
 def f20_page_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page kinds by probes of their markup."""
-    return table(spark, sf_dir, "pages").groupBy(F.col("html").contains("<article").alias("has_article"), F.col("html").contains("<h1").alias("has_title")).agg(F.count("*").alias("n"))
+    """Books' pages told from authors' by five probes of their markup."""
+    html = F.concat(F.col("html"), F.expr(_PROBED))
+    return table(spark, sf_dir, "pages").groupBy(authors.is_book_page(html).alias("book")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id % 256 < 64 AS inside, count(*) AS n FROM events GROUP BY 1")
@@ -253,8 +263,11 @@ def c4_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Series of each work: positioned first, then by members."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("work"))
     links = o.join(table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_suppkey").alias("s")), F.col("o_orderkey") == F.col("l_orderkey")).select("work", "s").distinct()
-    links = links.select("work", F.concat(F.lit("s"), F.col("s").cast("string")).alias("series"), F.when((F.col("s") + F.col("work")) % 3 == 0, "1").alias("position"), F.col("s").alias("pos"))
-    return enrich.series_of(links, links).select("work", F.col("primary").alias("primary_"), "secondary")
+    link = F.struct("work", F.when((F.col("s") + F.col("work")) % 3 == 0, "1").otherwise("0").alias("text"), F.lit(None).cast("double").alias("number"))
+    name = F.concat(F.lit("s"), F.col("s").cast("string"))
+    sizes = links.groupBy(F.col("s").alias("series")).agg(F.count("*").alias("members"))
+    found = series.ranked_series(links.select("work", name.alias("name"), F.col("s").alias("series"), F.array(link).alias("links"), F.col("s").alias("pos")), sizes)
+    return found.select("work", F.col("primary.name").alias("primary_"), F.col("secondary.name").alias("secondary"))
 
 
 @query("""
@@ -269,19 +282,21 @@ def c5_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.author_profiles(old.drop("s_suppkey"), preferred, gaps).select("name", "image", "image_alt")
 
 
-@query("""
-SELECT p_name AS record, concat('c', min(p_partkey)) AS cover FROM part WHERE p_size > 25 GROUP BY p_name""")
-def c6_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best cover of the titles of larger records, as its SQL has it."""
-    return _covers(table(spark, sf_dir, "part").filter("p_size > 25"))
+_COVERS = "SELECT p_name AS record, concat('c', min(p_partkey)) AS cover FROM part GROUP BY p_name"
 
 
-@query()
-def c6_cover_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_COVERS)
+def c6_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best cover of every title."""
     return _covers(table(spark, sf_dir, "part"))
 
 
+@query(_COVERS)
+def c6_cover_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, under the name that it had while c6_cover was a sample."""
+    return c6_cover(spark, sf_dir)
+
+
 def _covers(part: DataFrame) -> DataFrame:
     """Best cover of each title, the first of equals."""
     hits = part.select(F.col("p_name").alias("record"), F.col("p_name").alias("title"), F.lit("Ann").alias("author"), F.col("p_name").alias("hit_title"), F.lit("Ann").alias("hit_author"), F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("cover"), F.col("p_partkey").alias("pos"))
@@ -337,10 +352,13 @@ def z11_metrics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(F.col("batch") == last).select("event_type", "n", F.round("total", 2).alias("total"), "most")
 
 
-@query("SELECT event_type, sum(value) > 0 AND (event_type = 'view' OR count(*) > 0) AS healthy FROM events GROUP BY event_type")
+@query("""
+WITH l AS (SELECT user_id, arg_max(event_type, event_id) FILTER (WHERE event_id % 2 = 0) AS store, arg_max(event_type, event_id) FILTER (WHERE event_id % 2 = 1 AND user_id % 3 > 0) AS cache FROM events GROUP BY user_id)
+SELECT coalesce(store, 'error') <> 'error' AND coalesce(cache, 'view') <> 'error' AS healthy, count(*) AS n FROM l GROUP BY 1""")
 def z13_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store is up, and the cache is absent or up."""
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(((F.sum("value") > 0) & ((F.col("event_type") == "view") | (F.count("*") > 0))).alias("healthy"))
+    """By the latest probe of each service: the store is up, and the cache is up or there is none."""
+    e = table(spark, sf_dir, "events").select("user_id", F.when(F.col("event_id") % 2 == 0, "store").when(F.col("user_id") % 3 > 0, "cache").alias("part"), F.col("event_id").alias("at"), (F.col("event_type") != "error").alias("up"))
+    return telemetry.health(e, "user_id").groupBy("healthy").agg(F.count("*").alias("n"))
 
 
 @query()

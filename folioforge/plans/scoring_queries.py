@@ -18,52 +18,54 @@ from .catalogue import query
 from .table_queries import z1_breaker  # noqa: F401  (its SQL is shared)
 from .catalogue import _SQL
 
-_TOKEN_PAIRS = """
+TOKEN_PAIRS = """
 nm AS (SELECT DISTINCT p_name FROM part), tk AS (SELECT p_name, unnest(list_distinct(str_split(p_name, ' '))) AS t FROM nm),
 np AS (SELECT DISTINCT x.p_name AS q, y.p_name AS c FROM tk x JOIN tk y USING (t))"""
 
 
-def _token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs (q, c) of distinct names that share a token."""
     tokens = table(spark, sf_dir, "part").select("p_name").distinct().select("p_name", F.explode(F.array_distinct(F.split("p_name", " "))).alias("t"))
     return tokens.select(F.col("p_name").alias("q"), "t").join(tokens.select(F.col("p_name").alias("c"), "t"), "t").select("q", "c").distinct()
 
 
-@query(f"WITH RECURSIVE {_TOKEN_PAIRS}, pp AS (SELECT q AS a, c AS b FROM np), {S.ratio('pp')} SELECT a AS q, b AS c, round(r, 9) AS r FROM ratios")
+@query(f"WITH RECURSIVE {TOKEN_PAIRS}, pp AS (SELECT q AS a, c AS b FROM np), {S.ratio('pp')} SELECT a AS q, b AS c, round(r, 9) AS r FROM ratios")
 def s1_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _token_pairs(spark, sf_dir).withColumn("r", F.round(ratio("q", "c"), 9))
+    return token_pairs(spark, sf_dir).withColumn("r", F.round(ratio("q", "c"), 9))
 
 
-@query(f"""WITH RECURSIVE {_TOKEN_PAIRS}, f AS (SELECT concat(q, ': a saga') AS q, concat(c, ' (large print)') AS c FROM np),
+@query(f"""WITH RECURSIVE {TOKEN_PAIRS}, f AS (SELECT concat(q, ': a saga') AS q, concat(c, ' (large print)') AS c FROM np),
 g AS (SELECT q, c, {S.clean('q')} AS q1, {S.clean(S.base_title('q'))} AS q2, {S.clean('c')} AS c1, {S.clean(S.base_title('c'))} AS c2 FROM f),
 pp AS (SELECT q1 AS a, c1 AS b FROM g UNION SELECT q1, c2 FROM g UNION SELECT q2, c1 FROM g UNION SELECT q2, c2 FROM g), {S.ratio('pp')}
 SELECT q, c, round(greatest(r1.r, r2.r, r3.r, r4.r), 9) AS sim FROM g JOIN ratios r1 ON r1.a = q1 AND r1.b = c1 JOIN ratios r2 ON r2.a = q1 AND r2.b = c2 JOIN ratios r3 ON r3.a = q2 AND r3.b = c1 JOIN ratios r4 ON r4.a = q2 AND r4.b = c2""")
 def s3_title_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = _token_pairs(spark, sf_dir).select(F.concat("q", F.lit(": a saga")).alias("q"), F.concat("c", F.lit(" (large print)")).alias("c"))
+    pairs = token_pairs(spark, sf_dir).select(F.concat("q", F.lit(": a saga")).alias("q"), F.concat("c", F.lit(" (large print)")).alias("c"))
     return with_title_similarity(pairs, "q", "c", "sim").withColumn("sim", F.round("sim", 9))
 
 
 _CONF = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN authored THEN 0.55::DOUBLE * t + 0.3::DOUBLE * 1.0::DOUBLE + bonus ELSE t + bonus END))"
 
 
-@query(f"""WITH RECURSIVE w AS (SELECT p_partkey AS want, p_name AS q, p_brand, p_type FROM part WHERE p_size = 50), j AS (SELECT want, p.p_partkey AS have, q, p.p_name AS c, p.p_size FROM w JOIN part p USING (p_brand, p_type)),
+_SCORES = f"""WITH RECURSIVE j AS (SELECT w.p_partkey AS want, p.p_partkey AS have, w.p_name AS q, p.p_name AS c, w.p_size AS own, p.p_size FROM part w JOIN part p USING (p_brand, p_type)),
 pp AS (SELECT DISTINCT q AS a, c AS b FROM j), {S.ratio('pp')},
-d AS (SELECT want, have, r AS t, want % 2 = 1 AS authored, abs(50.0::DOUBLE - p_size) / p_size AS delta FROM j JOIN ratios ON a = q AND b = c),
+d AS (SELECT want, have, r AS t, want % 2 = 1 AS authored, abs(own::DOUBLE - p_size) / p_size AS delta FROM j JOIN ratios ON a = q AND b = c),
 s AS (SELECT *, CASE WHEN delta <= 0.05::DOUBLE THEN 0.15::DOUBLE WHEN delta > 0.25::DOUBLE THEN -0.3::DOUBLE ELSE 0.0::DOUBLE END AS bonus FROM d)
-SELECT want, have, round({_CONF}, 9) AS confidence, round(delta, 9) AS delta FROM s WHERE {_CONF} >= 0.8::DOUBLE * 0.55::DOUBLE + 0.7::DOUBLE * 0.3::DOUBLE""")
-def s4_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of the records of size 50, as its SQL has it."""
-    part = table(spark, sf_dir, "part")
-    return _confident(part.filter("p_size = 50"), part)
+SELECT want, have, round({_CONF}, 9) AS confidence, round(delta, 9) AS delta FROM s WHERE {_CONF} >= 0.8::DOUBLE * 0.55::DOUBLE + 0.7::DOUBLE * 0.3::DOUBLE"""
 
 
-@query()
-def s4_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+@query(_SCORES)
+def s4_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of every record, its own size the wanted running time."""
     part = table(spark, sf_dir, "part")
     return _confident(part, part)
 
 
+@query(_SCORES)
+def s4_score_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, under the name that it had while s4_score was a sample."""
+    return s4_score(spark, sf_dir)
+
+
 def _confident(wanted: DataFrame, part: DataFrame) -> DataFrame:
     """Confidence of candidates of one brand and type, those at or above the floor."""
     want = wanted.select(F.col("p_partkey").alias("want"), F.col("p_name").alias("q"), F.col("p_size").cast("double").alias("want_size"), "p_brand", "p_type")
@@ -92,7 +94,7 @@ def s7_s13_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(c, 9).alias("confidence"))
 
 
-@query(f"""WITH RECURSIVE {_TOKEN_PAIRS}, f AS (SELECT concat('The ', q) AS q, c FROM np), pp AS (SELECT DISTINCT {S.clean('q')} AS a, {S.clean('c')} AS b FROM f), {S.ratio('pp')},
+@query(f"""WITH RECURSIVE {TOKEN_PAIRS}, f AS (SELECT concat('The ', q) AS q, c FROM np), pp AS (SELECT DISTINCT {S.clean('q')} AS a, {S.clean('c')} AS b FROM f), {S.ratio('pp')},
 s AS (SELECT q, c, 0.55::DOUBLE * r + 0.3::DOUBLE * 1.0::DOUBLE + 0.0::DOUBLE AS confidence FROM f JOIN ratios ON a = {S.clean('q')} AND b = {S.clean('c')}),
 n AS (SELECT p_name, count(*) AS n FROM part GROUP BY p_name)
 SELECT q, c AS title, round(confidence, 9) AS confidence, n AS records FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY confidence DESC, c) AS r FROM s WHERE confidence >= 0.8::DOUBLE * 0.55::DOUBLE + 0.7::DOUBLE * 0.3::DOUBLE) JOIN n ON p_name = c WHERE r = 1""")

@@ -10,46 +10,50 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Failures that open it, how long, successes that close it.
 FAILURES, OPEN_MICROS, SUCCESSES = 5, 60_000_000, 2
 CLOSED, OPEN, HALF = 0, 1, 2
-STATE = "struct<mode:int,failures:int,successes:int,opened:bigint,rejected:bigint,trips:bigint>"
-
-
-def step(s: Column, at: Column, failed: Column) -> Column:
-    """The state after one call at `at` (microseconds)."""
-    mode0 = s["mode"]
-    wake = (mode0 == OPEN) & (at - s["opened"] >= OPEN_MICROS)
-    mode = F.when(wake, HALF).otherwise(mode0)
-    failures, successes = F.when(wake, 0).otherwise(s["failures"]), F.when(wake, 0).otherwise(s["successes"])
-    rejected = mode == OPEN
-    f1 = failures + F.when(failed & ~rejected, 1).otherwise(0)
-    s1 = successes + F.when(~failed & (mode == HALF), 1).otherwise(0)
-    trip = ~rejected & failed & ((mode == HALF) | (f1 >= FAILURES))
-    heal = (mode == HALF) & ~failed & (s1 >= SUCCESSES)
-    return F.struct(
-        F.when(trip, OPEN).when(heal, CLOSED).otherwise(mode).cast("int").alias("mode"),
-        F.when(heal, 0).otherwise(f1).cast("int").alias("failures"),
-        F.when(heal | trip, 0).otherwise(s1).cast("int").alias("successes"),
-        F.when(trip, at).otherwise(s["opened"]).cast("bigint").alias("opened"),
-        (s["rejected"] + F.when(rejected, 1).otherwise(0)).cast("bigint").alias("rejected"),
-        (s["trips"] + F.when(trip, 1).otherwise(0)).cast("bigint").alias("trips"),
-    )
+START = (CLOSED, 0, 0, 0, 0, 0)
+FOLDED = "calls long, rejected long, trips long, mode int"
 
 
 def fold(events: DataFrame, key: str, ts: str, order: str, failed: Column) -> DataFrame:
-    """key, calls, rejected, trips, mode at the end: an ordered fold over each key's calls."""
-    calls = F.array_sort(F.collect_list(F.struct(F.unix_micros(ts).alias("at"), F.col(order).alias("o"), failed.alias("failed"))))
-    start = F.expr(f"cast(named_struct('mode', 0, 'failures', 0, 'successes', 0, 'opened', 0, 'rejected', 0, 'trips', 0) as {STATE})")
-    grouped = events.groupBy(key).agg(calls.alias("c"))
-    return grouped.withColumn("s", F.aggregate("c", start, lambda s, c: step(s, c["at"], c["failed"]))).select(key, F.size("c").cast("long").alias("calls"), "s.rejected", "s.trips", "s.mode")
+    """key, calls, rejected, trips, mode at the end: each key's calls in order.
+
+    Calls are dealt by key, sorted, and read once; of a key only its state is
+    held, so a key of very many calls is no more than a long run.
+    """
+    calls = events.select(F.col(key).cast("long").alias("key"), F.unix_micros(ts).alias("at"), F.col(order).alias("o"), failed.alias("failed"))
+    dealt = calls.repartition("key").sortWithinPartitions("key", "at", "o")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, n, state, begun = None, 0, START, False
+        for batch in batches:
+            done: list[tuple] = []
+            for k, at, bad in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if not begun or k != open_:
+                    if begun:
+                        done.append((open_, n, state[4], state[5], state[0]))
+                    open_, n, state, begun = k, 0, START, True
+                state = advance(state, at, bad)
+                n += 1
+            yield _folded(done)
+        yield _folded([(open_, n, state[4], state[5], state[0])] if begun else [])
+
+    return dealt.mapInArrow(step, f"key long, {FOLDED}").withColumnRenamed("key", key)
+
+
+def _folded(rows: list[tuple]) -> pa.RecordBatch:
+    names = ("key", "calls", "rejected", "trips", "mode")
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int32() if c == "mode" else pa.int64()) for i, c in enumerate(names)], names=list(names))
 
 
 def advance(state: tuple, at: int, failed: bool) -> tuple:
-    """step() for the stream operator."""
+    """The state (mode, failures, successes, opened, rejected, trips) after one call at `at` (microseconds)."""
     mode, failures, successes, opened, rejected, trips = state
     if mode == OPEN and at - opened >= OPEN_MICROS:
         mode, failures, successes = HALF, 0, 0
@@ -68,7 +72,7 @@ def stream(events: DataFrame, key: str) -> DataFrame:
     """Update-mode stream of key, calls, rejected, trips, mode from (key, at micros, event_id, failed)."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        state = held.get if held.exists else (0, CLOSED, 0, 0, 0, 0, 0)
+        state = held.get if held.exists else (0, *START)
         rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
         calls, rest = state[0], tuple(state[1:])
         for at, failed in zip(rows["at"].tolist(), rows["failed"].tolist(), strict=True):
