@@ -4,17 +4,18 @@ A window is `WINDOW` consecutive words.  Each window has one anchor, the word
 run of `GRAM` words in it with the least hash, which depends on the window's
 words alone; equal windows so have equal anchors.  Neighbouring windows with
 one anchor make a segment, some twenty windows long, and the index holds one
-entry per anchor instead of one per window:
+entry per anchor and distinct segment instead of one per window:
 
-    anchor, seg_lo, seg_hi (least and greatest digest of its segments; seg_hi
-    null where they are equal), doc_lo, doc_hi
+    anchor, seg (digest of the segment's words), its first document and place
+    (doc_id, row_key, first, n), last (greatest doc_id that has it)
 
-The index is a log of immutable runs sorted by anchor.  `append` writes a new
-batch's run, `compact` merges runs into one once there are more than `fanout`,
-and `probe` merge-joins segments with the runs.  A hit is verified: by the
-digest of the segment's words where all occurrences agree, else (edges of a
-repeated passage) window by window, by hashes of the words of each window of
-one occurrence of each distinct segment.
+The index is a log of immutable runs sorted by anchor.  Batches of documents
+come in ascending order of doc_id.  Each batch's run is appended; the batch is
+merge-joined with the index, old runs and its own; its hits are verified: by
+the segment's digest where an earlier document has the same segment, else
+(edges of a repeated passage) window by window, by digests of the words of the
+windows of one occurrence of each distinct segment, which are read again from
+the documents; then runs are compacted once there are more than `fanout`.
 
 Defined results: null or empty text has no words and no windows; a document
 never removes its own repeats; documents of equal doc_id don't remove each
@@ -38,7 +39,7 @@ from .tables import remove, row_key, shared_dir, table, written
 
 WINDOW = 50
 GRAM = 10
-#: Batches (ascending ranges of doc_id) that the query feeds to the index, and runs it keeps.
+#: Batches of like size (ascending ranges of doc_id) that the query feeds to the index, and runs it keeps.
 BATCHES, FANOUT = 3, 2
 
 SEGMENTS = "anchor long, seg long, doc_id long, row_key long, first int, n int"
@@ -106,8 +107,11 @@ def segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), row_key().alias("row_key"), "text").mapInArrow(step, SEGMENTS)
 
 
+PLACE = ("doc_id", "row_key", "first", "n")
+
+
 class FingerprintLog:
-    """Immutable runs of anchor entries in the shared folder."""
+    """Immutable runs of index entries in the shared folder."""
 
     def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT):
         self.spark, self.path, self.fanout = spark, path, fanout
@@ -116,18 +120,22 @@ class FingerprintLog:
 
     @staticmethod
     def _summary(df: DataFrame) -> DataFrame:
-        one = df.groupBy("anchor").agg(F.min("seg_lo").alias("seg_lo"), F.max(F.coalesce("seg_hi", "seg_lo")).alias("top"), F.min("doc_lo").alias("doc_lo"), F.max("doc_hi").alias("doc_hi"))
-        return one.select("anchor", "seg_lo", F.when(F.col("top") != F.col("seg_lo"), F.col("top")).alias("seg_hi"), "doc_lo", "doc_hi")
+        """One row of each anchor and segment: its least place and its last document."""
+        one = df.groupBy("anchor", "seg").agg(F.min(F.struct(*PLACE)).alias("at"), F.max("last").alias("last"))
+        return one.select("anchor", "seg", "at.*", "last")
 
     def _write(self, df: DataFrame) -> None:
         self.made += 1
         path = f"{self.path}/run-{self.made}"
-        df.sortWithinPartitions("anchor").write.parquet(path)
+        written(df.sortWithinPartitions("anchor"), path)
         self.paths.append(path)
 
     def append(self, found: DataFrame) -> None:
-        """A batch's segments as a new run; compacts beyond `fanout` runs."""
-        self._write(self._summary(found.select("anchor", F.col("seg").alias("seg_lo"), F.col("seg").alias("seg_hi"), F.col("doc_id").alias("doc_lo"), F.col("doc_id").alias("doc_hi"))))
+        """A batch's segments as a new run."""
+        self._write(self._summary(found.withColumn("last", F.col("doc_id"))))
+
+    def settle(self) -> None:
+        """Compact beyond `fanout` runs."""
         if len(self.paths) > self.fanout:
             self.compact()
 
@@ -142,30 +150,41 @@ class FingerprintLog:
             remove(self.spark, path)
 
     def entries(self) -> DataFrame:
-        runs = self.spark.read.parquet(*self.paths)
-        return self._summary(runs) if len(self.paths) > 1 else runs
+        """Rows of all runs; an anchor and segment may be in several."""
+        return self.spark.read.parquet(*self.paths)
 
     def probe(self, found: DataFrame) -> DataFrame:
-        """Segments whose anchor more than one document or segment has, with the entry's doc_lo and `mixed`."""
-        shared = self.entries().filter(F.col("seg_hi").isNotNull() | (F.col("doc_lo") < F.col("doc_hi"))).select("anchor", "doc_lo", F.col("seg_hi").isNotNull().alias("mixed"))
-        return found.join(shared.hint("merge"), "anchor").filter(F.col("mixed") | (F.col("doc_id") > F.col("doc_lo")))
-
-
-def removed_spans(docs: DataFrame, found: DataFrame, work: str, window: int = WINDOW) -> DataFrame:
-    """doc_id, row_key, spans (first window, windows) to remove, from probed segments of the whole corpus."""
-    mixed = found.filter("mixed")
-    # A table of its own, so that the join deals both sides anew and can split a hot key.
-    least = written(mixed.groupBy("anchor", "seg").agg(F.min("doc_id").alias("seg_doc")), f"{work}/least")
-    placed = mixed.join(least.hint("merge"), ["anchor", "seg"])
-    placed = written(placed.select("anchor", "doc_id", "row_key", "first", "n", "seg_doc"), f"{work}/mixed")
-    whole = found.filter(~F.col("mixed")).select("doc_id", "row_key", "first", "n").unionByName(placed.filter("doc_id > seg_doc").select("doc_id", "row_key", "first", "n"))
-    open_ = placed.filter("doc_id = seg_doc").groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("first", "n", "anchor")).alias("parts"))
-    texts = _keyed(docs)
-    wins = open_.join(texts.hint("merge"), ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "parts").mapInArrow(_window_rows(window), "anchor long, win long, doc_id long, row_key long, first int")
+        """Segments whose anchor an earlier document or another segment has, with `mixed`: more than one segment has it."""
+        known = self.entries().groupBy("anchor").agg(F.min("doc_id").alias("doc_lo"), F.max("last").alias("doc_hi"), (F.min("seg") != F.max("seg")).alias("mixed"))
+        shared = known.filter(F.col("mixed") | (F.col("doc_lo") < F.col("doc_hi"))).select("anchor", "doc_lo", "mixed")
+        return found.join(shared.hint("merge"), "anchor").filter(F.col("mixed") | (F.col("doc_id") > F.col("doc_lo"))).drop("doc_lo")
+
+    def firsts(self, anchors: DataFrame) -> DataFrame:
+        """The first place of each segment of some anchors: anchor, seg and PLACE."""
+        return self._summary(self.entries().join(anchors.hint("merge"), "anchor", "left_semi")).drop("last")
+
+
+def removed_spans(docs: DataFrame, hits: DataFrame, log: FingerprintLog, work: str, window: int = WINDOW) -> DataFrame:
+    """doc_id, row_key, first, n: runs of windows to remove from a batch, from its probed segments.
+
+    docs: the batch's documents and all before it.
+    """
+    mixed = hits.filter("mixed").select("anchor", "seg", *PLACE)
+    # Tables of their own, so that joins deal both sides anew and can split a hot key.
+    firsts = written(log.firsts(mixed.select("anchor").distinct()), f"{work}/firsts")
+    seg_doc = firsts.select("anchor", "seg", F.col("doc_id").alias("seg_doc"))
+    placed = written(mixed.join(seg_doc.hint("merge"), ["anchor", "seg"]).select("anchor", *PLACE, "seg_doc"), f"{work}/placed")
+    whole = hits.filter(~F.col("mixed")).select(*PLACE).unionByName(placed.filter("doc_id > seg_doc").select(*PLACE))
+    # Windows of one occurrence of each segment: in the batch wherever its first document has it, before the batch its first place.
+    opened = placed.filter("doc_id = seg_doc").select("anchor", *PLACE)
+    before = firsts.join(opened.select("doc_id").distinct().withColumnRenamed("doc_id", "own"), F.col("doc_id") == F.col("own"), "left_anti").select("anchor", *PLACE)
+    parts = opened.unionByName(before).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("first", "n", "anchor")).alias("parts"))
+    wins = parts.join(_keyed(docs).hint("merge"), ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "parts").mapInArrow(_window_rows(window), "anchor long, win long, doc_id long, row_key long, first int")
     wins = written(wins, f"{work}/windows")
     first_doc = wins.groupBy("anchor", "win").agg(F.min("doc_id").alias("win_doc"), F.max("doc_id").alias("last_doc")).filter("win_doc < last_doc")
-    single = wins.join(first_doc.hint("merge"), ["anchor", "win"]).filter("doc_id > win_doc").select("doc_id", "row_key", "first", F.lit(1).alias("n"))
-    return whole.unionByName(single).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+    own = opened.select("doc_id", "row_key").distinct()
+    single = wins.join(own, ["doc_id", "row_key"], "left_semi").join(first_doc.hint("merge"), ["anchor", "win"]).filter("doc_id > win_doc").select("doc_id", "row_key", "first", F.lit(1).alias("n"))
+    return whole.unionByName(single)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -194,21 +213,29 @@ def _window_rows(window: int):
 def dedup(docs: DataFrame, work: str, window: int = WINDOW, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """doc_id, row_key, text, spans: each document with the spans of words to remove (null: none).
 
-    The corpus enters the index in `batches` ascending doc_id ranges, as it
-    would day by day; then it is probed against the compacted index.
+    The corpus comes in `batches` of like size, in ascending order of doc_id,
+    as it would day by day; each meets the index of those before it.
     """
     spark = docs.sparkSession
     log = FingerprintLog(spark, f"{work}/index", fanout)
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None:
+    ids = F.col("doc_id").cast("long")
+    cuts = docs.agg(F.percentile_approx(ids, [k / batches for k in range(1, batches)] or [1.0], 1000).alias("cuts")).first()["cuts"]
+    if cuts is None:
         return _keyed(docs).withColumn("spans", F.lit(None).cast("array<struct<first:int,n:int>>"))
-    step = (high - low) // batches + 1
-    for b in range(batches):
-        log.append(segments(docs.filter(F.col("doc_id").between(low + b * step, low + (b + 1) * step - 1)), window))
-    log.compact()
-    found = written(log.probe(segments(docs, window)), f"{work}/probed")
-    spans = removed_spans(docs, found, work, window)
-    return _keyed(docs).join(spans.hint("merge"), ["doc_id", "row_key"], "left")
+    bounds = [None, *sorted(set(cuts[: batches - 1])), None]
+    found: DataFrame | None = None
+    for b, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
+        until = docs if high is None else docs.filter(ids <= high)
+        fresh = written(segments(until if low is None else until.filter(ids > low), window), f"{work}/segments-{b}")
+        log.append(fresh)
+        hits = written(log.probe(fresh), f"{work}/hits-{b}")
+        spans = written(removed_spans(until, hits, log, f"{work}/batch-{b}", window), f"{work}/spans-{b}")
+        log.settle()
+        for name in (f"segments-{b}", f"hits-{b}", f"batch-{b}"):
+            remove(spark, f"{work}/{name}")
+        found = spans if found is None else found.unionByName(spans)
+    all_spans = found.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
+    return _keyed(docs).join(all_spans.hint("merge"), ["doc_id", "row_key"], "left")
 
 
 def kept(deduped: DataFrame, window: int = WINDOW, text: bool = False) -> DataFrame:

@@ -27,7 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .tables import table
-from .tokens import default_tokenizer, whole
+from .tokens import default_tokenizer
+from .tokens import spans as encoded_spans
 
 RULE = "largest"
 RESULT = "doc_id long, section int, field string, start long, end long, n_tokens long, n_crossing long"
@@ -71,13 +72,11 @@ def counts(docs: DataFrame, tokenizer: str | None = None, rule: str = RULE) -> D
     path = tokenizer or default_tokenizer()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = whole(path)
         for batch in batches:
             rows: list[list] = [[] for _ in range(7)]
             for doc_id, text, lang, source in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 document, spans = laid_out(source or "", lang or "", text or "")
-                at = np.array(encoder.encode(document, add_special_tokens=False).offsets, np.int64).reshape(-1, 2)
-                lo, hi = at[:, 0], at[:, 1]
+                lo, hi = encoded_spans(document, path).T
                 starts, ends = (np.array([s[k] for s in spans], np.int64) for k in (1, 2))
                 n, crossing = attribute(lo, hi, starts, ends, rule)
                 rows[0] += [doc_id] * len(spans)

@@ -16,6 +16,7 @@ import os
 import re
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -64,6 +65,29 @@ def whole(path: str | None = None):
     return tokenizer
 
 
+@lru_cache(maxsize=4)
+def _unnormalised(path: str | None = None):
+    """The tokenizer without its normaliser, for texts that are in its normal form but for case and white space."""
+    tokenizer = whole(path).__class__.from_file(path or default_tokenizer())
+    tokenizer.encode_special_tokens = True
+    tokenizer.normalizer = None
+    return tokenizer
+
+
+def spans(text: str, path: str | None = None) -> np.ndarray:
+    """First and last (exclusive) character of each token of a whole text, encoded at once.
+
+    Latin-1 texts are composed, lower-case character for character, and lose
+    their white space between pre-tokens anyway, so they skip the normaliser.
+    """
+    try:
+        text.encode("latin-1")
+        found = _unnormalised(path).encode(text.lower(), add_special_tokens=False)
+    except UnicodeEncodeError:
+        found = whole(path).encode(text, add_special_tokens=False)
+    return np.fromiter(chain.from_iterable(found.offsets), np.int64).reshape(-1, 2)
+
+
 class Pieces:
     """Ids of texts by way of their blank-separated pieces."""
 

@@ -7,8 +7,14 @@ flows against links from blocked seeds, so a host that links to blocked hosts
 is distrusted.  A host is blocked where distrust exceeds trust by MARGIN times
 an even share.  A seed is a host more than half of whose pages the rules block
 (or allow).  Edges are links from a page's html to other hosts, counted per
-pair of hosts before they are shuffled, and one edge each way between a host
-and the next host above it in the domain tree that has pages.
+pair of hosts before they are shuffled.  A host that neither links to another
+nor is linked to falls back on the domain tree: one edge each way between it
+and the next host above it that has pages.
+
+Ranks go on until no host's changes by more than TOLERANCE of an even share, or
+of itself where it is larger, over CUT_EVERY rounds; each change is at most
+DAMPING of the one before, so they end.  What hosts without edges hold goes
+back to the seeds, which is the same as bringing the ranks' sum to one at last.
 
 All of it is DataFrame functions.  Rank tables are written to the shared folder
 every few rounds, which cuts lineage.
@@ -16,7 +22,7 @@ every few rounds, which cuts lineage.
 Defined results: null url, or one without `://`, has empty host and path, no
 rule, and no part in the graph; its verdict is allow, like that of any host
 without trust or distrust.  Null html has no links.  Repeated rows are judged
-alike.  Mass of hosts without edges is not passed on.
+alike.
 """
 
 from __future__ import annotations
@@ -24,11 +30,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import shared_dir, table, written
+from .tables import remove, shared_dir, table, written
 
 #: (verdict, rule): host, a slash, path prefix.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-DAMPING, ROUNDS, CUT_EVERY, MARGIN, SEED_SHARE = 0.85, 12, 4, 1.0, 0.5
+DAMPING, CUT_EVERY, TOLERANCE, MARGIN, SEED_SHARE = 0.85, 4, 0.01, 1.0, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"(?i)\bhref\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#\"'\s<>\\]+)"
 
@@ -56,25 +62,38 @@ def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return fits.groupBy("host").agg(F.sort_array(F.collect_set(F.struct((-F.length("rule")).alias("order"), "rule", "prefix", F.col("verdict")))).alias("rules"))
 
 
-def _ranks(edges: DataFrame, seeds: DataFrame, work: str) -> DataFrame:
-    """kind, host, rank: personalised PageRank of each kind over edges (kind, src, dst, share) from seeds (kind, host, mass)."""
-    rank = seeds.select("kind", "host", F.col("mass").alias("rank"))
-    for r in range(1, ROUNDS + 1):
-        moved = edges.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (DAMPING * F.col("rank") * F.col("share")).alias("rank"))
-        rest = seeds.select("kind", "host", ((1 - DAMPING) * F.col("mass")).alias("rank"))
-        rank = moved.unionByName(rest).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
-        if r % CUT_EVERY == 0:
-            rank = written(rank, f"{work}/rank-{r}")
-    return rank
+def _ranks(edges: DataFrame, seeds: DataFrame, hosts: int, work: str) -> DataFrame:
+    """kind, host, rank: personalised PageRank of each kind over edges (kind, src, dst, share) from seeds (kind, host, mass); each kind's ranks add up to one."""
+    spark = edges.sparkSession
+    rank = before = seeds.select("kind", "host", F.col("mass").alias("rank"))
+    rest = seeds.select("kind", "host", ((1 - DAMPING) * F.col("mass")).alias("rank"))
+    old, r = None, 0
+    while True:
+        for _ in range(CUT_EVERY):
+            moved = edges.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (DAMPING * F.col("rank") * F.col("share")).alias("rank"))
+            rank = moved.unionByName(rest).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        r += CUT_EVERY
+        rank = written(rank, f"{work}/rank-{r}")
+        both = rank.join(before.withColumnRenamed("rank", "before"), ["kind", "host"], "left")
+        change = F.abs(F.col("rank") - F.coalesce("before", F.lit(0.0))) * hosts
+        unsettled = both.filter(change > TOLERANCE * F.greatest(F.lit(1.0), F.col("rank") * hosts)).limit(1).count()
+        if old:
+            remove(spark, old)
+        if not unsettled:
+            break
+        before, old = rank, f"{work}/rank-{r}"
+    total = rank.groupBy("kind").agg(F.sum("rank").alias("total"))
+    return rank.join(F.broadcast(total), "kind").select("kind", "host", (F.col("rank") / F.col("total")).alias("rank"))
 
 
 def host_scores(judged: DataFrame, links: DataFrame, work: str) -> DataFrame:
     """host, trust, distrust (multiples of an even share) from host, ruled (verdict or null), pages and host links src, dst, n."""
     per_host = judged.groupBy("host").agg(F.sum("pages").alias("pages"), *(F.sum(F.when(F.col("ruled") == v, F.col("pages")).otherwise(0)).alias(v) for v in ("allow", "block")))
     per_host = written(per_host, f"{work}/hosts")
-    above = per_host.select("host", F.explode(F.slice(_suffixes(F.col("host")), 2, 64)).alias("up"), F.size(F.split("host", r"\.")).alias("depth"))
+    above = per_host.select("host", F.explode(_suffixes(F.col("host"))).alias("up")).filter("up != host")
     above = above.join(per_host.select(F.col("host").alias("up")), "up").groupBy("host").agg(F.max_by("up", F.length("up")).alias("up"))
-    tree = above.select(F.col("host").alias("src"), F.col("up").alias("dst"), F.lit(1).cast("long").alias("n"))
+    linked = links.select(F.col("src").alias("host")).unionByName(links.select(F.col("dst").alias("host"))).distinct()
+    tree = above.join(linked, "host", "left_anti").select(F.col("host").alias("src"), F.col("up").alias("dst"), F.lit(1).cast("long").alias("n"))
     both = links.unionByName(tree).unionByName(tree.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     along = both.groupBy("src", "dst").agg(F.sum("n").alias("n"))
     edges = along.select(F.lit("trust").alias("kind"), "src", "dst", "n").unionByName(along.select(F.lit("distrust").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
@@ -84,7 +103,7 @@ def host_scores(judged: DataFrame, links: DataFrame, work: str) -> DataFrame:
     count = seeds.groupBy("kind").agg(F.count("*").alias("of"))
     seeds = written(seeds.join(count, "kind").select("kind", "host", (1 / F.col("of")).alias("mass")), f"{work}/seeds")
     hosts = per_host.count()
-    ranks = _ranks(edges, seeds, work).groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")))
+    ranks = _ranks(edges, seeds, hosts, work).groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")))
     return ranks.select("host", (F.col("trust") * hosts).alias("trust"), (F.col("distrust") * hosts).alias("distrust"))
 
 

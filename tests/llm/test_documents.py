@@ -148,6 +148,12 @@ def test_tokens_of_any_text(text):
     assert ids == want
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(max_size=60) | st.text(st.characters(max_codepoint=255), max_size=60))
+def test_spans_of_whole_texts(text):
+    assert tokens.spans(text).tolist() == [list(x) for x in tokens.whole().encode(text, add_special_tokens=False).offsets]
+
+
 def brute_counts(source, lang, text, rule):
     """(tokens, crossing tokens) of each section, token by token and character by character."""
     document, spans = source + lang + text, [(0, len(source)), (len(source), len(source) + len(lang))]
@@ -393,16 +399,50 @@ def test_link_graph(spark, tmp_path):
     rows = [(i, f"http://bad{i}.net/", "") for i in range(3)] + [(10, "http://farm.com/", link("bad0.net", "bad1.net", "bad2.net")), (11, "http://news.org/fr/", link("good.com")), (12, "http://good.com/", link("news.org")), *((20 + i, f"http://alone{i}.com/", link(f"alone{i}.com")) for i in range(14))]
     out = {r.page_id: r for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), url_filters.rule_table(spark), f"file://{tmp_path}/w").collect()}
     assert out[10].verdict == "block" and out[10].distrust > 1 and out[12].verdict == "allow" and out[12].trust > 0 and out[20].verdict == "allow"
-    # Brute force of the distrust rank of the farm: seeds bad0-2, edges against links.
-    rank = {f"bad{i}.net": 1 / 3 for i in range(3)}
-    for _ in range(url_filters.ROUNDS):
-        new = {h: 0.15 / 3 for h in list(rank) if h.startswith("bad")}
-        new["farm.com"] = sum(0.85 * v for h, v in rank.items() if h.startswith("bad"))
-        rank = new
-    assert out[10].distrust == pytest.approx(rank["farm.com"] * 20)
     assert url_filters.judge(spark.createDataFrame([], "page_id long, url string, html string"), url_filters.rule_table(spark), f"file://{tmp_path}/e").count() == 0
 
 
+def brute_ranks(edges, seeds):
+    """Personalised PageRank by matrix, what is stuck going back to the seeds."""
+    nodes = sorted({x for e in edges for x in e[:2]} | set(seeds))
+    at = {x: i for i, x in enumerate(nodes)}
+    move = np.zeros((len(nodes), len(nodes)))
+    for u, v, n in edges:
+        move[at[v], at[u]] += n
+    out = move.sum(axis=0)
+    move[:, out > 0] /= out[out > 0]
+    start = np.zeros(len(nodes))
+    start[[at[s] for s in seeds]] = 1 / len(seeds)
+    rank = start.copy()
+    for _ in range(400):
+        rank = 0.85 * (move @ rank + start * rank[out == 0].sum()) + 0.15 * start
+    return dict(zip(nodes, rank, strict=True))
+
+
+def test_ranks_of_every_host_of_a_linked_web(spark, tmp_path):
+    """Chains, cycles, hubs and dead ends across hosts, trust along links and distrust against them, hosts of the tree among them."""
+    rng = random.Random(6)
+    link = lambda hosts: "".join(f'<a href="http://{h}/x">l</a>' for h in hosts)
+    names = [f"h{i}.com" for i in range(40)]
+    web = {h: [rng.choice(names) for _ in range(rng.choice([0, 1, 1, 2, 5]))] for h in names}
+    web |= {f"c{i}.com": [f"c{i + 1}.com"] for i in range(15)} | {"c15.com": ["bad.net"], "good.org": ["h0.com", "h1.com"], "bad.net": ["h2.com"], "also.net": []}
+    web["h3.com"] += ["bad.net", "also.net", "unseen.com"]
+    url = lambda h: f"http://{h}/fr/" if h == "good.org" else f"http://{h}/"
+    rows = [(i, url(h), link(to)) for i, (h, to) in enumerate(sorted(web.items()))] + [(900, "http://a.tree.com/", ""), (901, "http://b.a.tree.com/", ""), (902, "http://tree.com/", "")]
+    out = {r.host: r for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), url_filters.rule_table(spark), f"file://{tmp_path}/w").collect()}
+    edges = [(h, x, 1) for h, to in web.items() for x in set(to) if x != h]
+    linked = {x for e in edges for x in e[:2]}
+    tree = [("a.tree.com", "tree.com"), ("b.a.tree.com", "a.tree.com")]
+    edges += [(x, y, 1) for u, v in tree for x, y in ((u, v), (v, u))]
+    assert "also.net" in linked and not linked & {"tree.com", "a.tree.com"}
+    trust = brute_ranks(edges, ["good.org"])
+    distrust = brute_ranks([(v, u, n) for u, v, n in edges], ["bad.net", "also.net"])
+    n = len(out)
+    for h, r in out.items():
+        assert r.trust == pytest.approx(trust.get(h, 0) * n, rel=0.03, abs=0.03) and r.distrust == pytest.approx(distrust.get(h, 0) * n, rel=0.03, abs=0.03)
+    assert out["c15.com"].verdict == "block" and out["h0.com"].verdict == "allow"
+
+
 def test_packing_ends_where_pieces_never_fit_together(spark, tmp_path):
     """More such pieces than a group holds, with and without a few that do fit; small numbers stand for large ones."""
     for lengths in ([3000] * 60, [3000] * 60 + [1096] * 7):

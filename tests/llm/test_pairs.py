@@ -61,10 +61,20 @@ def test_index_grows_by_batches(spark, tmp_path):
         log = substring_dedup.FingerprintLog(spark, f"file://{tmp_path}/{n}-{fanout}", fanout)
         for b in range(n):
             log.append(substring_dedup.segments(frame(spark, rows).filter(F.pmod("doc_id", F.lit(n)) == b)))
-        logs.append((len(log.paths), sorted(map(tuple, log.entries().collect()), key=str)))
+            log.settle()
+        logs.append((len(log.paths), sorted(map(tuple, log._summary(log.entries()).collect()), key=str)))
     assert [n for n, _ in logs] == [1, 4, 1] and logs[0][1] == logs[1][1] == logs[2][1] and len(logs[0][1]) > 20
 
 
+@pytest.mark.parametrize("batches", [1, 2, 7])
+def test_substring_dedup_in_any_batches(spark, tmp_path, batches):
+    """Passages met within a batch and across batches; ids at both ends of their range."""
+    top = 2**63 - 1
+    rows = [({0: -top, 59: top}.get(i, i), t) for i, t in passages(5)]
+    got = {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.kept(substring_dedup.dedup(frame(spark, rows), f"file://{tmp_path}/w", 20, batches), 20).collect()}
+    assert got == set(substring_dedup.brute(rows, 20))
+
+
 def near_copies(seed):
     rng = random.Random(seed)
     rows, i = [], 0
