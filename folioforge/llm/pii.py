@@ -1,8 +1,8 @@
 """Personal data by anchor expansion.
 
 An Aho-Corasick automaton runs once over a text and gives anchors: at-signs,
-schemes' `://`, plus signs, digits and cue words of identifiers.  From each
-anchor a deterministic local parser expands to the exact boundaries and
+schemes' `://`, plus signs, digits, cue words of identifiers and first characters
+of keys.  From each anchor a deterministic local parser expands to the exact boundaries and
 validates what it found.  Kinds with their bounds (BASE kinds equal a search
 by the pattern, leftmost and non-overlapping; a match that fails its test is
 consumed, not retried):
@@ -13,7 +13,7 @@ consumed, not retried):
     phone    plus sign, digits with blanks, brackets, dots, hyphens; 10 to 15 digits
     account  after a cue word: IBAN with its check number, or 6 to 20 digits
     url      scheme, host with a dot, up to a blank, quote or bracket, that carries user data: a user part or a query
-    secret   after a cue word and a sign of assignment: 16 or more key characters with letters and digits
+    secret   after a cue word and a sign of assignment: 16 or more key characters with letters and digits; or a key that its first characters give away
 
 Defined results: null text is empty and has no spans; spans are code points,
 end exclusive; equal matches in repeated rows are reported in each.
@@ -40,6 +40,20 @@ RANK = {k: i for i, k in enumerate(KINDS)}
 ACCOUNT_CUES = ("iban", "account", "account number", "acct", "konto", "kontonummer", "compte", "cuenta", "ssn", "passport", "tax id")
 SECRET_CUES = ("token", "password", "passwd", "secret", "api key", "api_key", "apikey", "access_key", "private_key", "bearer")
 
+#: First characters of well-known keys, and their forms.
+KEYS = {
+    "AKIA": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
+    "AIza": r"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])",
+    "ghp_": r"ghp_[A-Za-z0-9]{36,}",
+    "gho_": r"gho_[A-Za-z0-9]{36,}",
+    "sk-": r"sk-[A-Za-z0-9_-]*[0-9][A-Za-z0-9_-]*(?<=[A-Za-z0-9_-]{23})",
+    "sk_live_": r"sk_live_[A-Za-z0-9]{16,}",
+    "xoxb-": r"xoxb-[A-Za-z0-9-]{20,}",
+    "xoxp-": r"xoxp-[A-Za-z0-9-]{20,}",
+    "eyJ": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "-----BEGIN ": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----",
+}
+
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DIGITS = frozenset("0123456789")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -81,6 +95,9 @@ class Finder:
             for cue in cues:
                 for form in {cue, cue.title(), cue.capitalize(), cue.upper()}:
                     self.automaton.add_word(form, (kind, len(form)))
+        self.keys = {start: re.compile(form) for start, form in KEYS.items()}
+        for start in KEYS:
+            self.automaton.add_word(start, ("key", len(start)))
         self.automaton.make_automaton()
 
     def find(self, text: str) -> list[tuple[int, int, str]]:
@@ -120,6 +137,11 @@ class Finder:
                     after["url"] = m.end()
                     if m["user"] or m["query"]:
                         found.append((start, m.end(), "url"))
+            elif anchor == "key":
+                start = last + 1 - length
+                if start >= after["secret"] and not (start and (text[start - 1].isalnum() or text[start - 1] == "_")) and (m := self.keys[text[start : last + 1]].match(text, start)):
+                    after["secret"] = m.end()
+                    found.append((start, m.end(), "secret"))
             else:
                 start = last + 1 - length
                 if start >= after[anchor] and not (start and text[start - 1].isalnum()):
