@@ -49,3 +49,22 @@ def test_pipeline(spark, tmp_path):
     total = after[4].agg({"length": "sum"}).first()[0]
     assert after[4].select("sequence_id").distinct().count() <= -(-total // 4096) + 1
     assert corpus_pipeline.run(spark, str(DATA)).count() == after[4].count()
+
+
+def test_pipeline_of_odd_rows_and_of_nothing(spark, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing names go through all stages; so does an empty table."""
+    import corpus_pipeline
+
+    kind = "doc_id long, text string, lang string, source string, n_chars long, node string, sig string, _gone string, _row_key string, key string, row_key string"
+    rows = [(1, None), (2, ""), (None, "x y mail a.b@c.de"), (3, "word and " * 6000), (3, "word and " * 6000), (4, "one two three four five six seven"), (5, "one two three four five six seven"), (6, " \n "), (None, None)]
+    docs = spark.createDataFrame([(i, t, None if i == 2 else "en", None, len(t or ""), *"abcdef") for i, t in rows], kind)
+    spark.createDataFrame([(1, 0, None), (4, None, 1), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/odd/labels.parquet")
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/odd/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    kept = [(1, 1), (2, 1), (3, 3), (3, 3), (4, 1), (6, 1), (None, 1), (None, 1)]
+    assert sorted((r.doc_id or 0) for r in out) == sorted((i or 0) for i, n in kept for _ in range(n))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{tmp_path}/odd/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/none/{name}.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
