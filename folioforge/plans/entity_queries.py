@@ -322,7 +322,7 @@ def z4_negative_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT page_id, length(regexp_replace(t, '^\s+|\s+$', '', 'g'))::INT AS chars FROM (SELECT page_id, regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '\s+', ' ', 'g'), '(?i) ?<br\s*/?> ?', chr(10), 'g'), '(?i) ?</?(?:p|div|h[1-6]|ul|ol|li|blockquote|section|article|tr|table)(?:\s[^>]*)?> ?', chr(10) || chr(10), 'g'), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&amp;', '&'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM pages)""")
+SELECT page_id, length(regexp_replace(t, '^\s+|\s+$', '', 'g'))::INT AS chars FROM (SELECT page_id, regexp_replace(replace(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'g'), '\s+', ' ', 'g'), '(?i) ?<br\s*/?> ?', chr(10), 'g'), '(?i) ?</?(?:p|div|h[1-6]|ul|ol|li|blockquote|section|article|tr|table)(?:\s[^>]*)?> ?', chr(10) || chr(10), 'g'), '<[^>]+>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;|&apos;', chr(39), 'g'), '&amp;', '&'), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM pages)""")
 def n19_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text of whole pages, block by block."""
     return table(spark, sf_dir, "pages").select("page_id", F.char_length(T.html_text(F.col("html"))).alias("chars"))
