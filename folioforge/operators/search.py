@@ -40,17 +40,20 @@ def prepared(requests: DataFrame) -> DataFrame:
 def scored(pairs: DataFrame, wanted: str) -> DataFrame:
     """pairs (prepared requests with candidates) with confidence and delta for the title column `wanted`.
 
-    Spellings of the title and names of the author are opened into rows, made
-    distinct, compared once, and the best pair of each is taken back.
+    Titles and author lists are made distinct before their spellings and names
+    are opened into rows; each pair of strings is compared once, and the best
+    of each title pair and each pair of lists is taken back.
     """
-    forms = pairs.select("query_id", "id", "provider", F.explode(T.title_variants(F.col(wanted))).alias("w"), "title")
+    titles = pairs.select(F.col(wanted).alias("_w"), F.col("title").alias("_t")).distinct()
+    spelt = titles.select("_w").distinct().select("_w", F.explode(T.title_variants(F.col("_w"))).alias("w"))
     # 0.3 can't bring a title to the floor, whatever author and running time add.
-    best_title = with_title_similarity(forms, "w", "title", "t", least=0.3).groupBy("query_id", "provider", "id").agg(F.max("t").alias("t"))
-    names = pairs.select("query_id", "provider", "id", F.explode("want_authors").alias("wa"), "authors").select("query_id", "provider", "id", "wa", F.explode("authors").alias("ha"))
-    best_author = with_similarity(names, "wa", "ha", "a").groupBy("query_id", "provider", "id").agg(F.max("a").alias("a"))
-    key = ["query_id", "provider", "id"]
+    best_title = with_title_similarity(titles.join(spelt, "_w"), "w", "_t", "t", least=0.3).groupBy("_w", "_t").agg(F.max("t").alias("t"))
+    lists = pairs.select(F.col("want_authors").alias("_wa"), F.col("authors").alias("_ha")).distinct()
+    names = lists.select("_wa", "_ha", F.explode("_wa").alias("wa")).select("_wa", "_ha", "wa", F.explode("_ha").alias("ha"))
+    best_author = with_similarity(names, "wa", "ha", "a").groupBy("_wa", "_ha").agg(F.max("a").alias("a"))
     authorless = F.element_at("want_authors", 1) == ""
-    out = pairs.join(best_title, key).join(best_author, key, "left").withColumn("authorless", authorless)
+    out = pairs.join(best_title, (F.col(wanted) == F.col("_w")) & (F.col("title") == F.col("_t")), "left").join(best_author, (F.col("want_authors") == F.col("_wa")) & (F.col("authors") == F.col("_ha")), "left").drop("_w", "_t", "_wa", "_ha")
+    out = out.withColumn("t", F.coalesce("t", F.lit(0.0))).withColumn("authorless", authorless)
     out = out.withColumn("delta", scoring.duration_delta(F.col("want_seconds"), F.col("audio_seconds")))
     return out.withColumn("confidence", scoring.confidence(F.col("t"), F.when(~F.col("authorless"), F.coalesce("a", F.lit(0.0))), F.col("delta")))
 
