@@ -349,3 +349,15 @@ def c7_author_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = t("lineitem").join(F.broadcast(people), c("l_suppkey") == k).select("l_orderkey", F.concat("first", F.lit(" "), "last").alias("query"), F.struct(F.concat(F.lit("B"), F.lpad(k.cast("string"), 9, "0")).alias("asin"), name.alias("name")).alias("a"))
     products = items.groupBy("query", c("l_orderkey").alias("product")).agg(F.array_sort(F.collect_list("a")).alias("authors")).withColumn("pos", c("product"))
     return authors.search_authors(wanted, known, products)
+
+
+@query("""
+SELECT p_partkey, unnest([{'kind': 'tag', 'name': p_type, 'id': lpad((18000000000 + p_partkey)::VARCHAR, 11, '0')}, {'kind': 'genre', 'name': p_name, 'id': NULL}], recursive := true) FROM part""")
+def n29_category_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category and tag links of pages with the ids that they carry."""
+    from ..operators.records import category_links
+
+    k = c("p_partkey")
+    html = F.concat(F.lit('<p><a class="x" href="/cat/'), "p_type", F.lit("/"), (k + 18000000000).cast("string"), F.lit('?ref=1">'), "p_type", F.lit('</a> <a href="/pd/B000000001">Buy</a> <a href="/tag/genre/a-b">'), "p_name", F.lit("</a>"))
+    links = table(spark, sf_dir, "part").select("p_partkey", F.explode(category_links(html)).alias("x"))
+    return links.select("p_partkey", c("x.type").alias("kind"), "x.name", T.genre_of_url(c("x.href")).alias("id"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import records, store, telemetry
+from ..sources.providers import preferred_language
 from ..sources.tables import table
 from ..streaming import breaker, limits
 from .catalogue import query
@@ -80,10 +81,9 @@ def a28_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH k AS (SELECT doc_id, source, lang, max(CASE WHEN lang = 'en' OR doc_id % 10 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY source) AS any_ FROM documents)
 SELECT source, count(*) AS n FROM k WHERE any_ = 0 OR lang = 'en' OR doc_id % 10 = 0 GROUP BY source""")
 def f2_prefer_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in the wanted or an unknown language; all of a source that has neither.  One aggregation, no window."""
-    keep = (F.col("lang") == "en") | (F.col("doc_id") % 10 == 0)
-    g = table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(keep).alias("kept"), F.count("*").alias("all"))
-    return g.select("source", F.when(F.col("kept") > 0, F.col("kept")).otherwise(F.col("all")).alias("n"))
+    """Documents in the wanted or an unknown language; all of a source that has neither."""
+    docs = table(spark, sf_dir, "documents").select("source", F.lit("us").alias("region"), F.when(F.col("doc_id") % 10 > 0, F.col("lang")).alias("language"))
+    return preferred_language(docs, F.col("language"), ["source"]).groupBy("source").agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id, max(ts) AS last_ts FROM events GROUP BY user_id HAVING max(ts) <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR")

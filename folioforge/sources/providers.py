@@ -39,11 +39,14 @@ def _shape(df: DataFrame, name: str, **values: Column) -> DataFrame:
 
 
 def preferred_language(df: DataFrame, language: Column, group: list[str]) -> DataFrame:
-    """Rows in the region's language or in none known; all of a group that has neither."""
+    """Rows in the region's language or in none known; all of a group that has neither.
+
+    Groups that have some are found by an aggregate, so a group of very many rows needs no window.
+    """
     want = L.region_language(F.col("region"))
-    keep = want.isNull() | language.isNull() | (language == want)
-    some = F.max(keep.cast("int")).over(Window.partitionBy(*group))
-    return df.withColumn("_keep", keep).withColumn("_some", some).filter("_keep OR _some = 0").drop("_keep", "_some")
+    marked = df.withColumn("_keep", want.isNull() | language.isNull() | (language == want))
+    some = marked.filter("_keep").select(*group).distinct().withColumn("_some", F.lit(True))
+    return marked.join(some, group, "left").filter("_keep OR _some IS NULL").drop("_keep", "_some")
 
 
 def audible(df: DataFrame) -> DataFrame:
