@@ -123,16 +123,28 @@ def k12_sorted_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.to_json(F.struct(F.col("p_brand").alias("brand"), F.col("p_name").alias("name"), F.col("p_size").alias("size"))).alias("body"))
 
 
-_MARKED = {0: "' Gift Set'", 1: "' (Spanish Edition)'", 2: "' Books 1-4'", 3: "' Omnibus'", 4: "' Ausgabe'", 5: "' Setting'", 6: "''"}
-_MARK_CASE = "CASE p_partkey % 7 " + " ".join(f"WHEN {k} THEN {v}" for k, v in _MARKED.items()) + " END"
-
-
-@query("SELECT p_partkey % 7 IN (0, 2, 3) AS bundle, p_partkey % 7 IN (1, 4) AS foreign_, p_partkey % 5 = 0 AS ai, count(*) AS n FROM part GROUP BY ALL")
+#: Titles with marks, and with what only looks like them.
+_MARKS = (
+    " Gift Set", " (Spanish Edition)", " Books 1-4", ": the Omnibus", " Ausgabe", " Setting", "", " Boxed-Set", " Collection", " Collections", " Book 1-4", " Books 12 – 14", " 3-book set", " Complete Series", " trilogy set", " Edición", " édition française",
+    " Polish Version", " Polish Diversion", " English Edition", " Edizione", " Omnibuses", " french  edition", " Box Setup", " Übersausgabe", " Trilogy",
+)
+_TELLERS = ("Virtual Voice", "A Virtual Voice", "Virtual Voices", "virtual voice (AI)", "Ann Bee")
+_MARK_LIST = "[" + ", ".join(f"'{m}'" for m in _MARKS) + "]"
+_TELLER_LIST = "[" + ", ".join(f"'{m}'" for m in _TELLERS) + "]"
+#: The same marks in DuckDB's dialect.
+_BUNDLE_SQL = r"(?i)(^|[^A-Za-z0-9_])(box(ed)?[- ]?set|gift[- ]?set|omnibus|collection|complete series|books? \d+\s*[-–—]\s*\d+|\d+[- ]book set|trilogy set)($|[^A-Za-z0-9_])"
+_FOREIGN_SQL = r"(?i)(^|[^A-Za-z0-9_])((spanish|french|german|italian|portuguese|dutch|polish|russian|japanese|chinese|swedish|norwegian|danish|finnish|czech|turkish|korean)\s+(edition|version)|edici[oó]n|[ée]dition\s+fran[cç]aise|ausgabe|edizione)($|[^A-Za-z0-9_])"
+
+
+@query(f"""
+WITH d AS (SELECT concat(p_name, ({_MARK_LIST})[p_partkey % {len(_MARKS)} + 1]) AS title, ({_TELLER_LIST})[p_size % {len(_TELLERS)} + 1] AS teller FROM part)
+SELECT title, teller, regexp_matches(title, '{_BUNDLE_SQL}') AS bundle, regexp_matches(title, '{_FOREIGN_SQL}') AS foreign_, regexp_matches(teller, '(?i)(^|[^A-Za-z0-9_])virtual voice($|[^A-Za-z0-9_])') AS ai, count(*) AS n FROM d GROUP BY ALL""")
 def f4_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bundle, foreign edition and synthetic narrator marks."""
-    title = F.concat("p_name", F.expr(_MARK_CASE))
-    narrators = F.array(F.when(F.col("p_partkey") % 5 == 0, "A Virtual Voice").otherwise("Virtual Voices"))
-    return table(spark, sf_dir, "part").groupBy(T.is_bundle(title).alias("bundle"), T.is_foreign_edition(title).alias("foreign_"), T.is_ai_narrated(narrators).alias("ai")).agg(F.count("*").alias("n"))
+    """Bundle, foreign edition and synthetic narrator marks of titles and narrators."""
+    title = F.concat("p_name", F.element_at(F.array(*map(F.lit, _MARKS)), (F.col("p_partkey") % len(_MARKS) + 1).cast("int")))
+    teller = F.element_at(F.array(*map(F.lit, _TELLERS)), (F.col("p_size") % len(_TELLERS) + 1).cast("int"))
+    known = table(spark, sf_dir, "part").select(title.alias("title"), teller.alias("teller")).groupBy("title", "teller").agg(F.count("*").alias("n"))
+    return known.select("title", "teller", T.is_bundle(F.col("title")).alias("bundle"), T.is_foreign_edition(F.col("title")).alias("foreign_"), T.is_ai_narrated(F.array("teller")).alias("ai"), "n")
 
 
 _SPELT = "CASE c_custkey % 3 WHEN 0 THEN concat('Jon ', c_mktsegment) WHEN 1 THEN concat('John Q ', c_mktsegment) ELSE concat('Mary ', c_mktsegment) END"
@@ -147,16 +159,19 @@ def f11_same_author(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich.same_author(names.join(names.withColumnRenamed("a", "b"), "c_mktsegment").select("a", "b"), "a", "b", "same")
 
 
-@query("""
-SELECT count(*) AS n, count_if(NOT asin_ok) AS bad_asin, count_if(asin_ok AND NOT region_ok) AS bad_region, count_if(asin_ok AND region_ok) AS good FROM (
- SELECT o_orderkey % 10 <> 0 AS asin_ok, o_orderkey % 6 <> 5 AS region_ok FROM orders)""")
+_ASIN = "CASE o_orderkey % 7 WHEN 0 THEN concat('b', lpad(cast(o_orderkey AS STRING), 9, '0')) WHEN 1 THEN cast(o_totalprice AS STRING) WHEN 2 THEN concat('B', cast(o_orderkey AS STRING)) WHEN 3 THEN concat('xB', lpad(cast(o_orderkey AS STRING), 9, 'Q')) ELSE concat('B', lpad(cast(o_orderkey AS STRING), 9, 'Z')) END"
+_ASKED = "CASE o_custkey % 8 WHEN 0 THEN 'us' WHEN 1 THEN 'DE' WHEN 2 THEN ' fr ' WHEN 3 THEN 'mars' WHEN 4 THEN '' WHEN 5 THEN 'jp' WHEN 6 THEN NULL ELSE 'es' END"
+
+
+@query(f"""
+WITH d AS (SELECT {_ASIN} AS asin, {_ASKED} AS region FROM orders),
+e AS (SELECT regexp_matches(asin, '^B[0-9A-Z]{{9}}$') AS asin_ok, coalesce(lower(trim(region)) IN ('us', 'uk', 'ca', 'au', 'in', 'de', 'es', 'fr', 'it', 'jp'), false) AS region_ok FROM d)
+SELECT count(*) AS n, count_if(NOT asin_ok) AS bad_asin, count_if(asin_ok AND NOT region_ok) AS bad_region, count_if(asin_ok AND region_ok) AS good FROM e""")
 def f19_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First issue of each request."""
-    k = F.col("o_orderkey")
-    asin = F.when(k % 10 == 0, F.lit("b123")).otherwise(F.concat(F.lit("B"), F.lpad(k.cast("string"), 9, "0")))
-    region = F.element_at(F.array(*map(F.lit, ("us", "de", "fr", "es", "jp", "mars"))), (k % 6 + 1).cast("int"))
-    issues = F.filter(F.array(F.when(~T.is_asin(asin), "asin"), F.when(L.region_language(region).isNull(), "region")), lambda x: x.isNotNull())
-    first = table(spark, sf_dir, "orders").select(F.get(issues, F.lit(0)).alias("issue"))
+    asked = table(spark, sf_dir, "orders").select(F.expr(_ASIN).alias("asin"), F.expr(_ASKED).alias("region"))
+    issues = F.filter(F.array(F.when(~T.is_asin(F.col("asin")), "asin"), F.when(L.region_language(F.col("region")).isNull(), "region")), lambda x: x.isNotNull())
+    first = asked.select(F.get(issues, F.lit(0)).alias("issue"))
     return first.agg(F.count("*").alias("n"), F.count_if(F.col("issue") == "asin").alias("bad_asin"), F.count_if(F.col("issue") == "region").alias("bad_region"), F.count_if(F.col("issue").isNull()).alias("good"))
 
 
@@ -170,11 +185,16 @@ def f20_page_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(authors.is_book_page(html).alias("book")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT user_id % 256 < 64 AS inside, count(*) AS n FROM events GROUP BY 1")
+_CALLER = "concat(cast(8 + event_id % 4 AS STRING), '.', cast(user_id % 3 AS STRING), '.', cast(event_id % 256 AS STRING), '.', cast(user_id % 256 AS STRING))"
+
+
+@query(f"""
+WITH d AS (SELECT str_split({_CALLER}, '.') AS p FROM events), e AS (SELECT ((p[1]::BIGINT * 256 + p[2]::BIGINT) * 256 + p[3]::BIGINT) * 256 + p[4]::BIGINT AS ip FROM d)
+SELECT ip BETWEEN 167837696 AND 167838719 AS narrow, ip BETWEEN 167772160 AND 184549375 AS wide, count(*) AS n FROM e GROUP BY ALL""")
 def f21_cidr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Callers inside an address block."""
-    ip = F.concat(F.lit("10.1.2."), (F.col("user_id") % 256).cast("string"))
-    return table(spark, sf_dir, "events").groupBy(enrich.allowed(ip, "10.1.2.0/26").alias("inside")).agg(F.count("*").alias("n"))
+    """Callers inside two blocks, 10.1.0.0/22 and 10.0.0.0/8."""
+    ip = F.expr(_CALLER)
+    return table(spark, sf_dir, "events").groupBy(enrich.allowed(ip, "10.1.0.0/22").alias("narrow"), enrich.allowed(ip, "10.0.0.0/8").alias("wide")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT count(*) AS n, count_if(o_orderkey % 4 <> 1) AS equal_ FROM orders")
