@@ -41,6 +41,26 @@ def distinct_last(items: Column, key: str) -> Column:
     return F.transform(keys, lambda k: F.element_at(F.filter(items, lambda x: x[key] == k), -1))
 
 
+def by_role(people: Column, role: str, narrators: bool) -> Column:
+    """Those of people whose role says that they narrate, or all others."""
+    told = lambda p: F.coalesce(F.lower(p[role]).contains("narrat"), F.lit(False))
+    return F.filter(people, told if narrators else lambda p: ~told(p))
+
+
+def merged(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left's records with right's fields over them, null or not, where right has the key."""
+    over = right.select(F.col(key).alias("_key"), *(F.col(x).alias(f"_{x}") for x in right.columns if x != key), F.lit(True).alias("_in"))
+    both = left.join(over, left[key] == over["_key"], "left")
+    return both.select(*(F.when(F.col("_in"), F.col(f"_{x}")).otherwise(F.col(x)).alias(x) if x in right.columns and x != key else F.col(x) for x in left.columns))
+
+
+def with_page_genres(records: DataFrame, pages: DataFrame, key: str) -> DataFrame:
+    """records (key, genres) with the genres of their pages where they have none of their own."""
+    read = pages.select(key, F.col("genres").alias("_page"))
+    none = F.coalesce(F.size("genres"), F.lit(0)) <= 0
+    return records.join(read, key, "left").withColumn("genres", F.when(none, F.col("_page")).otherwise(F.col("genres"))).drop("_page")
+
+
 def genres(ladders: Column) -> Column:
     """The first step of each ladder, distinct by name."""
     first = F.filter(F.transform(ladders, lambda x: F.get(x["ladder"], F.lit(0))), lambda x: x["name"].isNotNull() & x["id"].rlike(r"^\d{10,12}$"))

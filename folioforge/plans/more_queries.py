@@ -228,16 +228,15 @@ def p12_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contributions parted by role."""
     role = F.when(F.col("l_returnflag") == "N", "Narrated by").otherwise("Author")
     people = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_suppkey").alias("who"), role.alias("role"))).alias("c"))
-    told = lambda x: F.lower(x["role"]).contains("narrat")
-    return people.select("l_orderkey", F.size(F.filter("c", lambda x: ~told(x))).cast("long").alias("authors"), F.size(F.filter("c", told)).cast("long").alias("narrators"))
+    return people.select("l_orderkey", *(F.size(records.by_role(F.col("c"), "role", told)).cast("long").alias(name) for name, told in (("authors", False), ("narrators", True))))
 
 
-@query("SELECT p_partkey, coalesce(CASE WHEN p_partkey % 3 = 0 THEN p_type END, p_name) AS name, CASE WHEN p_partkey % 2 = 0 THEN p_size END AS size FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN p_type ELSE p_name END AS name, p_size AS size FROM part")
 def p14_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two records merged, the later one's fields first."""
-    part = table(spark, sf_dir, "part")
-    later = part.filter("p_partkey % 3 = 0").select("p_partkey", F.col("p_type").alias("n2"))
-    return part.join(later, "p_partkey", "left").select("p_partkey", F.coalesce("n2", "p_name").alias("name"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_size")).alias("size"))
+    """Two records merged: the later one's fields win where it is there, nulls included."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_size").alias("size"), "p_type")
+    later = part.filter("p_partkey % 3 = 0").select("p_partkey", F.when(F.col("p_partkey") % 2 > 0, F.col("p_type")).alias("name"))
+    return records.merged(part.drop("p_type"), later, "p_partkey")
 
 
 @query("""
@@ -345,12 +344,13 @@ def c10_read_through(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'scraped' ELSE 'listed' END AS genres FROM orders""")
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN 'listed' WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS genres FROM orders""")
 def c11_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Genres from the page only where the document has none."""
-    own = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("listed"))).alias("g"))
-    page = own.select("o_orderkey", F.array(F.lit("scraped")).alias("h"))
-    return own.join(page, "o_orderkey", "left").select("o_orderkey", F.when(F.size("g") == 0, F.col("h")).otherwise(F.col("g"))[0].alias("genres"))
+    o = table(spark, sf_dir, "orders")
+    own = o.select("o_orderkey", F.when(F.col("o_orderkey") % 3 > 0, F.array(F.lit("listed"))).when(F.col("o_orderkey") % 9 > 0, F.array().cast("array<string>")).alias("genres"))
+    pages = o.filter("o_orderkey % 2 = 0").select("o_orderkey", F.array("o_orderpriority").alias("genres"))
+    return records.with_page_genres(own, pages, "o_orderkey").select("o_orderkey", F.get("genres", F.lit(0)).alias("genres"))
 
 
 @query("""

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import languages as L
 from ..functions import text as T
-from ..operators.records import duration_seconds, largest, text_or_field
+from ..operators.records import by_role, duration_seconds, largest, text_or_field
 
 SHAPE = ("query_id", "provider", "item_pos", "id", "asin", "title", "authors", "narrators", "audio_seconds", "cover", "language")
 
@@ -56,8 +56,7 @@ def audible(df: DataFrame) -> DataFrame:
 
 def hardcover(df: DataFrame) -> DataFrame:
     """Books with nested audio editions: one row per edition in a fitting language, the book itself where it has none."""
-    told = lambda c: F.coalesce(F.lower(c["contribution"]).contains("narrat"), F.lit(False))
-    people = lambda c, narrators: _names(F.transform(F.filter(c, lambda x: told(x) if narrators else ~told(x)), lambda x: x["author"]))
+    people = lambda c, narrators: _names(F.transform(by_role(c, "contribution", narrators), lambda x: x["author"]))
     want = L.region_language(F.col("region"))
     spoken = lambda e: L.normalize_language(e["language"]["language"])
     fitting = F.filter("editions", lambda e: want.isNull() | spoken(e).isNull() | (spoken(e) == want))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import languages as L
 from ..functions import text as T
-from ..operators.records import json_ld_audiobook, text_or_field
+from ..operators.records import by_role, json_ld_audiobook, text_or_field
 from .providers import _names
 
 RECORD = ("id", "asin", "title", "subtitle", "authors", "narrators", "summary", "image", "publisher", "language", "rating", "release_date", "series_primary", "series_secondary")
@@ -45,8 +45,7 @@ def hardcover(df: DataFrame) -> DataFrame:
     """Books (id, title, subtitle, description, rating, contributions, cached_image, book_series, editions) with their first spoken edition, else their first."""
     spoken = F.filter("editions", lambda e: (e["reading_format_id"] == 2) & (e["audio_seconds"] > 0))
     df = df.withColumn("ed", F.coalesce(F.get(spoken, F.lit(0)), F.get("editions", F.lit(0))))
-    told = lambda c: F.coalesce(F.lower(c["contribution"]).contains("narrat"), F.lit(False))
-    people = lambda c, narrators: _names(F.transform(F.filter(c, lambda x: told(x) if narrators else ~told(x)), lambda x: x["author"]))
+    people = lambda c, narrators: _names(F.transform(by_role(c, "contribution", narrators), lambda x: x["author"]))
     ed = F.col("ed")
     named = F.filter("book_series", lambda s: F.coalesce(s["series"]["name"], F.lit("")) != "")
     series = lambda i: _series(F.get(named, F.lit(i))["series"]["name"], T.number_text(F.get(named, F.lit(i))["position"]))
