@@ -161,7 +161,9 @@ class FingerprintLog:
 
     def firsts(self, anchors: DataFrame) -> DataFrame:
         """The first place of each segment of some anchors: anchor, seg and PLACE."""
-        return self._summary(self.entries().join(anchors.hint("merge"), "anchor", "left_semi")).drop("last")
+        found = self.entries().join(anchors.hint("merge"), "anchor", "left_semi")
+        # Dealt anew, so that the join may split an anchor of very many segments.
+        return self._summary(found.repartition("anchor", "seg")).drop("last")
 
 
 def removed_spans(docs: DataFrame, hits: DataFrame, log: FingerprintLog, work: str, window: int = WINDOW) -> DataFrame:
