@@ -153,10 +153,13 @@ class FingerprintLog:
         """Rows of all runs; an anchor and segment may be in several."""
         return self.spark.read.parquet(*self.paths)
 
-    def probe(self, found: DataFrame) -> DataFrame:
-        """Segments whose anchor an earlier document or another segment has, with `mixed`: more than one segment has it."""
+    def probe(self, found: DataFrame, path: str) -> DataFrame:
+        """Segments whose anchor an earlier document or another segment has, with `mixed`: more than one segment has it.
+
+        The anchors that recur become a table of their own at `path`, so that the join deals both sides anew and can split a hot one.
+        """
         known = self.entries().groupBy("anchor").agg(F.min("doc_id").alias("doc_lo"), F.max("last").alias("doc_hi"), (F.min("seg") != F.max("seg")).alias("mixed"))
-        shared = known.filter(F.col("mixed") | (F.col("doc_lo") < F.col("doc_hi"))).select("anchor", "doc_lo", "mixed")
+        shared = written(known.filter(F.col("mixed") | (F.col("doc_lo") < F.col("doc_hi"))).select("anchor", "doc_lo", "mixed"), path)
         return found.join(shared.hint("merge"), "anchor").filter(F.col("mixed") | (F.col("doc_id") > F.col("doc_lo"))).drop("doc_lo")
 
     def firsts(self, anchors: DataFrame) -> DataFrame:
@@ -230,10 +233,10 @@ def dedup(docs: DataFrame, work: str, window: int = WINDOW, batches: int = BATCH
         until = docs if high is None else docs.filter(ids <= high)
         fresh = written(segments(until if low is None else until.filter(ids > low), window), f"{work}/segments-{b}")
         log.append(fresh)
-        hits = written(log.probe(fresh), f"{work}/hits-{b}")
+        hits = written(log.probe(fresh, f"{work}/shared-{b}"), f"{work}/hits-{b}")
         spans = written(removed_spans(until, hits, log, f"{work}/batch-{b}", window), f"{work}/spans-{b}")
         log.settle()
-        for name in (f"segments-{b}", f"hits-{b}", f"batch-{b}"):
+        for name in (f"segments-{b}", f"shared-{b}", f"hits-{b}", f"batch-{b}"):
             remove(spark, f"{work}/{name}")
         found = spans if found is None else found.unionByName(spans)
     all_spans = found.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
