@@ -15,7 +15,10 @@ with so many empty parts that the counting could rest on them alone is hashed
 again by the next of FAMILIES, and the last family gives all its signatures.
 So no link is lost.
 
-Sets with equal content are one class and one node.  Candidates of a signature
+Words are hashed by BLAKE2b, so a shingle's hash stands for its words.  Sets with
+equal content are one class and one node: of equal size, and equal in two sums of
+64 bits over hashes of their shingles that come from different halves of the words'
+digests.  Candidates of a signature
 are not expanded into pairs: each node is first compared with the pivot of its
 best signature; then, in signatures that still hold more than one component,
 each node outside the largest component meets the others.  The join that lets
@@ -89,22 +92,28 @@ def bands() -> tuple[np.ndarray, ...]:
     return tuple(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True))
 
 
-def _sets(words: X.Words, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, shingle hash) sorted and distinct, and each document's first place."""
+def _cut(buf: np.ndarray, offsets: np.ndarray, seeds: int = 1) -> X.Words:
+    return X.strong(X.cut(buf, offsets, X.BLANK_WORDS_LOWER, seeds=0), seeds)
+
+
+def _sets(words: X.Words, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(document, shingle hash) sorted and distinct, each document's first place, and the distinct shingles' hash by each seed."""
     docs = len(words.bounds) - 1
-    first, h = X.windows(words, q)
-    doc = words.doc[first] if len(first) else np.empty(0, dtype=np.int64)
     counts = np.diff(words.bounds)
     short = np.flatnonzero((counts > 0) & (counts < q))
-    if len(short):
-        h = np.concatenate((h, X.spans_hash(words, words.bounds[short], words.bounds[short + 1], 0) ^ X.U64(0x5851F42D4C957F2D)))
-        doc = np.concatenate((doc, short))
-    order = np.lexsort((h, doc))
-    doc, h = doc[order], h[order]
+    every = []
+    for seed in range(len(words.hashes)):
+        first, h = X.windows(words, q, seed)
+        if len(short):
+            h = np.concatenate((h, X.spans_hash(words, words.bounds[short], words.bounds[short + 1], seed) ^ X.U64(0x5851F42D4C957F2D)))
+        every.append(h)
+    doc = words.doc[first] if len(first) else np.empty(0, dtype=np.int64)
+    doc = np.concatenate((doc, short))
+    order = np.lexsort((every[0], doc))
+    doc, h = doc[order], every[0][order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (doc[1:] != doc[:-1]) | (h[1:] != h[:-1])
-    doc, h = doc[new], h[new]
-    return doc, h, np.searchsorted(doc, np.arange(docs + 1))
+    return doc[new], h[new], np.searchsorted(doc[new], np.arange(docs + 1)), [x[order][new] for x in every]
 
 
 def _sums(slot: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
@@ -183,10 +192,9 @@ def set_rows(docs: DataFrame, rule: Rule) -> DataFrame:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, offsets in X.chunks(batch.column(1)):
-                words = X.cut(buf, offsets, X.BLANK_WORDS_LOWER)
-                doc, h, bounds = _sets(words, rule.words)
+                doc, h, bounds, both = _sets(_cut(buf, offsets, 2), rule.words)
                 n = hi - lo
-                d1, d2 = (_sums(doc, X.mix(h ^ X.U64(c)), n) for c in (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35))
+                d1, d2 = (_sums(doc, X.mix(x ^ X.U64(c)), n) for x, c in zip(both, (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35), strict=True))
                 spread = X.mix(h + X.U64(0x27D4EB2F165667C5))
                 odd = (np.bincount(doc * SKETCH_BITS + (spread & X.U64(SKETCH_BITS - 1)).astype(np.int64), minlength=n * SKETCH_BITS) & 1).astype(np.uint8)
                 sketch = np.packbits(odd).view(np.int64).reshape(n, len(PARITY))
@@ -202,8 +210,7 @@ def signature_rows(docs: DataFrame, rule: Rule, families: tuple[int, ...] = tupl
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for lo, _hi, buf, offsets in X.chunks(batch.column(1)):
-                words = X.cut(buf, offsets, X.BLANK_WORDS_LOWER)
-                doc, h, bounds = _sets(words, rule.words)
+                doc, h, bounds, _ = _sets(_cut(buf, offsets), rule.words)
                 origin = np.arange(len(bounds) - 1)
                 for f in families:
                     own, sig, sparse = signatures(doc, h, bounds, rule, f, f == families[-1])
@@ -221,7 +228,7 @@ def signature_rows(docs: DataFrame, rule: Rule, families: tuple[int, ...] = tupl
 def _verify(rule: Rule):
     def one(text: pa.Scalar) -> np.ndarray:
         data = np.frombuffer((text.as_py() or "").encode(), dtype=np.uint8)
-        return _sets(X.cut(data, np.array([0, len(data)]), X.BLANK_WORDS_LOWER), rule.words)[1]
+        return _sets(_cut(data, np.array([0, len(data)])), rule.words)[1]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

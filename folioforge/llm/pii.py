@@ -15,8 +15,10 @@ consumed, not retried):
     url      scheme, host with a dot, up to a blank, quote or bracket, that carries user data: a user part or a query
     secret   after a cue word and a sign of assignment: 16 or more key characters with letters and digits; or a key that its first characters give away
 
-Defined results: null text is empty and has no spans; spans are code points,
-end exclusive; equal matches in repeated rows are reported in each.
+Defined results: null or empty text has no spans; spans are code points, end
+exclusive; equal matches in repeated rows are reported in each; an empty table
+gives an empty result; a very long text is read whole, in time proportional to
+its length (a parser that fails in a run of characters isn't tried again in it).
 """
 
 from __future__ import annotations
@@ -64,6 +66,8 @@ ACCOUNT = re.compile(r"(?:\x20?(?:no|nr|number|id)\b\.?)?[\x20:=#]{0,4}(?P<v>[A-
 URL = re.compile(r"(?:(?P<user>[^\s/?#\"'<>()@]+)@)?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::[0-9]+)?(?P<path>/[^\s?#\"'<>()]*)?(?P<query>\?[^\s#\"'<>()]+)?")
 SECRET = re.compile(r"[\x20]{0,2}[=:][\x20]{0,2}[\"']?(?P<v>[A-Za-z0-9_+/=.-]{16,})")
 
+KEY_RUN = re.compile(r"[A-Za-z0-9_-]*")
+
 RESULT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
 
 
@@ -77,6 +81,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """At most 255, however many zeros lead."""
+    value = digits.lstrip("0")
+    return len(value) <= 3 and int(value or "0") <= 255
+
+
 def iban(value: str) -> bool:
     value = value.replace(" ", "")
     if not 15 <= len(value) <= 34:
@@ -104,13 +114,15 @@ class Finder:
         """(start, end, kind) by start, then kind as listed."""
         found: list[tuple[int, int, str]] = []
         after = dict.fromkeys(KINDS, 0)
+        #: Ends of runs of key characters in which a cue or a key's start has failed: later ones in the same run fail too.
+        dead: dict[str, int] = {}
         run = -2
         for last, (anchor, length) in self.automaton.iter(text):
             if anchor == "digit":
                 fresh, run = run != last - 1, last
                 if fresh and last >= after["ip"] and (m := IP.match(text, last)):
                     after["ip"] = m.end()
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+                    if all(octet(p) for p in m[0].split(".")):
                         found.append((last, m.end(), "ip"))
                 if last >= after["card"] and (m := CARD.match(text, last)):
                     after["card"] = m.end()
@@ -139,13 +151,19 @@ class Finder:
                         found.append((start, m.end(), "url"))
             elif anchor == "key":
                 start = last + 1 - length
-                if start >= after["secret"] and not (start and (text[start - 1].isalnum() or text[start - 1] == "_")) and (m := self.keys[text[start : last + 1]].match(text, start)):
-                    after["secret"] = m.end()
-                    found.append((start, m.end(), "secret"))
+                if start >= after["secret"] and not (start and (text[start - 1].isalnum() or text[start - 1] == "_")):
+                    form = text[start : last + 1]
+                    if start < dead.get(form, 0):
+                        continue
+                    if m := self.keys[form].match(text, start):
+                        after["secret"] = m.end()
+                        found.append((start, m.end(), "secret"))
+                    elif form in ("sk-", "eyJ"):
+                        dead[form] = KEY_RUN.match(text, start).end()
             else:
                 start = last + 1 - length
                 if start >= after[anchor] and not (start and text[start - 1].isalnum()):
-                    m = (ACCOUNT if anchor == "account" else SECRET).match(text, last + 1)
+                    m = None if start < dead.get(anchor, 0) else (ACCOUNT if anchor == "account" else SECRET).match(text, last + 1)
                     if m:
                         value = m["v"]
                         if anchor == "account":
@@ -155,6 +173,8 @@ class Finder:
                         if good:
                             after[anchor] = m.end()
                             found.append((m.start("v"), m.end("v"), anchor))
+                        elif anchor == "secret" and not any(c in DIGITS for c in value):
+                            dead[anchor] = m.end()
         return sorted(found, key=lambda x: (x[0], RANK[x[2]]))
 
 
@@ -219,7 +239,7 @@ def brute(text: str | None) -> dict[str, list[tuple[int, int]]]:
     """BASE spans by searching with the contract's patterns; for tests."""
     text = text or ""
     out = {"email": [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]}
-    out["ip"] = [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out["ip"] = [m.span() for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(octet(x) for x in m[0].split("."))]
     out["card"] = [m.span() for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 14 <= len(d := re.sub("[^0-9]", "", m[0])) <= 19 and luhn(d)]
     out["phone"] = [m.span() for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
     return out

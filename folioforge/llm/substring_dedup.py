@@ -6,16 +6,16 @@ words alone; equal windows so have equal anchors.  Neighbouring windows with
 one anchor make a segment, some twenty windows long, and the index holds one
 entry per anchor and distinct segment instead of one per window:
 
-    anchor, seg (digest of the segment's words), its first document and place
-    (doc_id, row_key, first, n), last (greatest doc_id that has it)
+    anchor, seg and seg2 (128 bits of BLAKE2b of the segment's words), its first
+    document and place (doc_id, row_key, first, n), last (greatest doc_id that has it)
 
 The index is a log of immutable runs sorted by anchor.  Batches of documents
 come in ascending order of doc_id.  Each batch's run is appended; the batch is
-merge-joined with the index, old runs and its own; its hits are verified: by
-the segment's digest where an earlier document has the same segment, else
-(edges of a repeated passage) window by window, by digests of the words of the
-windows of one occurrence of each distinct segment, which are read again from
-the documents; then runs are compacted once there are more than `fanout`.
+merge-joined with the index, old runs and its own; its hits are verified, as
+anchors only say where to look: by the digest of the segment's words where an
+earlier document has the same segment, else (edges of a repeated passage) window
+by window, by such digests of the windows of one occurrence of each distinct
+segment, which are read again from the documents; then runs are compacted once there are more than `fanout`.
 
 Defined results: null or empty text has no words and no windows; a document
 never removes its own repeats; documents of equal doc_id don't remove each
@@ -42,7 +42,7 @@ GRAM = 10
 #: Batches of like size (ascending ranges of doc_id) that the query feeds to the index, and runs it keeps.
 BATCHES, FANOUT = 3, 2
 
-SEGMENTS = "anchor long, seg long, doc_id long, row_key long, first int, n int"
+SEGMENTS = "anchor long, seg long, seg2 long, doc_id long, row_key long, first int, n int"
 
 
 def _anchors(grams: np.ndarray, width: int) -> np.ndarray:
@@ -67,10 +67,11 @@ def _anchors(grams: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments_of(words: X.Words, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor hash, segment digest, first window, windows) of each segment of a chunk."""
+    """(anchor hash, the segment's digest as rows of two longs, first window, windows) of each segment of a chunk."""
     n = len(words.starts)
+    none = np.empty(0, dtype=np.int64)
     if n < window:
-        return tuple(np.empty(0, dtype=np.int64) for _ in range(4))
+        return none, none.reshape(0, 2), none, none
     h = words.hashes[0]
     total = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(h * X.powers(X._WORD_ODD[0], n), out=total[1:])
@@ -79,13 +80,12 @@ def segments_of(words: X.Words, window: int = WINDOW, gram: int = GRAM) -> tuple
     at = _anchors(grams, window - gram + 1)
     first = np.flatnonzero(words.doc[: n - window + 1] == words.doc[window - 1 :])
     if not len(first):
-        return tuple(np.empty(0, dtype=np.int64) for _ in range(4))
+        return none, none.reshape(0, 2), none, none
     at = at[first]
     opens = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (first[1:] != first[:-1] + 1))))
     lo = first[opens]
     count = np.diff(np.concatenate((opens, [len(first)])))
-    digest = X.spans_hash(words, lo, lo + count - 1 + window, 1)
-    return X.signed(grams[at[opens]]), X.signed(digest), lo, count
+    return X.signed(grams[at[opens]]), X.digests(words, lo, lo + count - 1 + window), lo, count
 
 
 def segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -96,18 +96,20 @@ def segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             keys = batch.column(1).to_numpy(zero_copy_only=False)
             for lo, _hi, buf, offsets in X.chunks(batch.column(2)):
-                words = X.cut(buf, offsets, X.BLANK_WORDS, seeds=2)
+                words = X.cut(buf, offsets, X.BLANK_WORDS)
                 anchor, digest, first, count = segments_of(words, window, gram)
                 d = words.doc[first] if len(first) else first
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor), pa.array(digest), pa.array(ids[lo + d]), pa.array(keys[lo + d]), pa.array((first - words.bounds[d]).astype(np.int32)), pa.array(count.astype(np.int32))],
-                    names=["anchor", "seg", "doc_id", "row_key", "first", "n"],
+                    [pa.array(anchor), *map(pa.array, digest.T.copy()), pa.array(ids[lo + d]), pa.array(keys[lo + d]), pa.array((first - words.bounds[d]).astype(np.int32)), pa.array(count.astype(np.int32))],
+                    names=["anchor", "seg", "seg2", "doc_id", "row_key", "first", "n"],
                 )
 
     return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), row_key().alias("row_key"), "text").mapInArrow(step, SEGMENTS)
 
 
 PLACE = ("doc_id", "row_key", "first", "n")
+SEG = ("seg", "seg2")
+WIN = ("anchor", "win", "win2")
 
 
 class FingerprintLog:
@@ -121,8 +123,8 @@ class FingerprintLog:
     @staticmethod
     def _summary(df: DataFrame) -> DataFrame:
         """One row of each anchor and segment: its least place and its last document."""
-        one = df.groupBy("anchor", "seg").agg(F.min(F.struct(*PLACE)).alias("at"), F.max("last").alias("last"))
-        return one.select("anchor", "seg", "at.*", "last")
+        one = df.groupBy("anchor", *SEG).agg(F.min(F.struct(*PLACE)).alias("at"), F.max("last").alias("last"))
+        return one.select("anchor", *SEG, "at.*", "last")
 
     def _write(self, df: DataFrame) -> None:
         self.made += 1
@@ -158,7 +160,7 @@ class FingerprintLog:
 
         The anchors that recur become a table of their own at `path`, so that the join deals both sides anew and can split a hot one.
         """
-        known = self.entries().groupBy("anchor").agg(F.min("doc_id").alias("doc_lo"), F.max("last").alias("doc_hi"), (F.min("seg") != F.max("seg")).alias("mixed"))
+        known = self.entries().groupBy("anchor").agg(F.min("doc_id").alias("doc_lo"), F.max("last").alias("doc_hi"), ((F.min("seg") != F.max("seg")) | (F.min("seg2") != F.max("seg2"))).alias("mixed"))
         shared = written(known.filter(F.col("mixed") | (F.col("doc_lo") < F.col("doc_hi"))).select("anchor", "doc_lo", "mixed"), path)
         return found.join(shared.hint("merge"), "anchor").filter(F.col("mixed") | (F.col("doc_id") > F.col("doc_lo"))).drop("doc_lo")
 
@@ -166,7 +168,7 @@ class FingerprintLog:
         """The first place of each segment of some anchors: anchor, seg and PLACE."""
         found = self.entries().join(anchors.hint("merge"), "anchor", "left_semi")
         # Dealt anew, so that the join may split an anchor of very many segments.
-        return self._summary(found.repartition("anchor", "seg")).drop("last")
+        return self._summary(found.repartition("anchor", *SEG)).drop("last")
 
 
 def removed_spans(docs: DataFrame, hits: DataFrame, log: FingerprintLog, work: str, window: int = WINDOW) -> DataFrame:
@@ -174,21 +176,21 @@ def removed_spans(docs: DataFrame, hits: DataFrame, log: FingerprintLog, work: s
 
     docs: the batch's documents and all before it.
     """
-    mixed = hits.filter("mixed").select("anchor", "seg", *PLACE)
+    mixed = hits.filter("mixed").select("anchor", *SEG, *PLACE)
     # Tables of their own, so that joins deal both sides anew and can split a hot key.
     firsts = written(log.firsts(mixed.select("anchor").distinct()), f"{work}/firsts")
-    seg_doc = firsts.select("anchor", "seg", F.col("doc_id").alias("seg_doc"))
-    placed = written(mixed.join(seg_doc.hint("merge"), ["anchor", "seg"]).select("anchor", *PLACE, "seg_doc"), f"{work}/placed")
+    seg_doc = firsts.select("anchor", *SEG, F.col("doc_id").alias("seg_doc"))
+    placed = written(mixed.join(seg_doc.hint("merge"), ["anchor", *SEG]).select("anchor", *PLACE, "seg_doc"), f"{work}/placed")
     whole = hits.filter(~F.col("mixed")).select(*PLACE).unionByName(placed.filter("doc_id > seg_doc").select(*PLACE))
     # Windows of one occurrence of each segment: in the batch wherever its first document has it, before the batch its first place.
     opened = placed.filter("doc_id = seg_doc").select("anchor", *PLACE)
     before = firsts.join(opened.select("doc_id").distinct().withColumnRenamed("doc_id", "own"), F.col("doc_id") == F.col("own"), "left_anti").select("anchor", *PLACE)
     parts = opened.unionByName(before).groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("first", "n", "anchor")).alias("parts"))
-    wins = parts.join(_keyed(docs).hint("merge"), ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "parts").mapInArrow(_window_rows(window), "anchor long, win long, doc_id long, row_key long, first int")
+    wins = parts.join(_keyed(docs).hint("merge"), ["doc_id", "row_key"]).select("doc_id", "row_key", "text", "parts").mapInArrow(_window_rows(window), "anchor long, win long, win2 long, doc_id long, row_key long, first int")
     wins = written(wins, f"{work}/windows")
-    first_doc = wins.groupBy("anchor", "win").agg(F.min("doc_id").alias("win_doc"), F.max("doc_id").alias("last_doc")).filter("win_doc < last_doc")
+    first_doc = wins.groupBy(*WIN).agg(F.min("doc_id").alias("win_doc"), F.max("doc_id").alias("last_doc")).filter("win_doc < last_doc")
     own = opened.select("doc_id", "row_key").distinct()
-    single = wins.join(own, ["doc_id", "row_key"], "left_semi").join(first_doc.hint("merge"), ["anchor", "win"]).filter("doc_id > win_doc").select("doc_id", "row_key", "first", F.lit(1).alias("n"))
+    single = wins.join(own, ["doc_id", "row_key"], "left_semi").join(first_doc.hint("merge"), list(WIN)).filter("doc_id > win_doc").select("doc_id", "row_key", "first", F.lit(1).alias("n"))
     return whole.unionByName(single)
 
 
@@ -202,15 +204,15 @@ def _window_rows(window: int):
             ids, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             parts = batch.column(3)
             for lo, hi, buf, offsets in X.chunks(batch.column(2)):
-                words = X.cut(buf, offsets, X.BLANK_WORDS, seeds=2)
+                words = X.cut(buf, offsets, X.BLANK_WORDS, seeds=0)
                 own = parts[lo:hi]
                 doc = np.repeat(np.arange(hi - lo), own.value_lengths().to_numpy())
                 flat = own.flatten()
                 first, n, anchor = (flat.field(k).to_numpy() for k in range(3))
                 i = np.repeat(first.astype(np.int64) + words.bounds[doc], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 doc, anchor = np.repeat(doc, n), np.repeat(anchor, n)
-                digest = X.spans_hash(words, i, i + window, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(X.signed(digest)), pa.array(ids[lo + doc]), pa.array(keys[lo + doc]), pa.array((i - words.bounds[doc]).astype(np.int32))], names=["anchor", "win", "doc_id", "row_key", "first"])
+                digest = X.digests(words, i, i + window)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), *map(pa.array, digest.T.copy()), pa.array(ids[lo + doc]), pa.array(keys[lo + doc]), pa.array((i - words.bounds[doc]).astype(np.int32))], names=[*WIN, "doc_id", "row_key", "first"])
 
     return step
 

@@ -5,16 +5,19 @@ bounded size.  A word class is a set of bytes; bytes of 0x80 and above count
 as word bytes, so a class of code points that holds everything outside ASCII
 can be tested byte by byte.
 
-Every hash is a polynomial over the ring of 64-bit integers whose terms come
-from a random table, followed by a bijective mixer.  Two independent seeds
-give 128 bits, which is what operators use as a verified identity.
+The plain hash of a word is a polynomial over the ring of 64-bit integers whose
+terms come from a random table, followed by a bijective mixer.  It is quick and
+good for finding candidates; words can be made that collide, so it proves
+nothing.  What an operator takes for identity without looking at the words again
+comes from BLAKE2b: `strong` hashes of distinct words, or digests of runs of words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +99,7 @@ class Words:
     bounds: np.ndarray
     doc: np.ndarray
     hashes: tuple[np.ndarray, ...]
+    inside: np.ndarray
 
     def text(self, i: int, j: int) -> bytes:
         """Words i to j - 1 joined by one space."""
@@ -103,8 +107,65 @@ class Words:
         return b" ".join(raw[s:e].tobytes() for s, e in zip(self.starts[i:j].tolist(), self.ends[i:j].tolist(), strict=True))
 
 
+class _Digests(dict):
+    """word -> its number; `raw` holds the digest of each number, 16 bytes long."""
+
+    def __init__(self):
+        super().__init__()
+        self.raw = bytearray()
+
+    def __missing__(self, word: bytes) -> int:
+        number = len(self.raw) // 16
+        self.raw += blake2b(word, digest_size=16).digest()
+        if len(word) <= 64:
+            self[word] = number
+        return number
+
+
+#: Distinct words a worker keeps with their digests before it starts anew.
+STORE_WORDS = 400_000
+_STORE = _Digests()
+
+
+def joined(words: Words) -> np.ndarray:
+    """The words' bytes, one blank after each."""
+    inside = words.inside
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]
+    flat = words.buf[keep]
+    flat[~inside[keep]] = 32
+    # No byte parts the last word of a document from the first of the next, nor ends the last.
+    touching = words.ends[np.concatenate((words.starts[1:] == words.ends[:-1], [len(words.ends) > 0 and words.ends[-1] == len(words.buf)]))] if len(words.ends) else words.ends
+    return np.insert(flat, np.cumsum(keep)[touching - 1], 32) if len(touching) else flat
+
+
+def places(words: Words) -> np.ndarray:
+    """First byte of each word in `joined`, and the end of all."""
+    return np.concatenate(([0], np.cumsum(words.ends - words.starts + 1)))
+
+
+def strong(words: Words, seeds: int = 1) -> Words:
+    """The same words with hashes from BLAKE2b of each distinct word; two seeds are the halves of one digest of 128 bits."""
+    global _STORE
+    if len(_STORE.raw) > 16 * STORE_WORDS:
+        _STORE = _Digests()
+    parts = joined(words).tobytes().split(b" ")
+    n = len(words.starts)
+    number = np.fromiter(map(_STORE.__getitem__, parts[:n]), np.int64, n)
+    table = np.frombuffer(bytes(_STORE.raw), dtype=np.uint64).reshape(-1, 2)
+    return replace(words, hashes=tuple(table[number, k] for k in range(seeds)))
+
+
+def digests(words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """BLAKE2b of words first[i] .. last[i] - 1 joined by blanks, for each i: rows of two longs."""
+    at = places(words)
+    view = memoryview(joined(words).tobytes())
+    raw = b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in zip(at[first].tolist(), at[last].tolist(), strict=True)])
+    return np.frombuffer(raw, dtype=np.int64).reshape(-1, 2)
+
+
 def cut(buf: np.ndarray, offsets: np.ndarray, table: tuple[np.ndarray, np.ndarray], seeds: int = 1) -> Words:
-    """Cut documents (buf[offsets[d]:offsets[d + 1]]) into words and hash each word."""
+    """Cut documents (buf[offsets[d]:offsets[d + 1]]) into words and hash each word; without seeds, no hashes."""
     inside, fold = table
     buf = fold[buf]
     n = len(buf)
@@ -123,7 +184,7 @@ def cut(buf: np.ndarray, offsets: np.ndarray, table: tuple[np.ndarray, np.ndarra
         np.cumsum(_table(k)[buf] * powers(_ODD[k], n), out=total[1:])
         h = (total[ends] - total[starts]) * powers(inverse(_ODD[k]), n + 1)[starts]
         hashes.append(mix(h + (ends - starts).astype(np.uint64)))
-    return Words(buf, starts, ends, bounds, doc, tuple(hashes))
+    return Words(buf, starts, ends, bounds, doc, tuple(hashes), member[1 : n + 1])
 
 
 def windows(words: Words, length: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:

@@ -114,6 +114,25 @@ def test_pii_base_equals_the_patterns(text):
     check_base(text)
 
 
+@pytest.mark.parametrize("part", range(4))
+def test_pii_octets_of_very_many_zeros(part):
+    for tail in ("1", "256", "0"):
+        octets = ["1"] * 4
+        octets[part] = "0" * 5000 + tail
+        text = f"x {'.'.join(octets)} y"
+        assert [s for s in pii.Finder().find(text) if s[2] == "ip"] == [(s, e, "ip") for s, e in pii.brute(text)["ip"]]
+        assert ("ip:2:" in pii.joined(pii.Finder().find(text))) == (tail != "256")
+
+
+@pytest.mark.parametrize("part", ["0", "1 ", "@", "a@", "a@b.c", "+", "+1", "+1 (", "://", "a://", "a://b@", "sk-", "eyJ", "eyJ-", "token=", "token=x", "iban ", "iban DE", "-----BEGIN ", "1.1.", "AKIA", "xoxb-", " "])
+def test_pii_takes_any_long_run(part):
+    """No exception, and time in proportion: 400,000 characters of one part, bare and between texts."""
+    finder = pii.Finder()
+    for text in (part * (400_000 // len(part)), "mail a.b@c.de " + part * 1000 + " 1.2.3.4"):
+        found = finder.find(text)
+        assert all(0 <= s < e <= len(text) for s, e, _ in found) and pii.masked(text, found)
+
+
 def test_pii_recall_of_planted_data_and_clean_text():
     """Every planted form is covered by a span of its kind; prose with numbers, prefixes and at-signs has none."""
     rng = random.Random(9)

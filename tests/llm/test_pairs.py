@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.llm import decontaminate, ngram_join, substring_dedup
+from folioforge.llm import decontaminate, ngram_join, substring_dedup, textops
 from folioforge.llm.components import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row_key string, node string, component string, sig string"
@@ -53,6 +53,37 @@ def test_substring_dedup_odd_rows(spark, tmp_path):
     assert substring_dedup.kept(substring_dedup.dedup(frame(spark, []), f"file://{tmp_path}/e")).count() == 0
 
 
+def twins():
+    """Two words of 1,024 letters that polynomials modulo a power of two can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_whose_plain_hashes_agree_are_told_apart(spark, tmp_path):
+    one, other = twins()
+    rest = [f"w{i}" for i in range(59)]
+    rows = [(1, " ".join([*rest[:30], one, *rest[30:]])), (2, " ".join([*rest[:30], other, *rest[30:]])), (3, one), (4, other), (5, other)]
+    removed = {r.doc_id: r.n_removed for r in substring_dedup.kept(substring_dedup.dedup(frame(spark, rows), f"file://{tmp_path}/w")).collect()}
+    assert removed == dict.fromkeys(range(1, 6), 0)
+    found, _ = ngram_join.join(frame(spark, rows), f"file://{tmp_path}/j")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == ngram_join.brute(rows)
+
+
+def test_digests_of_runs_of_words():
+    texts = ["a  b\tc", "c d", "", " e", "f "]
+    data = "".join(texts).encode()
+    words = textops.cut(np.frombuffer(data, np.uint8), np.cumsum([0, *map(len, texts)]), textops.BLANK_WORDS, seeds=0)
+    assert textops.joined(words).tobytes() == b"a b c c d e f "
+    parts = textops.joined(words).tobytes().split(b" ")[:-1]
+    assert [bytes(words.buf[s:e]) for s, e in zip(words.starts, words.ends, strict=True)] == parts
+    runs = textops.digests(words, np.array([0, 2, 3, 0]), np.array([1, 3, 4, 3]))
+    assert (runs[1] == runs[2]).all() and len({tuple(x) for x in runs.tolist()}) == 3
+    for text in ("", "   ", "abc"):
+        lone = textops.cut(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), textops.BLANK_WORDS, seeds=0)
+        assert textops.joined(lone).tobytes() == (b"abc " if text == "abc" else b"")
+        assert len(textops.strong(lone).hashes[0]) == len(lone.starts)
+
+
 def test_index_grows_by_batches(spark, tmp_path):
     """Runs of one batch each, then compaction, hold the entries of one run of everything."""
     rows = [(i, t) for i, t in passages(3) if i is not None]
