@@ -19,6 +19,9 @@ MODULES = {
     "op8_html_extraction": "html_extract",
     "op9_token_counts": "token_counts",
     "op10_ngram_jaccard_join": "ngram_join",
+    "op11_embedding_near_dedup": "metric_join",
+    "op12_importance_resampling": "resample",
+    "op13_ranked_search": "ranked_search",
 }
 
 
