@@ -15,10 +15,11 @@ with so many empty parts that the counting could rest on them alone is hashed
 again by the next of FAMILIES, and the last family gives all its signatures.
 So no link is lost.
 
-Words are hashed by BLAKE2b, so a shingle's hash stands for its words.  Sets with
+Words are hashed under a key drawn for each run, so a shingle's hash stands for its
+words: no text can be made to collide, and by chance one in 2 ** 64 does.  Sets with
 equal content are one class and one node: of equal size, and equal in two sums of
 64 bits over hashes of their shingles that come from different halves of the words'
-digests.  Candidates of a signature
+hashes.  Candidates of a signature
 are not expanded into pairs: each node is first compared with the pivot of its
 best signature; then, in signatures that still hold more than one component,
 each node outside the largest component meets the others.  The join that lets
@@ -41,6 +42,7 @@ null component.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -92,8 +94,8 @@ def bands() -> tuple[np.ndarray, ...]:
     return tuple(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True))
 
 
-def _cut(buf: np.ndarray, offsets: np.ndarray, seeds: int = 1) -> X.Words:
-    return X.strong(X.cut(buf, offsets, X.BLANK_WORDS_LOWER, seeds=0), seeds)
+def _cut(buf: np.ndarray, offsets: np.ndarray, key: int, seeds: int = 1) -> X.Words:
+    return X.strong(X.cut(buf, offsets, X.BLANK_WORDS_LOWER, seeds=0), key, seeds)
 
 
 def _sets(words: X.Words, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -186,13 +188,13 @@ def _wide(h: np.ndarray, bounds: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return pa.array(full, pa.list_(pa.int64())), pa.array(half, pa.list_(pa.int64()))
 
 
-def set_rows(docs: DataFrame, rule: Rule) -> DataFrame:
+def set_rows(docs: DataFrame, rule: Rule, key: int) -> DataFrame:
     """doc_id, n (set size), a 128-bit digest of the set (d1, d2) and its parity sketches."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, buf, offsets in X.chunks(batch.column(1)):
-                doc, h, bounds, both = _sets(_cut(buf, offsets, 2), rule.words)
+                doc, h, bounds, both = _sets(_cut(buf, offsets, key, 2), rule.words)
                 n = hi - lo
                 d1, d2 = (_sums(doc, X.mix(x ^ X.U64(c)), n) for x, c in zip(both, (0x1B873593CC9E2D51, 0x85EBCA6BC2B2AE35), strict=True))
                 spread = X.mix(h + X.U64(0x27D4EB2F165667C5))
@@ -203,14 +205,14 @@ def set_rows(docs: DataFrame, rule: Rule) -> DataFrame:
     return _read(docs, step, "doc_id long, n long, d1 long, d2 long, " + ", ".join(f"{p} long" for p in PARITY) + ", wide array<long>, folded array<long>")
 
 
-def signature_rows(docs: DataFrame, rule: Rule, families: tuple[int, ...] = tuple(range(FAMILIES))) -> DataFrame:
+def signature_rows(docs: DataFrame, rule: Rule, key: int, families: tuple[int, ...] = tuple(range(FAMILIES))) -> DataFrame:
     """sig, doc_id."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for lo, _hi, buf, offsets in X.chunks(batch.column(1)):
-                doc, h, bounds, _ = _sets(_cut(buf, offsets), rule.words)
+                doc, h, bounds, _ = _sets(_cut(buf, offsets, key), rule.words)
                 origin = np.arange(len(bounds) - 1)
                 for f in families:
                     own, sig, sparse = signatures(doc, h, bounds, rule, f, f == families[-1])
@@ -225,10 +227,10 @@ def signature_rows(docs: DataFrame, rule: Rule, families: tuple[int, ...] = tupl
     return _read(docs, step, "sig long, doc_id long")
 
 
-def _verify(rule: Rule):
+def _verify(rule: Rule, key: int):
     def one(text: pa.Scalar) -> np.ndarray:
         data = np.frombuffer((text.as_py() or "").encode(), dtype=np.uint8)
-        return _sets(_cut(data, np.array([0, len(data)])), rule.words)[1]
+        return _sets(_cut(data, np.array([0, len(data)]), key), rule.words)[1]
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,12 +273,12 @@ def _plausible(pairs: DataFrame, nodes: DataFrame, rule: Rule) -> DataFrame:
     return near.select(*pairs.columns)
 
 
-def _links(pairs: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, rule: Rule, key: int) -> DataFrame:
     """The pairs (u, v) whose texts link."""
     a = texts.select(F.col("node").alias("u"), F.col("text").alias("ta"))
     b = texts.select(F.col("node").alias("v"), F.col("text").alias("tb"))
     # First the side that recurs least; the text of a pivot joins last, and isn't shuffled once for each of its pairs.
-    return pairs.select("u", "v").join(b, "v").join(a, "u").select("u", "v", "ta", "tb").mapInArrow(_verify(rule), "u long, v long").distinct()
+    return pairs.select("u", "v").join(b, "v").join(a, "u").select("u", "v", "ta", "tb").mapInArrow(_verify(rule, key), "u long, v long").distinct()
 
 
 def _mixed(members: DataFrame, comp: DataFrame) -> DataFrame:
@@ -302,14 +304,15 @@ def join(docs: DataFrame, work: str, rule: Rule = Rule(), split_over: int = SPLI
     The links connect what is linked; they don't list every linked pair.
     """
     spark = docs.sparkSession
-    sets = written(set_rows(docs, rule), f"{work}/sets")
+    key = secrets.randbits(63)
+    sets = written(set_rows(docs, rule, key), f"{work}/sets")
     classes = sets.filter("n > 0").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("node"), *(F.first(p).alias(p) for p in SKETCH))
     nodes = written(classes, f"{work}/classes")
     of_doc = written(sets.join(nodes.select("n", "d1", "d2", "node"), ["n", "d1", "d2"], "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")), f"{work}/of_doc")
     by_doc = of_doc.select("doc_id", "node").distinct()
 
     # Partial aggregates find the signatures that are shared; equi-joins, which can split a hot one, take the rows back.
-    every = written(signature_rows(docs, rule), f"{work}/signatures")
+    every = written(signature_rows(docs, rule, key), f"{work}/signatures")
     for s in range(SLICES):
         rows = every.filter(F.pmod("sig", F.lit(SLICES)) == s)
         shared = rows.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("sig")
@@ -327,7 +330,7 @@ def join(docs: DataFrame, work: str, rule: Rule = Rule(), split_over: int = SPLI
     texts = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("node"), "text").join(involved, "node")
     # Repeated rows would meet each other in every pair.
     texts = written(texts.withColumn("same", F.xxhash64("text")).dropDuplicates(["node", "same"]).drop("same"), f"{work}/texts")
-    links = written(_links(best, texts, rule), f"{work}/links-1")
+    links = written(_links(best, texts, rule, key), f"{work}/links-1")
 
     comp = components(links, f"{work}/comp-1").select(F.col("node").alias("cnode"), "component")
     mixed = written(_mixed(members.select("sig", "node"), comp), f"{work}/mixed-0")
@@ -337,13 +340,13 @@ def join(docs: DataFrame, work: str, rule: Rule = Rule(), split_over: int = SPLI
         if hot.isEmpty():
             break
         again = texts.join(hot.select("node").distinct(), "node").select(F.col("node").alias("doc_id"), "text")
-        more = signature_rows(again, rule, tuple(range(FAMILIES + 4 * s, 2 * FAMILIES + 4 * s))).select(F.col("sig").alias("next"), F.col("doc_id").alias("node"))
+        more = signature_rows(again, rule, key, tuple(range(FAMILIES + 4 * s, 2 * FAMILIES + 4 * s))).select(F.col("sig").alias("next"), F.col("doc_id").alias("node"))
         hot = hot.join(more, "node").select(F.xxhash64("sig", "next").alias("sig"), "node").distinct()
         mixed = written(_mixed(hot, comp), f"{work}/mixed-{s}")
         pairs = pairs.unionByName(_cross(mixed.filter(F.col("cost") <= split_over) if s < SPLITS else mixed, nodes, rule))
     tried = best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     pairs = written(pairs.distinct().join(tried, ["u", "v"], "left_anti"), f"{work}/pairs")
-    links = links.unionByName(written(_links(pairs, texts, rule), f"{work}/links-2"))
+    links = links.unionByName(written(_links(pairs, texts, rule, key), f"{work}/links-2"))
     for name in ("sets", "classes", "met", "members", "best", "texts", "comp-1", "pairs", *(f"mixed-{s}" for s in range(SPLITS + 1))):
         remove(spark, f"{work}/{name}")
     # Rows of one doc_id with different sets are one node.

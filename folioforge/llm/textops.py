@@ -9,7 +9,7 @@ The plain hash of a word is a polynomial over the ring of 64-bit integers whose
 terms come from a random table, followed by a bijective mixer.  It is quick and
 good for finding candidates; words can be made that collide, so it proves
 nothing.  What an operator takes for identity without looking at the words again
-comes from BLAKE2b: `strong` hashes of distinct words, or digests of runs of words.
+are keyed (`strong`) hashes of words, or BLAKE2b digests of runs of words.
 """
 
 from __future__ import annotations
@@ -107,26 +107,6 @@ class Words:
         return b" ".join(raw[s:e].tobytes() for s, e in zip(self.starts[i:j].tolist(), self.ends[i:j].tolist(), strict=True))
 
 
-class _Digests(dict):
-    """word -> its number; `raw` holds the digest of each number, 16 bytes long."""
-
-    def __init__(self):
-        super().__init__()
-        self.raw = bytearray()
-
-    def __missing__(self, word: bytes) -> int:
-        number = len(self.raw) // 16
-        self.raw += blake2b(word, digest_size=16).digest()
-        if len(word) <= 64:
-            self[word] = number
-        return number
-
-
-#: Distinct words a worker keeps with their digests before it starts anew.
-STORE_WORDS = 400_000
-_STORE = _Digests()
-
-
 def joined(words: Words) -> np.ndarray:
     """The words' bytes, one blank after each."""
     inside = words.inside
@@ -144,16 +124,33 @@ def places(words: Words) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(words.ends - words.starts + 1)))
 
 
-def strong(words: Words, seeds: int = 1) -> Words:
-    """The same words with hashes from BLAKE2b of each distinct word; two seeds are the halves of one digest of 128 bits."""
-    global _STORE
-    if len(_STORE.raw) > 16 * STORE_WORDS:
-        _STORE = _Digests()
-    parts = joined(words).tobytes().split(b" ")
-    n = len(words.starts)
-    number = np.fromiter(map(_STORE.__getitem__, parts[:n]), np.int64, n)
-    table = np.frombuffer(bytes(_STORE.raw), dtype=np.uint64).reshape(-1, 2)
-    return replace(words, hashes=tuple(table[number, k] for k in range(seeds)))
+def strong(words: Words, key: int, seeds: int = 1) -> Words:
+    """The same words with hashes keyed by a number of 63 bits that is drawn for each run, so no text can be made to collide.
+
+    Words of up to 15 bytes are, with their length, two lanes of 64 bits, which three
+    rounds of a Feistel network turn over: two seeds together tell any two such words
+    apart.  Longer ones are hashed by BLAKE2b.
+    """
+    size = words.ends - words.starts
+    bytes_ = np.zeros(len(words.buf) + 16, np.uint8)
+    bytes_[: len(words.buf)] = words.buf
+    view = np.ndarray((len(words.buf) + 9,), np.dtype("<u8"), bytes_, 0, (1,))
+    full, low = np.minimum(size, 8).astype(np.uint64), np.clip(size - 8, 0, 7).astype(np.uint64)
+    a = view[words.starts] & ~U64(0) >> (U64(64) - (full << U64(3)))
+    b = view[np.minimum(words.starts + 8, len(words.buf))] & (U64(1) << (low << U64(3))) - U64(1) | size.astype(np.uint64) << U64(56)
+    k1, k2, k3 = (U64(int.from_bytes(blake2b(bytes([i]), digest_size=8, key=key.to_bytes(8)).digest())) for i in range(3))
+    b = b ^ mix(a + k1)
+    a = a ^ mix(b + k2)
+    if seeds > 1:
+        b ^= mix(a + k3)
+    lanes = (a, b)[:seeds]
+    long = np.flatnonzero(size > 15)
+    if len(long):
+        whole, secret = words.buf.tobytes(), key.to_bytes(8)
+        raw = b"".join([blake2b(whole[s:e], digest_size=16, key=secret).digest() for s, e in zip(words.starts[long].tolist(), words.ends[long].tolist(), strict=True)])
+        for lane, digest in zip(lanes, np.frombuffer(raw, np.uint64).reshape(-1, 2).T, strict=False):
+            lane[long] = digest
+    return replace(words, hashes=lanes)
 
 
 def digests(words: Words, first: np.ndarray, last: np.ndarray) -> np.ndarray:

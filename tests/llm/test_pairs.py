@@ -81,7 +81,20 @@ def test_digests_of_runs_of_words():
     for text in ("", "   ", "abc"):
         lone = textops.cut(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]), textops.BLANK_WORDS, seeds=0)
         assert textops.joined(lone).tobytes() == (b"abc " if text == "abc" else b"")
-        assert len(textops.strong(lone).hashes[0]) == len(lone.starts)
+        assert len(textops.strong(lone, 5).hashes[0]) == len(lone.starts)
+
+
+def test_keyed_hashes_tell_words_apart():
+    """Equal words have equal hashes wherever they stand; different ones, of any length and with zero bytes, differ."""
+    rng = random.Random(3)
+    every = [bytes(rng.choice([0, 1, 97, 98, 255]) for _ in range(rng.randrange(1, 20))) for _ in range(4000)] + [x.encode() for x in twins()] + [b"a" * n for n in range(1, 40)]
+    rng.shuffle(every)
+    data = b" ".join(every + every)
+    found = textops.strong(textops.cut(np.frombuffer(data, np.uint8), np.array([0, len(data)]), textops.BLANK_WORDS, seeds=0), 77, 2)
+    for lane in found.hashes:
+        assert len(dict(zip(every + every, lane.tolist(), strict=True))) == len(set(every)) == len(set(lane.tolist()))
+    other = textops.strong(textops.cut(np.frombuffer(data, np.uint8), np.array([0, len(data)]), textops.BLANK_WORDS, seeds=0), 78, 2)
+    assert (found.hashes[0] != other.hashes[0]).all()
 
 
 def test_index_grows_by_batches(spark, tmp_path):
