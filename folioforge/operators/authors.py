@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import with_similarity
 from ..functions.text import asin_of_url, clean_biography, cleanup_description, html_text, normalize_name, strip
 from .enrich import collapse_initials, one_per_name, same_author
+from .text_index import TextIndex
 
 NAME_FLOOR, TEXT_HITS, HIT_DEPTH = 0.7, 25, 5
 #: What is no portrait, no biography, no name.
@@ -99,11 +100,8 @@ def info_of_hits(hits: DataFrame, authors: DataFrame) -> DataFrame:
 
 def text_hits(wanted: DataFrame, known: DataFrame, most: int = TEXT_HITS) -> DataFrame:
     """wanted (query) with the known authors (asin, name, ..) that share words with it, those with most shared words first: score, pos."""
-    words = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")))
-    shared = wanted.select("query").distinct().select("query", words("query").alias("w")).join(known.select("asin", words("name").alias("w")), "w")
-    scored = shared.groupBy("query", "asin").agg(F.count("*").alias("score"))
-    top = scored.withColumn("pos", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "asin"))).filter(F.col("pos") <= most)
-    return top.join(known, "asin")
+    found = TextIndex(known, "asin", "name").search(wanted, most)
+    return found.withColumnRenamed("key", "asin").join(known, "asin")
 
 
 def catalogue_authors(products: DataFrame) -> DataFrame:

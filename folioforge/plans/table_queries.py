@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import records, store, telemetry
+from ..operators.text_index import TextIndex
 from ..sources.providers import preferred_language
 from ..sources.tables import table
 from ..streaming import breaker, limits
@@ -64,17 +65,27 @@ WITH tok AS (SELECT p_partkey, p_name, unnest(list_distinct(str_split(p_name, '
 n AS (SELECT q, p_partkey, count(*) AS score FROM qt JOIN tok USING (t) GROUP BY q, p_partkey)
 SELECT q, p_partkey, score, pos FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, p_partkey) AS pos FROM n) WHERE pos <= 25""")
 def a28_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token search: records that share tokens with each title, most tokens first, 25 of each.
-
-    Records of one name share their tokens, so names are matched, and ranked records come from the best names.
-    """
+    """Token search: records that share tokens with each title, most tokens first, 25 of each."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    names = part.groupBy("p_name").agg(F.count("*").alias("n"))
-    tokens = names.select("p_name", F.explode(F.array_distinct(F.split("p_name", " "))).alias("t"))
-    pairs = tokens.select(F.col("p_name").alias("q"), "t").join(tokens, "t").groupBy("q", "p_name").agg(F.count("*").alias("score"))
-    few = part.withColumn("r", F.row_number().over(Window.partitionBy("p_name").orderBy("p_partkey"))).filter("r <= 25").drop("r")
-    rank = Window.partitionBy("q").orderBy(F.desc("score"), "p_partkey")
-    return pairs.join(few, "p_name").withColumn("pos", F.row_number().over(rank).cast("long")).filter("pos <= 25").select("q", "p_partkey", "score", "pos")
+    found = TextIndex(part, "p_partkey", "p_name").search(part.select(F.col("p_name").alias("query")))
+    return found.select(F.col("query").alias("q"), F.col("key").alias("p_partkey"), "score", "pos")
+
+
+_LISTING = "concat('The ', p_name, ' ', lower(p_type), ', ', p_brand, ' no. ', p_size, CASE WHEN p_size % 5 = 0 THEN concat(' the ', p_name) ELSE '' END)"
+
+
+@query(f"""
+WITH own AS (SELECT p_partkey, list_filter(regexp_split_to_array(lower({_LISTING}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM part),
+post AS (SELECT p_partkey, t, floor(1000000::DOUBLE * (0.5::DOUBLE + 0.5::DOUBLE * count(*) / n) * (2::DOUBLE - pow(2, 1 - count(*))))::BIGINT AS impact FROM (SELECT p_partkey, len(w) AS n, unnest(w) AS t FROM own) GROUP BY p_partkey, n, t),
+q AS (SELECT DISTINCT concat(p_name, ' no ', p_size, ' by the unknown') AS q FROM part), qt AS (SELECT q, unnest(list_distinct(str_split(q, ' '))) AS t FROM q),
+s AS (SELECT q, p_partkey, sum(impact)::BIGINT AS score FROM qt JOIN post USING (t) GROUP BY q, p_partkey)
+SELECT q, p_partkey, score, pos FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, p_partkey) AS pos FROM s) WHERE pos <= 25""")
+def a28_weighted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by weights: a term counts by its share of the listing; some terms are in all listings, some in few."""
+    part = table(spark, sf_dir, "part")
+    listings = part.select("p_partkey", F.expr(_LISTING).alias("listing"))
+    wanted = part.select(F.concat("p_name", F.lit(" no "), F.col("p_size").cast("string"), F.lit(" by the unknown")).alias("query"))
+    return TextIndex(listings, "p_partkey", "listing", weighted=True).search(wanted).select(F.col("query").alias("q"), F.col("key").alias("p_partkey"), "score", "pos")
 
 
 @query("""
