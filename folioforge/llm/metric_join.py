@@ -47,8 +47,10 @@ from .components import components
 from .tables import shared_dir, table, written
 
 LEAST = 0.9
-#: Own vectors of a unit; pivots at most, and bytes of vectors they are found on.
+#: Own vectors of a unit at most; pivots at most, and bytes of vectors they are found on.
 BLOCK, PIVOTS, SAMPLE_BYTES = 4096, 1024, 16 << 20
+#: Units that a table too small for full ones is dealt into, and own vectors of a unit at least.
+UNITS, LEAST_BLOCK = 32, 256
 STREAM = 1024
 #: Room for rounding in distances.
 SLACK = 1e-6
@@ -293,7 +295,11 @@ def joined(rows: DataFrame, least: float, kind) -> DataFrame:
     return rows.repartition("unit").sortWithinPartitions("unit", "role", "near").mapInArrow(step, "u long, v long, n long")
 
 
-def range_join(df: DataFrame, work: str, least: float = LEAST, vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+def unit_size(count: int) -> int:
+    return max(LEAST_BLOCK, min(BLOCK, -(-count // UNITS)))
+
+
+def range_join(df: DataFrame, work: str, least: float = LEAST, vector: str = "embedding", block: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id, kept, one row for each row of df."""
     kind = np.float32 if df.schema[vector].dataType.elementType == T.FloatType() else np.float64
     rows = written(vectors(df, vector), f"{work}/vectors")
@@ -302,7 +308,9 @@ def range_join(df: DataFrame, work: str, least: float = LEAST, vector: str = "em
     classes = written(of_id.groupBy("d1", "d2").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), f"{work}/classes")
     firsts = rows.join(classes.hint("merge"), ["d1", "d2"]).filter(F.col("vec_id") == F.col("node"))
     nodes = written(firsts.dropDuplicates(["node"]).select("node", "copies", "dim", "vec", "d1", "d2"), f"{work}/nodes")
-    cells = Cells(pivots(nodes, nodes.count(), block, kind), kind)
+    count = nodes.count()
+    block = block or unit_size(count)
+    cells = Cells(pivots(nodes, count, block, kind), kind)
     assigned = written(cells.assign(nodes), f"{work}/assigned")
     # A row for each pivot, and for each length of vectors.
     stats = {s["cell"]: s for s in assigned.groupBy("cell").agg(F.count("*").alias("n"), F.max("near").alias("radius")).collect()}
