@@ -10,7 +10,7 @@ from ..functions.text import asin_of_url, clean_biography, cleanup_description,
 from .enrich import collapse_initials, one_per_name, same_author
 from .text_index import TextIndex
 
-NAME_FLOOR, TEXT_HITS, HIT_DEPTH = 0.7, 25, 5
+NAME_FLOOR, TEXT_HITS, HIT_DEPTH, SCANNED = 0.7, 25, 5, 20
 #: What is no portrait, no biography, no name.
 NO_PHOTO, NO_BIOGRAPHY, NO_NAME = r"(?i)/nophoto/", "N/A", "Showing titles\n in All Categories"
 #: Probes of a book's page.
@@ -104,6 +104,11 @@ def text_hits(wanted: DataFrame, known: DataFrame, most: int = TEXT_HITS) -> Dat
     return found.withColumnRenamed("key", "asin").join(known, "asin")
 
 
+def first_products(products: DataFrame, within: list[str], most: int = SCANNED) -> DataFrame:
+    """The first `most` products (pos) of each group: what one catalogue search gives; each task's part is cut down before it is dealt."""
+    return products.withColumn("_r", F.row_number().over(Window.partitionBy(*within).orderBy("pos"))).filter(F.col("_r") <= most).drop("_r")
+
+
 def catalogue_authors(products: DataFrame) -> DataFrame:
     """query, asin, name, pos: authors of products (query, product, pos, authors) whose names are near enough to the query.
 

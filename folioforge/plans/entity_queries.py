@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import authors, enrich, series, store, telemetry
+from ..operators.text_index import TextIndex
 from ..sources import records
 from ..sources.tables import table
 from . import sqltext as S
 from .catalogue import query
-from .scoring_queries import TOKEN_PAIRS, token_pairs
 
 c = F.col
 
@@ -77,16 +77,18 @@ def j6_series_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH RECURSIVE {TOKEN_PAIRS}, o AS (SELECT p_name, min(p_partkey) AS i FROM part GROUP BY p_name),
-h AS (SELECT q AS query, c AS form, y.i AS work, ((x.i * 7 + y.i) % 11, y.i) AS pos FROM np JOIN o x ON x.p_name = q JOIN o y ON y.p_name = c),
-r3 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY pos) AS r FROM h), pp AS (SELECT DISTINCT query AS a, form AS b FROM r3 WHERE r <= 3), {S.ratio('pp')}
-SELECT query, arg_min(work, pos) AS work FROM r3 JOIN ratios ON a = query AND b = form WHERE ratios.r >= 0.9 AND r3.r <= 3 GROUP BY query""")
+WITH RECURSIVE o AS (SELECT p_name AS form, min(p_partkey) AS work FROM part GROUP BY p_name), q AS (SELECT DISTINCT replace(p_name, 'l', 'll') AS query FROM part),
+qt AS (SELECT query, unnest(list_distinct(str_split(query, ' '))) AS t FROM q), ot AS (SELECT form, work, unnest(list_distinct(str_split(form, ' '))) AS t FROM o),
+h AS (SELECT query, form, work, count(*) AS n FROM qt JOIN ot USING (t) GROUP BY ALL), r3 AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY n DESC, work) AS pos FROM h),
+pp AS (SELECT DISTINCT query AS a, form AS b FROM r3 WHERE pos <= 3), {S.ratio('pp')}
+SELECT query, arg_min(work, pos) AS work FROM r3 JOIN ratios ON a = query AND b = form WHERE ratios.r >= 0.9 AND pos <= 3 GROUP BY query""")
 def s18_accepted_work(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first of three hits, titles with a word in common, whose title is near enough."""
-    ids = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("i"))
-    pairs = token_pairs(spark, sf_dir).join(ids.select(c("p_name").alias("q"), c("i").alias("x")), "q").join(ids.select(c("p_name").alias("c"), c("i").alias("work")), "c")
-    pos = F.struct(((c("x") * 7 + c("work")) % 11).alias("a"), c("work").alias("b"))
-    return series.accepted_works(pairs.select(c("q").alias("query"), c("q").alias("title"), pos.alias("pos"), "work", F.array("c").alias("forms")))
+    """The first of a misspelt title's three best text hits whose own title is near enough."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    works = part.groupBy("p_name").agg(F.min("p_partkey").alias("work"))
+    hits = TextIndex(works, "work", "p_name").search(part.select(F.replace("p_name", F.lit("l"), F.lit("ll")).alias("query")), series.DEPTH)
+    found = hits.select("query", c("query").alias("title"), "pos", c("key").alias("work")).join(works, "work")
+    return series.accepted_works(found.select("query", "title", "pos", "work", F.array("p_name").alias("forms")))
 
 
 _NAMED = "CASE WHEN c_custkey % 3 = 0 THEN concat('Jon Q. ', c_mktsegment) WHEN c_custkey % 3 = 1 THEN concat('Jon ', c_mktsegment) ELSE concat('Ann ', CASE c_custkey % 4 WHEN 0 THEN 'B ' WHEN 1 THEN 'C. ' ELSE '' END, c_mktsegment) END"
@@ -107,19 +109,21 @@ def c9_collapse_initials(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH RECURSIVE n AS (SELECT n_name FROM nation), pp AS (SELECT replace(lower(x.n_name), '_', '') AS a, replace(lower(y.n_name), '_', '') AS b FROM n x, n y), {S.ratio('pp')},
 people AS (SELECT r_name AS region, l_orderkey, l_linenumber, l_partkey, s_suppkey, s.n_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation s ON s.n_nationkey = s_nationkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN nation q ON q.n_nationkey = c_nationkey JOIN region ON r_regionkey = q.n_regionkey),
-w AS (SELECT q.n_name AS query, p.* FROM people p JOIN nation q ON true JOIN region ON r_regionkey = q.n_regionkey AND r_name = p.region JOIN ratios ON a = replace(lower(q.n_name), '_', '') AND b = replace(lower(p.n_name), '_', '') WHERE ratios.r >= 0.7),
+scan AS (SELECT *, dense_rank() OVER (PARTITION BY region ORDER BY l_orderkey) AS place FROM people),
+w AS (SELECT q.n_name AS query, p.* FROM (SELECT * FROM scan WHERE place <= 20) p JOIN nation q ON true JOIN region ON r_regionkey = q.n_regionkey AND r_name = p.region JOIN ratios ON a = replace(lower(q.n_name), '_', '') AND b = replace(lower(p.n_name), '_', '') WHERE ratios.r >= 0.7),
 k AS (SELECT query, s_suppkey, n_name, count(DISTINCT l_orderkey) AS n, min(l_orderkey * 10000000000 + l_linenumber * 100000000 + l_partkey) AS at_ FROM w GROUP BY ALL),
 b AS (SELECT query, n_name, arg_min(s_suppkey, (-n, at_)) AS s_suppkey, max(n) AS n, min(at_) AS first_ FROM k GROUP BY ALL)
 SELECT query, s_suppkey::VARCHAR AS asin, n_name AS name, row_number() OVER (PARTITION BY query ORDER BY n DESC, first_)::INT AS pos FROM b""")
 def w7_catalogue_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Authors of a catalogue's products by name: those on most products first, one of each name."""
+    """Authors of a catalogue's first twenty products of a region by name: those on most products first, one of each name."""
     t = lambda name: table(spark, sf_dir, name)
     maker = t("supplier").join(t("nation"), c("s_nationkey") == c("n_nationkey")).select("s_suppkey", "n_name")
-    items = t("lineitem").join(F.broadcast(maker), c("l_suppkey") == c("s_suppkey")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", c("s_suppkey").cast("string").alias("asin"), c("n_name").alias("name")))).alias("a"))
+    items = t("lineitem").join(maker, c("l_suppkey") == c("s_suppkey")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", c("s_suppkey").cast("string").alias("asin"), c("n_name").alias("name")))).alias("a"))
     place = t("customer").join(t("nation"), c("c_nationkey") == c("n_nationkey")).select("c_custkey", "n_regionkey")
     products = t("orders").join(items, c("o_orderkey") == c("l_orderkey")).join(place, c("o_custkey") == c("c_custkey")).select(c("o_orderkey").alias("product"), c("o_orderkey").alias("pos"), "n_regionkey", F.transform("a", lambda x: F.struct(x["asin"].alias("asin"), x["name"].alias("name"))).alias("authors"))
     asked = t("nation").select(c("n_name").alias("query"), "n_regionkey")
-    return authors.catalogue_authors(products.join(F.broadcast(asked), "n_regionkey"))
+    first = authors.first_products(products, ["n_regionkey"])
+    return authors.catalogue_authors(first.join(asked, "n_regionkey"))
 
 
 @query("""
@@ -346,7 +350,7 @@ def c7_author_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat("first", F.when(k % 3 == 0, " Q. ").otherwise(" "), "last")
     known = people.filter("s_suppkey % 2 = 0").select(F.concat(F.lit("B"), F.lpad(k.cast("string"), 9, "0")).alias("asin"), name.alias("name"), F.when(k % 5 == 0, "i").alias("image"), F.when(k % 7 == 0, "d").alias("description"))
     wanted = people.select(F.concat("first", F.lit(" "), "last").alias("query")).distinct()
-    items = t("lineitem").join(F.broadcast(people), c("l_suppkey") == k).select("l_orderkey", F.concat("first", F.lit(" "), "last").alias("query"), F.struct(F.concat(F.lit("B"), F.lpad(k.cast("string"), 9, "0")).alias("asin"), name.alias("name")).alias("a"))
+    items = t("lineitem").join(people, c("l_suppkey") == k).select("l_orderkey", F.concat("first", F.lit(" "), "last").alias("query"), F.struct(F.concat(F.lit("B"), F.lpad(k.cast("string"), 9, "0")).alias("asin"), name.alias("name")).alias("a"))
     products = items.groupBy("query", c("l_orderkey").alias("product")).agg(F.array_sort(F.collect_list("a")).alias("authors")).withColumn("pos", c("product"))
     return authors.search_authors(wanted, known, products)
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.similarity import ratio, with_title_similarity
+from ..functions.similarity import with_title_similarity
 from ..operators import scoring
 from ..operators.dedupe import CANDIDATE, dedupe_and_rank
 from ..operators.graph import key_components
+from ..operators.similarity_join import similar_pairs, similar_titles
 from ..sources.tables import table
 from ..streaming import breaker, limits
 from ..streaming.run import drained, stream_of
@@ -18,29 +19,32 @@ from .catalogue import query
 from .table_queries import z1_breaker  # noqa: F401  (its SQL is shared)
 from .catalogue import _SQL
 
-TOKEN_PAIRS = """
-nm AS (SELECT DISTINCT p_name FROM part), tk AS (SELECT p_name, unnest(list_distinct(str_split(p_name, ' '))) AS t FROM nm),
-np AS (SELECT DISTINCT x.p_name AS q, y.p_name AS c FROM tk x JOIN tk y USING (t))"""
+#: All pairs of distinct names: what a similarity join must not lose is judged against these.
+NAME_PAIRS = """
+nm AS (SELECT DISTINCT p_name FROM part), np AS (SELECT x.p_name AS q, y.p_name AS c FROM nm x, nm y)"""
+#: Spellings of a name with letters moved, doubled and left out.
+_SPELT = "CASE p_partkey % 5 WHEN 0 THEN p_name WHEN 1 THEN replace(p_name, 'e', '') WHEN 2 THEN concat(upper(substr(p_name, 1, 1)), lower(substr(p_name, 2)), 's') WHEN 3 THEN replace(p_name, 'l', 'll') ELSE concat(substr(p_name, 3), ' ', substr(p_name, 1, 2)) END"
 
 
-def token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs (q, c) of distinct names that share a token."""
-    tokens = table(spark, sf_dir, "part").select("p_name").distinct().select("p_name", F.explode(F.array_distinct(F.split("p_name", " "))).alias("t"))
-    return tokens.select(F.col("p_name").alias("q"), "t").join(tokens.select(F.col("p_name").alias("c"), "t"), "t").select("q", "c").distinct()
-
-
-@query(f"WITH RECURSIVE {TOKEN_PAIRS}, pp AS (SELECT q AS a, c AS b FROM np), {S.ratio('pp')} SELECT a AS q, b AS c, round(r, 9) AS r FROM ratios")
+@query(f"""WITH RECURSIVE nm AS (SELECT DISTINCT p_name AS a FROM part), sp AS (SELECT DISTINCT {_SPELT} AS b FROM part), pp AS (SELECT a, b FROM nm, sp), {S.ratio('pp')}
+SELECT a AS q, b AS c, round(r, 9) AS r FROM ratios WHERE r >= 0.7""")
 def s1_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_pairs(spark, sf_dir).withColumn("r", F.round(ratio("q", "c"), 9))
+    """Every pair of a name and a spelling whose ratio is 0.7 or more."""
+    part = table(spark, sf_dir, "part")
+    near = similar_pairs(part.select(F.col("p_name").alias("a")), part.select(F.expr(_SPELT).alias("b")), 0.7)
+    return near.select(F.col("a").alias("q"), F.col("b").alias("c"), F.round("r", 9).alias("r"))
 
 
-@query(f"""WITH RECURSIVE {TOKEN_PAIRS}, f AS (SELECT concat(q, ': a saga') AS q, concat(c, ' (large print)') AS c FROM np),
+@query(f"""WITH RECURSIVE {NAME_PAIRS}, f AS (SELECT concat(q, ': a saga') AS q, concat(c, ' (large print)') AS c FROM np),
 g AS (SELECT q, c, {S.clean('q')} AS q1, {S.clean(S.base_title('q'))} AS q2, {S.clean('c')} AS c1, {S.clean(S.base_title('c'))} AS c2 FROM f),
-pp AS (SELECT q1 AS a, c1 AS b FROM g UNION SELECT q1, c2 FROM g UNION SELECT q2, c1 FROM g UNION SELECT q2, c2 FROM g), {S.ratio('pp')}
-SELECT q, c, round(greatest(r1.r, r2.r, r3.r, r4.r), 9) AS sim FROM g JOIN ratios r1 ON r1.a = q1 AND r1.b = c1 JOIN ratios r2 ON r2.a = q1 AND r2.b = c2 JOIN ratios r3 ON r3.a = q2 AND r3.b = c1 JOIN ratios r4 ON r4.a = q2 AND r4.b = c2""")
+pp AS (SELECT q1 AS a, c1 AS b FROM g UNION SELECT q1, c2 FROM g UNION SELECT q2, c1 FROM g UNION SELECT q2, c2 FROM g), {S.ratio('pp')},
+h AS (SELECT q, c, greatest(r1.r, r2.r, r3.r, r4.r) AS sim FROM g JOIN ratios r1 ON r1.a = q1 AND r1.b = c1 JOIN ratios r2 ON r2.a = q1 AND r2.b = c2 JOIN ratios r3 ON r3.a = q2 AND r3.b = c1 JOIN ratios r4 ON r4.a = q2 AND r4.b = c2)
+SELECT q, c, round(sim, 9) AS sim FROM h WHERE sim >= 0.7""")
 def s3_title_sim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = token_pairs(spark, sf_dir).select(F.concat("q", F.lit(": a saga")).alias("q"), F.concat("c", F.lit(" (large print)")).alias("c"))
-    return with_title_similarity(pairs, "q", "c", "sim").withColumn("sim", F.round("sim", 9))
+    """Every pair of titles whose best forms are 0.7 alike or more."""
+    names = table(spark, sf_dir, "part").select("p_name").distinct()
+    near = similar_titles(names.select(F.concat("p_name", F.lit(": a saga")).alias("a")), names.select(F.concat("p_name", F.lit(" (large print)")).alias("b")), 0.7)
+    return near.select(F.col("a").alias("q"), F.col("b").alias("c"), F.round("sim", 9).alias("sim"))
 
 
 _CONF = "greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN authored THEN 0.55::DOUBLE * t + 0.3::DOUBLE * 1.0::DOUBLE + bonus ELSE t + bonus END))"
@@ -94,22 +98,21 @@ def s7_s13_penalties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(c, 9).alias("confidence"))
 
 
-@query(f"""WITH RECURSIVE {TOKEN_PAIRS}, f AS (SELECT concat('The ', q) AS q, c FROM np), pp AS (SELECT DISTINCT {S.clean('q')} AS a, {S.clean('c')} AS b FROM f), {S.ratio('pp')},
+@query(f"""WITH RECURSIVE {NAME_PAIRS}, f AS (SELECT concat('The ', q) AS q, c FROM np), pp AS (SELECT DISTINCT {S.clean('q')} AS a, {S.clean('c')} AS b FROM f), {S.ratio('pp')},
 s AS (SELECT q, c, 0.55::DOUBLE * r + 0.3::DOUBLE * 1.0::DOUBLE + 0.0::DOUBLE AS confidence FROM f JOIN ratios ON a = {S.clean('q')} AND b = {S.clean('c')}),
 n AS (SELECT p_name, count(*) AS n FROM part GROUP BY p_name)
 SELECT q, c AS title, round(confidence, 9) AS confidence, n AS records FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY confidence DESC, c) AS r FROM s WHERE confidence >= 0.8::DOUBLE * 0.55::DOUBLE + 0.7::DOUBLE * 0.3::DOUBLE) JOIN n ON p_name = c WHERE r = 1""")
 def j2_fuzzy_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: noisy catalogue titles normalised, blocked by tokens, scored, floored; the best title of each query.
+    """Flagship: noisy catalogue titles normalised, joined by similarity, scored, floored; the best title of each query.
 
-    Titles are made distinct before they meet, so pairs don't grow with records.
+    Titles are made distinct before they meet; the least similarity that can reach
+    the floor is the join's threshold, so no pair above the floor is lost.
     """
     part = table(spark, sf_dir, "part")
     titles = part.select(T.normalize_title(F.concat("p_name", F.lit(", Book "), F.col("p_size").cast("string"))).alias("title")).groupBy("title").agg(F.count("*").alias("records"))
-    tokens = titles.select("title", F.explode(F.array_distinct(F.split("title", " "))).alias("t"))
-    wanted = part.select("p_name").distinct().select("p_name", F.explode(F.array_distinct(F.split("p_name", " "))).alias("t"))
-    pairs = wanted.join(tokens, "t").select(F.concat(F.lit("The "), "p_name").alias("q"), "title").distinct()
-    scored = with_title_similarity(pairs, "q", "title", "sim", least=(scoring.FLOOR - 0.3) / 0.55)
-    scored = scored.withColumn("confidence", scoring.confidence(F.col("sim"), F.lit(1.0), F.lit(None).cast("double"))).filter(F.col("confidence") >= scoring.FLOOR)
+    wanted = part.select(F.concat(F.lit("The "), "p_name").alias("a")).distinct()
+    near = similar_titles(wanted, titles.select(F.col("title").alias("b")), (scoring.FLOOR - 0.3) / 0.55 - 1e-9)
+    scored = near.select(F.col("a").alias("q"), F.col("b").alias("title"), scoring.confidence(F.col("sim"), F.lit(1.0), F.lit(None).cast("double")).alias("confidence")).filter(F.col("confidence") >= scoring.FLOOR)
     best = scored.groupBy("q").agg(F.min(F.struct((-F.col("confidence")).alias("c"), "title")).alias("b"))
     return best.select("q", F.col("b.title").alias("title"), F.round(-F.col("b.c"), 9).alias("confidence")).join(titles, "title")
 
