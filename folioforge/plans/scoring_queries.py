@@ -12,7 +12,7 @@ from ..operators.dedupe import CANDIDATE, dedupe_and_rank
 from ..operators.graph import key_components
 from ..operators.similarity_join import similar_pairs, similar_titles
 from ..sources.tables import table
-from ..streaming import breaker, limits
+from ..streaming import breaker, cache, limits, rings
 from ..streaming.run import drained, stream_of
 from . import sqltext as S
 from .catalogue import query
@@ -165,9 +165,59 @@ def w1_condorcet(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_SQL["z1_breaker"])
 def z1_breaker_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The breaker as a stateful stream over the event files; equal to the batch fold."""
-    events = stream_of(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", (F.col("event_type") == "error").alias("failed"))
+    events = stream_of(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", (F.col("event_type") == "error").alias("failed"))
     rows = drained(breaker.stream(events, "user_id"), "update")
-    return rows.groupBy("user_id").agg(F.max(F.struct("calls", "rejected", "trips", "mode")).alias("s")).select("user_id", "s.*")
+    # Of a key's rows the last batch's holds, and in it the one that takes its waiting calls in.
+    return rows.groupBy("user_id").agg(F.max_by(F.struct("calls", "rejected", "trips", "mode"), F.struct("batch", "calls")).alias("s")).select("user_id", "s.*")
+
+
+@query(_SQL["j8_cache_split"])
+def z3_cache_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cache as a stream: probes that find a write of their key younger than two hours; equal to the batch split."""
+    kind = F.when(F.col("event_type") == "view", cache.PROBE).when(F.col("event_type").isin("purchase", "signup"), cache.WRITE)
+    events = stream_of(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind")).filter("kind IS NOT NULL")
+    found = cache.last_found(drained(cache.read_through(events, 7200), "update"))
+    return found.groupBy((F.col("how") == cache.HIT).alias("hit")).agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS at_ FROM events WHERE event_type IN ('view', 'purchase', 'error')),
+w AS (SELECT p.event_id, max((w.at_, CASE WHEN w.event_type = 'error' THEN 1 ELSE 0 END, w.event_id)) AS w FROM e p LEFT JOIN e w ON w.user_id = p.user_id AND w.event_type <> 'view' AND w.at_ <= p.at_ WHERE p.event_type = 'view' GROUP BY p.event_id)
+SELECT how, count(*) AS n FROM (SELECT CASE WHEN w IS NULL OR w[1] IS NULL OR e.at_ - w[1] > 86400000000 THEN 'absent' WHEN w[2] = 1 THEN 'miss' ELSE 'hit' END AS how FROM w JOIN e USING (event_id)) GROUP BY how""")
+def z4_known_misses_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known misses in the cache: a failed lookup is kept for a day like a value, and answers as a miss."""
+    kind = F.when(F.col("event_type") == "view", cache.PROBE).when(F.col("event_type") == "purchase", cache.WRITE).when(F.col("event_type") == "error", cache.KNOWN_MISS)
+    events = stream_of(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind")).filter("kind IS NOT NULL")
+    found = cache.last_found(drained(cache.read_through(events, 86_400), "update"))
+    return found.groupBy("how").agg(F.count("*").alias("n"))
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS at_, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_type = 'view'),
+f AS (SELECT user_id, r, at_ AS built, true AS own FROM e WHERE r = 1
+ UNION ALL SELECT e.user_id, e.r, CASE WHEN e.at_ - f.built <= 172800000000 THEN f.built ELSE e.at_ END, e.at_ - f.built > 172800000000 FROM f JOIN e ON e.user_id = f.user_id AND e.r = f.r + 1)
+SELECT user_id, count_if(own) AS built, count_if(NOT own) AS hits FROM f GROUP BY user_id""")
+def c10_read_through_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who asks first builds; those who ask within two days find it; then it is built anew."""
+    asked = stream_of(spark, sf_dir, "events").filter("event_type = 'view'").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.lit(cache.PROBE).alias("kind"))
+    found = cache.last_found(drained(cache.read_through(asked, 172_800, builds=True), "update"))
+    return found.groupBy(F.col("key").alias("user_id")).agg(F.count_if(F.col("how") == cache.BUILT).alias("built"), F.count_if(F.col("how") == cache.HIT).alias("hits"))
+
+
+@query(_SQL["g7_latency"])
+def z12_latency_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count of all and figures of the last hundred requests of each path, kept as rings by a stream."""
+    ok = stream_of(spark, sf_dir, "events").filter("event_type != 'error'").select(F.col("event_type").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), "value")
+    last = rings.merged(drained(rings.rings(ok, 100), "update"), 100)
+    found = last.groupBy(F.col("key").alias("event_type")).agg(F.max("seen").alias("n"), F.round(F.sum("value"), 4).alias("total"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 4).alias("mean"))
+    return found
+
+
+@query("SELECT event_id, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 50")
+def w3_recent_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest fifty decisions, kept as rings by a stream."""
+    every = stream_of(spark, sf_dir, "events").select(F.lit("all").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), "value")
+    return rings.merged(drained(rings.rings(every, 50), "update"), 50).select(F.col("id").alias("event_id"), "value")
 
 
 @query(_SQL["z2_rate_limit"])

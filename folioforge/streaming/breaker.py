@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import Ordered
+
 #: Failures that open it, how long, successes that close it.
 FAILURES, OPEN_MICROS, SUCCESSES = 5, 60_000_000, 2
 CLOSED, OPEN, HALF = 0, 1, 2
@@ -68,17 +70,34 @@ def advance(state: tuple, at: int, failed: bool) -> tuple:
     return mode, failures, successes, opened, rejected, trips
 
 
-def stream(events: DataFrame, key: str) -> DataFrame:
-    """Update-mode stream of key, calls, rejected, trips, mode from (key, at micros, event_id, failed)."""
+class Breaker(Ordered):
+    """The breaker of one key: its state is seven numbers, and the calls that the watermark hasn't passed.
+
+    A timer isn't needed for the half-open moment to hold: it is a time of its
+    own, at which the next call finds the breaker (see advance()); `half_open_at`
+    tells it beforehand.
+    """
+
+    fields = ("failed",)
+    event_schema = "at long, id long, failed boolean"
+    state_schema = "calls long, mode int, failures int, successes int, opened long, rejected long, trips long"
+    start = (0, *START)
+    idle_ms = 7 * 86_400_000
+
+    def take(self, state: tuple, event: tuple) -> tuple[tuple, None]:
+        return (state[0] + 1, *advance(state[1:], event[0], bool(event[2]))), None
+
+    def rows(self, key: tuple, state: tuple, results: list, settled: bool) -> Iterator[pd.DataFrame]:
+        calls, mode, _, _, opened, rejected, trips = state
+        half = opened + OPEN_MICROS if mode == OPEN else None
+        yield pd.DataFrame({"key": [key[0]], "calls": [calls], "rejected": [rejected], "trips": [trips], "mode": pd.array([mode], "int32"), "half_open_at": pd.array([half], "Int64"), "settled": [settled]})
 
-    def run(k: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        state = held.get if held.exists else (0, *START)
-        rows = pd.concat(list(batches)).sort_values(["at", "event_id"])
-        calls, rest = state[0], tuple(state[1:])
-        for at, failed in zip(rows["at"].tolist(), rows["failed"].tolist(), strict=True):
-            rest = advance(rest, at, failed)
-            calls += 1
-        held.update((calls, *rest))
-        yield pd.DataFrame({key: [k[0]], "calls": [calls], "rejected": [rest[4]], "trips": [rest[5]], "mode": [rest[0]]})
 
-    return events.groupBy(key).applyInPandasWithState(run, f"{key} long, calls long, rejected long, trips long, mode int", "calls long, mode int, failures int, successes int, opened long, rejected long, trips long", "update", "NoTimeout")
+def stream(events: DataFrame, key: str, delay: str = "10 minutes") -> DataFrame:
+    """Update-mode stream of key, calls, rejected, trips, mode, half_open_at, settled from (key, ts, event_id, failed).
+
+    Calls may come late by `delay`; later ones are dropped by the watermark.
+    """
+    calls = events.withWatermark("ts", delay).select(F.col(key).cast("long").alias("key"), "ts", F.unix_micros("ts").alias("at"), F.col("event_id").cast("long").alias("id"), "failed")
+    found = calls.groupBy("key").transformWithStateInPandas(statefulProcessor=Breaker(), outputStructType="key long, calls long, rejected long, trips long, mode int, half_open_at long, settled boolean", outputMode="Update", timeMode="EventTime")
+    return found.withColumnRenamed("key", key)
