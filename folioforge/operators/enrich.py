@@ -87,14 +87,3 @@ def retry_delay(attempt: Column, retry_after: Column) -> Column:
     """Milliseconds to wait, null to give up: what the server asks for up to ten seconds, else doubling from one to eight."""
     wait = F.when(retry_after.isNotNull(), retry_after * 1000).otherwise(F.least(F.pow(F.lit(2.0), attempt) * 1000, F.lit(8000.0)))
     return F.when(wait <= 10_000, wait.cast("long"))
-
-
-def allowed(ip: Column, cidr: str) -> Column:
-    """Whether an IPv4 address lies in a block."""
-    base, bits = cidr.split("/")
-    number = 0
-    for part in base.split("."):
-        number = number * 256 + int(part)
-    shift = 32 - int(bits)
-    value = F.aggregate(F.transform(F.split(ip, r"\."), lambda x: x.try_cast("long")), F.lit(0).cast("long"), lambda acc, x: acc * 256 + x)
-    return F.shiftright(value, shift) == (number >> shift)

@@ -75,14 +75,18 @@ def delete(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 def cache_split(probes: DataFrame, writes: DataFrame, ttl_seconds: int) -> DataFrame:
     """probes (key, ts) with `hit`: a write of the key no older than the ttl comes at or before it.
 
-    One window over the union of both, no join on time.
+    The last write before each probe comes from a scan in ranges, so a hot key is
+    dealt over many tasks; there is no join on time.
     """
-    from pyspark.sql import Window
-
-    both = probes.select("key", "ts", F.lit(1).alias("kind"), F.lit(None).cast("timestamp").alias("written")).unionByName(writes.select("key", "ts", F.lit(0).alias("kind"), F.col("ts").alias("written")))
-    last = F.last("written", ignorenulls=True).over(Window.partitionBy("key").orderBy("ts", "kind").rowsBetween(Window.unboundedPreceding, 0))
-    age = F.unix_micros("ts") - F.unix_micros(last)
-    return both.withColumn("hit", F.coalesce(age <= ttl_seconds * 1_000_000, F.lit(False))).filter("kind = 1").select("key", "ts", "hit")
+    from .scan import Ranges
+
+    # Writes of one moment are one; probes of one moment find the same, so they are scanned once.
+    asked = probes.select("key", "ts", F.lit(1).alias("kind")).distinct()
+    both = asked.unionByName(writes.select("key", "ts", F.lit(0).alias("kind")).distinct())
+    last = Ranges(both, "key", ["ts", "kind"]).last_known(F.when(F.col("kind") == 0, F.col("ts")), "written").filter("kind = 1")
+    age = F.unix_micros("ts") - F.unix_micros("written")
+    hit = last.select(F.col("key").alias("_key"), F.col("ts").alias("_ts"), F.coalesce(age <= ttl_seconds * 1_000_000, F.lit(False)).alias("hit"))
+    return probes.select("key", "ts").join(hit, F.col("key").eqNullSafe(F.col("_key")) & F.col("ts").eqNullSafe(F.col("_ts"))).select("key", "ts", "hit")
 
 
 def stale(updated: Column, now: Column, days: float = 7) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import languages as L
 from ..functions import text as T
-from ..operators import authors, enrich, records, scoring, search, series, store, telemetry
+from ..operators import addresses, authors, enrich, records, refresh, scoring, search, series, store, telemetry
 from ..sources.tables import cut_lineage, table
 from ..streaming.run import drained, stream_of
 from . import sqltext as S
@@ -185,16 +185,38 @@ def f20_page_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(authors.is_book_page(html).alias("book")).agg(F.count("*").alias("n"))
 
 
-_CALLER = "concat(cast(8 + event_id % 4 AS STRING), '.', cast(user_id % 3 AS STRING), '.', cast(event_id % 256 AS STRING), '.', cast(user_id % 256 AS STRING))"
+#: Callers, some of them no addresses: parts over 255, too few, too many, none, words.
+_CALLER = "CASE event_id % 23 WHEN 0 THEN concat('10.0.0.', cast(200 + user_id % 100 AS STRING)) WHEN 1 THEN concat('2560.0.', cast(user_id % 9 AS STRING)) WHEN 2 THEN 'unknown' WHEN 3 THEN NULL WHEN 4 THEN concat('10.1.2.3.', cast(user_id % 9 AS STRING)) ELSE concat(cast(8 + event_id % 4 AS STRING), '.', cast(user_id % 3 AS STRING), '.', cast(event_id % 256 AS STRING), '.', cast(user_id % 256 AS STRING)) END"
+#: The first and last address of a block, as numbers, and a caller's, null where it is none.
+_NUMBER = "CASE WHEN regexp_matches({x}, '^[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}$') AND list_max(list_transform(str_split({x}, '.'), lambda p: p::INT)) <= 255 THEN list_reduce(list_transform(str_split({x}, '.'), lambda p: p::BIGINT), lambda t, p: t * 256 + p) END"
 
 
 @query(f"""
-WITH d AS (SELECT str_split({_CALLER}, '.') AS p FROM events), e AS (SELECT ((p[1]::BIGINT * 256 + p[2]::BIGINT) * 256 + p[3]::BIGINT) * 256 + p[4]::BIGINT AS ip FROM d)
-SELECT ip BETWEEN 167837696 AND 167838719 AS narrow, ip BETWEEN 167772160 AND 184549375 AS wide, count(*) AS n FROM e GROUP BY ALL""")
+WITH d AS (SELECT {_CALLER} AS ip FROM events), e AS (SELECT {_NUMBER.format(x='ip')} AS ip FROM d)
+SELECT coalesce(ip BETWEEN 167837696 AND 167838719, false) AS narrow, coalesce(ip BETWEEN 167772160 AND 184549375, false) AS wide, count(*) AS n FROM e GROUP BY ALL""")
 def f21_cidr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Callers inside two blocks, 10.1.0.0/22 and 10.0.0.0/8."""
     ip = F.expr(_CALLER)
-    return table(spark, sf_dir, "events").groupBy(enrich.allowed(ip, "10.1.0.0/22").alias("narrow"), enrich.allowed(ip, "10.0.0.0/8").alias("wide")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "events").groupBy(addresses.allowed(ip, "10.1.0.0/22").alias("narrow"), addresses.allowed(ip, "10.0.0.0/8").alias("wide")).agg(F.count("*").alias("n"))
+
+
+#: Blocks from the suppliers, hundreds of them nested in one another, some that can't be read.
+_BLOCK = "CASE WHEN s_suppkey % 19 = 0 THEN concat('10.0.0.', s_suppkey % 300, '/40') ELSE concat(8 + s_suppkey % 3, '.', s_suppkey % 2, '.', (s_suppkey * 7) % 256, '.', (s_suppkey * 13) % 256, '/', 6 + s_suppkey % 27) END"
+
+
+@query(f"""
+WITH b AS (SELECT DISTINCT {_BLOCK} AS block FROM supplier), p AS (SELECT block, str_split(block, '/')[1] AS base, str_split(block, '/')[2]::INT AS bits FROM b),
+r AS (SELECT block, bits, ({_NUMBER.format(x='base')} >> (32 - bits)) << (32 - bits) AS lo, (1::BIGINT << (32 - bits)) AS size FROM p WHERE bits <= 32),
+d AS (SELECT {_CALLER} AS ip, count(*) AS n FROM events GROUP BY 1), e AS (SELECT ip, n, {_NUMBER.format(x='ip')} AS at_ FROM d),
+f AS (SELECT e.ip, arg_max(block, (bits, -ascii(block))) AS any_, max(bits) AS bits FROM e JOIN r ON at_ BETWEEN lo AND lo + size - 1 GROUP BY e.ip),
+g AS (SELECT f.ip, min(block) AS block FROM f JOIN e ON e.ip = f.ip JOIN r ON r.bits = f.bits AND e.at_ BETWEEN lo AND lo + size - 1 GROUP BY f.ip)
+SELECT coalesce(block, 'none') AS block, sum(n)::BIGINT AS n FROM e LEFT JOIN g ON g.ip = e.ip GROUP BY 1""")
+def f21_block_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most specific block of each caller out of a table of nested blocks."""
+    blocks = table(spark, sf_dir, "supplier").select(F.expr(_BLOCK).alias("block"))
+    calls = table(spark, sf_dir, "events").select(F.expr(_CALLER).alias("ip")).groupBy("ip").agg(F.count("*").alias("n"))
+    found = addresses.with_block(calls, "ip", blocks)
+    return found.groupBy(F.coalesce("block", F.lit("none")).alias("block")).agg(F.sum("n").alias("n"))
 
 
 @query("SELECT count(*) AS n, count_if(o_orderkey % 4 <> 1) AS equal_ FROM orders")
@@ -363,6 +385,39 @@ def c12_refresh_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return authors.unionByName(o.filter(store.stale(F.col("at"), now)).select(F.lit("book").alias("kind"))).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+_REGION = "CASE n_regionkey WHEN 0 THEN 'us' WHEN 1 THEN 'uk' WHEN 2 THEN 'de' WHEN 3 THEN 'us' ELSE 'jp' END"
+
+
+@query(f"""
+WITH c AS (SELECT c_custkey AS id, {_REGION} AS region, max(o_orderdate) AS at_, c_custkey % 9 = 4 AS failed FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+o AS (SELECT o_orderkey AS id, o_custkey AS parent, region, o_orderdate AS at_, o_orderkey % 11 = 5 AS failed FROM orders JOIN c ON c.id = o_custkey),
+l AS (SELECT l_orderkey * 100 + l_linenumber AS id, l_orderkey AS parent, region, CASE WHEN l_quantity > 25 THEN max(l_shipdate) END AS at_, bool_or(l_partkey % 13 = 6) AS failed FROM lineitem JOIN o ON o.id = l_orderkey GROUP BY l_orderkey, l_linenumber, region, l_quantity > 25),
+l1 AS (SELECT id, parent, region, max(at_) AS at_, bool_or(failed) AS failed FROM l GROUP BY ALL),
+w0 AS (SELECT 0 AS wave, id, region, at_, failed, 'stale' AS cause FROM c WHERE coalesce(at_ <= TIMESTAMP '1999-05-25', true)),
+w1 AS (SELECT 1 AS wave, id, region, at_, failed, CASE WHEN at_ <= TIMESTAMP '1999-05-25' THEN 'stale' ELSE 'parent' END AS cause FROM o WHERE at_ <= TIMESTAMP '1999-05-25' OR parent IN (SELECT id FROM w0 WHERE NOT failed)),
+w2 AS (SELECT 2 AS wave, id, region, at_, failed, CASE WHEN coalesce(at_ <= TIMESTAMP '1999-05-25', true) THEN 'stale' ELSE 'parent' END AS cause FROM l1 WHERE coalesce(at_ <= TIMESTAMP '1999-05-25', true) OR parent IN (SELECT id FROM w1 WHERE NOT failed)),
+u AS (SELECT * FROM w0 UNION ALL SELECT * FROM w1 UNION ALL SELECT * FROM w2),
+n AS (SELECT wave, id, region, cause, failed, row_number() OVER (PARTITION BY wave, region ORDER BY at_ NULLS FIRST, id) - 1 AS n FROM u)
+SELECT wave, id, region, cause, failed, n // 5 AS round, (n % 5)::INT AS slot FROM n""")
+def c12_refresh_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole refresh: stale authors, their books, these books' chapters; each with its wave, and its round and slot in its region."""
+    t = lambda name: table(spark, sf_dir, name)
+    at = lambda c: F.col(c).cast("timestamp")
+    o = t("orders").select("o_orderkey", "o_custkey", at("o_orderdate").alias("updated_at"))
+    people = t("customer").join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.expr(_REGION).alias("region"), (F.col("c_custkey") % 9 == 4).alias("failed"))
+    last = o.groupBy(F.col("o_custkey").alias("id")).agg(F.max("updated_at").alias("updated_at"))
+    books = o.join(people.select(F.col("id").alias("o_custkey"), "region"), "o_custkey").select(F.col("o_orderkey").alias("id"), "o_custkey", "region", "updated_at", (F.col("o_orderkey") % 11 == 5).alias("failed"))
+    number = F.col("l_orderkey") * 100 + F.col("l_linenumber")
+    items = t("lineitem").groupBy(number.alias("id"), F.col("l_orderkey").alias("parent")).agg(F.max(F.when(F.col("l_quantity") > 25, at("l_shipdate"))).alias("updated_at"), F.max(F.col("l_partkey") % 13 == 6).alias("failed"))
+    chapters = items.join(books.select(F.col("id").alias("parent"), "region"), "parent")
+    work = refresh.waves(
+        {"author": people.join(last, "id", "left"), "book": books.drop("o_custkey"), "chapter": chapters.drop("parent")},
+        {"book": books.select(F.col("o_custkey").alias("parent"), "id"), "chapter": chapters.select("parent", "id")},
+        F.to_timestamp(F.lit("1999-06-01")),
+    )
+    return refresh.scheduled(work).select("wave", "id", "region", "cause", "failed", "round", "slot")
+
+
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total, max(value) AS most FROM events GROUP BY event_type")
 def z11_metrics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running request aggregates over the event stream."""

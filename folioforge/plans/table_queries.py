@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import records, store, telemetry
+from ..operators import records, scan, store, telemetry
 from ..operators.text_index import TextIndex
 from ..sources.providers import preferred_language
 from ..sources.tables import table
@@ -147,11 +147,9 @@ SELECT e.user_id, total, success, failures, most_open FROM (SELECT user_id, coun
 JOIN (SELECT user_id, max(open_)::BIGINT AS most_open FROM m GROUP BY user_id) x ON x.user_id = e.user_id""")
 def g8_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes per key, and how many ten-minute jobs were open at once."""
-    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_type")
-    marks = e.select("user_id", F.explode(F.array(F.struct(F.col("ts").alias("at"), F.lit(1).alias("d")), F.struct((F.col("ts") + F.expr("INTERVAL 10 MINUTES")).alias("at"), F.lit(-1).alias("d")))).alias("m")).select("user_id", "m.at", "m.d")
-    running = F.sum("d").over(Window.partitionBy("user_id").orderBy("at", "d").rowsBetween(Window.unboundedPreceding, 0))
-    most = marks.withColumn("open", running).groupBy("user_id").agg(F.max("open").alias("most_open"))
-    return e.groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(F.col("event_type") != "error").alias("success"), F.count_if(F.col("event_type") == "error").alias("failures")).join(most, "user_id")
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_type", (F.col("ts") + F.expr("INTERVAL 10 MINUTES")).alias("end"))
+    outcomes = e.groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(F.col("event_type") != "error").alias("success"), F.count_if(F.col("event_type") == "error").alias("failures"))
+    return outcomes.join(scan.most_open(e, "user_id", "ts", "end"), "user_id")
 
 
 @query("""
