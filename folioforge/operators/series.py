@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import with_title_similarity
 from ..functions.text import WB_L, WB_R, normalize_title, number_text
+from ..sources.tables import cut_lineage
+from .text_index import TextIndex
 
 #: Title similarity from which a work is trusted, and how many hits are tried.
 ACCEPT, DEPTH = 0.9, 3
@@ -18,7 +20,8 @@ def accepted_works(hits: DataFrame) -> DataFrame:
     """query, work: of the first DEPTH hits (query, title, pos, work, forms) the first with a title form near enough."""
     first = hits.withColumn("_r", F.row_number().over(Window.partitionBy("query").orderBy("pos"))).filter(F.col("_r") <= DEPTH).filter("work IS NOT NULL")
     pairs = first.select("query", "pos", "work", normalize_title(F.col("title")).alias("want"), F.explode(F.filter("forms", lambda f: F.length(f) > 0)).alias("form"))
-    pairs = pairs.filter("want != ''").withColumn("form", normalize_title(F.col("form")))
+    # A table, so that the patterns of titles and of their clean forms aren't compiled into one stage.
+    pairs = cut_lineage(pairs.withColumn("form", normalize_title(F.col("form")))).filter("want != ''")
     near = with_title_similarity(pairs, "want", "form", "sim", least=ACCEPT).filter(F.col("sim") >= ACCEPT)
     return near.groupBy("query").agg(F.min_by("work", "pos").alias("work"))
 
@@ -56,3 +59,30 @@ def resolved(hits: DataFrame, series: DataFrame, sizes: DataFrame) -> DataFrame:
     """query, work, primary, secondary; a query whose hits can't be trusted, or whose work is in no series, has no row."""
     works = accepted_works(hits)
     return works.join(ranked_series(series.join(works.select("work").distinct(), "work", "left_semi"), sizes), "work").select("query", "work", "primary", "secondary")
+
+
+def still_wanted(df: DataFrame, key: str) -> DataFrame:
+    """The distinct keys of df as a table behind a filter, from which Spark may build a bloom filter for what they are joined with."""
+    return cut_lineage(df.select(key).distinct().withColumn("_wanted", F.lit(1))).filter("_wanted >= 1").select(key)
+
+
+def chain(wanted: DataFrame, works: DataFrame, links: DataFrame, names: DataFrame, members: DataFrame) -> DataFrame:
+    """query, work, primary, secondary for every wanted title (query), from four snapshots; null where the chain breaks off.
+
+    works: work, title.  links: series, work, text, number, pos.  names: series,
+    name.  members: series, work.  Each snapshot is read for the keys that are
+    still wanted only: accepted works, then the series that these are in, each of
+    which is counted once however many works and queries lead to it.  The keys are
+    kept as tables with the filter that made them, so that Spark can put a bloom
+    filter of them on the scan of a large snapshot before anything is shuffled.
+    """
+    hits = TextIndex(works, "work", "title").search(wanted, DEPTH).select("query", F.col("query").alias("title"), "pos", F.col("key").alias("work"))
+    hits = hits.join(works.select("work", F.array("title").alias("forms")), "work")
+    accepted = cut_lineage(accepted_works(hits))
+    found = cut_lineage(links.join(still_wanted(accepted, "work"), "work", "left_semi"))
+    series_left = still_wanted(found, "series")
+    named = names.join(series_left, "series", "left_semi")
+    sizes = members.join(series_left, "series", "left_semi").groupBy("series").agg(F.countDistinct("work").alias("members"))
+    own = found.groupBy("work", "series").agg(F.min("pos").alias("pos"), F.array_sort(F.collect_list(F.struct("work", "text", "number"))).alias("links"))
+    ranked = ranked_series(own.join(named, "series"), sizes)
+    return wanted.select("query").distinct().join(accepted, "query", "left").join(ranked, "work", "left").select("query", "work", "primary", "secondary")

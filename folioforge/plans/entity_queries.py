@@ -91,6 +91,37 @@ def s18_accepted_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.accepted_works(found.select("query", "title", "pos", "work", F.array("p_name").alias("forms")))
 
 
+#: Series names, some of them only orders or editions.
+_SERIES_NAME = "concat('Saga ', s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN ' (Publication Order)' WHEN 1 THEN ' Omnibus' ELSE '' END)"
+
+
+@query(f"""
+WITH RECURSIVE w AS (SELECT p_name AS title, min(p_partkey) AS work FROM part GROUP BY p_name),
+q AS (SELECT DISTINCT CASE WHEN p_partkey % 4 = 0 THEN concat('unknown', p_partkey % 50) ELSE replace(p_name, 'l', 'll') END AS query FROM part),
+qt AS (SELECT query, unnest(list_distinct(str_split(query, ' '))) AS t FROM q), wt AS (SELECT title, work, unnest(list_distinct(str_split(title, ' '))) AS t FROM w),
+h AS (SELECT query, title, work, row_number() OVER (PARTITION BY query ORDER BY count(*) DESC, work) AS pos FROM qt JOIN wt USING (t) GROUP BY query, title, work),
+pp AS (SELECT DISTINCT query AS a, title AS b FROM h WHERE pos <= 3), {S.ratio('pp')},
+ac AS (SELECT query, arg_min(work, pos) AS work FROM h JOIN ratios ON a = query AND b = title WHERE ratios.r >= 0.9 AND pos <= 3 GROUP BY query),
+l AS (SELECT l_suppkey AS series, work, min(l_linenumber) AS pos, count(*) AS n, min(CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE l_linenumber::VARCHAR END) AS text FROM lineitem JOIN part ON p_partkey = l_partkey JOIN w ON title = p_name GROUP BY ALL),
+sz AS (SELECT series, count(*) AS members FROM l GROUP BY series),
+r AS (SELECT l.work, l.pos, {_SERIES_NAME} AS name, nullif(text, '') AS position, members, s_suppkey % 4 <= 1 AS variant FROM l JOIN sz USING (series) JOIN supplier ON s_suppkey = series WHERE l.work IN (SELECT work FROM ac)),
+k AS (SELECT *, bool_and(variant) OVER (PARTITION BY work) AS no_other FROM r),
+o AS (SELECT work, name, position, row_number() OVER (PARTITION BY work ORDER BY variant, position IS NULL, members DESC, pos, name) AS i FROM k WHERE no_other OR NOT variant)
+SELECT q.query, ac.work, max(name) FILTER (WHERE i = 1) AS primary_, max(position) FILTER (WHERE i = 1) AS place, max(name) FILTER (WHERE i = 2) AS secondary FROM q LEFT JOIN ac ON ac.query = q.query LEFT JOIN o ON o.work = ac.work GROUP BY q.query, ac.work""")
+def c4_series_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From titles to their series: text hits, the accepted work, its series by place and size, orders and editions left out."""
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    works = part.groupBy(c("p_name").alias("title")).agg(F.min("p_partkey").alias("work"))
+    wanted = part.select(F.when(c("p_partkey") % 4 == 0, F.concat(F.lit("unknown"), (c("p_partkey") % 50).cast("string"))).otherwise(F.replace("p_name", F.lit("l"), F.lit("ll"))).alias("query"))
+    of = part.join(works, c("p_name") == c("title")).select("p_partkey", "work")
+    items = table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber", c("l_suppkey").alias("series")).join(of, c("l_partkey") == c("p_partkey"))
+    text = F.min(F.when(c("l_linenumber") % 3 == 0, "").otherwise(c("l_linenumber").cast("string")))
+    links = items.groupBy("series", "work").agg(F.min("l_linenumber").alias("pos"), text.alias("text")).withColumn("number", F.lit(None).cast("double"))
+    names = table(spark, sf_dir, "supplier").select(c("s_suppkey").alias("series"), F.expr(_SERIES_NAME).alias("name"))
+    found = series.chain(wanted, works, links, names, items.select("series", "work"))
+    return found.select("query", "work", c("primary.name").alias("primary_"), c("primary.position").alias("place"), c("secondary.name").alias("secondary"))
+
+
 _NAMED = "CASE WHEN c_custkey % 3 = 0 THEN concat('Jon Q. ', c_mktsegment) WHEN c_custkey % 3 = 1 THEN concat('Jon ', c_mktsegment) ELSE concat('Ann ', CASE c_custkey % 4 WHEN 0 THEN 'B ' WHEN 1 THEN 'C. ' ELSE '' END, c_mktsegment) END"
 
 

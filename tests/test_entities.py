@@ -132,3 +132,29 @@ def test_texts(spark):
     assert f(T.clean_biography(F.lit("A *b* ([Source][1]).\r\n\r\n\r\nc\n  [1]: http://x"))) == "A b.\n\nc"
     assert [f(T.number_text(F.lit(x).cast("double"))) for x in (1, 1.5, None)] == ["1", "1.5", None]
     assert f(enrich.chapter_mismatch(F.lit(None).cast("string"))) == "unknown" and f(enrich.document_kind(F.lit("{bad"))) is None
+
+
+def test_series_chain(spark):
+    """What can't be found, trusted or placed is null; a series only in editions stays where there is no other."""
+    works = spark.createDataFrame([(1, "Red Moon"), (2, "Blue Sun"), (3, "Lone Star")], "work long, title string")
+    links = spark.createDataFrame([(10, 1, "2", None, 1), (11, 1, None, 3.0, 0), (12, 1, "", None, 2), (13, 2, None, None, 0)], "series long, work long, text string, number double, pos int")
+    names = spark.createDataFrame([(10, "Moons"), (11, "Moons (Publication Order)"), (12, "Skies"), (13, "Suns Omnibus"), (99, "Other")], "series long, name string")
+    members = spark.createDataFrame([(10, 1), (10, 5), (10, 5), (12, 1), (12, 6), (12, 7), (13, 2), (99, 1)], "series long, work long")
+    wanted = spark.createDataFrame([("red moons",), ("blue sun",), ("lone star",), ("red herring",), ("nothing",)], "query string")
+    got = {r["query"]: (r.work, r.primary and tuple(r.primary), r.secondary and tuple(r.secondary)) for r in series.chain(wanted, works, links, names, members).collect()}
+    assert got == {"red moons": (1, ("Moons", "2"), ("Skies", None)), "blue sun": (2, ("Suns Omnibus", None), None), "lone star": (3, None, None), "red herring": (None, None, None), "nothing": (None, None, None)}
+
+
+def test_snapshots_are_pruned_by_the_keys_still_wanted(spark, tmp_path):
+    spark.range(200_000).selectExpr("id % 5000 AS work", "id AS series").write.parquet(f"{tmp_path}/links")
+    settings = {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        links = spark.read.parquet(f"{tmp_path}/links")
+        found = links.join(series.still_wanted(spark.range(7).withColumnRenamed("id", "work"), "work"), "work", "left_semi")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "might_contain" in plan and found.count() == 7 * 40
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
