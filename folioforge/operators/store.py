@@ -68,6 +68,16 @@ def with_misses(cached: DataFrame, keys: DataFrame, key: str, value: str) -> Dat
     return found.select(key, F.when(how == "hit", F.col("_v")).alias(value), how.alias("how"))
 
 
+def cached_values(rows: DataFrame, schema: str, now: Column, days: float, dates: list[str] = ()) -> DataFrame:
+    """key and the columns of its newest value (rows: key, ts, seq, body) that is younger than `days`; values that can't be read are none.
+
+    dates: fields that are dates kept as text; they become times, null where empty or no date.
+    """
+    last = rows.groupBy("key").agg(F.max_by("body", F.struct("ts", "seq")).alias("body"), F.max("ts").alias("ts")).filter(~stale(F.col("ts"), now, days))
+    read = last.select("key", F.from_json("body", f"{schema}, _bad STRING", {"columnNameOfCorruptRecord": "_bad"}).alias("v")).filter("v IS NOT NULL AND v._bad IS NULL").select("key", "v.*").drop("_bad")
+    return read.withColumns({d: F.try_to_timestamp(F.nullif(F.col(d), F.lit(""))) for d in dates})
+
+
 def delete(df: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(gone.select(*keys).distinct(), keys, "left_anti")
 

@@ -35,4 +35,4 @@ def oracle_sql() -> dict[str, str]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import entity_queries, more_queries, scoring_queries, table_queries, text_queries  # noqa: F401
+    from . import entity_queries, more_queries, scoring_queries, source_queries, table_queries, text_queries  # noqa: F401

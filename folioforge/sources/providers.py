@@ -85,6 +85,16 @@ def storytel(df: DataFrame, base: str = "https://www.storytel.com") -> DataFrame
     return _shape(first, "storytel", id=F.concat(F.lit("storytel-"), F.col("book.consumableId").cast("string")), title=F.col("book.name"), authors=_names(F.col("book.authors")), narrators=_names(F.col("abook.narrators")), audio_seconds=F.when(F.col("abook.length") > 0, F.round(F.col("abook.length") / 1000)).cast("double"), cover=F.when(path.startswith("http"), path).otherwise(F.concat(F.lit(base), path)), language=language)
 
 
+#: The format a library's search asks for, and how many it gives.
+AUDIO_FORMAT, PER_PAGE = "audiobook-overdrive", 5
+
+
+def library_page(media: DataFrame, library: str, most: int = PER_PAGE) -> DataFrame:
+    """What a library's search gives of its media (library, query_id, item_pos, formats): audiobooks, the first of each query."""
+    own = media.filter((F.col("library") == library) & F.exists("formats", lambda f: f["id"] == AUDIO_FORMAT))
+    return own.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("item_pos"))).filter(F.col("_r") <= most).drop("_r")
+
+
 def overdrive(df: DataFrame) -> DataFrame:
     """Library media: title (text or object), creators, formats, covers, languages."""
     title = text_or_field(F.col("title"), "main")
@@ -105,6 +115,27 @@ def openlibrary(df: DataFrame) -> DataFrame:
     return _shape(df, "openlibrary", id=F.concat(F.lit("openlibrary-works-"), key), title=T.title_case(F.coalesce("title", F.lit(""))), authors=F.coalesce("author_name", F.array().cast("array<string>")), cover=cover, language=L.normalize_language(F.get("language", F.lit(0))))
 
 
+def dispatch(ids: DataFrame, id: str, books: dict[str, DataFrame]) -> DataFrame:
+    """ids with the record behind each, found by the provider, kind and own id that it stands for.
+
+    books: for each provider that has records native, kind (null: any) and the
+    same further columns.  state: no id (a store's own id, or none), no source (a
+    provider without records), not found, found.
+    """
+    asked = ids.select(F.col(id).alias("_id")).filter("_id IS NOT NULL").distinct()
+    # Opened as a row of its own, so that its patterns stand in the plan once.
+    asked = asked.select("_id", F.explode(F.filter(F.array(T.decode_id(F.col("_id"))), lambda d: d.isNotNull())).alias("d"))
+    known = reduce(DataFrame.unionByName, [b.withColumn("provider", F.lit(name)) for name, b in books.items()])
+    values = [c for c in known.columns if c not in ("native", "kind", "provider")]
+    first = known.groupBy("provider", "native", "kind").agg(F.min(F.struct(*values)).alias("_book")).withColumnRenamed("kind", "_kind")
+    wanted = asked.select("_id", "d.provider", "d.kind", "d.native")
+    found = wanted.join(first, ["provider", "native"]).filter(F.col("_kind").isNull() | F.col("_kind").eqNullSafe(F.col("kind")))
+    found = found.groupBy("_id").agg(F.min_by("_book", F.col("_kind").isNull()).alias("_book"))
+    told = ids.join(wanted.select("_id", F.col("provider").alias("_provider")), F.col(id) == F.col("_id"), "left").drop("_id").join(found, F.col(id) == F.col("_id"), "left").drop("_id")
+    state = F.when(F.col("_provider").isNull(), "no id").when(~F.col("_provider").isin(*books), "no source").when(F.col("_book").isNull(), "not found").otherwise("found")
+    return told.select(*ids.columns, state.alias("state"), *(F.col(f"_book.{c}").alias(c) for c in values))
+
+
 @dataclass
 class Snapshot:
     """A source over stored answers."""
