@@ -43,6 +43,8 @@ from pyspark.sql import functions as F
 from .tables import table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|(?P<text>[^<]+|<)", re.S)
+#: Where nothing closes it any more, a tag that is cut off by the end of the page.
+UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 #: Element kinds of HTML.
@@ -119,7 +121,7 @@ def blocks(page: str) -> tuple[list[Block], Tree]:
     parts: list[str] = []
     unclosed: set[str] = set()
     linked = links = 0
-    at, n = 0, len(page)
+    at, n, last_close = 0, len(page), page.rfind(">")
 
     def flush() -> None:
         nonlocal linked
@@ -133,7 +135,7 @@ def blocks(page: str) -> tuple[list[Block], Tree]:
 
     while at < n:
         m = TOKEN.match(page, at)
-        if m is None:  # an unfinished tag at the end of the page
+        if at > last_close and UNFINISHED.match(page, at):
             break
         at = m.end()
         text = m["text"]

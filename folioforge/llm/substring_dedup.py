@@ -17,6 +17,11 @@ earlier document has the same segment, else (edges of a repeated passage) window
 by window, by such digests of the windows of one occurrence of each distinct
 segment, which are read again from the documents; then runs are compacted once there are more than `fanout`.
 
+The log's folder holds the runs and, for each batch taken, a manifest: the runs
+that count, and the greatest doc_id so far.  A batch is taken once its manifest
+is written; what a lost attempt leaves behind is in none and is written over.  A
+log is opened again by its folder, and the next batch goes on from there.
+
 Defined results: null or empty text has no words and no windows; a document
 never removes its own repeats; documents of equal doc_id don't remove each
 other's windows; a null doc_id is smaller and larger than none, so its row
@@ -35,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textops as X
-from .tables import remove, row_key, shared_dir, table, written
+from .tables import exists, remove, row_key, shared_dir, table, written
 
 WINDOW = 50
 GRAM = 10
@@ -107,18 +112,52 @@ def segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
     return docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), row_key().alias("row_key"), "text").mapInArrow(step, SEGMENTS)
 
 
+MANIFEST = "runs array<int>, upto long, made int"
 PLACE = ("doc_id", "row_key", "first", "n")
 SEG = ("seg", "seg2")
 WIN = ("anchor", "win", "win2")
 
 
 class FingerprintLog:
-    """Immutable runs of index entries in the shared folder."""
+    """Immutable runs of index entries in a shared folder, with a manifest; opened where the folder has one."""
 
     def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT):
         self.spark, self.path, self.fanout = spark, path, fanout
         self.paths: list[str] = []
-        self.made = 0
+        self.made, self.upto, self.gone = 0, None, []
+        if exists(spark, f"{path}/manifest"):
+            last = spark.read.schema(MANIFEST).parquet(f"{path}/manifest").orderBy(F.desc("made")).first()
+            if last is not None:
+                self.made, self.upto = last["made"], last["upto"]
+                self.paths = [f"{path}/run-{n}" for n in last["runs"]]
+
+    def commit(self, upto: int | None) -> None:
+        """From here on the runs as they are now count; those that they replace go."""
+        self.upto = upto if upto is not None else self.upto
+        runs = [int(p.rpartition("-")[2]) for p in self.paths]
+        self.spark.createDataFrame([(runs, self.upto, self.made)], MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/manifest/batch={self.made}")
+        for path in self.gone:
+            remove(self.spark, path)
+        self.gone = []
+
+    def take(self, fresh: DataFrame, until: DataFrame, work: str, window: int = WINDOW) -> DataFrame:
+        """Spans to remove from a batch of documents (doc_id, row_key, first, n), which then is part of the index.
+
+        Its doc_ids come after all that the log has taken; until: the batch and all before it.
+        """
+        ids = F.col("doc_id").cast("long")
+        ends = fresh.agg(F.min(ids).alias("low"), F.max(ids).alias("high")).first()
+        if self.upto is not None and ends["low"] is not None and ends["low"] <= self.upto:
+            raise ValueError(f"the log has taken documents up to {self.upto}; a batch that begins at {ends['low']} comes too late")
+        found = written(segments(fresh, window), f"{work}/segments")
+        self.append(found)
+        hits = written(self.probe(found, f"{work}/shared"), f"{work}/hits")
+        spans = written(removed_spans(until, hits, self, f"{work}/open", window), f"{work}/spans")
+        self.settle()
+        self.commit(ends["high"])
+        for name in ("segments", "shared", "hits", "open"):
+            remove(self.spark, f"{work}/{name}")
+        return spans
 
     @staticmethod
     def _summary(df: DataFrame) -> DataFrame:
@@ -148,8 +187,8 @@ class FingerprintLog:
             return
         self.paths = []
         self._write(self._summary(self.spark.read.parquet(*old)))
-        for path in old:
-            remove(self.spark, path)
+        # A manifest may still name them.
+        self.gone += old
 
     def entries(self) -> DataFrame:
         """Rows of all runs; an anchor and segment may be in several."""
@@ -233,18 +272,25 @@ def dedup(docs: DataFrame, work: str, window: int = WINDOW, batches: int = BATCH
     found: DataFrame | None = None
     for b, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
         until = docs if high is None else docs.filter(ids <= high)
-        fresh = written(segments(until if low is None else until.filter(ids > low), window), f"{work}/segments-{b}")
-        log.append(fresh)
-        hits = written(log.probe(fresh, f"{work}/shared-{b}"), f"{work}/hits-{b}")
-        spans = written(removed_spans(until, hits, log, f"{work}/batch-{b}", window), f"{work}/spans-{b}")
-        log.settle()
-        for name in (f"segments-{b}", f"shared-{b}", f"hits-{b}", f"batch-{b}"):
-            remove(spark, f"{work}/{name}")
+        spans = log.take(until if low is None else until.filter(ids > low), until, f"{work}/batch-{b}", window)
         found = spans if found is None else found.unionByName(spans)
+    return _spanned(docs, found)
+
+
+def _spanned(docs: DataFrame, found: DataFrame) -> DataFrame:
     all_spans = found.groupBy("doc_id", "row_key").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
     return _keyed(docs).join(all_spans.hint("merge"), ["doc_id", "row_key"], "left")
 
 
+def dedup_next(fresh: DataFrame, history: DataFrame, log: str, work: str, window: int = WINDOW, fanout: int = FANOUT) -> DataFrame:
+    """dedup() of the next batch alone, against the log in the folder `log`, which is begun there or opened again.
+
+    history: all documents that the log has taken before.
+    """
+    both = history.select("doc_id", "text").unionByName(fresh.select("doc_id", "text"))
+    return _spanned(fresh, FingerprintLog(fresh.sparkSession, log, fanout).take(fresh, both, work, window))
+
+
 def kept(deduped: DataFrame, window: int = WINDOW, text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, the kept words as text."""
 

@@ -583,3 +583,8 @@ def test_html_of_very_many_blocks_and_deep_elements():
     for odd in ('<div class="menu">' * 8000 + "x", "<p" * 20_000):
         html_extract.main_text(odd)
     assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize("page,want", [("<p>First.</p><p>Second .. <b is cut", ["First.", "Second .."]), ("<p>a < b and c <d> e</p> 1 <2 x < y", ["a < b and c e", "1 <2 x < y"]), ("<p>x</p></", ["x"]), ("<p>x</p><!-- open", ["x"]), ("a </p", ["a"]), ("<", ["<"]), ("<p", []), ("<p>" + "<b " * 20000, [])])
+def test_unfinished_tags_at_the_end_of_a_page_are_no_text(page, want):
+    assert [b.text for b in html_extract.blocks(page)[0]] == want

@@ -119,6 +119,35 @@ def test_substring_dedup_in_any_batches(spark, tmp_path, batches):
     assert got == set(substring_dedup.brute(rows, 20))
 
 
+def test_the_log_is_opened_again_for_the_next_day(spark, tmp_path):
+    """Three days, each by a call of its own on the stored log, equal one run over everything; a day comes once."""
+    rows = [(i, t) for i, t in passages(6) if i is not None]
+    ids = sorted(i for i, _ in rows)
+    cuts = [-1, ids[len(ids) // 3], ids[2 * len(ids) // 3], ids[-1]]
+    got, seen = set(), []
+    for day, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        fresh = [r for r in rows if low < r[0] <= high]
+        out = substring_dedup.dedup_next(frame(spark, fresh), frame(spark, seen), f"file://{tmp_path}/log", f"file://{tmp_path}/work-{day}", 20, fanout=1)
+        got |= {tuple(r) for r in substring_dedup.kept(out, 20).collect()}
+        seen += fresh
+    assert got == set(substring_dedup.brute(rows, 20)) and sum(x[2] > 0 for x in got) > 10
+    log = substring_dedup.FingerprintLog(spark, f"file://{tmp_path}/log")
+    assert log.upto == ids[-1] and len(log.paths) == 1 and all((tmp_path / "log" / p.rpartition("/")[2]).exists() for p in log.paths)
+    with pytest.raises(ValueError):
+        substring_dedup.dedup_next(frame(spark, rows[:5]), frame(spark, []), f"file://{tmp_path}/log", f"file://{tmp_path}/late", 20)
+
+
+def test_a_lost_attempt_leaves_the_log_as_it_was(spark, tmp_path):
+    rows = [(i, t) for i, t in passages(7) if i is not None and i < 60]
+    first, second = [r for r in rows if r[0] < 30], [r for r in rows if r[0] >= 30]
+    path = f"file://{tmp_path}/log"
+    substring_dedup.dedup_next(frame(spark, first), frame(spark, []), path, f"file://{tmp_path}/a", 20).count()
+    torn = substring_dedup.FingerprintLog(spark, path)
+    torn.append(substring_dedup.segments(frame(spark, second), 20))  # written, but not committed
+    out = substring_dedup.dedup_next(frame(spark, second), frame(spark, first), path, f"file://{tmp_path}/b", 20)
+    assert {tuple(r) for r in substring_dedup.kept(out, 20).collect()} == {x for x in substring_dedup.brute(rows, 20) if x[0] >= 30}
+
+
 def near_copies(seed):
     rng = random.Random(seed)
     rows, i = [], 0
