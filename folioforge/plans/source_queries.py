@@ -43,6 +43,43 @@ def p6_editions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("id", "asin", "audio_seconds", "language", F.get("authors", F.lit(0)).alias("author"), F.get("narrators", F.lit(0)).alias("narrator")).agg(F.count("*").alias("n"))
 
 
+_TONGUE = "CASE p_partkey % 7 WHEN 0 THEN '{0}' WHEN 1 THEN '{1}' WHEN 2 THEN '{2}' WHEN 3 THEN NULL ELSE '{1}' END"
+_CODE = _TONGUE.format("en", "de", "fr")
+
+
+@query(f"""
+WITH p AS (SELECT *, p_partkey AS k, p_size AS query_id, CASE WHEN p_size % 2 = 0 THEN 'en' WHEN p_size % 3 = 0 THEN 'de' END AS want, {_CODE} AS lang FROM part),
+st AS (SELECT *, bool_or(want IS NULL OR lang IS NULL OR lang = want) OVER (PARTITION BY query_id) AS some_ FROM p WHERE k % 4 = 2),
+s8 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k) AS r FROM st WHERE (coalesce(want IS NULL OR lang IS NULL OR lang = want, false) OR NOT coalesce(some_, false)) AND k % 10 > 0)
+SELECT query_id, 0 AS provider_pos, 'audible' AS provider, concat('B', lpad(k::VARCHAR, 9, '0')) AS id, p_name AS title, CASE WHEN k % 8 = 0 THEN 0 ELSE 1 END AS n_authors, (p_size * 60)::DOUBLE AS audio_seconds, CASE WHEN k % 16 = 0 THEN concat('s', k) ELSE concat('l', k) END AS cover, lang AS language FROM p WHERE k % 4 = 0 AND k % 12 > 0
+UNION ALL SELECT query_id, 2, 'apple', concat('apple-audiobook-', k), p_name, CASE WHEN k % 5 = 0 THEN 0 ELSE 1 END, NULL, CASE WHEN k % 3 > 0 THEN concat('http://i/', k, '/600x600bb.jpg') END, NULL FROM p WHERE k % 4 = 1 AND k % 7 > 0
+UNION ALL SELECT query_id, 3, 'storytel', concat('storytel-', k), p_name, 1, CASE WHEN p_size % 4 > 0 THEN p_size * 2::DOUBLE END, CASE WHEN k % 3 = 0 THEN concat('http://c/', k) ELSE concat('https://www.storytel.com/c/', k) END, lang FROM s8 WHERE r <= 8
+UNION ALL SELECT query_id, 5, 'openlibrary', concat('openlibrary-works-OL', k, 'W'), CASE WHEN k % 8 = 3 THEN concat(upper(p_name[1]), substr(split_part(p_name, ' ', 1), 2), ' ', upper(split_part(p_name, ' ', 2)[1]), substr(split_part(p_name, ' ', 2), 2)) ELSE concat('the Big ', p_name) END, 1, NULL, CASE WHEN k % 5 > 0 THEN concat('https://covers.openlibrary.org/b/id/', k, '-L.jpg') END, lang FROM p WHERE k % 4 = 3""")
+def j14_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of four providers, each in its own shape, as candidates of one, in the order of the registry."""
+    k = c("p_partkey")
+    part = table(spark, sf_dir, "part")
+    base = part.withColumns({"query_id": c("p_size").cast("long"), "region": F.when(c("p_size") % 2 == 0, "us").when(c("p_size") % 3 == 0, "de").otherwise("mars"), "item_pos": k.cast("int")})
+    spoken = lambda *names: F.expr(_TONGUE.format(*names))
+    named = lambda name: F.struct(name.alias("name"))
+    images = F.when(k % 16 == 0, F.create_map(F.lit("500"), F.concat(F.lit("s"), k.cast("string")))).otherwise(F.create_map(F.lit("1024"), F.concat(F.lit("l"), k.cast("string")), F.lit("500"), F.lit("x")))
+    writer = F.array(named(F.col("p_brand")))
+    audible = base.filter(k % 4 == 0).select(
+        "query_id", "region", "item_pos", F.when(k % 12 > 0, F.concat(F.lit("B"), F.lpad(k.cast("string"), 9, "0"))).alias("asin"), c("p_name").alias("title"), F.when(k % 8 == 0, F.array(named(F.lit("")))).otherwise(writer).alias("authors"), writer.alias("narrators"),
+        c("p_size").alias("runtime_length_min"), images.alias("product_images"), spoken("english", "german", "french").alias("language"),
+    )
+    art = F.when(k % 3 > 0, F.concat(F.lit("http://i/"), k.cast("string"), F.lit("/100x100bb.jpg")))
+    apple = base.filter(k % 4 == 1).select("query_id", "region", "item_pos", F.when(k % 7 > 0, k).alias("collectionId"), F.concat("p_name", F.lit(" (Unabridged)")).alias("collectionName"), F.when(k % 5 > 0, c("p_brand")).alias("artistName"), art.alias("artworkUrl100"))
+    cover = F.concat(F.when(k % 3 == 0, "http://c/").otherwise("/c/"), k.cast("string"))
+    book = F.struct(c("p_name").alias("name"), k.cast("string").alias("consumableId"), writer.alias("authors"), cover.alias("largeCover"), F.struct(spoken("en", "de", "fr").alias("isoValue")).alias("language"))
+    abook = F.when(k % 10 > 0, F.struct(writer.alias("narrators"), F.when(c("p_size") % 4 > 0, c("p_size").cast("long") * 2000).alias("length")))
+    storytel = base.filter(k % 4 == 2).select("query_id", "region", "item_pos", book.alias("book"), abook.alias("abook"))
+    title = F.when(k % 8 == 3, c("p_name")).otherwise(F.concat(F.lit("the Big "), "p_name"))
+    openlibrary = base.filter(k % 4 == 3).select("query_id", "region", "item_pos", F.concat(F.lit("/works/OL"), k.cast("string"), F.lit("W")).alias("key"), title.alias("title"), F.array("p_brand").alias("author_name"), F.when(k % 5 > 0, k).alias("cover_i"), F.array(spoken("eng", "ger", "fre")).alias("language"))
+    found = providers.default_registry().fan_out({"audible": audible, "apple": apple, "storytel": storytel, "openlibrary": openlibrary})
+    return found.select("query_id", "provider_pos", "provider", "id", "title", F.size("authors").alias("n_authors"), "audio_seconds", "cover", "language")
+
+
 @query("""
 WITH m AS (SELECT o_custkey AS query_id, o_orderkey AS id, o_totalprice AS p, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM orders WHERE o_orderkey % 3 > 0 AND o_orderpriority NOT LIKE '5%')
 SELECT query_id, concat('overdrive-', id) AS id, CASE id % 4 WHEN 0 THEN 'de' WHEN 1 THEN 'en' WHEN 2 THEN 'fr' END AS language, CASE WHEN id % 2 = 0 THEN 3723.0::DOUBLE END AS audio_seconds FROM m WHERE pos < 5""")

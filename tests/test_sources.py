@@ -1,4 +1,4 @@
-from folioforge.sources.providers import default_registry
+from folioforge.sources.providers import default_registry, dispatch, library_page
 
 ANSWERS = {
     "audible": ("query_id long, region string, item_pos int, asin string, title string, authors array<struct<name:string>>, narrators array<struct<name:string>>, runtime_length_min int, product_images map<string,string>, language string",
@@ -28,3 +28,18 @@ def test_all_sources_in_one_shape(spark):
         ("openlibrary", "openlibrary-works-OL1W", None, "Cube Route", ["Ann"], [], None, "https://covers.openlibrary.org/b/id/3-L.jpg", "en"),
     ]
     assert registry.get("apple").name == "apple" and registry.get("x") is None
+
+
+def test_library_pages(spark):
+    """Audiobooks of this library only, the first five of each query."""
+    rows = [("l", 1, i, [("ebook-overdrive",), ("audiobook-overdrive",)] if i % 2 else [("ebook-overdrive",)]) for i in range(14)] + [("other", 1, 1, [("audiobook-overdrive",)]), ("l", 2, 3, None), ("l", 2, 4, [])]
+    df = spark.createDataFrame(rows, "library string, query_id long, item_pos int, formats array<struct<id:string>>")
+    assert sorted((r.query_id, r.item_pos) for r in library_page(df, "l").collect()) == [(1, i) for i in (1, 3, 5, 7, 9)]
+
+
+def test_dispatch_of_odd_ids(spark):
+    ids = spark.createDataFrame([(i, x) for i, x in enumerate(["hardcover-book-1", "hardcover-edition-1", "hardcover-book-2", "hardcover-book-1", "storytel-s-7", "apple-audiobook-3", "B000000001", "x", "", None])], "n int, id string")
+    kind = "native string, kind string, title string"
+    books = {"hardcover": spark.createDataFrame([("1", "book", "Book"), ("1", "edition", "Edition"), ("1", "book", "Again")], kind), "storytel": spark.createDataFrame([("s-7", None, "Any kind")], kind)}
+    got = {r.n: (r.state, r.title) for r in dispatch(ids, "id", books).collect()}
+    assert got == {0: ("found", "Again"), 1: ("found", "Edition"), 2: ("not found", None), 3: ("found", "Again"), 4: ("found", "Any kind"), 5: ("no source", None), 6: ("no id", None), 7: ("no id", None), 8: ("no id", None), 9: ("no id", None)}
