@@ -92,11 +92,17 @@ def search(requests: DataFrame, sources: list[DataFrame], wider: list[DataFrame]
     have one and whose best match is weak, or whose title holds the track title.
     """
     wanted = prepared(requests)
-    first = cut_lineage(dedupe_and_rank(_judged(wanted.join(united(sources), "query_id"))))
+    key = ["query_id", "provider", "id"]
+    found = united(sources)
+    judged = cut_lineage(_judged(wanted.join(found, "query_id")))
+    first = cut_lineage(dedupe_and_rank(judged))
     if wider is None:
         return first
     top = first.groupBy("query_id").agg(F.max("confidence").alias("top"))
     weak = wanted.filter("alt IS NOT NULL").join(top, "query_id", "left").filter((F.coalesce("top", F.lit(0.0)) < AUTO_APPLY) | F.lower("main").contains(F.lower("alt"))).select("query_id")
-    pool = united([*sources, *wider]).dropDuplicates(["query_id", "provider", "id"])
-    again = dedupe_and_rank(_judged(wanted.join(weak, "query_id", "left_semi").join(pool, "query_id")))
-    return first.join(weak, "query_id", "left_anti").unionByName(again)
+    weak = cut_lineage(weak)
+    # What the first pass has judged stays judged; only candidates that it hasn't seen are compared.
+    more = united(wider).withColumn("provider_pos", F.col("provider_pos") + len(sources)).join(weak, "query_id", "left_semi").join(found.select(*key), key, "left_anti").dropDuplicates(key)
+    fresh = _judged(wanted.join(more, "query_id"))
+    pool = judged.join(weak, "query_id", "left_semi").dropDuplicates(key).unionByName(fresh)
+    return first.join(weak, "query_id", "left_anti").unionByName(dedupe_and_rank(pool))
