@@ -46,6 +46,8 @@ WINDOW = 50
 GRAM = 10
 #: Batches of like size (ascending ranges of doc_id) that the query feeds to the index, and runs it keeps.
 BATCHES, FANOUT = 3, 2
+#: Words' hashes for anchors, which only say where to look; a fixed key, as an index outlives its run.
+ANCHOR_KEY = 1
 
 SEGMENTS = "anchor long, seg long, seg2 long, doc_id long, row_key long, first int, n int"
 
@@ -101,7 +103,7 @@ def segments(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFra
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             keys = batch.column(1).to_numpy(zero_copy_only=False)
             for lo, _hi, buf, offsets in X.chunks(batch.column(2)):
-                words = X.cut(buf, offsets, X.BLANK_WORDS)
+                words = X.strong(X.cut(buf, offsets, X.BLANK_WORDS, seeds=0), ANCHOR_KEY)
                 anchor, digest, first, count = segments_of(words, window, gram)
                 d = words.doc[first] if len(first) else first
                 yield pa.RecordBatch.from_arrays(
