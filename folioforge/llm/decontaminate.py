@@ -14,7 +14,8 @@ An item of fewer words than a window, but not none, is one window.
 Defined results: a null or empty text has no words, no hits and is clean; a
 null item text has no windows; an empty benchmark hits nothing; items of equal
 text are all reported, repeated rows of an item once; rows of equal doc_id are
-judged apart; a null doc_id is carried through.  A single item is never split.
+judged apart; a null doc_id is carried through; an empty table gives an empty
+result.  A single item, and a very long text, is never split.
 """
 
 from __future__ import annotations

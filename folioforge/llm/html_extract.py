@@ -24,7 +24,9 @@ does.
 Defined results: null or empty html has no text; a page without content blocks
 has the empty text and n_chars 0; broken markup is read as browsers do in
 spirit (a block element closes an open paragraph, stray end tags are ignored,
-an unclosed element ends with its parent); repeated rows are read apart.
+an unclosed element ends with its parent); a tag cut off by the page's end is
+dropped; repeated rows are read apart; a very long page is read whole; an empty
+table gives an empty result, and a fit to no pages the prior weights.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ brought to 32 x 32 samples, against their median.
 
 Defined results: null text is empty; the empty text has a payload of WIDTH
 zero bytes; equal texts have equal values; a damaged image raises ValueError;
-repeated rows are stored apart.
+repeated rows are stored apart; a very long text is one image, whole; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations

@@ -14,7 +14,8 @@ Every token that overlaps a section is counted exactly once.
 
 Defined results: null text counts as empty; a text without characters has one
 empty section with no tokens; null lang or source is an empty field; blank
-lines are sections with no tokens; repeated rows are counted apart.
+lines are sections with no tokens; repeated rows are counted apart; a very long
+text is encoded whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@ Defined results: null or empty text is one empty sentence and gets the score of
 the intercept; null labels are not learned from; without any label, or with one
 class only, every score is that of the intercept; a label that occurs more than
 once counts once, and so does a document, by its least text; a null doc_id is
-never held out.
+never held out; an empty table gives an empty result, and a very long text is
+scored whole, sentence by sentence.
 """
 
 from __future__ import annotations

@@ -22,7 +22,8 @@ every few rounds, which cuts lineage.
 Defined results: null url, or one without `://`, has empty host and path, no
 rule, and no part in the graph; its verdict is allow, like that of any host
 without trust or distrust.  Null html has no links.  Repeated rows are judged
-alike.
+alike; a very long url or page is read whole; empty tables, of pages or of
+rules, give no rows and no rules.
 """
 
 from __future__ import annotations
