@@ -82,7 +82,9 @@ class Breaker(Ordered):
     event_schema = "at long, id long, failed boolean"
     state_schema = "calls long, mode int, failures int, successes int, opened long, rejected long, trips long"
     start = (0, *START)
-    idle_ms = 7 * 86_400_000
+
+    def __init__(self, idle_ms: int | None = None):
+        self.idle_ms = idle_ms
 
     def take(self, state: tuple, event: tuple) -> tuple[tuple, None]:
         return (state[0] + 1, *advance(state[1:], event[0], bool(event[2]))), None
@@ -93,11 +95,12 @@ class Breaker(Ordered):
         yield pd.DataFrame({"key": [key[0]], "calls": [calls], "rejected": [rejected], "trips": [trips], "mode": pd.array([mode], "int32"), "half_open_at": pd.array([half], "Int64"), "settled": [settled]})
 
 
-def stream(events: DataFrame, key: str, delay: str = "10 minutes") -> DataFrame:
+def stream(events: DataFrame, key: str, delay: str = "10 minutes", idle_seconds: int | None = None) -> DataFrame:
     """Update-mode stream of key, calls, rejected, trips, mode, half_open_at, settled from (key, ts, event_id, failed).
 
-    Calls may come late by `delay`; later ones are dropped by the watermark.
+    Calls may come late by `delay`; later ones are dropped by the watermark.  A
+    key without calls for `idle_seconds` is forgotten and begins anew; None: never.
     """
     calls = events.withWatermark("ts", delay).select(F.col(key).cast("long").alias("key"), "ts", F.unix_micros("ts").alias("at"), F.col("event_id").cast("long").alias("id"), "failed")
-    found = calls.groupBy("key").transformWithStateInPandas(statefulProcessor=Breaker(), outputStructType="key long, calls long, rejected long, trips long, mode int, half_open_at long, settled boolean", outputMode="Update", timeMode="EventTime")
+    found = calls.groupBy("key").transformWithStateInPandas(statefulProcessor=Breaker(None if idle_seconds is None else 1000 * idle_seconds), outputStructType="key long, calls long, rejected long, trips long, mode int, half_open_at long, settled boolean", outputMode="Update", timeMode="EventTime")
     return found.withColumnRenamed("key", key)

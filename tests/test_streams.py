@@ -57,6 +57,16 @@ def test_breaker(spark, tmp_path, files, late):
         assert any(r.settled for r in out)
 
 
+def test_an_idle_key_is_forgotten(spark, tmp_path):
+    """Days apart: key 1 begins anew after a day without calls, key 2 calls all along."""
+    day = 24 * 60 * MINUTE
+    rows = [(k, 10 * d + k, 1_700_000_000_000_000 + d * day // 2, True, 1, 0.0) for d in range(12) for k in (1, 2) if k == 2 or d in (0, 1, 8, 9)]
+    for idle, want in ((86_400, {1: 2, 2: 12}), (None, {1: 4, 2: 12})):
+        calls = stream(spark, f"{tmp_path}/{idle}", rows, 8).withColumnRenamed("id", "event_id")
+        out = drained(breaker.stream(calls, "key", idle_seconds=idle), "update").collect()
+        assert {r.key: r.calls for r in sorted(out, key=lambda r: (r.batch, r.calls))} == want
+
+
 def asked(rows, ttl, builds):
     entry, out = {}, {}
     for key, i, at, _, kind, _ in sorted(rows, key=lambda r: (r[2], r[4] == cache.PROBE)):
