@@ -128,7 +128,7 @@ def test_resampling_odd_rows(spark, tmp_path, monkeypatch):
 # Search
 
 
-@pytest.mark.parametrize("block,entries", [(ranked_search.BLOCK_BYTES, ranked_search.ENTRIES), (120, 50)])
+@pytest.mark.parametrize("block,entries", [(ranked_search.BLOCK_BYTES, ranked_search.ENTRIES), (600, 50)])
 def test_search(spark, tmp_path, monkeypatch, block, entries):
     monkeypatch.setattr(ranked_search, "ENTRIES", entries)
     rows = [*texts(5, 150), (None, "W1 W2 W3"), (7, "W1 W2 W40"), (7, "W1 W2 W40")]
