@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import store
+from ..operators import handler, store
 from ..operators.dedupe import dedupe_and_rank
 from ..sources import providers
 from ..sources.tables import table
@@ -165,3 +165,27 @@ def w1_full_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     apart = _candidates(spark, sf_dir, conf, 10).withColumn("title", F.concat(F.lit("t"), "id")).withColumn("asin", F.lit(None).cast("string")).drop("delta")
     sizes = table(spark, sf_dir, "part").select(c("p_partkey").cast("string").alias("id"), ((c("p_size") % 7) / F.lit(100.0)).alias("delta"))
     return dedupe_and_rank(apart.join(sizes, "id")).select("query_id", "id", "position")
+
+
+@query("""
+WITH m AS (SELECT max(ts) AS now_ FROM events),
+c AS (SELECT user_id, max((ts, event_id)) AS x FROM events WHERE event_type = 'view' GROUP BY user_id), s AS (SELECT user_id, max((ts, event_id)) AS x FROM events WHERE event_type = 'purchase' AND user_id % 4 > 0 GROUP BY user_id), f AS (SELECT user_id, max((ts, event_id)) AS x FROM events WHERE event_type = 'error' AND user_id % 7 > 0 GROUP BY user_id),
+j AS (SELECT k.user_id, k.user_id % 3 = 0 AS up, CASE WHEN c.x[1] + INTERVAL 2 DAY > now_ AND c.x[2] % 5 > 0 THEN concat('c', c.x[2]) END AS cv, c.x[1] + INTERVAL 2 DAY AS cu, concat('s', s.x[2]) AS sv, s.x[1] AS sa, concat('f', f.x[2]) AS fv,
+  CASE WHEN f.user_id IS NULL THEN 'NOT_FOUND' ELSE CASE f.x[2] % 5 WHEN 0 THEN 'REGION_UNAVAILABLE' WHEN 1 THEN 'PRODUCT_DELISTED' WHEN 2 THEN 'SERVER' END END AS code, s.user_id IS NOT NULL AS has, now_
+  FROM (SELECT DISTINCT user_id FROM events) k LEFT JOIN c ON c.user_id = k.user_id LEFT JOIN s ON s.user_id = k.user_id LEFT JOIN f ON f.user_id = k.user_id, m),
+h AS (SELECT *, CASE WHEN cv IS NOT NULL AND NOT up THEN 'cache' WHEN has AND NOT up THEN 'store' WHEN has AND sa > now_ - INTERVAL 3 DAY THEN 'recent' WHEN code IS NULL AND has THEN 'updated' WHEN code IS NULL THEN 'created' WHEN has AND code IN ('REGION_UNAVAILABLE', 'PRODUCT_DELISTED') THEN 'kept' ELSE 'failed' END AS how FROM j),
+v AS (SELECT *, CASE how WHEN 'cache' THEN cv WHEN 'store' THEN sv WHEN 'recent' THEN sv WHEN 'kept' THEN sv WHEN 'updated' THEN fv WHEN 'created' THEN fv END AS value FROM h)
+SELECT user_id AS key, how, value, CASE WHEN how = 'failed' THEN code END AS code, CASE WHEN how IN ('store', 'updated', 'created') THEN value ELSE cv END AS cached, epoch_us(CASE WHEN how IN ('store', 'updated', 'created') THEN now_ + INTERVAL 5 DAY WHEN cv IS NOT NULL THEN cu END) AS until FROM v""")
+def c10_handler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for records of all users: cache, store, update or build, and the cache with its expiry afterwards."""
+    e = table(spark, sf_dir, "events").select("user_id", c("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
+    last = lambda kind, keep: e.filter((c("event_type") == kind) & keep).groupBy(c("user_id").alias("key")).agg(F.max(F.struct("ts", "event_id")).alias("x")).select("key", "x.ts", "x.event_id")
+    named = lambda letter: F.concat(F.lit(letter), c("event_id").cast("string"))
+    cached = last("view", F.lit(True)).select("key", F.when(c("event_id") % 5 > 0, named("c")).alias("value"), (c("ts") + F.expr("INTERVAL 2 DAYS")).alias("expires_at"))
+    stored = last("purchase", c("user_id") % 4 > 0).select("key", named("s").alias("value"), c("ts").alias("updated_at"))
+    code = F.when(c("event_id") % 5 == 0, "REGION_UNAVAILABLE").when(c("event_id") % 5 == 1, "PRODUCT_DELISTED").when(c("event_id") % 5 == 2, "SERVER")
+    fetched = last("error", c("user_id") % 7 > 0).select("key", named("f").alias("value"), code.alias("code"))
+    asked = e.select(c("user_id").alias("key"), (c("user_id") % 3 == 0).alias("update"))
+    now = F.lit(e.agg(F.max("ts")).first()[0])
+    found = handler.answered(asked, cached, stored, fetched, now, days=3)
+    return found.select("key", "how", "value", "code", "cached", F.unix_micros("cached_until").alias("until"))

@@ -5,7 +5,7 @@ from difflib import SequenceMatcher
 from pyspark.sql import functions as F
 
 from folioforge.functions import text as T
-from folioforge.operators import authors, enrich, graph, series, store
+from folioforge.operators import authors, enrich, graph, handler, series, store
 from folioforge.plans import catalogue
 from folioforge.sources import records
 
@@ -158,3 +158,17 @@ def test_snapshots_are_pruned_by_the_keys_still_wanted(spark, tmp_path):
     finally:
         for k in settings:
             spark.conf.unset(k)
+
+
+def test_answers_to_requests(spark):
+    day = lambda n: f"2024-01-{n:02d}"
+    times = lambda df, c: df.withColumn(c, F.col(c).cast("timestamp"))
+    asked = spark.createDataFrame([(k, u) for k, u in [(1, False), (2, True), (3, False), (4, True), (5, True), (6, True), (7, False), (8, False), (9, False), (9, True), (10, False)]], "key long, update boolean")
+    cache = times(spark.createDataFrame([(1, "c1", day(20)), (2, "c2", day(20)), (3, "c3", day(5)), (8, None, day(20)), (10, "c10", day(9))], "key long, value string, expires_at string"), "expires_at")
+    stored = times(spark.createDataFrame([(2, "s2", day(9)), (3, "s3", day(1)), (4, "s4", day(1)), (5, "s5", day(1)), (6, "s6", None), (9, "s9", day(1))], "key long, value string, updated_at string"), "updated_at")
+    fetched = spark.createDataFrame([(4, "f4", None), (5, None, "PRODUCT_DELISTED"), (6, None, "SERVER"), (7, "f7", None), (9, "f9", None), (10, None, "REGION_UNAVAILABLE")], "key long, value string, code string")
+    got = {r.key: (r.how, r.value, r.code, r.cached, r.cached_until and r.cached_until.day) for r in handler.answered(asked, cache, stored, fetched, F.lit(day(10)).cast("timestamp")).collect()}
+    assert got == {
+        1: ("cache", "c1", None, "c1", 20), 2: ("recent", "s2", None, "c2", 20), 3: ("store", "s3", None, "s3", 15), 4: ("updated", "f4", None, "f4", 15), 5: ("kept", "s5", None, None, None), 6: ("failed", None, "SERVER", None, None),
+        7: ("created", "f7", None, "f7", 15), 8: ("failed", None, "NOT_FOUND", None, None), 9: ("updated", "f9", None, "f9", 15), 10: ("failed", None, "REGION_UNAVAILABLE", None, None),
+    }
