@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import with_similarity
 from ..functions.text import asin_of_url, clean_biography, cleanup_description, html_text, normalize_name, strip
+from ..sources.tables import cut_lineage
 from .enrich import collapse_initials, one_per_name, same_author
 from .text_index import TextIndex
 
@@ -125,8 +126,9 @@ def catalogue_authors(products: DataFrame) -> DataFrame:
 
 def search_authors(wanted: DataFrame, known: DataFrame, products: DataFrame) -> DataFrame:
     """query, asin, name, pos, how: close matches among known authors, each person once; where there are none, the catalogue's."""
-    hits = same_author(text_hits(wanted, known), "query", "name", "same").filter("same").drop("same")
-    close = collapse_initials(one_per_name(hits, ["query"]), ["query"])
+    # Tables, as names are compared by many patterns, and what is close is asked for twice.
+    hits = cut_lineage(same_author(cut_lineage(text_hits(wanted, known)), "query", "name", "same").filter("same").drop("same"))
+    close = cut_lineage(collapse_initials(one_per_name(hits, ["query"]), ["query"]))
     shape = lambda d, how: d.select("query", "asin", "name", F.col("pos").cast("long").alias("pos"), F.lit(how).alias("how"))
     missed = products.join(close.select("query").distinct(), "query", "left_anti")
     return shape(close, "known").unionByName(shape(catalogue_authors(missed), "catalogue"))

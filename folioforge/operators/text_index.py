@@ -18,7 +18,8 @@ text by text:
 
 The best `most` of both are the best of all: what is left out has `most` texts
 before it.  So work grows with the postings, not with the square of a word's
-texts; what is left of squares are classes that share a common term.
+texts; what is left of squares are sets and classes that share a common term
+which isn't ruled out by its greatest impact (see _best_of_classes).
 """
 
 from __future__ import annotations
@@ -74,16 +75,47 @@ class TextIndex:
         both = rare.join(wanted, "query", "left").join(profiles, "name", "left")
         shared = F.aggregate(F.filter("profile", lambda x: F.array_contains("wanted", x["term"])), F.lit(0).cast("long"), lambda total, x: total + x["impact"])
         met = both.select("query", "name", (F.col("rare") + F.coalesce(shared, F.lit(0))).alias("score"))
-        # Classes of texts against sets of common terms that are asked for.
-        heads = cut_lineage(_first(profiles, ["profile"], [F.col("name")], most).withColumn("class", F.min("name").over(Window.partitionBy("profile"))))
-        classes = heads.filter("name = class").select("class", F.explode("profile").alias("p")).select("class", "p.term", "p.impact")
-        sets = wanted.select("wanted").distinct().select("wanted", F.explode("wanted").alias("term"))
-        scored = sets.join(classes, "term").groupBy("wanted", "class").agg(F.sum("impact").alias("score"))
-        best = _first(scored, ["wanted"], [F.desc("score"), F.col("class")], most).join(heads.select("class", "name"), "class")
-        best = _first(best, ["wanted"], [F.desc("score"), F.col("name")], most).select("wanted", "name", "score")
+        best = self._best_of_classes(wanted, profiles, most)
         alike = wanted.join(best, "wanted").select("query", "name", "score")
         return met.unionByName(alike).groupBy("query", "name").agg(F.max("score").alias("score"))
 
+    def _best_of_classes(self, wanted: DataFrame, profiles: DataFrame, most: int) -> DataFrame:
+        """wanted, name, score: the best `most` texts for each set of common terms that is asked for, by these terms alone.
+
+        Classes are met by a set's rarest term first.  The score of the last of
+        the best `most` texts so found is a floor: of the set's further terms, in
+        order of rarity, only those are opened from which on the greatest impacts
+        together reach it, as a text with none but later terms stays below.
+        """
+        heads = cut_lineage(_first(profiles, ["profile"], [F.col("name")], most).withColumn("class", F.min("name").over(Window.partitionBy("profile"))))
+        classes = cut_lineage(heads.filter("name = class").select("class", "profile"))
+        opened = cut_lineage(classes.select("class", F.explode("profile.term").alias("term")))
+        limits = self.postings.filter("common").groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("most_impact"))
+        sets = cut_lineage(wanted.select("wanted").distinct().withColumn("set", F.monotonically_increasing_id()))
+        terms_ = sets.select("set", F.explode("wanted").alias("term")).join(limits, "term").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("df", "term", "most_impact"))).alias("terms"))
+        terms_ = cut_lineage(terms_)
+
+        def scored(pairs: DataFrame) -> DataFrame:
+            """set, class, score of pairs."""
+            both = pairs.join(classes, "class").join(sets, "set")
+            score = F.aggregate(F.filter("profile", lambda x: F.array_contains("wanted", x["term"])), F.lit(0).cast("long"), lambda total, x: total + x["impact"])
+            return both.select("set", "class", score.alias("score"))
+
+        def texts(found: DataFrame) -> DataFrame:
+            """set, name, score of the best `most` texts of scored classes."""
+            top = _first(found, ["set"], [F.desc("score"), F.col("class")], most).join(heads.select("class", "name"), "class")
+            return _first(top, ["set"], [F.desc("score"), F.col("name")], most).select("set", "name", "score")
+
+        rarest = terms_.select("set", F.get("terms", F.lit(0))["term"].alias("term"))
+        first = cut_lineage(texts(scored(rarest.join(opened, "term").select("set", "class"))))
+        floor = first.groupBy("set").agg(F.when(F.count("*") >= most, F.min("score")).otherwise(0).alias("floor"))
+        rest = lambda t, i: F.aggregate(F.slice(t, i + 1, F.size(t)), F.lit(0).cast("long"), lambda total, x: total + x["most_impact"])
+        reaching = F.filter(F.transform("terms", lambda x, i: F.when((i > 0) & (rest(F.col("terms"), i) >= F.col("floor")), x["term"])), lambda x: x.isNotNull())
+        further = terms_.join(floor, "set").select("set", F.explode(reaching).alias("term"))
+        more = texts(scored(further.join(opened, "term").select("set", "class").distinct()))
+        every = first.unionByName(more).distinct()
+        return _first(every, ["set"], [F.desc("score"), F.col("name")], most).join(sets, "set").select("wanted", "name", "score")
+
     def search(self, queries: DataFrame, most: int = MOST) -> DataFrame:
         """query, key, score, pos: the `most` best records of each distinct query (column query), the lesser key of equals first."""
         best = _first(self.candidates(queries, most), ["query"], [F.desc("score"), F.col("name")], most)
