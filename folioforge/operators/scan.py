@@ -42,6 +42,21 @@ class Ranges:
         carried = carried.select("_range", self.key, F.last("_sofar", ignorenulls=True).over(self.before).alias("_sofar"))
         return self._with(rows.withColumn(out, F.last("_value", ignorenulls=True).over(self.within)), carried).withColumn(out, F.coalesce(out, "_sofar")).drop("_value", "_sofar", "_range")
 
+    def runs(self, ends: Column, run: str, place: str) -> DataFrame:
+        """The rows with the run that they are in and their place in it, from 1; a row for which `ends` holds is the last of its run.
+
+        A run's number is the place of its first row within the key.
+        """
+        here = Window.partitionBy("_range", self.key).orderBy(*self.order)
+        rows = self.rows.withColumn("_ends", F.coalesce(ends, F.lit(False))).withColumn("_n", F.row_number().over(here).cast("long"))
+        ended = F.max(F.when(F.col("_ends"), F.col("_n")))
+        carried = rows.groupBy("_range", self.key).agg(F.count("*").alias("_rows"), ended.alias("_last"))
+        carried = carried.withColumn("_ahead", F.coalesce(F.sum("_rows").over(self.before), F.lit(0)))
+        carried = carried.select("_range", self.key, "_ahead", F.max(F.col("_last") + F.col("_ahead")).over(self.before).alias("_since"))
+        rows = rows.withColumn("_last", ended.over(here.rowsBetween(Window.unboundedPreceding, -1)))
+        out = self._with(rows, carried).withColumn(run, F.coalesce(F.col("_last") + F.col("_ahead"), "_since", F.lit(0)) + 1)
+        return out.withColumn(place, F.col("_n") + F.col("_ahead") - F.col(run) + 1).drop("_ends", "_n", "_last", "_ahead", "_since", "_range")
+
     def numbered(self, out: str) -> DataFrame:
         """The rows with their place within the key, from 1."""
         return self.running_sum(F.lit(1).cast("long"), out)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import languages as L
 from ..functions import text as T
-from ..operators import addresses, authors, enrich, records, refresh, scoring, search, series, store, telemetry
+from ..operators import addresses, authors, enrich, records, refresh, retries, scoring, search, series, store, telemetry
 from ..sources.tables import cut_lineage, table
 from ..streaming.run import drained, stream_of
 from . import sqltext as S
@@ -427,6 +427,25 @@ def z11_metrics_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(F.col("batch") == last).select("event_type", "n", F.round("total", 2).alias("total"), "most")
 
 
+@query(r"""
+WITH e AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'error' THEN 429 WHEN 'click' THEN 500 WHEN 'signup' THEN NULL ELSE 200 END AS status, json_extract(props, '$.k')::INT AS k FROM events),
+h AS (SELECT *, CASE k % 5 WHEN 0 THEN concat(k // 5, 's') WHEN 1 THEN strftime(ts + to_seconds(k // 5 - 5), '%a, %d %b %Y %H:%M:%S GMT') WHEN 2 THEN 'soon' WHEN 3 THEN concat('-', k) END AS header FROM e),
+a AS (SELECT *, try_cast(regexp_extract(header, '^[0-9]+') AS BIGINT) AS seconds, epoch_us(try_strptime(header, '%a, %d %b %Y %H:%M:%S GMT')) // 1000 - epoch_us(ts) // 1000 AS left_ FROM h),
+w AS (SELECT *, CASE WHEN status = 429 THEN CASE WHEN seconds > 0 THEN seconds * 1000 WHEN left_ > 0 THEN left_ END END AS asked FROM a),
+p AS (SELECT *, coalesce(status = 200 OR asked > 10000, false) AS last_, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM w),
+t AS (SELECT *, (p - 1 - coalesce(max(p) FILTER (WHERE last_) OVER (PARTITION BY user_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) % 4 AS attempt FROM p),
+o AS (SELECT *, p - attempt AS request, CASE WHEN status = 200 THEN 'done' WHEN attempt = 3 THEN 'failed' WHEN last_ THEN 'gave up' ELSE 'open' END AS outcome FROM t)
+SELECT user_id, request, count(*) AS attempts, arg_max(outcome, p) AS outcome, coalesce(sum(CASE WHEN outcome = 'open' AND status = 429 THEN coalesce(asked, least(1000 * 2 ** attempt, 8000)::BIGINT) END), 0)::BIGINT AS waited_ms FROM o GROUP BY user_id, request""")
+def z9_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of all users out of the log of responses: their attempts, waits and ends; headers in seconds, as dates, and unreadable."""
+    at, k = F.col("ts").cast("timestamp"), F.get_json_object("props", "$.k").cast("int")
+    status = F.when(F.col("event_type") == "error", 429).when(F.col("event_type") == "click", 500).when(F.col("event_type") != "signup", 200)
+    moment = F.to_utc_timestamp(F.timestamp_micros(F.unix_micros(at) + (F.floor(k / 5) - 5) * 1_000_000), F.current_timezone())
+    header = F.when(k % 5 == 0, F.concat(F.floor(k / 5).cast("string"), F.lit("s"))).when(k % 5 == 1, F.date_format(moment, "EEE, dd MMM yyyy HH:mm:ss 'GMT'")).when(k % 5 == 2, "soon").when(k % 5 == 3, F.concat(F.lit("-"), k.cast("string")))
+    log = table(spark, sf_dir, "events").select("user_id", "event_id", at.alias("at"), status.alias("status"), header.alias("retry_after"))
+    return retries.requests(retries.attempts(log, "user_id", ["at", "event_id"]), "user_id")
+
+
 @query("""
 WITH l AS (SELECT user_id, arg_max(event_type, event_id) FILTER (WHERE event_id % 2 = 0) AS store, arg_max(event_type, event_id) FILTER (WHERE event_id % 2 = 1 AND user_id % 3 > 0) AS cache FROM events GROUP BY user_id)
 SELECT coalesce(store, 'error') <> 'error' AND coalesce(cache, 'view') <> 'error' AS healthy, count(*) AS n FROM l GROUP BY 1""")
