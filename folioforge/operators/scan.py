@@ -37,10 +37,17 @@ class Ranges:
 
     def last_known(self, value: Column, out: str) -> DataFrame:
         """The rows with the last value that isn't null of those of the key up to each."""
-        rows = self.rows.withColumn("_value", value)
-        carried = rows.groupBy("_range", self.key).agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*self.order))).alias("_sofar"))
-        carried = carried.select("_range", self.key, F.last("_sofar", ignorenulls=True).over(self.before).alias("_sofar"))
-        return self._with(rows.withColumn(out, F.last("_value", ignorenulls=True).over(self.within)), carried).withColumn(out, F.coalesce(out, "_sofar")).drop("_value", "_sofar", "_range")
+        return self.last_values({out: value})
+
+    def last_values(self, values: dict[str, Column], own: bool = True) -> DataFrame:
+        """The rows with the last value that isn't null, by name, of those of the key up to each; without `own`, of those before it."""
+        rows = self.rows.withColumns({f"_value_{k}": v for k, v in values.items()})
+        newest = lambda k: F.max_by(f"_value_{k}", F.when(F.col(f"_value_{k}").isNotNull(), F.struct(*self.order)))
+        carried = rows.groupBy("_range", self.key).agg(*(newest(k).alias(f"_sofar_{k}") for k in values))
+        carried = carried.select("_range", self.key, *(F.last(f"_sofar_{k}", ignorenulls=True).over(self.before).alias(f"_sofar_{k}") for k in values))
+        within = self.within if own else self.within.rowsBetween(Window.unboundedPreceding, -1)
+        known = self._with(rows.withColumns({k: F.last(f"_value_{k}", ignorenulls=True).over(within) for k in values}), carried)
+        return known.withColumns({k: F.coalesce(k, f"_sofar_{k}") for k in values}).drop(*(f"_{x}_{k}" for k in values for x in ("value", "sofar")), "_range")
 
     def runs(self, ends: Column, run: str, place: str) -> DataFrame:
         """The rows with the run that they are in and their place in it, from 1; a row for which `ends` holds is the last of its run.

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.languages import languages_conflict, region_language
+from .scan import Ranges
 from .scoring import band
 
 
@@ -58,3 +59,41 @@ def health(probes: DataFrame, key: str) -> DataFrame:
     last = lambda part: F.max_by("up", F.when(F.col("part") == part, F.col("at")))
     found = probes.groupBy(key).agg(last("store").alias("store"), last("cache").alias("cache"))
     return found.select(key, (F.coalesce("store", F.lit(False)) & F.coalesce("cache", F.lit(True))).alias("healthy"))
+
+
+#: Seconds after which a probe counts as unanswered.
+PROBE_SECONDS = 5.0
+
+
+def health_changes(probes: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """probes (key, part, up, took) with the key's health before each, null before its first, and after it.
+
+    A key is healthy while its store is up, and its cache is up or has never
+    been probed.  A probe that took too long, or has no result, found its part
+    down; parts of other names change nothing.
+    """
+    up = F.coalesce(F.col("up") & (F.coalesce("took", F.lit(0.0)) <= PROBE_SECONDS), F.lit(False))
+    of = lambda part: F.when(F.col("part") == part, up)
+    known = Ranges(probes, key, order).last_values({"_store": of("store"), "_cache": of("cache"), "_seen": F.lit(True)}, own=False)
+    healthy = lambda store, cache: F.coalesce(store, F.lit(False)) & F.coalesce(cache, F.lit(True))
+    before = F.when(F.col("_seen"), healthy(F.col("_store"), F.col("_cache")))
+    after = healthy(F.coalesce(of("store"), "_store"), F.coalesce(of("cache"), "_cache"))
+    return known.withColumn("before", before).withColumn("after", after).drop("_store", "_cache", "_seen")
+
+
+def uptime(changes: DataFrame, key: str, at: str, order: list[str]) -> DataFrame:
+    """key, probes, healthy (after its last probe), outages, up_us and span_us: microseconds of health, and from its first to its last probe.
+
+    Time in health is the sum of the moments at which it ends less those at
+    which it begins, so it is a plain aggregate.
+    """
+    now = F.unix_micros(at)
+    # Moments are large numbers; their sum may leave 64 bits on the way.
+    step = F.coalesce(F.col("before"), F.lit(False)).cast("int") - F.col("after").cast("int")
+    last = F.max_by("after", F.struct(*order))
+    of = changes.groupBy(key).agg(
+        F.count("*").alias("probes"), last.alias("healthy"), F.count_if(~F.col("after") & F.coalesce("before", F.lit(True))).alias("outages"),
+        F.sum((now * step).cast("decimal(20,0)")).alias("_ended"), F.min(now).alias("_first"), F.max(now).alias("_last"),
+    )
+    up = F.col("_ended") + F.when(F.col("healthy"), F.col("_last")).otherwise(0)
+    return of.select(key, "probes", "healthy", "outages", up.cast("long").alias("up_us"), (F.col("_last") - F.col("_first")).alias("span_us"))

@@ -455,6 +455,21 @@ def z13_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.health(e, "user_id").groupBy("healthy").agg(F.count("*").alias("n"))
 
 
+@query("""
+WITH p AS (SELECT user_id, ts, event_id, CASE WHEN event_type IN ('view', 'purchase', 'error') THEN 'store' WHEN event_type = 'click' OR value > 40 THEN 'cache' ELSE 'other' END AS part, event_type NOT IN ('error', 'signup') AND value / 10 <= 5 AS up FROM events),
+k AS (SELECT *, last_value(CASE WHEN part = 'store' THEN up END IGNORE NULLS) OVER w AS store, last_value(CASE WHEN part = 'cache' THEN up END IGNORE NULLS) OVER w AS cache FROM p WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+h AS (SELECT *, coalesce(store, false) AND coalesce(cache, true) AS after FROM k),
+s AS (SELECT *, lag(after) OVER w AS before, lead(ts) OVER w AS until_ FROM h WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+SELECT user_id, count(*) AS probes, arg_max(after, (ts, event_id)) AS healthy, count_if(NOT after AND coalesce(before, true)) AS outages, coalesce(sum(CASE WHEN after THEN epoch_us(until_) - epoch_us(ts) END), 0)::BIGINT AS up_us, epoch_us(max(ts)) - epoch_us(min(ts)) AS span_us FROM s GROUP BY user_id""")
+def z13_uptime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outages and time in health of each user's service by all its probes in order of time; slow ones count as down."""
+    kind = F.col("event_type")
+    part = F.when(kind.isin("view", "purchase", "error"), "store").when((kind == "click") | (F.col("value") > 40), "cache").otherwise("other")
+    probes = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("at"), part.alias("part"), (~kind.isin("error", "signup")).alias("up"), (F.col("value") / 10).alias("took"))
+    order = ["at", "event_id"]
+    return telemetry.uptime(telemetry.health_changes(probes, "user_id", order), "user_id", "at", order)
+
+
 @query()
 def c1_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Composite search: noisy requests, three sources, widening by track title; ranked editions."""

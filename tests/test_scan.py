@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folioforge.operators import addresses, refresh, scan, store
+from folioforge.operators import addresses, refresh, scan, store, telemetry
 
 
 @pytest.fixture(autouse=True)
@@ -64,6 +64,43 @@ def test_most_open(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_runs_and_values_before(spark, seed):
+    rows = hot_rows(seed)
+    ranges = scan.Ranges(spark.createDataFrame(rows, "k long, at long, id long, v long").repartition(5), "k", ["at", "id"])
+    runs = {r.id: (r.run, r.place) for r in ranges.runs(F.col("v") > 2, "run", "place").collect()}
+    past = {r.id: (r.last, r.most) for r in ranges.last_values({"last": F.col("v"), "most": F.when(F.col("v") == 5, F.col("id"))}, own=False).collect()}
+    n, start, last, most = {}, {}, {}, {}
+    for k, at, i, v in sorted(rows, key=lambda r: (r[0] or 0, r[1], r[2])):
+        n[k] = n.get(k, 0) + 1
+        begin = start.setdefault(k, 1)
+        assert runs[i] == (begin, n[k] - begin + 1) and past[i] == (last.get(k), most.get(k))
+        if v is not None:
+            last[k] = v
+            start[k] = n[k] + 1 if v > 2 else begin
+            most[k] = i if v == 5 else most.get(k)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_uptime(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice([1, 1, 1, 2, None]), rng.choice(["store", "store", "cache", "other", None]), rng.randrange(900), i, rng.choice([True, True, False, None]), rng.choice([None, 1.0, 5.0, 5.1])) for i in range(500)]
+    rows.append((4, "cache", 7, 999, True, 1.0))
+    probes = spark.createDataFrame(rows, "k long, part string, s long, id long, up boolean, took double").withColumn("at", F.timestamp_seconds("s")).repartition(4)
+    got = {r.k: tuple(r)[1:] for r in telemetry.uptime(telemetry.health_changes(probes, "k", ["at", "id"]), "k", "at", ["at", "id"]).collect()}
+    for k in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[3]))
+        state, was, outages, total, since = {}, True, 0, 0, None
+        for _, part, s, _, up, took in mine:
+            if since is not None:
+                total += s - since
+            state[part] = bool(up) and (took or 0) <= 5
+            now = state.get("store", False) and state.get("cache", True)
+            outages += was and not now
+            was, since = now, s if now else None
+        assert got[k] == (len(mine), was, outages, total * 1_000_000, (mine[-1][2] - mine[0][2]) * 1_000_000)
+
+
 def test_cache_split_of_a_hot_key(spark):
     rng = random.Random(4)
     at = lambda s: F.timestamp_seconds(s)
