@@ -14,14 +14,8 @@ from .text_index import TextIndex
 NAME_FLOOR, TEXT_HITS, HIT_DEPTH, SCANNED = 0.7, 25, 5, 20
 #: What is no portrait, no biography, no name.
 NO_PHOTO, NO_BIOGRAPHY, NO_NAME = r"(?i)/nophoto/", "N/A", "Showing titles\n in All Categories"
-#: Probes of a book's page.
-BOOK_PROBES = (
-    r'(?i)data-testid="buy-button"',
-    r'(?is)<button[^>]*>(?:(?!</button>).)*Sample|data-testid="sample-button"|<[^>]*class="[^"]*\bbc-button-text\b[^"]*"[^>]*>[^<]*Sample',
-    r'(?is)<h1[^>]*class="[^"]*\bbc-heading\b[^"]*"[^>]*>(?:(?!</h1>).)*<[^>]*class="[^"]*\bbc-text-bold\b',
-    r'(?i)data-testid="chapter-list"',
-    r'(?i)class="[^"]*\bproduct-listener\b',
-)
+#: What marks a book's page.
+BOOK_PARTS, BOOK_CLASS, SAMPLE, SAMPLE_LABEL, TITLE_CLASS, BOLD_CLASS = "buy-button|sample-button|chapter-list", "product-listener", "Sample", "bc-button-text", "bc-heading", "bc-text-bold"
 #: Places of an author's page.
 NAME_AT = r'(?is)<h1[^>]*class="[^"]*\bbc-heading\b[^"]*\bbc-text-bold\b[^"]*"[^>]*>(.*?)</h1>'
 ABOUT_AT = r'(?is)<div[^>]*class="[^"]*\bbc-expander-content\b[^"]*"[^>]*>(.*?)</div>'
@@ -30,11 +24,26 @@ SIMILAR_AT = r'(?is)<a[^>]*class="[^"]*\bbc-link bc-color-link\b[^"]*"[^>]*>.*?<
 THUMBNAIL = "__01_SX120_CR0,0,120,120__."
 
 
+def _of_class(name: str) -> str:
+    """A class attribute with this among its names, however it is quoted."""
+    return rf"""\s(?i:class)\s*=\s*(?:"(?:[^"]*\s)?{name}(?:\s[^"]*)?"|'(?:[^']*\s)?{name}(?:\s[^']*)?'|{name}(?=[\s>]))"""
+
+
+def _inside(html: Column, tag: str, attribute: str = "") -> Column:
+    """The markup inside each element of this kind, up to the first end of its name."""
+    found = rf"(?s)<((?i:{tag}))(?=[\s>]){'[^<>]*?' + attribute if attribute else ''}[^<>]*>((?:(?!</(?i:\1)[\s>]).)*)"
+    return F.regexp_extract_all(html, F.lit(found), F.lit(2))
+
+
 def is_book_page(html: Column) -> Column:
-    found = F.lit(False)
-    for probe in BOOK_PROBES:
-        found = found | F.coalesce(html.rlike(probe), F.lit(False))
-    return found
+    """Whether a page has a book's parts in its markup; what its text, comments and scripts say doesn't count."""
+    page = F.regexp_replace(html, r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>", "")
+    any_tag = "[a-z][a-z0-9-]*"
+    part = page.rlike(rf"""<[a-zA-Z][^<>]*?\s(?i:data-testid)\s*=\s*(?:"(?:{BOOK_PARTS})"|'(?:{BOOK_PARTS})'|(?:{BOOK_PARTS})(?=[\s>]))""")
+    bold = F.exists(_inside(page, "h1", _of_class(TITLE_CLASS)), lambda x: x.rlike(rf"<[a-zA-Z][^<>]*?{_of_class(BOLD_CLASS)}"))
+    says = lambda x: F.regexp_replace(x, "<[^>]*>", "").contains(SAMPLE)
+    sample = F.exists(_inside(page, "button"), says) | F.exists(_inside(page, any_tag, _of_class(SAMPLE_LABEL)), says)
+    return F.coalesce(part | page.rlike(rf"<[a-zA-Z][^<>]*?{_of_class(BOOK_CLASS)}") | bold | sample, F.lit(False))
 
 
 def similar_authors(html: Column) -> Column:

@@ -175,13 +175,39 @@ def f19_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.agg(F.count("*").alias("n"), F.count_if(F.col("issue") == "asin").alias("bad_asin"), F.count_if(F.col("issue") == "region").alias("bad_region"), F.count_if(F.col("issue").isNull()).alias("good"))
 
 
-_PROBED = "CASE page_id % 7 WHEN 0 THEN '<i data-testid=\"buy-button\">' WHEN 1 THEN '<button class=x><b>Sample</b></button>' WHEN 2 THEN '<h1 class=\"bc-heading x\"><span class=\"bc-text-bold\">T</span></h1>' WHEN 3 THEN '<ol data-testid=\"chapter-list\">' WHEN 4 THEN '<b class=\"product-listener\">' WHEN 5 THEN '<button>Buy</button> Sample' ELSE '' END"
+#: Markup that makes a page a book's, and markup that only looks like it.
+_PROBES = (
+    '<i data-testid="buy-button">', "<i data-testid='chapter-list' x>", "<I DATA-TESTID=sample-button>", '<i data-testid="buy-buttons">', '<p>data-testid="buy-button"</p>', '<!-- <i data-testid="buy-button"> -->', "<button class=x><b>Sam</b>ple</button>", '<button title="Sample">Play</button>',
+    "<button>Buy</button> Sample", "<button>sample</button>", '<span class="a bc-button-text">A Sample</span>', '<span class="bc-button-texts">A Sample</span>', '<h1 class="bc-heading x"><span class="bc-text-bold">T</span></h1>', '<h1 class="bc-heading bc-text-bold">T</h1>',
+    '<h2 class="bc-heading"><b class="bc-text-bold">T</b></h2>', '<h1 class="bc-heading"></h1><b class="bc-text-bold">T</b>', '<b class="product-listener">', '<b class="x-product-listener">', "<b class='y product-listener z'>", '<b id="product-listener">', "<script>'<b class=product-listener>'</script>", "<p>Sample</p>", "",
+)
+_PROBED = "element_at(array(" + ", ".join('"' + x.replace('"', '\\"') + '"' for x in _PROBES) + f"), cast(page_id % {len(_PROBES)} + 1 AS INT))"
+_PROBE_LIST = "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in _PROBES) + "]"
+
+
+def _class_sql(name: str) -> str:
+    return rf"""\s[cC][lL][aA][sS][sS]\s*=\s*("([^"]*\s)?{name}(\s[^"]*)?"|''([^'']*\s)?{name}(\s[^'']*)?''|{name}[\s>])"""
+
+
+@query(rf"""
+WITH d AS (SELECT page_id, regexp_replace(concat(html, ({_PROBE_LIST})[page_id % {len(_PROBES)} + 1]), '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>', '', 'g') AS h FROM pages),
+e AS (SELECT page_id, regexp_matches(h, '<[a-zA-Z][^<>]*\s(?i:data-testid)\s*=\s*["'']?(buy-button|sample-button|chapter-list)["''\s>]') OR regexp_matches(h, '<[a-zA-Z][^<>]*{_class_sql("product-listener")}')
+  OR regexp_matches(list_aggregate(regexp_extract_all(h, '(?is)<h1\s.*?</h1>'), 'string_agg', chr(10)), '<[hH]1[^<>]*{_class_sql("bc-heading")}[^<>]*>(.|\n)*<[a-zA-Z][^<>]*{_class_sql("bc-text-bold")}') AS marked,
+  list_concat(regexp_extract_all(h, '(?is)<button(?:\s[^<>]*)?>.*?</button>'), regexp_extract_all(h, '<span[^<>]*{_class_sql("bc-button-text").replace("(", "(?:")}[^<>]*>[^<]*')) AS labels FROM d)
+SELECT page_id, coalesce(marked, false) OR coalesce(list_bool_or(list_transform(labels, lambda x: contains(regexp_replace(x, '<[^>]*>', '', 'g'), 'Sample'))), false) AS book FROM e""")
+def f20_page_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages are books', by their markup; half of the marks added only look like a book's."""
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", authors.is_book_page(F.concat(F.col("html"), F.expr(_PROBED))).alias("book"))
+
+
+_KNOWN_MARK = "CASE page_id % 7 WHEN 0 THEN '<i data-testid=\"buy-button\">' WHEN 1 THEN '<button class=x><b>Sample</b></button>' WHEN 2 THEN '<h1 class=\"bc-heading x\"><span class=\"bc-text-bold\">T</span></h1>' WHEN 3 THEN '<ol data-testid=\"chapter-list\">' WHEN 4 THEN '<b class=\"product-listener\">' WHEN 5 THEN '<button>Buy</button> Sample' ELSE '' END"
 
 
 @query("SELECT page_id % 7 < 5 AS book, count(*) AS n FROM pages GROUP BY 1")
 def f20_page_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books' pages told from authors' by five probes of their markup."""
-    html = F.concat(F.col("html"), F.expr(_PROBED))
+    html = F.concat(F.col("html"), F.expr(_KNOWN_MARK))
     return table(spark, sf_dir, "pages").groupBy(authors.is_book_page(html).alias("book")).agg(F.count("*").alias("n"))
 
 

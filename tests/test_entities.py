@@ -172,3 +172,15 @@ def test_answers_to_requests(spark):
         1: ("cache", "c1", None, "c1", 20), 2: ("recent", "s2", None, "c2", 20), 3: ("store", "s3", None, "s3", 15), 4: ("updated", "f4", None, "f4", 15), 5: ("kept", "s5", None, None, None), 6: ("failed", None, "SERVER", None, None),
         7: ("created", "f7", None, "f7", 15), 8: ("failed", None, "NOT_FOUND", None, None), 9: ("updated", "f9", None, "f9", 15), 10: ("failed", None, "REGION_UNAVAILABLE", None, None),
     }
+
+
+def test_what_makes_a_page_a_books(spark):
+    from folioforge.operators.authors import is_book_page
+    from folioforge.plans.more_queries import _PROBES
+
+    books = {_PROBES[i] for i in (0, 1, 2, 6, 10, 12, 16, 18)}
+    nested = '<h1 class=bc-heading>\n<span><b title="x" class="a bc-text-bold">T</b></span></h1>'
+    more = {nested: True, "<button>" + "<i>x</i> " * 100_000: False, "<button>" + "<i>x</i> " * 100_000 + "Sample": True, "<p>a</p>" * 200_000: False, "<buttons>Sample</buttons>": False, "<div class='bc-button-text'><i>Sam</i>ple</div>": True, "<style>.product-listener{}</style>": False}
+    pages = [(h, h in books) for h in _PROBES] + list(more.items()) + [(None, False)]
+    for r in spark.createDataFrame(pages, "html string, want boolean").withColumn("got", is_book_page(F.col("html"))).collect():
+        assert r.got == r.want, (r.html or "")[:80]
