@@ -18,6 +18,6 @@ def large(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["g13_distinct_last", "p7_book_records", "w15_first_match"])
+@pytest.mark.parametrize("name", ["g13_distinct_last", "p7_book_records", "w15_first_match", "x3_series_pick"])
 def test_places_of_items_with_large_keys(spark, large, name):
     assert_equal(spark, queries()[name], oracle_sql()[name], large)
