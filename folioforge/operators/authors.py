@@ -11,7 +11,7 @@ from ..sources.tables import cut_lineage
 from .enrich import collapse_initials, one_per_name, same_author
 from .text_index import TextIndex
 
-NAME_FLOOR, TEXT_HITS, HIT_DEPTH, SCANNED = 0.7, 25, 5, 20
+NAME_FLOOR, TEXT_HITS, HIT_DEPTH = 0.7, 25, 5
 #: What is no portrait, no biography, no name.
 NO_PHOTO, NO_BIOGRAPHY, NO_NAME = r"(?i)/nophoto/", "N/A", "Showing titles\n in All Categories"
 #: What marks a book's page.
@@ -114,19 +114,21 @@ def text_hits(wanted: DataFrame, known: DataFrame, most: int = TEXT_HITS) -> Dat
     return found.withColumnRenamed("key", "asin").join(known, "asin")
 
 
-def first_products(products: DataFrame, within: list[str], most: int = SCANNED) -> DataFrame:
-    """The first `most` products (pos) of each group: what one catalogue search gives; each task's part is cut down before it is dealt."""
-    return products.withColumn("_r", F.row_number().over(Window.partitionBy(*within).orderBy("pos"))).filter(F.col("_r") <= most).drop("_r")
+def catalogue_authors(products: DataFrame, asked: DataFrame | None = None, within: str = "query") -> DataFrame:
+    """query, asin, name, pos: authors of products (within, product, pos, authors) whose names are near enough to the query.
 
-
-def catalogue_authors(products: DataFrame) -> DataFrame:
-    """query, asin, name, pos: authors of products (query, product, pos, authors) whose names are near enough to the query.
-
-    An author counts once per product; of authors of one name the one with most
-    products stays, the earlier of equals; most products first.
+    asked: the queries (query, within) of each catalogue, where products don't
+    name their own.  Names are compared once for each catalogue, so only authors
+    who are near a query are taken per query.  An author counts once per
+    product; of authors of one name the one with most products stays, the
+    earlier of equals; most products first.
     """
-    people = products.select("query", "product", "pos", F.posexplode("authors").alias("i", "a")).select("query", "product", F.struct("pos", "i").alias("at"), "a.asin", "a.name")
-    near = with_similarity(people.filter("coalesce(asin, '') != '' AND coalesce(name, '') != ''"), "query", "name", "sim").filter(F.col("sim") >= NAME_FLOOR)
+    people = products.select(within, "product", "pos", F.posexplode("authors").alias("i", "a")).select(within, "product", F.struct("pos", "i").alias("at"), "a.asin", "a.name").filter("coalesce(asin, '') != '' AND coalesce(name, '') != ''")
+    names = people.select(within, "name").distinct()
+    names = names if asked is None else names.join(asked, within)
+    # A table: few rows, which meet many of a hot name.
+    close = cut_lineage(with_similarity(names, "query", "name", "sim").filter(F.col("sim") >= NAME_FLOOR).select(*dict.fromkeys((within, "query", "name"))))
+    near = people.join(close, [within, "name"])
     counted = near.groupBy("query", "asin").agg(F.countDistinct("product").alias("n"), F.max_by("name", "at").alias("name"), F.min("at").alias("at"))
     named = counted.groupBy("query", normalize_name(F.col("name")).alias("key")).agg(F.min(F.struct((-F.col("n")).alias("fewer"), "at", "asin", "name")).alias("best"), F.min("at").alias("first"))
     place = F.row_number().over(Window.partitionBy("query").orderBy("best.fewer", "first"))
