@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import with_similarity, with_title_similarity
 from ..functions.text import normalize_name, without_initials, initials
+from ..sources.tables import cut_lineage
 
 COVER_TITLE, COVER_AUTHOR = 0.8, 0.7
 
@@ -23,6 +24,9 @@ def author_profiles(old: DataFrame, preferred: DataFrame, fallback: DataFrame) -
 
 def square_cover(hits: DataFrame) -> DataFrame:
     """record, cover: the best-titled hit (record, title, author, hit_title, hit_author, cover, pos) by an author near enough; the first of equals."""
+    alike = ["record", "title", "author", "hit_title", "hit_author"]
+    # Hits that are compared alike score alike, so their first stands for all; a table, as a filter would be pushed down to all hits.
+    hits = cut_lineage(hits.groupBy(*alike).agg(F.min(F.struct("pos", "cover")).alias("_first")).select(*alike, "_first.pos", "_first.cover"))
     near = with_similarity(with_title_similarity(hits, "title", "hit_title", "t", least=COVER_TITLE), "author", "hit_author", "a")
     good = near.filter((F.col("t") >= COVER_TITLE) & (F.col("author").isNull() | (F.col("a") >= COVER_AUTHOR)))
     return good.groupBy("record").agg(F.min_by("cover", F.struct(-F.col("t"), "pos")).alias("cover"))
