@@ -25,8 +25,9 @@ _NOISY = {
 def n1_normalize_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
     forms = F.array(*(F.struct(F.lit(k).alias("form"), F.expr(v[0]).alias("raw")) for k, v in _NOISY.items()))
-    raw = part.select(F.explode(forms).alias("x")).select("x.form", "x.raw")
-    return raw.groupBy("form", T.normalize_title(F.col("raw")).alias("title")).agg(F.count("*").alias("n"))
+    # Equal titles are normalised once.
+    raw = part.select(F.explode(forms).alias("x")).groupBy("x.form", "x.raw").agg(F.count("*").alias("n"))
+    return raw.groupBy("form", T.normalize_title(F.col("raw")).alias("title")).agg(F.sum("n").alias("n"))
 
 
 @query("SELECT p_partkey, concat('B', lpad(p_partkey::VARCHAR, 9, '0')) AS asin, p_name AS title FROM part")

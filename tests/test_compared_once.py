@@ -1,7 +1,9 @@
 """Equal texts are compared once, however many rows have them."""
 
+from pyspark.sql import functions as F
+
 from folioforge.operators import enrich
-from folioforge.plans import scoring_queries
+from folioforge.plans import scoring_queries, text_queries
 
 from .compare import DATA
 
@@ -33,3 +35,19 @@ def test_scores_compare_pairs_of_names(spark, monkeypatch):
     assert scoring_queries._confident(many, many).count() > 5 * part.count()
     met = part.alias("a").join(part.alias("b"), ["p_brand", "p_type"]).selectExpr("a.p_name AS q", "b.p_name AS c").distinct().count()
     assert seen == [met]
+
+
+def test_equal_titles_are_normalised_once(spark, monkeypatch, tmp_path):
+    taken, real = spark.sparkContext.accumulator(0), text_queries.T.normalize_title
+
+    def count(x):
+        taken.add(1)
+        return x
+
+    monkeypatch.setattr(text_queries.T, "normalize_title", lambda c: real(F.udf(count, "string")(c)))
+    rows = 2000
+    part = spark.range(rows).selectExpr("id AS p_partkey", "concat('old ring ', id % 2) AS p_name", "cast(id % 5 AS int) AS p_size")
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    got = text_queries.n1_normalize_title(spark, str(tmp_path)).collect()
+    assert sum(r.n for r in got) == 6 * rows
+    assert taken.value <= 6 * 10
