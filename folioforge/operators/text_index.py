@@ -12,14 +12,14 @@ text by text:
 - Texts that share a rare term with a query are candidates; there are at most
   `common` of them for each term.  They are scored whole, common terms included.
 - Texts that share common terms only are judged by class: a class is a set of
-  common terms with their impacts, and its texts score alike, so of each class
-  the first `most` texts do.  The best `most` of these are found once for each
-  set of common terms that queries have, whatever number of queries has it.
+  common terms that queries have, with their impacts, and its texts score alike,
+  so of each class the first `most` texts do.  The best `most` of these are found
+  once for each set of common terms that a query has, whatever number has it.
 
 The best `most` of both are the best of all: what is left out has `most` texts
 before it.  So work grows with the postings, not with the square of a word's
 texts; what is left of squares are sets and classes that share a common term
-which isn't ruled out by its greatest impact (see _best_of_classes).
+which isn't ruled out by impacts (see _best_of_classes).
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from ..sources.tables import cut_lineage
 
 COMMON, MOST = 128, 25
+#: Parts of a common term's classes, so that a term's sets and classes don't meet in one task.
+SLOTS = 16
 
 
 def terms(c: Column) -> Column:
@@ -41,6 +43,11 @@ def _first(df: DataFrame, within: list[str], order: list[Column], most: int) ->
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*within).orderBy(*order))).filter(F.col("_r") <= most).drop("_r")
 
 
+def _shared() -> Column:
+    """Sum of a profile's impacts on the terms of `wanted`."""
+    return F.aggregate(F.filter("profile", lambda x: F.array_contains("wanted", x["term"])), F.lit(0).cast("long"), lambda total, x: total + x["impact"])
+
+
 class TextIndex:
     """records: key and text; a null text or one without terms is in no posting."""
 
@@ -56,9 +63,14 @@ class TextIndex:
         self.frequency = cut_lineage(frequency)
         self.postings = cut_lineage(posted.join(self.frequency.select("term", "common"), "term").sortWithinPartitions("term"))
 
-    def _profiles(self) -> DataFrame:
-        """name, profile: the common terms of each text that has any, with their impacts."""
-        return self.postings.filter("common").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("term", "impact"))).alias("profile"))
+    def _profiles(self, asked: DataFrame) -> DataFrame:
+        """name, profile: the common terms of each text that queries have and it has, with their impacts; the rarest first.
+
+        What no query asks for makes no difference to a score, so it makes no classes either.
+        """
+        wanted = asked.filter("common").select("term").distinct()
+        kept = self.postings.filter("common").join(self.frequency.select("term", "df").join(wanted, "term"), "term")
+        return kept.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("df", "term", "impact"))).alias("profile"))
 
     def _asked(self, queries: DataFrame) -> DataFrame:
         """query, term, common: the distinct known terms of each distinct query."""
@@ -69,11 +81,11 @@ class TextIndex:
     def candidates(self, queries: DataFrame, most: int = MOST) -> DataFrame:
         """query, name, score: texts among which are the best `most` of each query, all that share a rare term scored whole."""
         asked = cut_lineage(self._asked(queries))
-        profiles = cut_lineage(self._profiles())
+        profiles = cut_lineage(self._profiles(asked))
         rare = asked.filter("NOT common").join(self.postings.filter("NOT common").select("term", "name", "impact"), "term").groupBy("query", "name").agg(F.sum("impact").alias("rare"))
         wanted = cut_lineage(asked.filter("common").groupBy("query").agg(F.array_sort(F.collect_list("term")).alias("wanted")))
         both = rare.join(wanted, "query", "left").join(profiles, "name", "left")
-        shared = F.aggregate(F.filter("profile", lambda x: F.array_contains("wanted", x["term"])), F.lit(0).cast("long"), lambda total, x: total + x["impact"])
+        shared = _shared()
         met = both.select("query", "name", (F.col("rare") + F.coalesce(shared, F.lit(0))).alias("score"))
         best = self._best_of_classes(wanted, profiles, most)
         alike = wanted.join(best, "wanted").select("query", "name", "score")
@@ -85,36 +97,43 @@ class TextIndex:
         Classes are met by a set's rarest term first.  The score of the last of
         the best `most` texts so found is a floor: of the set's further terms, in
         order of rarity, only those are opened from which on the greatest impacts
-        together reach it, as a text with none but later terms stays below.
+        together reach it, as a text with none but later terms stays below.  Of
+        what is opened a set meets the classes that have none of its rarer terms
+        (so each but once), whose own impacts from that term on reach the floor.
+        Scores are taken where a term's sets and classes meet, in SLOTS parts of
+        its classes, and those below the floor go no further.
         """
         heads = cut_lineage(_first(profiles, ["profile"], [F.col("name")], most).withColumn("class", F.min("name").over(Window.partitionBy("profile"))))
-        classes = cut_lineage(heads.filter("name = class").select("class", "profile"))
-        opened = cut_lineage(classes.select("class", F.explode("profile.term").alias("term")))
+        own = heads.filter("name = class").select("class", F.pmod(F.hash("class"), F.lit(SLOTS)).alias("slot"), "profile", F.posexplode("profile").alias("i", "x"))
+        rarer = F.transform(F.slice("profile", 1, F.col("i")), lambda x: x["term"])
+        cap = F.aggregate(F.slice("profile", F.col("i") + 1, F.size("profile")), F.lit(0).cast("long"), lambda total, x: total + x["impact"])
+        opened = cut_lineage(own.select("class", "slot", F.col("x.term").alias("term"), rarer.alias("rarer"), cap.alias("cap"), "profile"))
         limits = self.postings.filter("common").groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("most_impact"))
         sets = cut_lineage(wanted.select("wanted").distinct().withColumn("set", F.monotonically_increasing_id()))
         terms_ = sets.select("set", F.explode("wanted").alias("term")).join(limits, "term").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("df", "term", "most_impact"))).alias("terms"))
         terms_ = cut_lineage(terms_)
 
-        def scored(pairs: DataFrame) -> DataFrame:
-            """set, class, score of pairs."""
-            both = pairs.join(classes, "class").join(sets, "set")
-            score = F.aggregate(F.filter("profile", lambda x: F.array_contains("wanted", x["term"])), F.lit(0).cast("long"), lambda total, x: total + x["impact"])
-            return both.select("set", "class", score.alias("score"))
+        parts = int(wanted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        # Sets and classes are small and what they meet is not, so both are dealt by number, whatever their size.
+        deal = lambda df: df.repartition(parts, "term", "slot")
+
+        def scored(asking: DataFrame) -> DataFrame:
+            """set, class, score: what sets meet by a term (set, term, floor) and isn't below their floor."""
+            dealt = asking.join(sets, "set").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1))))
+            both = deal(dealt).join(deal(opened), ["term", "slot"]).filter((F.col("cap") >= F.col("floor")) & ~F.arrays_overlap("wanted", "rarer"))
+            return both.select("set", "class", _shared().alias("score"), "floor").filter(F.col("score") >= F.col("floor")).drop("floor")
 
         def texts(found: DataFrame) -> DataFrame:
             """set, name, score of the best `most` texts of scored classes."""
             top = _first(found, ["set"], [F.desc("score"), F.col("class")], most).join(heads.select("class", "name"), "class")
             return _first(top, ["set"], [F.desc("score"), F.col("name")], most).select("set", "name", "score")
 
-        rarest = terms_.select("set", F.get("terms", F.lit(0))["term"].alias("term"))
-        first = cut_lineage(texts(scored(rarest.join(opened, "term").select("set", "class"))))
+        first = cut_lineage(texts(scored(terms_.select("set", F.get("terms", F.lit(0))["term"].alias("term"), F.lit(0).cast("long").alias("floor")))))
         floor = first.groupBy("set").agg(F.when(F.count("*") >= most, F.min("score")).otherwise(0).alias("floor"))
         rest = lambda t, i: F.aggregate(F.slice(t, i + 1, F.size(t)), F.lit(0).cast("long"), lambda total, x: total + x["most_impact"])
         reaching = F.filter(F.transform("terms", lambda x, i: F.when((i > 0) & (rest(F.col("terms"), i) >= F.col("floor")), x["term"])), lambda x: x.isNotNull())
-        further = terms_.join(floor, "set").select("set", F.explode(reaching).alias("term"))
-        more = texts(scored(further.join(opened, "term").select("set", "class").distinct()))
-        every = first.unionByName(more).distinct()
-        return _first(every, ["set"], [F.desc("score"), F.col("name")], most).join(sets, "set").select("wanted", "name", "score")
+        more = texts(scored(terms_.join(floor, "set").select("set", F.explode(reaching).alias("term"), "floor")))
+        return _first(first.unionByName(more), ["set"], [F.desc("score"), F.col("name")], most).join(sets, "set").select("wanted", "name", "score")
 
     def search(self, queries: DataFrame, most: int = MOST) -> DataFrame:
         """query, key, score, pos: the `most` best records of each distinct query (column query), the lesser key of equals first."""

@@ -53,3 +53,23 @@ def test_a_word_in_every_title_reads_postings_in_proportion(spark):
 def test_index_of_nothing(spark):
     none = spark.createDataFrame([], "id long, title string")
     assert TextIndex(none, "id", "title").search(spark.createDataFrame([("a",)], "query string")).count() == 0
+
+
+def test_what_no_query_asks_for_makes_no_classes(spark):
+    """Texts that share one asked word are one class, whatever common words they have besides."""
+    records = [(i, f"tale m{i % 20} n{i // 20 % 6}") for i in range(600)]
+    index = TextIndex(spark.createDataFrame(records, "id long, title string"), "id", "title", weighted=True, common=4)
+    queries = spark.createDataFrame([("tale",), ("a tale",)], "query string")
+    profiles = index._profiles(index._asked(queries))
+    assert profiles.select("profile").distinct().count() == 1
+    got = sorted(map(tuple, index.search(queries, 3).collect()))
+    assert got == brute(records, ["tale", "a tale"], True, 3)
+
+
+def test_classes_above_a_floor_are_met_once(spark):
+    """Texts that the rarest word finds are beaten by texts with the others twice; each of these is given once."""
+    records = [(i, f"old blue c{i % 40}") for i in range(60)] + [(60 + i, f"old blue old blue d{i % 15}") for i in range(60)] + [(120 + i, f"old e{i}") for i in range(30)] + [(200 + i, f"new old blue f{i}") for i in range(12)]
+    index = TextIndex(spark.createDataFrame(records, "id long, title string"), "id", "title", weighted=True, common=3)
+    queries = ["new blue old", "blue old", "c1 blue"]
+    got = sorted(map(tuple, index.search(spark.createDataFrame([(q,) for q in queries], "query string"), 9).collect()))
+    assert got == brute(records, queries, True, 9)
