@@ -74,18 +74,46 @@ def _unnormalised(path: str | None = None):
     return tokenizer
 
 
+@lru_cache(maxsize=4)
+def _byte_lengths(path: str | None = None) -> np.ndarray:
+    """How many bytes of text each token stands for, by its id: its letters, without the mark of a word's end."""
+    tokenizer = _unnormalised(path)
+    known = {i: len(token.removesuffix("</w>")) for token, i in tokenizer.get_vocab(with_added_tokens=True).items()}
+    return np.array([known.get(i, 0) for i in range(max(known) + 1)], np.int64)
+
+
+@lru_cache(maxsize=4)
+def _held_chars(path: str | None = None) -> np.ndarray:
+    """Whether tokens hold a Latin-1 character, or it is white space between them."""
+    return np.array([bool(_unnormalised(path).encode(chr(c), add_special_tokens=False).ids) for c in range(256)])
+
+
+def _offsets(found) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(found.offsets), np.int64).reshape(-1, 2)
+
+
 def spans(text: str, path: str | None = None) -> np.ndarray:
     """First and last (exclusive) character of each token of a whole text, encoded at once.
 
     Latin-1 texts are composed, lower-case character for character, and lose
     their white space between pre-tokens anyway, so they skip the normaliser.
+    Their tokens hold every other byte, in order, so where a token lies follows
+    from the bytes of those before it and offsets needn't be kept.
     """
     try:
-        text.encode("latin-1")
-        found = _unnormalised(path).encode(text.lower(), add_special_tokens=False)
+        chars = np.frombuffer(text.lower().encode("latin-1"), np.uint8)
     except UnicodeEncodeError:
-        found = whole(path).encode(text, add_special_tokens=False)
-    return np.fromiter(chain.from_iterable(found.offsets), np.int64).reshape(-1, 2)
+        return _offsets(whole(path).encode(text, add_special_tokens=False))
+    tokenizer = _unnormalised(path)
+    (found,) = tokenizer.encode_batch_fast([text.lower()], add_special_tokens=False)
+    length = _byte_lengths(path)[np.array(found.ids, np.int64)]
+    end = np.cumsum(length)
+    at = np.flatnonzero(_held_chars(path)[chars])
+    if not text.isascii():
+        at = np.repeat(at, 1 + (chars[at] >= 128))  # two bytes of UTF-8
+    if int(length.sum()) != len(at) or not length.all():
+        return _offsets(tokenizer.encode(text.lower(), add_special_tokens=False))
+    return np.stack([at[end - length], at[end - 1] + 1], axis=1)
 
 
 class Pieces:

@@ -263,6 +263,16 @@ def test_token_counts(spark, rule):
     assert token_counts.counts(frame(spark, [])).count() == 0
 
 
+def test_spans_follow_from_the_bytes_of_tokens(monkeypatch):
+    """Spans of Latin-1 texts equal the tokenizer's own offsets, which are not asked for."""
+    rng, whole = random.Random(3), tokens.whole()
+    pools = [[chr(c) for c in range(256)], [chr(c) for c in range(128)], [*"ab'sSÉé.,  \n½²ß\xa0\x85\x1c", "</w>", "<|endoftext|>", "don't", "\r\n"]]
+    texts = ["", " \n", *("".join(rng.choices(pools[i % 3], k=rng.randrange(60))) for i in range(600))]
+    want = [whole.encode(t, add_special_tokens=False).offsets for t in texts]
+    monkeypatch.setattr(tokens, "_offsets", None)
+    assert [list(map(tuple, tokens.spans(t).tolist())) for t in texts] == want
+
+
 def test_attribution_rules():
     lo, hi, starts, ends = (np.array(x) for x in ([0, 2, 8], [2, 7, 9], [0, 3, 6], [3, 6, 9]))
     want = {"first": [2, 0, 1], "last": [1, 0, 2], "largest": [1, 1, 1]}
