@@ -29,14 +29,14 @@ def waves(records: dict[str, DataFrame], links: dict[str, DataFrame], now: Colum
     """
     frontier, out = None, None
     for wave, kind in enumerate(k for k in KINDS if k in records):
-        own = records[kind]
-        due = own.filter(F.coalesce(stale(F.col("updated_at"), now, days), F.lit(True))).select("id", F.lit(0).alias("why"))
+        due = F.coalesce(stale(F.col("updated_at"), now, days), F.lit(True))
+        own = records[kind].filter("id IS NOT NULL")
+        found = own.filter(due).withColumn("cause", F.lit("stale"))
         if frontier is not None:
-            # What is due anyway isn't visited again for its parent's sake.
-            hanging = links[kind].join(frontier.withColumnRenamed("id", "parent"), "parent", "left_semi").select("id").distinct()
-            due = due.unionByName(hanging.join(due, "id", "left_anti").select("id", F.lit(1).alias("why")))
-        cause = F.when(F.col("why") == 0, "stale").otherwise("parent")
-        found = own.join(due, "id").select(F.lit(kind).alias("kind"), "id", "region", "updated_at", F.lit(wave).alias("wave"), cause.alias("cause"), F.coalesce("failed", F.lit(False)).alias("failed"))
+            # What is due anyway isn't visited again for its parent's sake: only the rest meets what hangs on the wave before.
+            hanging = links[kind].join(frontier.withColumnRenamed("id", "parent"), "parent", "left_semi").select("id")
+            found = found.unionByName(own.filter(~due).join(hanging, "id", "left_semi").withColumn("cause", F.lit("parent")))
+        found = found.select(F.lit(kind).alias("kind"), "id", "region", "updated_at", F.lit(wave).alias("wave"), "cause", F.coalesce("failed", F.lit(False)).alias("failed"))
         found = cut_lineage(found)
         frontier = found.filter("NOT failed").select("id")
         out = found if out is None else out.unionByName(found)

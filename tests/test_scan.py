@@ -168,3 +168,14 @@ def test_refresh_waves(spark):
     plan = refresh.scheduled(work, 2)
     assert {(r.kind, r.id): (r["round"], r.slot) for r in plan.collect()} == {("author", 1): (0, 0), ("author", 3): (0, 0), ("author", 4): (0, 0), ("book", 11): (0, 0), ("book", 10): (0, 1), ("book", 14): (1, 0), ("chapter", 100): (0, 0)}
     assert {(r.wave, r.region): (r.total, r.success, r.failures, r.rounds) for r in refresh.summary(plan).collect()}[1, "us"] == (3, 2, 1, 2)
+
+
+def test_a_wave_meets_its_records_once(spark, monkeypatch):
+    """Of a wave only what isn't stale meets what hangs on the wave before, and nothing else is joined; a row given twice is two rows, not four."""
+    plans, real = [], refresh.cut_lineage
+    monkeypatch.setattr(refresh, "cut_lineage", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), real(df))[1])
+    rows = spark.createDataFrame([(1, "us", None, False), (1, "us", None, False), (None, "us", None, False)], "id long, region string, updated_at timestamp, failed boolean")
+    links = spark.createDataFrame([(1, 1)], "parent long, id long")
+    work = refresh.waves({"author": rows, "book": rows}, {"book": links}, F.lit("2024-01-01").cast("timestamp"))
+    assert sorted((r.wave, r.id, r.cause) for r in work.collect()) == [(0, 1, "stale")] * 2 + [(1, 1, "stale")] * 2
+    assert [p.count("Join ") for p in plans] == [0, 2]
