@@ -12,6 +12,7 @@ ordinary text.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Callable
@@ -23,6 +24,13 @@ import numpy as np
 END_ID = 1
 #: Characters of distinct pieces a task keeps before it starts anew.
 STORE_CHARS = 96 << 20
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Normaliser, pre-tokenizer and model of the default tokenizer, without vocabulary and merges.
+MAKE = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+)
 TAIL = re.compile(r"(?<=[a-zà-öø-ÿ])([.,]+)(?=[ \n]|\Z)")
 
 
@@ -65,55 +73,106 @@ def whole(path: str | None = None):
     return tokenizer
 
 
-@lru_cache(maxsize=4)
-def _unnormalised(path: str | None = None):
-    """The tokenizer without its normaliser, for texts that are in its normal form but for case and white space."""
-    tokenizer = whole(path).__class__.from_file(path or default_tokenizer())
-    tokenizer.encode_special_tokens = True
-    tokenizer.normalizer = None
-    return tokenizer
+def _offsets(found) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(found.offsets), np.int64).reshape(-1, 2)
 
 
-@lru_cache(maxsize=4)
-def _byte_lengths(path: str | None = None) -> np.ndarray:
-    """How many bytes of text each token stands for, by its id: its letters, without the mark of a word's end."""
-    tokenizer = _unnormalised(path)
-    known = {i: len(token.removesuffix("</w>")) for token, i in tokenizer.get_vocab(with_added_tokens=True).items()}
-    return np.array([known.get(i, 0) for i in range(max(known) + 1)], np.int64)
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (chr(256 + k) for k in range(256))
+    return [chr(b) if b in shown else next(others) for b in range(256)]
 
 
-@lru_cache(maxsize=4)
-def _held_chars(path: str | None = None) -> np.ndarray:
-    """Whether tokens hold a Latin-1 character, or it is white space between them."""
-    return np.array([bool(_unnormalised(path).encode(chr(c), add_special_tokens=False).ids) for c in range(256)])
+class _Joined:
+    """A byte-level BPE tokenizer that needs no pre-tokens, for Latin-1 texts in lower case.
 
+    The vocabulary marks the ends of words.  Here a word's last byte is a symbol
+    of its own instead, and as no merge goes on from the end of a word, merges
+    stay within words even where nothing separates them.  So a whole document,
+    less its white space, is one run of symbols, merged in one go.
+    """
 
-def _offsets(found) -> np.ndarray:
-    return np.fromiter(chain.from_iterable(found.offsets), np.int64).reshape(-1, 2)
+    SPACE, LETTER, NUMBER, OTHER = range(4)
+    #: Where the symbols of last bytes begin: characters for private use.
+    LAST = 0xE000
+
+    def __init__(self, model: dict):
+        from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+        letters, end = _byte_letters(), model["end_of_word_suffix"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        form = {c: c for c in letters} | {c + end: chr(self.LAST + b) for b, c in enumerate(letters)}
+        for a, b in merges:
+            form[a + b] = form[a] + form[b]
+        ids = {symbols: model["vocab"][token] for token, symbols in form.items()}
+        self.tokenizer = Tokenizer(models.BPE(vocab=ids, merges=[(form[a], form[b]) for a, b in merges]))
+        self.length = np.zeros(max(ids.values()) + 1, np.int64)
+        self.length[list(ids.values())] = [len(symbols) for symbols in ids]
+        self.symbol = np.array([*map(ord, letters), *range(self.LAST, self.LAST + 256)], "<u2")
+        cut = pre_tokenizers.Split(Regex(SPLIT), "removed", invert=True).pre_tokenize_str
+        kinds = {0: self.SPACE, 2: self.NUMBER}
+        self.kind = np.array([kinds.get(len(cut(2 * chr(c))), self.LETTER if len(cut("a" + chr(c))) == 1 else self.OTHER) for c in range(256)], np.uint8)
+
+    def _last(self, chars: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Whether a character ends a pre-token of SPLIT."""
+        last = np.ones(len(chars), bool)
+        last[:-1] = (kind[1:] != kind[:-1]) | (kind[:-1] == self.NUMBER)
+        at = np.flatnonzero(chars == ord("'"))
+        if len(at):
+            at = at[(at == 0) | (kind[at - 1] != self.OTHER)]
+            after = np.concatenate([chars, np.zeros(2, np.uint8)])
+            one, two = after[at + 1], after[at + 2]
+            short = np.isin(one, list(b"stmd"))
+            long = np.logical_or.reduce([(one == a) & (two == b) for a, b in (b"re", b"ve", b"ll")])
+            last[at[short | long]] = False
+            last[at[short] + 1] = last[at[long] + 2] = True
+        return last
+
+    def spans(self, text: str) -> np.ndarray:
+        """First and last (exclusive) character of each token."""
+        chars = np.frombuffer(text.encode("latin-1"), np.uint8)
+        kind = self.kind[chars]
+        last = self._last(chars, kind)
+        at = np.flatnonzero(kind)
+        if text.isascii():
+            symbols = chars[at] + np.uint16(256) * last[at]
+        else:
+            at = np.repeat(at, 1 + (chars[at] >= 128))  # two bytes of UTF-8
+            ended = last[at]
+            ended[:-1] &= at[1:] != at[:-1]
+            symbols = np.frombuffer(text.encode(), np.uint8)[np.repeat(kind > 0, 1 + (chars >= 128))] + np.uint16(256) * ended
+        (found,) = self.tokenizer.encode_batch_fast([self.symbol[symbols].tobytes().decode("utf-16-le")], add_special_tokens=False)
+        length = self.length[np.array(found.ids, np.int64)]
+        end = np.cumsum(length)
+        return np.stack([at[end - length], at[end - 1] + 1], axis=1)
+
+
+@lru_cache(maxsize=4)
+def _joined(path: str | None = None) -> _Joined | None:
+    """None for a tokenizer of another make, whose texts it has to cut itself."""
+    with open(path or default_tokenizer(), encoding="utf-8") as f:
+        made = json.load(f)
+    model = made["model"]
+    rules = {k: v for k, v in model.items() if k not in ("vocab", "merges")}
+    return _Joined(model) if (made["normalizer"], made["pre_tokenizer"], rules) == MAKE else None
 
 
 def spans(text: str, path: str | None = None) -> np.ndarray:
     """First and last (exclusive) character of each token of a whole text, encoded at once.
 
-    Latin-1 texts are composed, lower-case character for character, and lose
-    their white space between pre-tokens anyway, so they skip the normaliser.
-    Their tokens hold every other byte, in order, so where a token lies follows
-    from the bytes of those before it and offsets needn't be kept.
+    Latin-1 texts are composed and lower-case character for character, so they
+    skip the normaliser.  Their tokens hold every byte but white space, in
+    order, so where a token lies follows from the bytes of those before it.
     """
+    joined = _joined(path)
     try:
-        chars = np.frombuffer(text.lower().encode("latin-1"), np.uint8)
+        text.encode("latin-1")
     except UnicodeEncodeError:
+        joined = None
+    if joined is None:
         return _offsets(whole(path).encode(text, add_special_tokens=False))
-    tokenizer = _unnormalised(path)
-    (found,) = tokenizer.encode_batch_fast([text.lower()], add_special_tokens=False)
-    length = _byte_lengths(path)[np.array(found.ids, np.int64)]
-    end = np.cumsum(length)
-    at = np.flatnonzero(_held_chars(path)[chars])
-    if not text.isascii():
-        at = np.repeat(at, 1 + (chars[at] >= 128))  # two bytes of UTF-8
-    if int(length.sum()) != len(at) or not length.all():
-        return _offsets(tokenizer.encode(text.lower(), add_special_tokens=False))
-    return np.stack([at[end - length], at[end - 1] + 1], axis=1)
+    return joined.spans(text.lower())
 
 
 class Pieces:

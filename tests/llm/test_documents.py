@@ -273,6 +273,27 @@ def test_spans_follow_from_the_bytes_of_tokens(monkeypatch):
     assert [list(map(tuple, tokens.spans(t).tolist())) for t in texts] == want
 
 
+def test_spans_without_pre_tokens(monkeypatch):
+    """Latin-1 documents are merged as one run of symbols; the tokenizer, which would cut them into pre-tokens, isn't asked."""
+    rng, whole = random.Random(4), tokens.whole()
+    texts = ["I'll say 'tis 'RE''s don't'd", "'", "''s", "x'", "'l", "12½3é'vé", *("".join(rng.choices("'''stmdrevl !.1éÉ\n²", k=rng.randrange(40))) for _ in range(400))]
+    want = [whole.encode(t, add_special_tokens=False).offsets for t in texts]
+    tokens.spans("warm")
+    for name in ("whole", "_unnormalised"):
+        monkeypatch.setattr(tokens, name, None, raising=False)
+    assert [list(map(tuple, tokens.spans(t).tolist())) for t in texts] == want
+
+
+def test_spans_of_a_tokenizer_of_another_make(tmp_path):
+    """One that keeps case and cuts elsewhere gives its own spans."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.BPE(vocab={c: i for i, c in enumerate(["a", "b", "A", "B", "-", "AB"])}, merges=[("A", "B")]))
+    other.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    other.save(str(tmp_path / "other.json"))
+    assert tokens.spans("AB-ab AB", str(tmp_path / "other.json")).tolist() == [[0, 2], [2, 3], [3, 4], [4, 5], [6, 8]]
+
+
 def test_attribution_rules():
     lo, hi, starts, ends = (np.array(x) for x in ([0, 2, 8], [2, 7, 9], [0, 3, 6], [3, 6, 9]))
     want = {"first": [2, 0, 1], "last": [1, 0, 2], "largest": [1, 1, 1]}
