@@ -62,10 +62,15 @@ def _grown(have: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
     return have
 
 
+def _one_thread() -> None:
+    """A task has one core: tokenizers start no threads of their own."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+
+
 @lru_cache(maxsize=4)
 def whole(path: str | None = None):
     """The tokenizer itself, one thread, special tokens' strings as ordinary text; kept from task to task."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    _one_thread()
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path or default_tokenizer())
@@ -151,6 +156,7 @@ class _Joined:
 @lru_cache(maxsize=4)
 def _joined(path: str | None = None) -> _Joined | None:
     """None for a tokenizer of another make, whose texts it has to cut itself."""
+    _one_thread()
     with open(path or default_tokenizer(), encoding="utf-8") as f:
         made = json.load(f)
     model = made["model"]

@@ -1,5 +1,6 @@
 """Operators on single documents and pages: brute force, round trips, held-out accuracy, odd inputs."""
 
+import os
 import random
 import re
 import zlib
@@ -278,7 +279,10 @@ def test_spans_without_pre_tokens(monkeypatch):
     rng, whole = random.Random(4), tokens.whole()
     texts = ["I'll say 'tis 'RE''s don't'd", "'", "''s", "x'", "'l", "12½3é'vé", *("".join(rng.choices("'''stmdrevl !.1éÉ\n²", k=rng.randrange(40))) for _ in range(400))]
     want = [whole.encode(t, add_special_tokens=False).offsets for t in texts]
+    monkeypatch.delenv("TOKENIZERS_PARALLELISM", raising=False)
+    tokens._joined.cache_clear()
     tokens.spans("warm")
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
     for name in ("whole", "_unnormalised"):
         monkeypatch.setattr(tokens, name, None, raising=False)
     assert [list(map(tuple, tokens.spans(t).tolist())) for t in texts] == want
