@@ -118,18 +118,29 @@ def catalogue_authors(products: DataFrame, asked: DataFrame | None = None, withi
     """query, asin, name, pos: authors of products (within, product, pos, authors) whose names are near enough to the query.
 
     asked: the queries (query, within) of each catalogue, where products don't
-    name their own.  Names are compared once for each catalogue, so only authors
-    who are near a query are taken per query.  An author counts once per
+    name their own.  Products are counted for each author and name before queries
+    meet them, and names are compared once for each catalogue, so only counts of
+    authors who are near a query are taken per query.  An author counts once per
     product; of authors of one name the one with most products stays, the
     earlier of equals; most products first.
     """
     people = products.select(within, "product", "pos", F.posexplode("authors").alias("i", "a")).select(within, "product", F.struct("pos", "i").alias("at"), "a.asin", "a.name").filter("coalesce(asin, '') != '' AND coalesce(name, '') != ''")
-    names = people.select(within, "name").distinct()
-    names = names if asked is None else names.join(asked, within)
+    # What an author is called in a product; nearly always one name, so authors are counted by it, and by all of them where there are more.
+    rows = people.groupBy("product", "asin", *([within] if asked is None else [])).agg(F.collect_list(F.struct(F.struct(within, "name").alias("called"), "at")).alias("rows"))
+    names = F.array_sort(F.array_distinct(F.transform("rows", lambda x: x["called"])))
+    places = F.transform("names", lambda n: F.struct(n.alias("called"), F.transform(F.filter("rows", lambda x: x["called"].eqNullSafe(n)), lambda x: x["at"]).alias("at")))
+    each = rows.withColumn("names", names).select("product", "asin", F.when(F.size("names") > 1, F.col("names")).alias("names"), F.explode(places).alias("x"))
+    each = each.select("product", "asin", "names", "x.called.*", F.array_min("x.at").alias("first"), F.array_max("x.at").alias("last"))
+    # A table, so products are read once; it has a row or few of each author, however many products and queries there are.
+    counts = cut_lineage(each.groupBy("asin", within, "name", "names").agg(F.count("product").alias("n"), F.min("first").alias("first"), F.max("last").alias("last")))
+    wanted = counts.select(within, "name").distinct()
+    wanted = wanted if asked is None else wanted.join(asked, within)
     # A table: few rows, which meet many of a hot name.
-    close = cut_lineage(with_similarity(names, "query", "name", "sim").filter(F.col("sim") >= NAME_FLOOR).select(*dict.fromkeys((within, "query", "name"))))
-    near = people.join(close, [within, "name"])
-    counted = near.groupBy("query", "asin").agg(F.countDistinct("product").alias("n"), F.max_by("name", "at").alias("name"), F.min("at").alias("at"))
+    close = cut_lineage(with_similarity(wanted, "query", "name", "sim").filter(F.col("sim") >= NAME_FLOOR).select(*dict.fromkeys((within, "query", "name"))).distinct())
+    near = counts.join(close, [within, "name"]).withColumn("names", F.coalesce("names", F.array(F.struct(within, "name"))))
+    # Of names that stand together in products several may be near; these products count once.
+    near = near.groupBy("query", "asin", "names").agg(F.max("n").alias("n"), F.max_by("name", "last").alias("name"), F.min("first").alias("first"), F.max("last").alias("last"))
+    counted = near.groupBy("query", "asin").agg(F.sum("n").alias("n"), F.max_by("name", "last").alias("name"), F.min("first").alias("at"))
     named = counted.groupBy("query", normalize_name(F.col("name")).alias("key")).agg(F.min(F.struct((-F.col("n")).alias("fewer"), "at", "asin", "name")).alias("best"), F.min("at").alias("first"))
     place = F.row_number().over(Window.partitionBy("query").orderBy("best.fewer", "first"))
     return named.select("query", "best.asin", "best.name", place.alias("pos"))
