@@ -55,3 +55,23 @@ def test_records_of_one_kind_meet_in_several_tasks(spark):
     assert pairs.count() == 400 * 400
     tasks = pairs.selectExpr("spark_partition_id() AS task").groupBy("task").count().collect()
     assert len(tasks) > 2 and max(r["count"] for r in tasks) < 400 * 400 / 2
+
+
+def test_records_meet_as_lists_of_bounded_size(spark):
+    part = spark.range(5000).selectExpr("id AS p_partkey", "if(id < 4999, 'old ring', 'tin cup') AS p_name", "cast(7 AS int) AS p_size")
+    pairs = scoring_queries._confident(part, part)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode(haves") < plan.index("Generate explode(wants") < plan.index("Join Inner")
+    want = part.selectExpr("p_partkey AS want", "p_name AS asked")
+    kinds = want.groupBy("asked").count().selectExpr("length(asked) AS asked_id", "asked", "count AS n")
+    lists = [r.wants for r in scoring_queries._lists(want, kinds, "asked", "want").collect()]
+    assert sorted(k for x in lists for k in x) == list(range(5000))
+    assert max(map(len, lists)) < 3 * scoring_queries.MET and len(lists) <= 5000 / scoring_queries.MET + 2
+    assert pairs.count() == 4999**2 + 1
+
+
+def test_records_without_a_key_and_repeated_records_stay(spark, tmp_path):
+    rows = [(None, "old ring", 10), (None, "old ring", 10), (3, "old ring", 10), (3, "old ring", 10), (None, "old rings", None)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/rows")
+    database(tmp_path).execute(f"COPY (FROM '{tmp_path}/rows/*.parquet') TO '{tmp_path}/part.parquet'")
+    assert_equal(spark, QUERIES["s4_score"], SQL["s4_score"], tmp_path)
